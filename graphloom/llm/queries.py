@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, secrets
+from graphloom.llm import bpe, licenses, secrets
 from graphloom.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,19 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.spelled(base), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans")
     )
+
+
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    every = F.array_sort(F.array_union("base_labels", F.transform("spans", lambda s: s["label"])))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("starts").cast("long").alias("n_base"),
+        F.array_min("starts").alias("first_word"),
+        F.array_max("starts").alias("last_word"),
+        F.concat_ws(",", "base_labels").alias("base_labels"),
+        F.concat_ws(",", every).alias("labels"),
+        "score",
+    )

@@ -20,11 +20,11 @@ import pyarrow.compute
 
 _BYTE, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _BYTE_INVERSE = np.uint64(pow(int(_BYTE), -1, 1 << 64))
-SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-LETTERS = np.isin(np.arange(256), [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
-SOLID = ~SPACE
-LETTERS.setflags(write=False)
-SOLID.setflags(write=False)
+LETTERS, SOLID = "letters", "solid"
+_KINDS = {
+    LETTERS: np.isin(np.arange(256), [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]),
+    SOLID: ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)]),
+}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,14 +44,14 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 class Words:
     """Words of a list of texts (null: empty), in order, with the row each belongs to."""
 
-    def __init__(self, texts: list[str | None], kind: np.ndarray):
+    def __init__(self, texts: list[str | None], kind: str):
         encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        if kind is LETTERS:
+        if kind == LETTERS:
             encoded = [t.lower() for t in encoded]  # bytes: A-Z only
         # a white space byte ends every text, so that no word spans two of them
         self.data = b" ".join(encoded) + b" "
         raw = np.frombuffer(self.data, dtype=np.uint8)
-        inside = kind[raw]
+        inside = _KINDS[kind][raw]
         change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if inside[0]:
             change = np.concatenate([[0], change])
