@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +31,15 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, so that a worker holds the Python objects of few rows at a time."""
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
+
+
+def join_spread(left: DataFrame, right: DataFrame, on: list[str], ways: int = 16, how: str = "left") -> DataFrame:
+    """Join a large side with keys of any skew to a side that has each key once.
+
+    The large side deals each key over ``ways`` parts by a hash of its other columns, and
+    the small side is repeated for each part, so no task gets all rows of a hot key.
+    Keys that are null match nothing.
+    """
+    part = F.pmod(F.xxhash64(*[c for c in left.columns if c not in on]), F.lit(ways)).cast("int")
+    copies = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return left.withColumn("_part", part).join(copies, [*on, "_part"], how).drop("_part")

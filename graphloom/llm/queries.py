@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, licenses, secrets
+from graphloom.llm import bpe, licenses, secrets, urls
 from graphloom.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,52 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(",", every).alias("labels"),
         "score",
     )
+
+
+#: Rules of the page filter: verdict, then host and path.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("bad_rate")
+
+
+_TWO = ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES)
+_LAST = lambda n: f"array_to_string(list_slice(string_split(host, '.'), -{n}, -1), '.')"
+_RHO = "least(0.99, greatest(0.001, coalesce((sum((k - n * m) * (k - n * m)) - sum(n * m * (1 - m))) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0)))"
+ORACLE["op9_url_filter"] = f"""
+WITH parsed AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+fits AS (
+  SELECT *, (host = 'org' OR host LIKE '%.org') AS org, (host = 'example.org' OR host LIKE '%.example.org') AS ex, (host = 'com' OR host LIKE '%.com') AS com FROM parsed),
+ruled AS (
+  SELECT page_id, host, path,
+         CASE WHEN ex AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN ex AND starts_with(path, '/es/') THEN 'example.org/es/'
+              WHEN com AND starts_with(path, '/de/') THEN 'com/de/' WHEN com AND starts_with(path, '/fr/') THEN 'com/fr/'
+              WHEN org AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM fits),
+outcome AS (
+  SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS verdict FROM ruled),
+hosts AS (
+  SELECT host, CASE WHEN {_LAST(2)} IN ({_TWO}) THEN {_LAST(3)} ELSE {_LAST(2)} END AS domain,
+         CASE WHEN {_LAST(2)} IN ({_TWO}) THEN {_LAST(2)} ELSE {_LAST(1)} END AS suffix,
+         count(verdict) AS n, count(*) FILTER (verdict = 'block') AS k
+  FROM outcome GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k FROM hosts GROUP BY domain, suffix),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY suffix),
+top AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM suffixes),
+s1 AS (SELECT suffix, n, k, m FROM suffixes, top),
+r1 AS (SELECT 1 / {_RHO} - 1 AS s FROM s1),
+s2 AS (SELECT domain, d.n, d.k, (s1.k + r1.s * s1.m) / (s1.n + r1.s) AS m FROM domains d JOIN s1 USING (suffix), r1),
+r2 AS (SELECT 1 / {_RHO} - 1 AS s FROM s2),
+s3 AS (SELECT host, h.n::DOUBLE AS n, h.k::DOUBLE AS k, (s2.k + r2.s * s2.m) / (s2.n + r2.s) AS m FROM hosts h JOIN s2 USING (domain), r2),
+r3 AS (SELECT 1 / {_RHO} - 1 AS s FROM s3),
+post AS (SELECT host, k + s * m AS a, n - k + s * (1 - m) AS b, (k + s * m) / (n + s) AS rate FROM s3, r3),
+bound AS (SELECT host, rate - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower FROM post)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN lower > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM outcome JOIN bound USING (host)
+"""
