@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, licenses, secrets, urls
+from graphloom.llm import bpe, html, licenses, secrets, urls
 from graphloom.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ bound AS (SELECT host, rate - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b +
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN lower > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM outcome JOIN bound USING (host)
 """
+
+
+@query
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
