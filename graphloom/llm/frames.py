@@ -43,3 +43,9 @@ def join_spread(left: DataFrame, right: DataFrame, on: list[str], ways: int = 16
     part = F.pmod(F.xxhash64(*[c for c in left.columns if c not in on]), F.lit(ways)).cast("int")
     copies = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
     return left.withColumn("_part", part).join(copies, [*on, "_part"], how).drop("_part")
+
+
+def drop_rows(df: DataFrame, rejected: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``df`` but those named in ``rejected(id, text_key)`` by id and hash of the text; nulls equal nulls."""
+    gone = rejected.toDF("_gone_id", "_gone_key").distinct()
+    return df.join(gone, df[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(df[text_col]) == F.col("_gone_key")), "left_anti")

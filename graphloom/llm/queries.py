@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, html, licenses, secrets, urls
+from graphloom.llm import bpe, decontaminate, html, langid, licenses, secrets, urls
 from graphloom.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,13 @@ FROM outcome JOIN bound USING (host)
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "declared", "lang", F.round("posterior", 6).alias("posterior"), "kept")
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
