@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,12 +22,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder comes from ``spark.checkpoint.dir``; a temporary one is set only where
     the session has none, as in local tests.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, so that a worker holds the Python objects of few rows at a time."""
     for start in range(0, batch.num_rows, rows):
@@ -49,3 +55,10 @@ def drop_rows(df: DataFrame, rejected: DataFrame, id_col: str, text_col: str) ->
     """Rows of ``df`` but those named in ``rejected(id, text_key)`` by id and hash of the text; nulls equal nulls."""
     gone = rejected.toDF("_gone_id", "_gone_key").distinct()
     return df.join(gone, df[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(df[text_col]) == F.col("_gone_key")), "left_anti")
+
+
+def write_shared(df: DataFrame) -> DataFrame:
+    """Write a table beside the checkpoints, where every executor can read it, and read it back."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

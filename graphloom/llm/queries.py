@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontaminate, html, langid, licenses, minhash, passages, secrets, urls
+from graphloom.llm import bpe, caps, decontaminate, html, langid, licenses, minhash, passages, secrets, urls
 from graphloom.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,8 @@ def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = passages.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.classes(table(spark, sf_dir, "embeddings"))
