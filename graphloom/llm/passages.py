@@ -1,15 +1,22 @@
 """Substring dedup: remove word windows that also start in a document with a smaller id.
 
 A window is 13 consecutive words. Comparing every window of the corpus would shuffle a row
-for each word, so recurring passages are confirmed in two steps. Each window has an
-anchor, the smallest hash of the 6-grams inside it (a minimizer), which depends on the
-window's words alone: equal windows have equal anchors, and a text has about two anchors
-for nine words. Anchors that occur in a second document mark candidate windows; only
-those are compared, and each candidate that starts in an earlier document is a recurring
-passage. Its places in every other document are then cut out of the whole texts.
-
-Windows are compared by 64-bit hashes among candidates whose anchors recur; a false match
-needs two of these windows with equal hashes.
+for each word, so the work goes in three steps:
+
+1. Recurring passages are confirmed. Each window has an anchor, the smallest hash of the
+   6-grams inside it (a minimizer), which depends on the window's words alone: equal
+   windows have equal anchors, and a text has about two anchors for nine words. Windows
+   whose anchor occurs in a second document are candidates, and those that start in two
+   documents recur. A recurring passage is a run of such windows in the document where
+   they stand first.
+2. Passages are compiled to Aho-Corasick automata over words, sharded by the document they
+   stand first in, so one automaton is never larger than one document (and at most
+   ``SHARD_WINDOWS`` windows at a time).
+3. The stretches of all documents that hold recurring windows are streamed past the
+   automaton of their shard, which locates every occurrence word for word. A shard that
+   many documents hold is dealt over several tasks, each with its own copy of the passages.
+
+Hashes only choose what is searched: what is removed was matched word for word.
 
 Defined results: words are runs of anything but ASCII white space; a null or empty text
 has none; texts of under 13 words keep everything; documents that share an id never
@@ -19,9 +26,13 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain, groupby
+
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +40,10 @@ from graphloom.llm.words import SOLID, Words
 
 WINDOW = 13
 ANCHOR = 6
+#: Windows of one automaton, at most; longer sources are compiled and streamed past in parts.
+SHARD_WINDOWS = 50_000
+#: Documents that one task streams past a shard, about.
+SHARD_DOCUMENTS = 256
 _LONGS = T.ArrayType(T.LongType())
 
 
@@ -58,9 +73,6 @@ def _candidates(window: int, anchor: int):
     def run(texts: pa.Array, recurring: pa.Array) -> pa.Array:
         out = []
         for text, known in zip(texts.to_pylist(), recurring, strict=True):
-            if not known.is_valid or text is None:
-                out.append(np.zeros(0, np.int64))
-                continue
             words = Words([text], SOLID)
             hashes = words.hashes()
             own = _window_anchors(words, hashes, window, anchor)
@@ -71,41 +83,156 @@ def _candidates(window: int, anchor: int):
     return F.arrow_udf(run, _LONGS)
 
 
-_CUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+_STRETCH = [("source", pa.int64()), ("level", pa.int32()), ("start", pa.int64()), ("words", pa.string())]
+_STRETCHES = T.ArrayType(T.StructType([T.StructField("source", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("words", T.StringType())]))
 
 
-def _cut(window: int):
-    def run(texts: pa.Array, repeated: pa.Array) -> pa.Array:
-        rows = []
-        for text, known in zip(texts.to_pylist(), repeated, strict=True):
+def _stretches(window: int):
+    """Runs of recurring windows of each text that stand first in the same document."""
+
+    def run(texts: pa.Array, recurring: pa.Array) -> pa.Array:
+        out = []
+        for text, known in zip(texts.to_pylist(), recurring, strict=True):
             words = Words([text], SOLID)
-            gone = np.zeros(len(words) + 1, dtype=np.int64)
-            if known.is_valid:
-                at = np.flatnonzero(np.isin(words.grams(window)[0], known.values.to_numpy(zero_copy_only=False).view(np.uint64)))
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + window, -1)
-            covered = np.cumsum(gone[:-1]) > 0
+            fields = [known.values.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            order = np.argsort(fields[0])
+            hashes, source, level = (f[order] for f in fields)
+            grams = words.grams(window)[0].view(np.int64)
+            at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+            marked = np.flatnonzero(hashes[at] == grams)
+            source, level = source[at[marked]], level[at[marked]]
+            new = np.ones(len(marked), dtype=bool)
+            new[1:] = (np.diff(marked) > 1) | (source[1:] != source[:-1]) | (level[1:] != level[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(marked)) - 1
             listed = words.list()
-            kept = [w for w, c in zip(listed, covered.tolist(), strict=True) if not c] if covered.any() else listed
-            rows.append({"n_words": len(listed), "n_removed": len(listed) - len(kept), "kept": b" ".join(kept).decode("utf-8", "replace")})
-        return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
+            rows = []
+            for i, j in zip(first.tolist(), last.tolist(), strict=True):
+                start, end = int(marked[i]), int(marked[j]) + window
+                rows.append({"source": int(source[i]), "level": int(level[i]), "start": start, "words": b" ".join(listed[start:end]).decode("utf-8", "surrogatepass")})
+            out.append(rows)
+        return pa.array(out, pa.list_(pa.struct(_STRETCH)))
+
+    return F.arrow_udf(run, _STRETCHES)
+
+
+def _letter(number: int) -> str:
+    """A character that stands for a word; surrogates are left out."""
+    return chr(number if number < 0xD800 else number + 0x800)
+
+
+class Shard:
+    """Automata over the windows of passages, each word being one letter."""
+
+    def __init__(self, passages: list[str], window: int):
+        self.window, self.parts = window, []
+        letters: dict[str, str] = {}
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+
+        def close() -> None:
+            if len(automaton):
+                automaton.make_automaton()
+                self.parts.append((letters, automaton))
+
+        for passage in passages:
+            listed = passage.split(" ")
+            for at in range(0, len(listed) - window + 1, SHARD_WINDOWS):
+                if len(automaton) + min(len(listed), SHARD_WINDOWS) > SHARD_WINDOWS and len(automaton):
+                    close()
+                    letters, automaton = {}, ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+                part = listed[at : at + SHARD_WINDOWS + window - 1]
+                for word in part:
+                    if word not in letters:
+                        letters[word] = _letter(len(letters) + 1)
+                spelled = "".join([letters[w] for w in part])
+                for k in range(len(part) - window + 1):
+                    automaton.add_word(spelled[k : k + window])
+        close()
+
+    def locate(self, stretch: str) -> list[tuple[int, int]]:
+        """Word ranges of the stretch that windows of the passages cover, in order."""
+        listed = stretch.split(" ")
+        ends = set()
+        for letters, automaton in self.parts:
+            spelled = "".join([letters.get(w, "\0") for w in listed])
+            ends.update(end for end, _ in automaton.iter(spelled))
+        ranges: list[tuple[int, int]] = []
+        for end in sorted(ends):
+            start = end + 1 - self.window
+            if ranges and start <= ranges[-1][1]:
+                ranges[-1] = (ranges[-1][0], end + 1)
+            else:
+                ranges.append((start, end + 1))
+        return ranges
+
+
+def _located(window: int):
+    """Rows come by shard, passages first; one shard's passages are in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = chain.from_iterable(zip(*[c.to_pylist() for c in part.columns], strict=True) for batch in batches for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)))
+        found: list[tuple[int, int, int, int]] = []
+        for _, members in groupby(rows, key=lambda r: r[:3]):
+            passages, shard = [], None
+            for _, _, _, of_source, key, text_key, first, words in members:
+                if of_source:
+                    passages.append(words)
+                    continue
+                shard = shard or Shard(passages, window)
+                found += [(key, text_key, first + a, first + b) for a, b in shard.locate(words)]
+            if len(found) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["id", "text_key", "start", "end"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["id", "text_key", "start", "end"])
+
+    return run
+
+
+_CUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+
 
-    return F.arrow_udf(run, _CUT)
+@F.arrow_udf(_CUT)
+def _cut(texts: pa.Array, keys: pa.Array, ranges: pa.Array) -> pa.Array:
+    rows = []
+    for text, key, known in zip(texts.to_pylist(), keys.to_pylist(), ranges.to_pylist(), strict=True):
+        listed = Words([text], SOLID).list()
+        gone = np.zeros(len(listed) + 1, dtype=np.int64)
+        for r in known or ():
+            if r["text_key"] == key:
+                gone[r["start"]] += 1
+                gone[r["end"]] -= 1
+        covered = np.cumsum(gone[:-1]) > 0
+        kept = [w for w, c in zip(listed, covered.tolist(), strict=True) if not c] if covered.any() else listed
+        rows.append({"n_words": len(listed), "n_removed": len(listed) - len(kept), "kept": b" ".join(kept).decode("utf-8", "replace")})
+    return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``(id, n_words, n_removed, kept)`` for each row: its words, those removed, and the text that stays.
 
-    One job: both joins with the texts use the same exchange by id.
+    One job: the three joins with the texts use the same exchange by id.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+
     anchors = docs.where("id is not null").select("id", F.explode(_anchors(window, anchor)("text")).alias("anchor"))
-    same = Window.partitionBy("anchor")
-    recurring = anchors.withColumns({"lo": F.min("id").over(same), "hi": F.max("id").over(same)}).where("lo < hi")
-    marked = recurring.groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
-    found = docs.join(marked, "id", "left").select("id", F.explode(_candidates(window, anchor)("text", "anchors")).alias("window"))
-    earliest = Window.partitionBy("window")
-    repeats = found.withColumn("first", F.min("id").over(earliest)).where("id > first")
-    repeated = repeats.groupBy("id").agg(F.collect_list("window").alias("windows"))
-    cut = docs.join(repeated, "id", "left").select("id", _cut(window)("text", "windows").alias("c"))
+    recurring = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
+    marked = anchors.join(recurring, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
+    candidates = docs.join(marked, "id").select("id", F.explode(_candidates(window, anchor)("text", "anchors")).alias("window"))
+
+    # windows that start in two documents; their level tells over how many tasks (2 to its power) their documents are dealt
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / SHARD_DOCUMENTS))).cast("int")
+    confirmed = candidates.groupBy("window").agg(F.min("id").alias("source"), F.max("id").alias("last"), F.count("*").alias("n")).where("source < last")
+    held = candidates.join(confirmed.select("window", "source", level.alias("level")), "window")
+    of_doc = held.groupBy("id").agg(F.collect_list(F.struct("window", "source", "level")).alias("windows"))
+
+    stretches = docs.join(of_doc, "id").select("id", "text_key", F.explode(_stretches(window)("text", "windows")).alias("s")).select("id", "text_key", "s.*")
+    of_source, ways = F.col("id") == F.col("source"), F.pow(F.lit(2), F.col("level")).cast("int")
+    tasks = F.when(of_source, F.sequence(F.lit(0), ways - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), ways).cast("int")))
+    dealt = stretches.select("source", "level", F.explode(tasks).alias("task"), of_source.alias("of_source"), "id", "text_key", "start", "words")
+    shards = dealt.repartition("source", "level", "task").sortWithinPartitions("source", "level", "task", F.desc("of_source"))
+    located = shards.mapInArrow(_located(window), "id long, text_key long, start long, end long")
+
+    ranges = located.groupBy("id").agg(F.collect_list(F.struct("text_key", "start", "end")).alias("ranges"))
+    cut = docs.join(ranges, "id", "left").select("id", _cut("text", "text_key", "ranges").alias("c"))
     return cut.select(F.col("id").alias(id_col), "c.n_words", "c.n_removed", "c.kept")
