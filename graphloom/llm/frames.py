@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,12 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
+def by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Rows of sorted batches grouped by their first columns; few rows are Python objects at a time."""
+    rows = chain.from_iterable(zip(*[c.to_pylist() for c in part.columns], strict=True) for batch in batches for part in slices(batch))
+    return groupby(rows, key=lambda row: row[:keys])
+
+
 def join_spread(left: DataFrame, right: DataFrame, on: list[str], ways: int = 16, how: str = "left") -> DataFrame:
     """Join a large side with keys of any skew to a side that has each key once.
 

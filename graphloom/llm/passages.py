@@ -3,7 +3,8 @@
 A window is 13 consecutive words. Comparing every window of the corpus would shuffle a row
 for each word, so the work goes in three steps:
 
-1. Recurring passages are confirmed. Each window has an anchor, the smallest hash of the
+1. Recurring passages are confirmed. A text that an earlier document holds whole recurs as
+   a whole and is not looked at further. In the others, each window has an anchor, the smallest hash of the
    6-grams inside it (a minimizer), which depends on the window's words alone: equal
    windows have equal anchors, and a text has about two anchors for nine words. Windows
    whose anchor occurs in a second document are candidates, and those that start in two
@@ -16,7 +17,8 @@ for each word, so the work goes in three steps:
    automaton of their shard, which locates every occurrence word for word. A shard that
    many documents hold is dealt over several tasks, each with its own copy of the passages.
 
-Hashes only choose what is searched: what is removed was matched word for word.
+Whole copies are told by a 128-bit digest; elsewhere hashes only choose what is searched,
+and what is removed was matched word for word.
 
 Defined results: words are runs of anything but ASCII white space; a null or empty text
 has none; texts of under 13 words keep everything; documents that share an id never
@@ -27,7 +29,6 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, groupby
 
 import ahocorasick
 import numpy as np
@@ -36,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.words import SOLID, Words
+from graphloom.llm.frames import by_key, join_spread
+from graphloom.llm.words import SOLID, Words, parts
 
 WINDOW = 13
 ANCHOR = 6
@@ -47,43 +49,71 @@ SHARD_DOCUMENTS = 256
 _LONGS = T.ArrayType(T.LongType())
 
 
-def _window_anchors(words: Words, hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
-    """The anchor of each window of one text."""
-    grams = words.grams(anchor, seed=anchor, hashes=hashes)[0]
-    span = window - anchor + 1
-    if len(grams) < span:
-        return grams[:0]
-    return np.lib.stride_tricks.sliding_window_view(grams, span).min(axis=1)
+def _sliding_min(values: np.ndarray, span: int) -> np.ndarray:
+    """Minimum of each ``span`` neighbours, by doubling."""
+    lowest, width = values, 1
+    while width < span:
+        step = min(width, span - width)
+        lowest = np.minimum(lowest[:-step], lowest[step:])
+        width += step
+    return lowest
+
+
+def _window_anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and anchor of each window of each text."""
+    hashes = words.hashes()
+    windows, at = words.grams(window, hashes=hashes)
+    if not len(at):
+        return at, windows, windows
+    grams, starts = words.grams(anchor, seed=anchor, hashes=hashes)
+    placed = np.zeros(len(words), dtype=np.uint64)
+    placed[starts] = grams
+    return words.rows[at], windows, _sliding_min(placed, window - anchor + 1)[at]
+
+
+def _lists(rows: np.ndarray, values: np.ndarray, n_rows: int) -> pa.Array:
+    """A list of distinct values for each row."""
+    # neighbouring windows often share an anchor: drop these before sorting
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
+    rows, values = rows[new], values[new]
+    order = np.lexsort((values, rows))
+    rows, values = rows[order], values[order]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
+    rows, values = rows[new], values[new]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n_rows + 1)).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _by_parts(run, kind: pa.DataType):
+    """A function of columns, the first being texts, that is applied to about a megabyte of text at a time."""
+
+    def whole(*columns: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays(list(columns), names=[str(k) for k in range(len(columns))])
+        return pa.concat_arrays([pa.array([], kind), *(run(*part.columns) for part in parts(batch, 0))])
+
+    return whole
 
 
 def _anchors(window: int, anchor: int):
     def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            words = Words([text], SOLID)
-            own = _window_anchors(words, words.hashes(), window, anchor)
-            # runs of windows share an anchor: drop these before sorting
-            out.append(np.unique(own[np.append(True, own[1:] != own[:-1])] if len(own) else own).view(np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
+        rows, _, anchors = _window_anchors(Words(texts.to_pylist(), SOLID), window, anchor)
+        return _lists(rows, anchors, len(texts))
 
-    return F.arrow_udf(run, _LONGS)
+    return F.arrow_udf(_by_parts(run, pa.list_(pa.int64())), _LONGS)
 
 
 def _candidates(window: int, anchor: int):
     def run(texts: pa.Array, recurring: pa.Array) -> pa.Array:
-        out = []
-        for text, known in zip(texts.to_pylist(), recurring, strict=True):
-            words = Words([text], SOLID)
-            hashes = words.hashes()
-            own = _window_anchors(words, hashes, window, anchor)
-            marked = np.isin(own, known.values.to_numpy(zero_copy_only=False).view(np.uint64))
-            out.append(np.unique(words.grams(window, hashes=hashes)[0][marked]).view(np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
+        rows, windows, anchors = _window_anchors(Words(texts.to_pylist(), SOLID), window, anchor)
+        # an anchor recurs or not whatever the text
+        marked = np.isin(anchors, recurring.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+        return _lists(rows[marked], windows[marked], len(texts))
 
-    return F.arrow_udf(run, _LONGS)
+    return F.arrow_udf(_by_parts(run, pa.list_(pa.int64())), _LONGS)
 
 
-_STRETCH = [("source", pa.int64()), ("level", pa.int32()), ("start", pa.int64()), ("words", pa.string())]
+_STRETCH = pa.list_(pa.struct([("source", pa.int64()), ("level", pa.int32()), ("start", pa.int64()), ("words", pa.string())]))
 _STRETCHES = T.ArrayType(T.StructType([T.StructField("source", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("words", T.StringType())]))
 
 
@@ -91,29 +121,29 @@ def _stretches(window: int):
     """Runs of recurring windows of each text that stand first in the same document."""
 
     def run(texts: pa.Array, recurring: pa.Array) -> pa.Array:
-        out = []
-        for text, known in zip(texts.to_pylist(), recurring, strict=True):
-            words = Words([text], SOLID)
-            fields = [known.values.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            order = np.argsort(fields[0])
-            hashes, source, level = (f[order] for f in fields)
-            grams = words.grams(window)[0].view(np.int64)
-            at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
-            marked = np.flatnonzero(hashes[at] == grams)
-            source, level = source[at[marked]], level[at[marked]]
-            new = np.ones(len(marked), dtype=bool)
-            new[1:] = (np.diff(marked) > 1) | (source[1:] != source[:-1]) | (level[1:] != level[:-1])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(marked)) - 1
-            listed = words.list()
-            rows = []
-            for i, j in zip(first.tolist(), last.tolist(), strict=True):
-                start, end = int(marked[i]), int(marked[j]) + window
-                rows.append({"source": int(source[i]), "level": int(level[i]), "start": start, "words": b" ".join(listed[start:end]).decode("utf-8", "surrogatepass")})
-            out.append(rows)
-        return pa.array(out, pa.list_(pa.struct(_STRETCH)))
-
-    return F.arrow_udf(run, _STRETCHES)
+        words = Words(texts.to_pylist(), SOLID)
+        # where a window stands first does not depend on the text
+        hashes, source, level = (field.to_numpy(zero_copy_only=False) for field in recurring.flatten().flatten())
+        hashes, one = np.unique(hashes, return_index=True)
+        source, level = source[one], level[one]
+        grams, at = words.grams(window)
+        grams = grams.view(np.int64)
+        found = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+        marked = np.flatnonzero(hashes[found] == grams)
+        source, level, at = source[found[marked]], level[found[marked]], at[marked]
+        rows = words.rows[at]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (np.diff(at) > 1) | (rows[1:] != rows[:-1]) | (source[1:] != source[:-1]) | (level[1:] != level[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        out: list[list[dict]] = [[] for _ in range(len(texts))]
+        for i, j in zip(first.tolist(), last.tolist(), strict=True):
+            start, end, row = int(at[i]), int(at[j]) + window, int(rows[i])
+            listed = words.list(start, end)
+            out[row].append({"source": int(source[i]), "level": int(level[i]), "start": start - int(words.first[row]), "words": b" ".join(listed).decode("utf-8", "surrogatepass")})
+        return pa.array(out, _STRETCH)
+
+    return F.arrow_udf(_by_parts(run, _STRETCH), _STRETCHES)
 
 
 def _letter(number: int) -> str:
@@ -170,9 +200,8 @@ def _located(window: int):
     """Rows come by shard, passages first; one shard's passages are in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = chain.from_iterable(zip(*[c.to_pylist() for c in part.columns], strict=True) for batch in batches for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)))
         found: list[tuple[int, int, int, int]] = []
-        for _, members in groupby(rows, key=lambda r: r[:3]):
+        for _, members in by_key(batches, 3):
             passages, shard = [], None
             for _, _, _, of_source, key, text_key, first, words in members:
                 if of_source:
@@ -192,33 +221,47 @@ def _located(window: int):
 _CUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
 
-@F.arrow_udf(_CUT)
-def _cut(texts: pa.Array, keys: pa.Array, ranges: pa.Array) -> pa.Array:
-    rows = []
-    for text, key, known in zip(texts.to_pylist(), keys.to_pylist(), ranges.to_pylist(), strict=True):
-        listed = Words([text], SOLID).list()
-        gone = np.zeros(len(listed) + 1, dtype=np.int64)
-        for r in known or ():
-            if r["text_key"] == key:
-                gone[r["start"]] += 1
-                gone[r["end"]] -= 1
-        covered = np.cumsum(gone[:-1]) > 0
-        kept = [w for w, c in zip(listed, covered.tolist(), strict=True) if not c] if covered.any() else listed
-        rows.append({"n_words": len(listed), "n_removed": len(listed) - len(kept), "kept": b" ".join(kept).decode("utf-8", "replace")})
-    return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
+def _cut(window: int):
+    def run(texts: pa.Array, keys: pa.Array, ranges: pa.Array, copied: pa.Array) -> pa.Array:
+        rows = []
+        for text, key, known, whole in zip(texts.to_pylist(), keys.to_pylist(), ranges.to_pylist(), copied.to_pylist(), strict=True):
+            listed = (text or "").encode("utf-8", "surrogatepass").split()  # bytes: ASCII white space only
+            if key in (whole or ()):
+                kept = [] if len(listed) >= window else listed
+            else:
+                gone = np.zeros(len(listed) + 1, dtype=np.int64)
+                for r in known or ():
+                    if r["text_key"] == key:
+                        gone[r["start"]] += 1
+                        gone[r["end"]] -= 1
+                covered = np.cumsum(gone[:-1]) > 0
+                kept = [w for w, c in zip(listed, covered.tolist(), strict=True) if not c] if covered.any() else listed
+            rows.append({"n_words": len(listed), "n_removed": len(listed) - len(kept), "kept": b" ".join(kept).decode("utf-8", "replace")})
+        return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
+
+    return F.arrow_udf(run, _CUT)
+
+
+def _copied(docs: DataFrame) -> DataFrame:
+    """``(id, copied)``: keys of the texts that a document with a smaller id holds whole."""
+    keyed = docs.where("id is not null and text is not null").select("id", "text_key", F.md5(F.encode("text", "UTF-8")).alias("whole"))
+    firsts = keyed.groupBy("whole").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("whole", "first")
+    return join_spread(keyed, firsts, ["whole"], how="inner").where("id > first").groupBy("id").agg(F.collect_set("text_key").alias("copied"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``(id, n_words, n_removed, kept)`` for each row: its words, those removed, and the text that stays.
 
-    One job: the three joins with the texts use the same exchange by id.
+    One job: the joins with the texts use the same exchange by id.
     """
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    copied = _copied(docs)
+    fresh = docs.join(copied, "id", "left").where(F.col("copied").isNull() | ~F.array_contains("copied", F.col("text_key"))).select("id", "text_key", "text")
 
-    anchors = docs.where("id is not null").select("id", F.explode(_anchors(window, anchor)("text")).alias("anchor"))
+    anchors = fresh.where("id is not null").select("id", F.explode(_anchors(window, anchor)("text")).alias("anchor"))
     recurring = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     marked = anchors.join(recurring, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
-    candidates = docs.join(marked, "id").select("id", F.explode(_candidates(window, anchor)("text", "anchors")).alias("window"))
+    candidates = fresh.join(marked, "id").select("id", F.explode(_candidates(window, anchor)("text", "anchors")).alias("window"))
 
     # windows that start in two documents; their level tells over how many tasks (2 to its power) their documents are dealt
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / SHARD_DOCUMENTS))).cast("int")
@@ -226,7 +269,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = candidates.join(confirmed.select("window", "source", level.alias("level")), "window")
     of_doc = held.groupBy("id").agg(F.collect_list(F.struct("window", "source", "level")).alias("windows"))
 
-    stretches = docs.join(of_doc, "id").select("id", "text_key", F.explode(_stretches(window)("text", "windows")).alias("s")).select("id", "text_key", "s.*")
+    stretches = fresh.join(of_doc, "id").select("id", "text_key", F.explode(_stretches(window)("text", "windows")).alias("s")).select("id", "text_key", "s.*")
     of_source, ways = F.col("id") == F.col("source"), F.pow(F.lit(2), F.col("level")).cast("int")
     tasks = F.when(of_source, F.sequence(F.lit(0), ways - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), ways).cast("int")))
     dealt = stretches.select("source", "level", F.explode(tasks).alias("task"), of_source.alias("of_source"), "id", "text_key", "start", "words")
@@ -234,5 +277,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     located = shards.mapInArrow(_located(window), "id long, text_key long, start long, end long")
 
     ranges = located.groupBy("id").agg(F.collect_list(F.struct("text_key", "start", "end")).alias("ranges"))
-    cut = docs.join(ranges, "id", "left").select("id", _cut("text", "text_key", "ranges").alias("c"))
+    cut = docs.join(copied, "id", "left").join(ranges, "id", "left").select("id", _cut(window)("text", "text_key", "ranges", "copied").alias("c"))
     return cut.select(F.col("id").alias(id_col), "c.n_words", "c.n_removed", "c.kept")

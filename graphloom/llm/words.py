@@ -95,9 +95,9 @@ class Words:
         """Bytes from word first up to and including word last."""
         return self.data[self.starts[first] : self.ends[last]]
 
-    def list(self) -> list[bytes]:
+    def list(self, first: int = 0, end: int | None = None) -> list[bytes]:
         data = self.data
-        return [data[s:e] for s, e in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
+        return [data[s:e] for s, e in zip(self.starts[first:end].tolist(), self.ends[first:end].tolist(), strict=True)]
 
 
 def parts(batch: pa.RecordBatch, text: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
