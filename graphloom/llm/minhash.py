@@ -12,10 +12,9 @@ and long texts cost little more than one point for each gram.
 Bands of registers give candidate buckets. Exact copies are one node beforehand. In each
 bucket every node is compared with the smallest one only (a star); verified links are
 contracted to components, and only nodes of one bucket that are then still in different
-components are compared with each other. So a group of n near copies costs about n
-comparisons, not n squared, and no link that would join two components is left out. A
-1-bit sketch of the registers and the multisets' sizes rule out most other pairs before
-their texts are read. Links count if the exact weighted Jaccard similarity is at least
+components are compared with each other, block against block inside tasks, so that pairs
+are never rows. No link that would join two components is left out. A 1-bit sketch of the
+registers and the multisets' sizes rule out most pairs before their texts are read. Links count if the exact weighted Jaccard similarity is at least
 0.8.
 
 Defined results: words are runs of a-z, 0-9 and non-ASCII characters after lower-casing
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.frames import cut_lineage
+from graphloom.llm.frames import by_key, cut_lineage, join_spread
 from graphloom.llm.graph import components
 from graphloom.llm.words import LETTERS, Words, mix, parts
 
@@ -47,6 +46,9 @@ REGISTERS = BANDS * BAND_ROWS
 #: Least share of equal bits of two 1-bit sketches: 5 standard deviations below that of similarity 0.8.
 SKETCH_SHARE = 0.8
 
+#: Documents and 5-grams of one side of a cell, about: what one comparison holds in memory.
+BLOCK_ROWS, BLOCK_GRAMS = 256, 300_000
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -172,11 +174,93 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     return both.where(_similarity("text_a", "text_b") >= similar - 1e-12).select("a", "b")
 
 
+def _cell_rows(apart: DataFrame, similar: float) -> DataFrame:
+    """Members of each bucket's cells for which sizes and sketches allow a link.
+
+    A bucket's documents are cut into blocks, and those outside its main component as
+    well; a cell is one block of the latter against one of the former. So a bucket of n
+    documents makes n rows for each of its blocks, never a row for each pair.
+    """
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["is_main", "id", "component", "weight", "bits"]
+    left = apart.where("NOT is_main").select("band", block("of_others").alias("i"), every("of_all").alias("j"), F.lit(True).alias("left"), *kept)
+    right = apart.select("band", every("of_others").alias("i"), block("of_all").alias("j"), F.lit(False).alias("left"), *kept)
+    cells = left.unionByName(right).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def run(batches):
+        out: list[tuple] = []
+        for _, members in by_key(batches, 3):
+            rows = list(members)
+            sides = [[r for r in rows if r[3] == side] for side in (True, False)]
+            if not all(sides):
+                continue
+            (main_l, id_l, of_l, w_l, bits_l), (main_r, id_r, of_r, w_r, bits_r) = ([np.array([r[k] for r in side]) for k in range(4, 9)] for side in sides)
+            may = (of_l[:, None] != of_r[None, :]) & (main_r[None, :] | (id_l[:, None] < id_r[None, :]))
+            may &= np.minimum(w_l[:, None], w_r[None, :]) >= similar * np.maximum(w_l[:, None], w_r[None, :])
+            may &= np.bitwise_count(bits_l[:, None, :] ^ bits_r[None, :, :]).sum(axis=2) <= (1 - SKETCH_SHARE) * REGISTERS
+            out += [sides[0][k][:7] for k in np.flatnonzero(may.any(axis=1))] + [sides[1][k][:7] for k in np.flatnonzero(may.any(axis=0))]
+            if len(out) >= 4096:
+                yield _cell_batch(out)
+                out = []
+        if out:
+            yield _cell_batch(out)
+
+    return cells.mapInArrow(run, "band long, i int, j int, left boolean, is_main boolean, id long, component long")
+
+
+def _cell_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["band", "i", "j", "left", "is_main", "id", "component"])
+
+
+def _joined(members: list[tuple], similar: float) -> list[tuple[int, int]]:
+    """Links of one cell that join components, by exact similarity."""
+    rows, grams, weights = multisets(Words([m[7] for m in members], LETTERS))
+    known, numbers = np.unique(grams, return_inverse=True)
+    total = np.bincount(rows, weights, minlength=len(members))
+    root = {m[6]: m[6] for m in members}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links, dense = [], np.zeros(len(known))
+    first = np.searchsorted(rows, np.arange(len(members) + 1))
+    for k in [k for k, m in enumerate(members) if m[3]]:
+        own = slice(first[k], first[k + 1])
+        dense[numbers[own]] = weights[own]
+        common = np.bincount(rows, np.minimum(weights, dense[numbers]), minlength=len(members))
+        dense[numbers[own]] = 0
+        near = np.flatnonzero(common >= (similar - 1e-12) * (total + total[k] - common))
+        for other in near.tolist():
+            m = members[other]
+            if not m[3] and (m[4] or members[k][5] < m[5]) and (a := find(members[k][6])) != (b := find(m[6])):
+                root[a] = b
+                links.append((members[k][5], m[5]))
+    return links
+
+
+def _cell_links(cells: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """``(a, b)``: verified links between components, a spanning set for each cell."""
+    read = cut_lineage(cells).join(texts, "id").select("band", "i", "j", "left", "is_main", "id", "component", "text")
+
+    def run(batches):
+        for _, members in by_key(batches, 3):
+            links = _joined(list(members), similar)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["a", "b"])
+
+    return read.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILARITY) -> DataFrame:
     """``(id, component, kept)`` for each row with an id; the component is its smallest id."""
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut_lineage(sign(docs))
-    copies = signed.where("weight > 0").groupBy("text_key").agg(F.min("id").alias("id"))
+    copies = signed.where("weight > 0").groupBy("text_key").agg(F.min("id").alias("id"), F.max("id").alias("last"))
     members = signed.where("weight > 0").join(copies, ["text_key", "id"], "left_semi").dropDuplicates(["id"])
     rows = members.select("id", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").select("band", "center")
@@ -193,20 +277,17 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
 
     # what still stands apart within a bucket: all but the commonest component of the bucket against the bucket
     labelled = shared.select("band", "id").join(near, "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parted = labelled.groupBy("band", "component").agg(F.count("*").alias("n"))
-    most = parted.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("most.component").alias("main"))
-    apart = cut_lineage(labelled.join(most, "band"))
-    others = apart.where("component <> main").alias("x")
-    joined = others.join(
-        apart.alias("y"),
-        (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & _may_be_similar("x", "y", similar),
-    )
-    rest = joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    second = _verified(rest, texts, similar)
+    parted = labelled.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    most = parted.groupBy("band").agg(F.max(F.struct("n", "component", "w")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("parts > 1")
+    n_blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK_ROWS, w / BLOCK_GRAMS)).cast("int")
+    blocks = most.select("band", F.col("most.component").alias("main"), n_blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("of_others"), n_blocks(F.col("n"), F.col("w")).alias("of_all"))
+    apart = cut_lineage(labelled.join(blocks, "band").withColumn("is_main", F.col("component") == F.col("main")))
+    second = _cell_links(_cell_rows(apart, similar), texts, similar)
     merged = components(first.unionByName(second))
 
-    of_text = signed.select("id", "text_key", "weight").join(copies.select("text_key", F.col("id").alias("first")), "text_key", "left")
-    of_text = of_text.withColumn("first", F.when(F.col("weight") > 0, F.col("first")).otherwise(F.col("id")))
+    repeated = copies.where("id < last").select("text_key", F.col("id").alias("first"))
+    of_text = join_spread(signed.select("id", "text_key", "weight"), repeated, ["text_key"])
+    of_text = of_text.withColumn("first", F.when(F.col("weight") > 0, F.coalesce("first", "id")).otherwise(F.col("id")))
     found = of_text.join(merged.select(F.col("id").alias("first"), "component"), "first", "left")
     return found.select(F.col("id").alias(id_col), F.coalesce("component", "first").alias("component")).withColumn("kept", F.col(id_col) == F.col("component"))
 
