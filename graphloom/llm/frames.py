@@ -58,10 +58,19 @@ def join_spread(left: DataFrame, right: DataFrame, on: list[str], ways: int = 16
     return left.withColumn("_part", part).join(copies, [*on, "_part"], how).drop("_part")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_rows(df: DataFrame, rejected: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of ``df`` but those named in ``rejected(id, text_key)`` by id and hash of the text; nulls equal nulls."""
-    gone = rejected.toDF("_gone_id", "_gone_key").distinct()
-    return df.join(gone, df[id_col].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(df[text_col]) == F.col("_gone_key")), "left_anti")
+    key, text_key = free_name(df, "_gone_id"), free_name(df, "_gone_key")
+    gone = rejected.toDF(key, text_key).distinct()
+    return df.join(gone, df[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(df[text_col]) == F.col(text_key)), "left_anti")
 
 
 def write_shared(df: DataFrame) -> DataFrame:

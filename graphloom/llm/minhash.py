@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.frames import by_key, cut_lineage, join_spread
+from graphloom.llm.frames import by_key, cut_lineage, free_name, join_spread
 from graphloom.llm.graph import components
 from graphloom.llm.words import LETTERS, Words, mix, parts
 
@@ -294,5 +294,6 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
 
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILARITY) -> DataFrame:
     """One document of each class, the one with the smallest id, with all columns."""
-    gone = classes(df, id_col, text_col, similar).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
+    name = free_name(df, "_gone")
+    gone = classes(df, id_col, text_col, similar).where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct()
+    return df.join(gone, df[id_col] == F.col(name), "left_anti")
