@@ -1,0 +1,42 @@
+"""Monitoring of a query log: totals, paging, latest states, recency windows and averages over time."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def totals(log: DataFrame, failed: Column, ms: str) -> DataFrame:
+    """One row: all, successful and failed queries, and their mean duration."""
+    return log.agg(F.count("*").alias("total"), F.count_if(~failed).alias("successful"), F.count_if(failed).alias("failed"), F.round(F.avg(ms), 6).alias("avg_ms"))
+
+
+def slowest(log: DataFrame, ms: str, key: str, least: float, limit: int) -> DataFrame:
+    return log.where(F.col(ms) >= least).orderBy(F.desc(ms), key).limit(limit)
+
+
+def latest(log: DataFrame, by: str, value: str, *order: str) -> DataFrame:
+    """The last value of each group; aggregated before the shuffle."""
+    return log.groupBy(by).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def last_of_each(log: DataFrame, by: str, time: str, key: str, n: int, hours: int) -> DataFrame:
+    """The last n rows of each group within some hours of the group's last one."""
+    same = Window.partitionBy(by)
+    recent = log.withColumn("_last", F.max(time).over(same)).where(F.col(time) > F.col("_last") - F.make_interval(hours=F.lit(hours)))
+    return recent.withColumn("rank", F.row_number().over(same.orderBy(F.desc(time), F.desc(key)))).where(F.col("rank") <= n).drop("_last")
+
+
+def moving_average(log: DataFrame, by: str, value: str, time: str, key: str, alpha: float = 0.3) -> DataFrame:
+    """Exponential moving average of each group in closed form: a weight for each row's rank from the end, then a sum."""
+    ranked = log.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(time), F.desc(key))))
+    aged = F.pow(F.lit(1 - alpha), F.col("_r") - 1)
+    oldest = F.max_by(value, F.col("_r")) * F.pow(F.lit(1 - alpha), F.max("_r") - 1)
+    # the oldest row starts the average, so its share is not scaled by alpha
+    rest = F.sum(alpha * aged * F.col(value)) - alpha * oldest
+    return ranked.groupBy(by).agg((rest + oldest).alias("ema"))
+
+
+def over_rate(log: DataFrame, by: str, time: str, width: str, most: int) -> DataFrame:
+    """Tumbling windows in which a client sent more than it may."""
+    return log.groupBy(by, F.window(time, width).alias("w")).agg(F.count("*").alias("n")).where(F.col("n") > most).select(by, F.col("w.start").alias("start"), "n")

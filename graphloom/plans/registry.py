@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from graphloom.plans import graph_queries, network_queries  # noqa: E402, F401
+from graphloom.plans import graph_queries, log_queries, network_queries, stream_queries  # noqa: E402, F401
