@@ -17,6 +17,8 @@ for each word, so the work goes in three steps:
    automaton of their shard, which locates every occurrence word for word. A shard that
    many documents hold is dealt over several tasks, each with its own copy of the passages.
 
+Texts are exchanged once, by id and compressed; each step joins its findings to that one exchange.
+
 Whole copies are told by a 128-bit digest; elsewhere hashes only choose what is searched,
 and what is removed was matched word for word.
 
@@ -33,6 +35,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,9 +49,25 @@ ANCHOR = 6
 SHARD_WINDOWS = 50_000
 #: Documents that one task streams past a shard, about.
 SHARD_DOCUMENTS = 256
+#: Bytes of packed texts that are looked at together, about a megabyte of text.
+PACKED_BYTES = 1 << 18
 _LONGS = T.ArrayType(T.LongType())
 
 
+def _pack():
+    def run(texts: pa.Array) -> pa.Array:
+        press = zstandard.ZstdCompressor(level=3).compress
+        return pa.array([None if t is None else press(t) for t in (x.as_py() for x in texts.cast(pa.binary()))], pa.binary())
+
+    return F.arrow_udf(run, T.BinaryType())
+
+
+def _unpacked(packed: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of each text, null being empty."""
+    spread = zstandard.ZstdDecompressor().decompress
+    return (b"" if not p.is_valid else spread(p.as_py()) for p in packed)
+
+
 def _sliding_min(values: np.ndarray, span: int) -> np.ndarray:
     """Minimum of each ``span`` neighbours, by doubling."""
     lowest, width = values, 1
@@ -86,18 +105,18 @@ def _lists(rows: np.ndarray, values: np.ndarray, n_rows: int) -> pa.Array:
 
 
 def _by_parts(run, kind: pa.DataType):
-    """A function of columns, the first being texts, that is applied to about a megabyte of text at a time."""
+    """A function of columns, the first being packed texts, that is applied to about a megabyte of text at a time."""
 
     def whole(*columns: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays(list(columns), names=[str(k) for k in range(len(columns))])
-        return pa.concat_arrays([pa.array([], kind), *(run(*part.columns) for part in parts(batch, 0))])
+        return pa.concat_arrays([pa.array([], kind), *(run(*part.columns) for part in parts(batch, 0, PACKED_BYTES))])
 
     return whole
 
 
 def _anchors(window: int, anchor: int):
     def run(texts: pa.Array) -> pa.Array:
-        rows, _, anchors = _window_anchors(Words(texts.to_pylist(), SOLID), window, anchor)
+        rows, _, anchors = _window_anchors(Words(list(_unpacked(texts)), SOLID), window, anchor)
         return _lists(rows, anchors, len(texts))
 
     return F.arrow_udf(_by_parts(run, pa.list_(pa.int64())), _LONGS)
@@ -105,7 +124,7 @@ def _anchors(window: int, anchor: int):
 
 def _candidates(window: int, anchor: int):
     def run(texts: pa.Array, recurring: pa.Array) -> pa.Array:
-        rows, windows, anchors = _window_anchors(Words(texts.to_pylist(), SOLID), window, anchor)
+        rows, windows, anchors = _window_anchors(Words(list(_unpacked(texts)), SOLID), window, anchor)
         # an anchor recurs or not whatever the text
         marked = np.isin(anchors, recurring.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
         return _lists(rows[marked], windows[marked], len(texts))
@@ -120,10 +139,10 @@ _STRETCHES = T.ArrayType(T.StructType([T.StructField("source", T.LongType()), T.
 def _stretches(window: int):
     """Runs of recurring windows of each text that stand first in the same document."""
 
-    def run(texts: pa.Array, recurring: pa.Array) -> pa.Array:
-        words = Words(texts.to_pylist(), SOLID)
+    def run(texts: pa.Array, *recurring: pa.Array) -> pa.Array:
+        words = Words(list(_unpacked(texts)), SOLID)
         # where a window stands first does not depend on the text
-        hashes, source, level = (field.to_numpy(zero_copy_only=False) for field in recurring.flatten().flatten())
+        hashes, source, level = (lists.flatten().to_numpy(zero_copy_only=False) for lists in recurring)
         hashes, one = np.unique(hashes, return_index=True)
         source, level = source[one], level[one]
         grams, at = words.grams(window)
@@ -224,8 +243,8 @@ _CUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_re
 def _cut(window: int):
     def run(texts: pa.Array, keys: pa.Array, ranges: pa.Array, copied: pa.Array) -> pa.Array:
         rows = []
-        for text, key, known, whole in zip(texts.to_pylist(), keys.to_pylist(), ranges.to_pylist(), copied.to_pylist(), strict=True):
-            listed = (text or "").encode("utf-8", "surrogatepass").split()  # bytes: ASCII white space only
+        for text, key, known, whole in zip(_unpacked(texts), keys.to_pylist(), ranges.to_pylist(), copied.to_pylist(), strict=True):
+            listed = text.split()  # bytes: ASCII white space only
             if key in (whole or ()):
                 kept = [] if len(listed) >= window else listed
             else:
@@ -244,7 +263,7 @@ def _cut(window: int):
 
 def _copied(docs: DataFrame) -> DataFrame:
     """``(id, copied)``: keys of the texts that a document with a smaller id holds whole."""
-    keyed = docs.where("id is not null and text is not null").select("id", "text_key", F.md5(F.encode("text", "UTF-8")).alias("whole"))
+    keyed = docs.where("text is not null").select("id", "text_key", F.md5(F.encode("text", "UTF-8")).alias("whole"))
     firsts = keyed.groupBy("whole").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("whole", "first")
     return join_spread(keyed, firsts, ["whole"], how="inner").where("id > first").groupBy("id").agg(F.collect_set("text_key").alias("copied"))
 
@@ -254,22 +273,26 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     One job: the joins with the texts use the same exchange by id.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    copied = _copied(docs)
-    fresh = docs.join(copied, "id", "left").where(F.col("copied").isNull() | ~F.array_contains("copied", F.col("text_key"))).select("id", "text_key", "text")
-
-    anchors = fresh.where("id is not null").select("id", F.explode(_anchors(window, anchor)("text")).alias("anchor"))
-    recurring = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    copied = _copied(rows.where("id is not null"))
+    packed = rows.select("id", "text_key", _pack()("text").alias("packed"))
+    docs = packed.where("id is not null").join(copied, "id", "left")
+    fresh = docs.where(F.col("copied").isNull() | ~F.array_contains("copied", F.col("text_key"))).select("id", "text_key", "packed")
+
+    # texts that share an id are counted too: they only add candidates
+    anchors = fresh.select("id", F.explode(_anchors(window, anchor)("packed")).alias("anchor"))
+    recurring = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     marked = anchors.join(recurring, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
-    candidates = fresh.join(marked, "id").select("id", F.explode(_candidates(window, anchor)("text", "anchors")).alias("window"))
+    candidates = fresh.join(marked, "id").select("id", F.explode(_candidates(window, anchor)("packed", "anchors")).alias("window"))
 
-    # windows that start in two documents; their level tells over how many tasks (2 to its power) their documents are dealt
+    # windows that start in two texts; their level tells over how many tasks (2 to its power) their documents are dealt
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / SHARD_DOCUMENTS))).cast("int")
-    confirmed = candidates.groupBy("window").agg(F.min("id").alias("source"), F.max("id").alias("last"), F.count("*").alias("n")).where("source < last")
+    confirmed = candidates.groupBy("window").agg(F.min("id").alias("source"), F.count("*").alias("n")).where("n > 1")
     held = candidates.join(confirmed.select("window", "source", level.alias("level")), "window")
-    of_doc = held.groupBy("id").agg(F.collect_list(F.struct("window", "source", "level")).alias("windows"))
+    # lists of one aggregate are in one order; apart they are half as long as a list of structs
+    of_doc = held.groupBy("id").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("window", "source", "level")])
 
-    stretches = fresh.join(of_doc, "id").select("id", "text_key", F.explode(_stretches(window)("text", "windows")).alias("s")).select("id", "text_key", "s.*")
+    stretches = fresh.join(of_doc, "id").select("id", "text_key", F.explode(_stretches(window)("packed", "windows", "sources", "levels")).alias("s")).select("id", "text_key", "s.*")
     of_source, ways = F.col("id") == F.col("source"), F.pow(F.lit(2), F.col("level")).cast("int")
     tasks = F.when(of_source, F.sequence(F.lit(0), ways - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), ways).cast("int")))
     dealt = stretches.select("source", "level", F.explode(tasks).alias("task"), of_source.alias("of_source"), "id", "text_key", "start", "words")
@@ -277,5 +300,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     located = shards.mapInArrow(_located(window), "id long, text_key long, start long, end long")
 
     ranges = located.groupBy("id").agg(F.collect_list(F.struct("text_key", "start", "end")).alias("ranges"))
-    cut = docs.join(copied, "id", "left").join(ranges, "id", "left").select("id", _cut(window)("text", "text_key", "ranges", "copied").alias("c"))
+    joined = docs.join(ranges, "id", "left")
+    # a null id joins with nothing; apart from the rest, it doesn't keep the exchange from being used again
+    nameless = packed.where("id is null").select("*", *[F.lit(None).cast(joined.schema[c].dataType).alias(c) for c in ("copied", "ranges")])
+    cut = joined.unionByName(nameless).select("id", _cut(window)("packed", "text_key", "ranges", "copied").alias("c"))
     return cut.select(F.col("id").alias(id_col), "c.n_words", "c.n_removed", "c.kept")

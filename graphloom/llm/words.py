@@ -42,10 +42,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Words:
-    """Words of a list of texts (null: empty), in order, with the row each belongs to."""
+    """Words of a list of texts or their UTF-8 bytes (null: empty), in order, with the row each belongs to."""
 
-    def __init__(self, texts: list[str | None], kind: str):
-        encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str | bytes | None], kind: str):
+        encoded = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
         if kind == LETTERS:
             encoded = [t.lower() for t in encoded]  # bytes: A-Z only
         # a white space byte ends every text, so that no word spans two of them
