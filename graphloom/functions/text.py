@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ast
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A cell whose trimmed text starts with one of these could run as a formula in a spreadsheet.
 FORMULA_START = r"^[=+@|%-]"
@@ -43,3 +47,20 @@ def split_list(cell: Column) -> Column:
     items = F.coalesce(F.from_json(text, "array<string>"), F.split(text, ","))
     kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     return F.when((text == "") | (F.upper(text) == "NULL"), F.array().cast("array<string>")).otherwise(kept)
+
+
+def _literal(cell: str | None) -> list[str]:
+    text = (cell or "").strip()
+    if not text:
+        return []
+    try:
+        value = ast.literal_eval(text)
+    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        return [text]
+    return [str(v) for v in (value if isinstance(value, list) else [value]) if v is not None]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def literal_list(cells: pd.Series) -> pd.Series:
+    """A cell in Python's notation: a list without its None items, another value alone, and text as it is."""
+    return cells.map(_literal)

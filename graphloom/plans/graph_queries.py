@@ -288,3 +288,48 @@ def cross_type_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = left.join(right, ["i", "j"]).select("src", "dst", normalized_score(cosine(F.col("a"), F.col("b"))).alias("score"))
     best = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
     return scored.withColumn("rn", F.row_number().over(best)).where("rn <= 3").select("src", "dst", F.round("score", 6).alias("score"))
+
+
+_NODES = """node AS (SELECT 'Job' AS node_type, job_id::VARCHAR AS id FROM hit UNION SELECT 'Skill', skill_id::VARCHAR FROM hit UNION SELECT 'Company', company_id::VARCHAR FROM hit
+  UNION SELECT 'Location', location_id::VARCHAR FROM hit UNION SELECT 'Category', category FROM hit)"""
+_SOURCES = f"""{_NODES}, source AS (SELECT node_type, id, min(place) AS place FROM (SELECT 'Skill' AS node_type, skill_id::VARCHAR AS id, 1 AS place FROM seed_skill UNION ALL SELECT node_type, id, 2 FROM node) GROUP BY ALL)"""
+
+
+@query(
+    f"""{SQL}, {_SHAPED}, {_NODES} SELECT 'node' AS part, node_type AS kind, count(*) AS n FROM node GROUP BY node_type
+UNION ALL (SELECT 'rel', rel_type, count(*) AS n FROM rel GROUP BY rel_type ORDER BY n DESC, rel_type LIMIT 5)"""
+)
+def context_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header of a context: nodes of each type, and the five most frequent types of relationship."""
+    nodes = graph_shape_nodes(spark, sf_dir).groupBy(F.col("node_type").alias("kind")).agg(F.count("*").alias("n"))
+    rels = rel_type_histogram(spark, sf_dir).withColumnRenamed("rel_type", "kind")
+    return nodes.select(F.lit("node").alias("part"), "kind", "n").unionByName(rels.withColumn("part", F.lit("rel")))
+
+
+@query(f"{SQL}, {_SHAPED} SELECT rel_type, count(*) AS n FROM (SELECT * FROM rel ORDER BY rel_type, src, dst LIMIT 50) GROUP BY rel_type")
+def context_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of the first 50 relationships that a context shows."""
+    return _relationships(Graph(spark, sf_dir)).orderBy("rel_type", "src", "dst").limit(50).groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _seed_skills(Graph(spark, sf_dir)).select(F.lit("Skill").alias("node_type"), F.col("skill_id").cast("string").alias("id"), F.lit("vector").alias("origin"))
+    nodes = graph_shape_nodes(spark, sf_dir).select("node_type", F.col("id").cast("string").alias("id"), F.lit("graph").alias("origin"))
+    return found.unionByName(nodes).groupBy("node_type", "id").agg(F.max("origin").alias("origin"))
+
+
+@query(f"{SQL}, {_SHAPED}, {_SOURCES} SELECT node_type, id, CASE place WHEN 1 THEN 'vector' ELSE 'graph' END AS origin FROM source")
+def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that an answer rests on, each once; what the vector search found comes before the graph's."""
+    return _sources(spark, sf_dir)
+
+
+@query(
+    f"""{SQL}, {_SHAPED}, {_SOURCES}, n AS (SELECT count(*) FILTER (node_type = 'Job') AS j, count(*) FILTER (node_type = 'Skill') AS s, count(*) FILTER (node_type = 'Company') AS c FROM source)
+SELECT 'Based on ' || j || ' jobs, ' || s || ' skills, and ' || c || ' companies' AS summary FROM n"""
+)
+def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sentence with the number of sources of each type."""
+    count = lambda kind: F.count(F.when(F.col("node_type") == kind, 1)).cast("string")
+    text = F.concat(F.lit("Based on "), count("Job"), F.lit(" jobs, "), count("Skill"), F.lit(" skills, and "), count("Company"), F.lit(" companies"))
+    return _sources(spark, sf_dir).agg(text.alias("summary"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import sanitize_cell, split_list, token_count
+from graphloom.functions.text import literal_list, sanitize_cell, split_list, token_count
 from graphloom.operators import ingest, linkage, monitor
 from graphloom.plans.registry import query
 
@@ -188,3 +188,12 @@ def usage_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_intent_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     return _table(spark, sf_dir, "events").where(k.isNotNull()).groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_ms"))
+
+
+_CELL = "CASE p_partkey % 5 WHEN 0 THEN concat('[None, \"', p_name, '\", \"Java\"]') WHEN 1 THEN p_name WHEN 2 THEN concat('\"', p_name, '\"') WHEN 3 THEN '  ' ELSE NULL END"
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name || '|Java' WHEN 1 THEN trim(p_name) WHEN 2 THEN p_name ELSE '' END AS items FROM part")
+def literal_list_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills of a part from a cell in Python's notation."""
+    return _table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", literal_list(F.expr(_CELL))).alias("items"))

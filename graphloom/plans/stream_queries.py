@@ -24,3 +24,15 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = events.read_log(spark, sf_dir)
     return events.run_now(events.first_events(log.unionByName(log)).select("event_id")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH marked AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 8 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM marked)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 8 HOURS AS "end", count(*) AS n FROM numbered GROUP BY user_id, s
+HAVING max(ts) + INTERVAL 8 HOURS <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 HOUR"""
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user that have ended, eight hours without an event apart."""
+    found = events.run_now(events.sessions(events.read_log(spark, sf_dir), "8 hours"))
+    return found.select("user_id", F.col("start").cast("timestamp_ntz"), F.col("end").cast("timestamp_ntz"), "n")

@@ -35,6 +35,12 @@ def first_events(log: DataFrame, late: str = "1 day") -> DataFrame:
     return log.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def sessions(log: DataFrame, gap: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Sessions of each user, which end when nothing came for ``gap``; as a stream, those that the watermark has closed."""
+    counted = log.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return counted.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
 def run_now(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over what is there and read its result: the last state of each key, or all rows."""
     spark = stream.sparkSession
