@@ -2,10 +2,11 @@
 
 A page is cut into blocks at block-level tags. Pass one decides blocks: those inside
 menus, footers, side bars, notices, adverts, forms or reader comments (by tag, role or
-class name) are bad; those in the page's article are good; on pages without an article,
-stop-word density, length and link density decide, as in published block classifiers, and
-short or middling blocks stay ambiguous. Pass two gives each ambiguous block the label of
-its nearest decided neighbour.
+class name) are bad; for all others stop-word density, length and link density decide, as
+in published block classifiers, with lower thresholds inside an article, and short or
+middling blocks stay ambiguous. Pass two gives an ambiguous block outside the article the
+label of its nearest decided neighbour outside; one inside is good unless the decided
+blocks on both sides of it are lists of links.
 
 Defined results: a null or empty page has an empty text; nothing is dropped from a good
 block, whatever its length; tags that are never closed end with the element around them;
@@ -56,6 +57,8 @@ STOP_WORDS = frozenset(
 )
 
 LINK_DENSITY, LONG, STOP_LOW, STOP_HIGH = 0.4, 140, 0.15, 0.30
+#: Share of these that is asked for inside an article; link density may be higher by as much.
+INSIDE = 0.5
 
 
 @dataclass
@@ -66,6 +69,7 @@ class Block:
     inside: bool
     bad: bool
     good: bool | None = None
+    rule: str = ""
 
 
 def _names(attributes: str) -> set[str]:
@@ -144,34 +148,54 @@ def blocks(page: str | None) -> list[Block]:
     return found
 
 
-def classify(found: list[Block]) -> list[Block]:
-    """Label blocks in two passes."""
-    has_article = any(b.inside and not b.bad for b in found)
-    for b in found:
+def _one(found: list[Block]) -> None:
+    """Pass one: label what structure, links, stop words or length decide; the rest stays ambiguous."""
+    density = [b.linked / len(b.text) for b in found]
+    heavy = [not b.bad and d > (LINK_DENSITY / INSIDE if b.inside else LINK_DENSITY) for b, d in zip(found, density, strict=True)]
+    for i, b in enumerate(found):
         words = b.text.lower().split()
         stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-        density = b.linked / len(b.text)
-        if b.bad or has_article:
-            b.good = b.inside and not b.bad
-        elif density > LINK_DENSITY:
-            b.good = False
-        elif len(b.text) >= LONG and stop >= STOP_LOW:
-            b.good = True
-        elif stop >= STOP_HIGH and len(words) >= 8 and not b.linked:
-            b.good = True
-        elif len(b.text) >= LONG:
-            b.good = False
-    decided = [i for i, b in enumerate(found) if b.good is not None]
+        ease = INSIDE if b.inside else 1
+        # one linked block in an article can be its text, a run of them is a list of links
+        listed = any(heavy[k] and found[k].inside for k in (i - 1, i + 1) if 0 <= k < len(found))
+        if b.bad:
+            b.good, b.rule = False, "structure"
+        elif heavy[i]:
+            if listed or not b.inside:
+                b.good, b.rule = False, "links"
+        elif (len(b.text) >= LONG * ease and stop >= STOP_LOW * ease) or (stop >= STOP_HIGH * ease and len(words) >= 8 * ease and not b.linked):
+            b.good, b.rule = True, "stop words"
+        elif len(b.text) >= LONG and not b.inside:
+            b.good, b.rule = False, "length"
+
+
+def _two(region: list[Block], inside: bool, default: bool) -> None:
+    """Pass two: label what is ambiguous in a region by its decided neighbours there."""
+    decided = [i for i, b in enumerate(region) if b.good is not None]
+    labels = [region[k].good for k in decided]
     after = 0
-    for i, b in enumerate(found):
+    for i, b in enumerate(region):
         while after < len(decided) and decided[after] < i:
             after += 1
         if b.good is None:
-            near = [decided[j] for j in (after - 1, after) if 0 <= j < len(decided)]
+            near = [j for j in (after - 1, after) if 0 <= j < len(decided)]
+            b.rule = "neighbours" if near else "membership"
+            if inside:
+                # an article's start and end count as good
+                b.good = len(near) < 2 or any(labels[j] for j in near)
+                continue
             # the nearer neighbour decides; at equal distance a heading follows what comes after it
             heading = re.fullmatch(r"h[1-6]", b.tag) is not None
-            near.sort(key=lambda k: (abs(k - i), (k < i) if heading else (k > i)))
-            b.good = found[near[0]].good if near else True
+            near.sort(key=lambda j: (abs(decided[j] - i), (decided[j] < i) if heading else (decided[j] > i)))
+            b.good = labels[near[0]] if near else default
+
+
+def classify(found: list[Block]) -> list[Block]:
+    """Label blocks in two passes; ``rule`` names what decided each."""
+    _one(found)
+    article = [b for b in found if b.inside and not b.bad]
+    _two(article, True, True)
+    _two([b for b in found if b.bad or not b.inside], False, not article)
     return found
 
 
@@ -184,13 +208,13 @@ def _main_text(pages: pa.Array) -> pa.Array:
     return pa.array([main_text(p) for p in pages.to_pylist()], pa.string())
 
 
-_BLOCKS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("tag", T.StringType()), T.StructField("linked", T.IntegerType()), T.StructField("good", T.BooleanType())]))
+_BLOCKS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("tag", T.StringType()), T.StructField("linked", T.IntegerType()), T.StructField("good", T.BooleanType()), T.StructField("rule", T.StringType())]))
 
 
 @F.arrow_udf(_BLOCKS)
 def _labelled(pages: pa.Array) -> pa.Array:
-    rows = [[{"text": b.text, "tag": b.tag, "linked": b.linked, "good": b.good} for b in classify(blocks(p))] for p in pages.to_pylist()]
-    return pa.array(rows, pa.list_(pa.struct([("text", pa.string()), ("tag", pa.string()), ("linked", pa.int32()), ("good", pa.bool_())])))
+    rows = [[{"text": b.text, "tag": b.tag, "linked": b.linked, "good": b.good, "rule": b.rule} for b in classify(blocks(p))] for p in pages.to_pylist()]
+    return pa.array(rows, pa.list_(pa.struct([("text", pa.string()), ("tag", pa.string()), ("linked", pa.int32()), ("good", pa.bool_()), ("rule", pa.string())])))
 
 
 def extract(df: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
