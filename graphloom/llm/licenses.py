@@ -6,9 +6,11 @@ that in the template). Votes are counted for each diagonal, neighbouring diagona
 merged where words were added or left out, and a span counts when enough of the
 template's k-grams stand in it.
 
-The templates are the fixed list below, so the broadcast side of the join has a bounded
-size (a few hundred rows) whatever the input. The join and the explosion run in one
-stage: only hits are shuffled.
+The templates are fixed: openings, short notices and sections of license texts, each a row
+with a share of its own. So the broadcast side of the join has a bounded size (about
+11,000 positions) whatever the input. The join and the explosion run in one stage: only
+hits are shuffled. Of spans that cover the same words, the one that holds most k-grams
+counts: a notice of one license is not one of another that reads nearly alike.
 
 Defined results: a null or empty text has no words, no places and no labels; very long
 texts are scanned whole; rows that repeat an id are matched by id and text, so each keeps
@@ -18,6 +20,8 @@ its own result; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.license_texts import NOTICES, SECTIONS
 from graphloom.llm.words import LETTERS, Words
 
 #: Phrases that name a license outright, and their labels.
@@ -44,6 +49,8 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
+#: Label and text of every template.
+ROWS = (*TEMPLATES.items(), *NOTICES, *SECTIONS)
 #: Words of a k-gram.
 GRAM = 3
 #: Diagonals this far apart can belong to one span: words added or left out.
@@ -80,38 +87,65 @@ def _grams(texts: pa.Array) -> pa.Array:
     return pa.array([Words([t], LETTERS).grams(GRAM)[0].view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
 
-def template_positions(df: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """``(gram, label, place, size)``: each template's k-grams."""
+def template_positions(df: DataFrame, templates: Iterable[tuple[str, str]]) -> DataFrame:
+    """``(gram, row, label, place, size)``: each template's k-grams."""
     rows = []
-    for label, text in templates.items():
+    for row, (label, text) in enumerate(templates):
         grams = Words([text], LETTERS).grams(GRAM)[0].view(np.int64).tolist()
-        rows += [(gram, label, place, len(grams)) for place, gram in enumerate(grams)]
-    return df.sparkSession.createDataFrame(rows, "gram long, label string, place int, size int")
+        rows += [(gram, row, label, place, len(grams)) for place, gram in enumerate(grams)]
+    return df.sparkSession.createDataFrame(rows, "gram long, row int, label string, place int, size int")
 
 
-def spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """``(id, text_key, label, first_word, last_word, share)`` of each verified span; docs has id, text_key and text."""
+def spans(docs: DataFrame, templates: Iterable[tuple[str, str]] = ROWS) -> DataFrame:
+    """``(id, text_key, label, first_word, last_word, share, held)`` of each verified span; docs has id, text_key and text."""
     hits = (
         docs.select("id", "text_key", F.posexplode(_grams("text")).alias("at", "gram"))
         .join(F.broadcast(template_positions(docs, templates)), "gram")
-        .select("id", "text_key", "label", "size", "at", "place", (F.col("at") - F.col("place")).alias("diagonal"))
+        .select("id", "text_key", "row", "label", "size", "at", "place", (F.col("at") - F.col("place")).alias("diagonal"))
     )
-    one = ["id", "text_key", "label", "size"]
+    one = ["id", "text_key", "row", "label", "size"]
     diagonals = hits.groupBy(*one, "diagonal").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.collect_set("place").alias("places"))
-    # texts have few hits, so a text's diagonals for one template are a small group
-    order = Window.partitionBy(*one).orderBy("lo", "diagonal")
-    before = Window.partitionBy(*one).orderBy("lo", "diagonal").rowsBetween(Window.unboundedPreceding, -1)
-    new = F.coalesce((F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT) | (F.col("lo") > F.max("hi").over(before) + GAP), F.lit(True))
-    merged = diagonals.withColumn("span", F.sum(new.cast("int")).over(order)).groupBy(*one, "span")
-    held = F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.col("size")
+    # texts have few hits, so a text's diagonals for one template are a small group; stray hits on far diagonals don't part a band
+    across = Window.partitionBy(*one).orderBy("diagonal")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(across) > DRIFT, F.lit(True))
+    bands = diagonals.withColumn("apart", apart).withColumn("band", F.sum(F.col("apart").cast("int")).over(across))
+    order = Window.partitionBy(*one, "band").orderBy("lo", "diagonal")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    new = F.coalesce(F.col("lo") > F.max("hi").over(before) + GAP, F.lit(True))
+    merged = bands.withColumn("new", new).withColumn("span", F.sum(F.col("new").cast("int")).over(order)).groupBy(*one, "band", "span")
+    held = F.size(F.array_distinct(F.flatten(F.collect_list("places"))))
     return (
-        merged.agg(F.min("lo").alias("first_word"), (F.max("hi") + GRAM - 1).alias("last_word"), held.alias("share"))
+        merged.agg(F.min("lo").alias("first_word"), (F.max("hi") + GRAM - 1).alias("last_word"), held.alias("held"))
+        .withColumn("share", F.col("held") / F.col("size"))
         .where(F.col("share") >= SHARE)
-        .select("id", "text_key", "label", "first_word", "last_word", "share")
+        .select("id", "text_key", "label", "first_word", "last_word", "share", "held")
     )
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def strongest(found: list[dict]) -> list[dict]:
+    """The spans of one text without those that are covered, for half their words or more, by a span that holds more k-grams."""
+    found = sorted(found, key=lambda s: s["first_word"])
+    firsts = [s["first_word"] for s in found]
+    longest = max((s["last_word"] - s["first_word"] for s in found), default=0)
+
+    def covered(s: dict) -> bool:
+        first, last = s["first_word"], s["last_word"]
+        near = found[bisect_left(firsts, first - longest) : bisect_right(firsts, last)]
+        return any(t["held"] > s["held"] and 2 * (min(last, t["last_word"]) - max(first, t["first_word"]) + 1) >= last - first + 1 for t in near)
+
+    return [{k: v for k, v in s.items() if k != "held"} for s in found if not covered(s)]
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType()), T.StructField("share", T.DoubleType())]))
+
+
+@F.arrow_udf(_SPANS)
+def _strongest(found: pa.Array) -> pa.Array:
+    span = pa.struct([("label", pa.string()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("share", pa.float64())])
+    return pa.array([strongest(s or []) for s in found.to_pylist()], pa.list_(span))
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Iterable[tuple[str, str]] = ROWS) -> DataFrame:
     """One row for each row of ``df``: ``(id, n_words, starts, base_labels, spans, score)``.
 
     ``starts`` are the word indexes of the phrases, ``spans`` the verified template spans,
@@ -120,14 +154,16 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     places = docs.select("id", "text_key", _places("text").alias("p"))
     found = spans(docs, templates).groupBy("id", "text_key").agg(
-        F.array_sort(F.collect_set(F.struct("label", "first_word", "last_word", "share"))).alias("spans"), F.max("share").alias("share")
+        F.collect_set(F.struct("label", "first_word", "last_word", "share", "held")).alias("found")
     )
+    found = found.select("id", "text_key", F.array_sort(F.array_distinct(_strongest("found"))).alias("spans"))
+    found = found.withColumn("share", F.array_max(F.transform("spans", lambda s: s["share"])))
     same: Column = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.text_key") == F.col("b.text_key"))
     return places.alias("a").join(found.alias("b"), same, "left").select(
         F.col("a.id").alias(id_col),
         F.col("p.n_words"),
         F.array_sort("p.starts").alias("starts"),
         F.array_sort(F.array_distinct("p.labels")).alias("base_labels"),
-        F.coalesce("spans", F.array().cast("array<struct<label:string,first_word:int,last_word:int,share:double>>")).alias("spans"),
+        F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"),
         F.when(F.size("p.starts") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )

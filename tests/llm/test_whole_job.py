@@ -1,6 +1,6 @@
 """Cases in which operators once did less than the whole job."""
 
-from graphloom.llm import html
+from graphloom.llm import html, licenses
 
 PROSE = "It was in the evening that she came to the house by the river and saw that the lights were on in all of the rooms but not in the hall, which was dark."
 
@@ -24,3 +24,31 @@ def test_link_density_decides_inside_an_article():
 def test_blocks_of_an_article_are_decided_by_more_than_membership():
     found = html.classify(html.blocks(f"<nav>Menu</nav><article><h1>Title</h1><p>{PROSE}</p></article>"))
     assert [(b.rule, b.good) for b in found] == [("structure", False), ("neighbours", True), ("stop words", True)]
+
+
+NOTICES = [
+    ("This work is licensed under the GNU General Public License, version 3.", ["gpl"]),
+    ("It is released under the GNU General Public License v2 or later.", ["gpl"]),
+    ("Licensed under the GNU Affero General Public License, version 3.", ["agpl"]),
+    ("Available under the GNU Lesser General Public License, version 2.1.", ["lgpl"]),
+    ("Distributed under the terms of the Apache License, Version 2.0.", ["apache-2"]),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["cc-by-sa"]),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", ["cc-by"]),
+    ("Shared under CC BY-NC-SA 3.0 by its author.", ["cc-by-nc-sa"]),
+    ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY", ["mit"]),
+    ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", ["bsd"]),
+    ("provided that the above copyright notice and this permission notice appear in all copies", ["isc"]),
+    ("The license of the general public was discussed under the terms of the contract.", []),
+]
+
+
+def test_license_notices_and_sections(spark):
+    df = spark.createDataFrame([(k, f"some words before {text} some words after") for k, (text, _) in enumerate(NOTICES)], "doc_id long, text string")
+    got = {r.doc_id: sorted({s.label for s in r.spans}) for r in licenses.scan(df).collect()}
+    assert got == {k: labels for k, (_, labels) in enumerate(NOTICES)}
+
+
+def test_every_template_finds_itself(spark):
+    df = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(licenses.ROWS)], "doc_id long, text string")
+    got = {r.doc_id: {s.label for s in r.spans} for r in licenses.scan(df).collect()}
+    assert [k for k, (label, _) in enumerate(licenses.ROWS) if label not in got[k]] == []
