@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +46,20 @@ def closeness(distance: Column) -> Column:
     return F.coalesce(1 / (1 + distance), F.lit(0.0))
 
 
-def eigenvector_centrality(edges: DataFrame, rounds: int) -> DataFrame:
-    """``(node, centrality)`` after a number of power iterations over undirected ``edges(a, b)``, unit length."""
+#: Rounds between two checkpoints, at each of which the change is read.
+STEP = 5
+
+
+def eigenvector_centrality(edges: DataFrame, rounds: int | None = None, tolerance: float = 1e-4, most_rounds: int = 100) -> DataFrame:
+    """``(node, centrality)`` by power iteration over undirected ``edges(a, b)``, unit length.
+
+    Rounds go on until no value changes by ``tolerance``; without that after ``most_rounds``
+    it is an error. Each node counts itself too, which leaves the result and lets graphs of
+    two sides converge. With ``rounds``, so many plain rounds are made and no test.
+    """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    if rounds is None:
+        return _converged(both.where("a <> b"), tolerance, most_rounds)
     score = both.select(F.col("a").alias("node")).distinct().withColumn("centrality", F.lit(1.0))
     for _ in range(rounds):
         score = both.join(score, both["b"] == score["node"]).groupBy("a").agg(F.sum("centrality").alias("x")).select(F.col("a").alias("node"), F.col("x").alias("centrality"))
@@ -55,5 +68,36 @@ def eigenvector_centrality(edges: DataFrame, rounds: int) -> DataFrame:
     return score.withColumn("one", F.lit(1)).join(F.broadcast(length), "one").select("node", (F.col("centrality") / F.col("length")).alias("centrality"))
 
 
+def _cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint into the folder of ``spark.checkpoint.dir``, a temporary one where the session has none."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    return df.checkpoint()
+
+
+def _converged(both: DataFrame, tolerance: float, most_rounds: int) -> DataFrame:
+    both = _cut_lineage(both)
+    nodes = both.select(F.col("a").alias("node")).distinct()
+    links = _cut_lineage(both.unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))))
+    score = nodes.withColumn("centrality", F.lit(1.0))
+    done = 0
+    while done < most_rounds:
+        for _ in range(min(STEP, most_rounds - done)):
+            step = links.join(score.select("node", "centrality"), links["b"] == F.col("node")).groupBy("a")
+            own = F.sum(F.when(F.col("a") == F.col("b"), F.col("centrality")))
+            score = step.agg(F.sum("centrality").alias("centrality"), own.alias("before")).withColumnRenamed("a", "node")
+            done += 1
+        score = _cut_lineage(score)
+        now, last = score.agg(*(F.sqrt(F.sum(F.col(c) * F.col(c))) for c in ("centrality", "before"))).first()
+        if now is None:  # no edges
+            return score.select("node", "centrality")
+        change = score.agg(F.max(F.abs(F.col("centrality") / now - F.col("before") / last))).first()[0]
+        score = score.select("node", (F.col("centrality") / now).alias("centrality"))
+        if change < tolerance:
+            return score
+    raise RuntimeError(f"Centrality still changes by {change} after {most_rounds} rounds")
+
+
 def transition_band(index: Column, high: float = 0.7, low: float = 0.4) -> Column:
     return F.when(index > high, "high").when(index > low, "medium").otherwise("low")

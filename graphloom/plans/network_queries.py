@@ -173,6 +173,24 @@ def central_in_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("centrality"), "node").limit(10).select("category", "node", F.round("centrality", 6).alias("centrality"))
 
 
+def _central(g: Graph) -> DataFrame:
+    """Until it converges, which SQL can't unroll."""
+    return netmetrics.eigenvector_centrality(vector_search.knn_graph(g.vectors(), 0.3).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@query()
+def eigenvector_centrality_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _central(Graph(spark, sf_dir)).withColumn("centrality", F.round("centrality", 6))
+
+
+@query()
+def central_in_categories_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark, sf_dir)
+    wanted = g.skills().where(F.col("category").isin("Brand#11", "Brand#22", "Brand#33", "Brand#44")).select(F.col("skill_id").alias("node"), "category")
+    rows = _central(g).join(wanted, "node")
+    return rows.orderBy(F.desc("centrality"), "node").limit(10).select("category", "node", F.round("centrality", 6).alias("centrality"))
+
+
 @query(f"{_CO}{_WALK} SELECT source, round(avg(1 / (1 + distance)), 6) AS closeness FROM short WHERE node LIKE 'Brand#3%' GROUP BY source")
 def cluster_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _short(Graph(spark, sf_dir)).where(F.col("node").startswith("Brand#3"))
