@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -99,5 +99,23 @@ def _converged(both: DataFrame, tolerance: float, most_rounds: int) -> DataFrame
     raise RuntimeError(f"Centrality still changes by {change} after {most_rounds} rounds")
 
 
+def creation_vs_history(dated: DataFrame, window: str = "INTERVAL 5 YEARS") -> DataFrame:
+    """``(job_id, creation)`` of ``dated(job_id, industry, c1, c2, posted_at)``: share of a job's pairs that no job of its industry had in the window before.
+
+    The pair's previous date decides: that of its part of the time, else the last of the part before,
+    so that a frequent pair is spread over parts.
+    """
+    key = ["industry", "c1", "c2"]
+    second = F.unix_micros(F.col("posted_at").cast("timestamp"))
+    since = F.unix_micros(F.col("posted_at").cast("timestamp") - F.expr(window))
+    rows = dated.select("job_id", *key, second.alias("at"), since.alias("since"), F.floor(second / 86_400_000_000 / 60).alias("part"))
+    last = rows.groupBy(*key, "part").agg(F.max("at").alias("last"))
+    carried = last.select(*key, "part", F.lag("last").over(Window.partitionBy(*key).orderBy("part")).alias("carried"))
+    earlier = F.max("at").over(Window.partitionBy(*key, "part").orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
+    known = rows.withColumn("earlier", earlier).join(carried, [*key, "part"], "left").withColumn("previous", F.coalesce("earlier", "carried"))
+    novel = F.when(F.col("industry").isNotNull() & (F.col("previous") >= F.col("since")), 0.0).otherwise(1.0)
+    return known.groupBy("job_id").agg(F.avg(novel).alias("creation"))
+
+
 def transition_band(index: Column, high: float = 0.7, low: float = 0.4) -> Column:
     return F.when(index > high, "high").when(index > low, "medium").otherwise("low")

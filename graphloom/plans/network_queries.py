@@ -230,6 +230,13 @@ def gap_learning_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gap.join(near, "skill_id", "left").select("skill_id", F.coalesce("hops", F.lit(999)).alias("steps"))
 
 
+def _creation(g: Graph, window: str) -> DataFrame:
+    rows = g.requires().join(g.skills().select("skill_id", "category"), "skill_id").select("job_id", "category").distinct()
+    pairs = rows.select("job_id", F.col("category").alias("c1")).join(rows.select("job_id", F.col("category").alias("c2")), "job_id").where("c1 < c2")
+    dated = pairs.join(g.jobs().select("job_id", "posted_at", "company_id"), "job_id").join(g.companies().select("company_id", "industry"), "company_id")
+    return netmetrics.creation_vs_history(dated, window).withColumn("creation", F.round("creation", 6))
+
+
 @query(
     f"""{SQL}, e AS (SELECT job_id, skill_id, posted_at, industry FROM requires JOIN job USING (job_id) JOIN company USING (company_id)),
 p AS (SELECT x.job_id, x.industry, x.posted_at, a.category AS c1, b.category AS c2 FROM e x JOIN e y USING (job_id) JOIN skill a ON a.skill_id = x.skill_id JOIN skill b ON b.skill_id = y.skill_id WHERE a.category < b.category GROUP BY ALL),
@@ -237,21 +244,19 @@ n AS (SELECT p.job_id, p.c1, p.c2, count(q.job_id) AS before FROM p LEFT JOIN p
 SELECT job_id, round(avg(CASE WHEN before = 0 THEN 1.0 ELSE 0.0 END), 6) AS creation FROM n GROUP BY job_id"""
 )
 def creation_vs_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a job's pairs that no job of its industry had in the 60 days before: a range window, not a range join."""
-    from pyspark.sql import Window
+    """Share of a job's pairs that no job of its industry had in the 60 days before."""
+    return _creation(Graph(spark, sf_dir), "INTERVAL 60 DAYS")
 
-    g = Graph(spark, sf_dir)
-    rows = g.requires().join(g.skills().select("skill_id", "category"), "skill_id").select("job_id", "category").distinct()
-    pairs = rows.select("job_id", F.col("category").alias("c1")).join(rows.select("job_id", F.col("category").alias("c2")), "job_id").where("c1 < c2")
-    dated = pairs.join(g.jobs().select("job_id", "posted_at", "company_id"), "job_id").join(g.companies().select("company_id", "industry"), "company_id")
-    # a year's part keeps the windows of a frequent pair small: a job looks back into one part at most
-    second = F.unix_micros(F.col("posted_at").cast("timestamp"))
-    part = F.floor(second / 86_400_000_000 / 60)
-    dated = dated.select("job_id", "industry", "c1", "c2", second.alias("at"), part.alias("part"))
-    both = dated.withColumn("own", F.lit(True)).unionByName(dated.withColumn("part", F.col("part") + 1).withColumn("own", F.lit(False)))
-    look = Window.partitionBy("industry", "c1", "c2", "part").orderBy("at").rangeBetween(-60 * 86_400_000_000, -1)
-    counted = both.withColumn("before", F.count("*").over(look)).where("own")
-    return counted.groupBy("job_id").agg(F.round(F.avg(F.when(F.col("before") == 0, 1.0).otherwise(0.0)), 6).alias("creation"))
+
+@query(
+    f"""{SQL}, e AS (SELECT job_id, skill_id, posted_at, industry FROM requires JOIN job USING (job_id) JOIN company USING (company_id)),
+p AS (SELECT x.job_id, x.industry, x.posted_at, a.category AS c1, b.category AS c2 FROM e x JOIN e y USING (job_id) JOIN skill a ON a.skill_id = x.skill_id JOIN skill b ON b.skill_id = y.skill_id WHERE a.category < b.category GROUP BY ALL),
+n AS (SELECT p.job_id, p.c1, p.c2, count(q.job_id) AS before FROM p LEFT JOIN p q ON q.industry = p.industry AND q.c1 = p.c1 AND q.c2 = p.c2 AND q.posted_at < p.posted_at AND q.posted_at >= p.posted_at - INTERVAL 5 YEAR GROUP BY ALL)
+SELECT job_id, round(avg(CASE WHEN before = 0 THEN 1.0 ELSE 0.0 END), 6) AS creation FROM n GROUP BY job_id"""
+)
+def creation_vs_history_5_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the 5 years of the specification."""
+    return _creation(Graph(spark, sf_dir), "INTERVAL 5 YEARS")
 
 
 @query(

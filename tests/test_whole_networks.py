@@ -1,5 +1,7 @@
 """Network metrics that go on until they are done, against numpy."""
 
+from datetime import datetime
+
 import numpy as np
 import pytest
 
@@ -29,3 +31,10 @@ def test_centrality_converges(spark, edges):
 def test_centrality_that_does_not_converge_is_an_error(spark):
     with pytest.raises(RuntimeError, match="after 3 rounds"):
         netmetrics.eigenvector_centrality(spark.createDataFrame(GRAPHS[0], "a long, b long"), most_rounds=3)
+
+
+def test_history_of_five_years(spark):
+    rows = [(1, "x", "a", "b", datetime(2015, 1, 1)), (2, "x", "a", "b", datetime(2019, 12, 31)), (3, "x", "a", "b", datetime(2025, 1, 1)), (4, "y", "a", "b", datetime(2020, 1, 2)), (5, "x", "a", "b", datetime(2025, 1, 1))]
+    dated = spark.createDataFrame(rows, "job_id long, industry string, c1 string, c2 string, posted_at timestamp")
+    assert {r.job_id: r.creation for r in netmetrics.creation_vs_history(dated).collect()} == {1: 1.0, 2: 0.0, 3: 1.0, 4: 1.0, 5: 1.0}
+    assert {r.job_id: r.creation for r in netmetrics.creation_vs_history(dated, "INTERVAL 60 DAYS").collect()} == {k: 1.0 for k in range(1, 6)}
