@@ -18,20 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder, so that a lost executor costs no recomputation chain.
-
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is set only where
-    the session has none, as in local tests.
-    """
+    """Checkpoint into the shared folder, so that a lost executor costs no recomputation chain."""
     _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def _shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: ``spark.checkpoint.dir``, or one of this machine where the master is local and none is set."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
+    return context.getCheckpointDir()
 
 
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -46,7 +46,7 @@ def by_key(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
     return groupby(rows, key=lambda row: row[:keys])
 
 
-def join_spread(left: DataFrame, right: DataFrame, on: list[str], ways: int = 16, how: str = "left") -> DataFrame:
+def join_spread(left: DataFrame, right: DataFrame, on: list[str], ways: int = 8, how: str = "left") -> DataFrame:
     """Join a large side with keys of any skew to a side that has each key once.
 
     The large side deals each key over ``ways`` parts by a hash of its other columns, and
