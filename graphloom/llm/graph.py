@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.frames import cut_lineage
+from graphloom.llm.frames import cut_lineage, join_spread
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """``(id, component)`` for each node of ``edges(a, b)``; the component is its smallest node.
 
+    ``most_rounds`` only guards against a loop without end: it is an error, not a result.
+
     Alternating large-star and small-star steps: each step links nodes to the smallest
     node they know of, so the number of rounds grows with the logarithm of the longest
     path. Minima are aggregated before the shuffle; edges never meet in one task or on the
@@ -21,10 +23,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        # a centre may have a third of all edges
+        large = join_spread(both, lowest, ["a"], how="inner").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = large.where("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(lowest, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        small = join_spread(large, lowest, ["a"], how="inner").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         now = cut_lineage(small.unionByName(lowest.select("a", F.col("low").alias("b"))).distinct())
         # exact in any order of summation: whole numbers
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -32,6 +35,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         before = state
     else:
-        raise RuntimeError("components did not settle")
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)

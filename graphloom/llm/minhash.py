@@ -9,17 +9,19 @@ agree in a register with a probability equal to their weighted Jaccard similarit
 process stops as soon as its next point comes after the latest register, so heavy grams
 and long texts cost little more than one point for each gram.
 
-Bands of registers give candidate buckets. Exact copies are one node beforehand. In each
-bucket every node is compared with the smallest one only (a star); verified links are
-contracted to components, and only nodes of one bucket that are then still in different
-components are compared with each other, block against block inside tasks, so that pairs
-are never rows. No link that would join two components is left out. A 1-bit sketch of the
-registers and the multisets' sizes rule out most pairs before their texts are read. Links count if the exact weighted Jaccard similarity is at least
-0.8.
+Bands of registers give candidate buckets. A node is a distinct text, whatever the ids of
+its rows. In each bucket every node is compared with the smallest one only (a star, dealt
+over tasks in parts of ``BLOCK_ROWS``); verified links are contracted to components, and
+only nodes of one bucket that are then still in different components are compared with each
+other, block against block inside tasks, so that pairs are never rows. No link that would
+join two components is left out. A 1-bit sketch of the registers and the multisets' sizes
+rule out most pairs before their texts are read. Links count if the exact weighted Jaccard
+similarity is at least 0.8.
 
 Defined results: words are runs of a-z, 0-9 and non-ASCII characters after lower-casing
 A-Z; a text of one to four words is one gram; null texts and texts without words link
-with nothing; rows that repeat an id are one document; rows without an id are left out by
+with nothing; rows that repeat an id are one document, which has all their texts and links
+by any of them, in whatever order the rows come; rows without an id are left out by
 :func:`classes` and kept by :func:`keep`; extra columns are ignored by :func:`classes`
 and kept by :func:`keep`; an empty table gives an empty result.
 """
@@ -32,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphloom.llm.frames import by_key, cut_lineage, free_name, join_spread
 from graphloom.llm.graph import components
@@ -46,8 +47,10 @@ REGISTERS = BANDS * BAND_ROWS
 #: Least share of equal bits of two 1-bit sketches: 5 standard deviations below that of similarity 0.8.
 SKETCH_SHARE = 0.8
 
-#: Documents and 5-grams of one side of a cell, about: what one comparison holds in memory.
+#: Documents and 5-grams of one side of a comparison of texts, about: what it holds in memory.
 BLOCK_ROWS, BLOCK_GRAMS = 256, 300_000
+#: Blocks of texts whose sketches make one side of a comparison of sketches.
+SKETCH_BLOCKS = 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LEVEL = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -133,13 +136,8 @@ def similarity(a: str | None, b: str | None) -> float:
     return common / (total - common)
 
 
-@F.arrow_udf(T.DoubleType())
-def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([similarity(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
-
-
 def sign(docs: DataFrame) -> DataFrame:
-    """``(id, text_key binary, weight, bands, bits)`` of each row of ``docs(id, text)``."""
+    """``(doc, text_key binary, weight, bands, bits)`` of each row of ``docs(doc, text)``."""
 
     def run(batches):
         for batch in batches:
@@ -154,10 +152,10 @@ def sign(docs: DataFrame) -> DataFrame:
                         part.column(0), pa.array(keys, pa.binary()), pa.array(total),
                         pa.array(list(band_keys(registers).view(np.int64)), pa.list_(pa.int64())), pa.array(list(bit_sketch(registers)), pa.list_(pa.int64())),
                     ],
-                    names=["id", "text_key", "weight", "bands", "bits"],
+                    names=["doc", "text_key", "weight", "bands", "bits"],
                 )
 
-    return docs.mapInArrow(run, "id long, text_key binary, weight long, bands array<long>, bits array<long>")
+    return docs.mapInArrow(run, "doc long, text_key binary, weight long, bands array<long>, bits array<long>")
 
 
 def _may_be_similar(a: str, b: str, similar: float) -> Column:
@@ -167,39 +165,72 @@ def _may_be_similar(a: str, b: str, similar: float) -> Column:
     return sizes & (equal <= (1 - SKETCH_SHARE) * REGISTERS)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Pairs (a, b) whose texts are similar enough."""
-    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.where(_similarity("text_a", "text_b") >= similar - 1e-12).select("a", "b")
+def _star_links(stars: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """``(a, b)``: pairs of ``stars(a, b)`` whose texts are similar enough.
+
+    A centre's nodes are dealt over parts by their number, each of which reads the centre's
+    text once, so neither a task nor a join gets all nodes of a large star.
+    """
+    size = stars.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("of"))
+    dealt = join_spread(stars, size, ["a"], how="inner").withColumn("part", F.pmod(F.xxhash64("b"), F.col("of")).cast("int"))
+    around = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", F.lit(False).alias("center"), F.col("b").alias("id"), "text")
+    center = size.select("a", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("part")).join(texts.withColumnRenamed("id", "a"), "a")
+    rows = center.select("a", "part", F.lit(True).alias("center"), F.col("a").alias("id"), "text").unionByName(around)
+
+    def run(batches):
+        found: list[tuple[int, int]] = []
+        for (a, _), members in by_key(batches, 2):
+            own: tuple[np.ndarray, np.ndarray] | None = None
+            for _, _, is_center, node, text in members:
+                _, grams, weights = multisets(Words([text], LETTERS))
+                if is_center:
+                    own = grams, weights
+                elif own is not None:
+                    _, i, j = np.intersect1d(own[0], grams, assume_unique=True, return_indices=True)
+                    common = int(np.minimum(own[1][i], weights[j]).sum())
+                    if common >= (similar - 1e-12) * (int(own[1].sum() + weights.sum()) - common):
+                        found.append((a, node))
+            if len(found) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("center")).mapInArrow(run, "a long, b long")
 
 
 def _cell_rows(apart: DataFrame, similar: float) -> DataFrame:
     """Members of each bucket's cells for which sizes and sketches allow a link.
 
-    A bucket's documents are cut into blocks, and those outside its main component as
-    well; a cell is one block of the latter against one of the former. So a bucket of n
-    documents makes n rows for each of its blocks, never a row for each pair.
+    A bucket's nodes are cut into blocks of texts, and those outside its main component as
+    well; a cell is one block of the latter against one of the former. Sketches are small,
+    so they are compared in cells of ``SKETCH_BLOCKS`` times as many nodes on each side: a
+    bucket of n nodes makes n rows for each n / 4096 of them, never a row for each pair.
     """
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    coarse = lambda n: F.floor(block(n) / SKETCH_BLOCKS).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / SKETCH_BLOCKS).cast("int")))
     kept = ["is_main", "id", "component", "weight", "bits"]
-    left = apart.where("NOT is_main").select("band", block("of_others").alias("i"), every("of_all").alias("j"), F.lit(True).alias("left"), *kept)
-    right = apart.select("band", every("of_others").alias("i"), block("of_all").alias("j"), F.lit(False).alias("left"), *kept)
-    cells = left.unionByName(right).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    left = apart.where("NOT is_main").select("band", coarse("of_others").alias("x"), every("of_all").alias("y"), F.lit(True).alias("left"), block("of_others").alias("k"), *kept)
+    right = apart.select("band", every("of_others").alias("x"), coarse("of_all").alias("y"), F.lit(False).alias("left"), block("of_all").alias("k"), *kept)
+    cells = left.unionByName(right).repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "left", "k")
 
     def run(batches):
         out: list[tuple] = []
-        for _, members in by_key(batches, 3):
-            rows = list(members)
-            sides = [[r for r in rows if r[3] == side] for side in (True, False)]
-            if not all(sides):
-                continue
-            (main_l, id_l, of_l, w_l, bits_l), (main_r, id_r, of_r, w_r, bits_r) = ([np.array([r[k] for r in side]) for k in range(4, 9)] for side in sides)
-            may = (of_l[:, None] != of_r[None, :]) & (main_r[None, :] | (id_l[:, None] < id_r[None, :]))
-            may &= np.minimum(w_l[:, None], w_r[None, :]) >= similar * np.maximum(w_l[:, None], w_r[None, :])
-            may &= np.bitwise_count(bits_l[:, None, :] ^ bits_r[None, :, :]).sum(axis=2) <= (1 - SKETCH_SHARE) * REGISTERS
-            out += [sides[0][k][:7] for k in np.flatnonzero(may.any(axis=1))] + [sides[1][k][:7] for k in np.flatnonzero(may.any(axis=0))]
+        for (band, _, _), members in by_key(batches, 3):
+            sides: dict[bool, dict[int, list[tuple]]] = {True: {}, False: {}}
+            for _, _, _, side, k, *rest in members:
+                sides[side].setdefault(k, []).append(tuple(rest))
+            held = {side: {k: [np.array([r[c] for r in rows]) for c in range(5)] for k, rows in blocks.items()} for side, blocks in sides.items()}
+            for i, (_, id_l, of_l, w_l, bits_l) in held[True].items():
+                for j, (main_r, id_r, of_r, w_r, bits_r) in held[False].items():
+                    may = (of_l[:, None] != of_r[None, :]) & (main_r[None, :] | (id_l[:, None] < id_r[None, :]))
+                    may &= np.minimum(w_l[:, None], w_r[None, :]) >= similar * np.maximum(w_l[:, None], w_r[None, :])
+                    if not may.any():
+                        continue
+                    may &= np.bitwise_count(bits_l[:, None, :] ^ bits_r[None, :, :]).sum(axis=2) <= (1 - SKETCH_SHARE) * REGISTERS
+                    out += [(band, i, j, True, *sides[True][i][k][:3]) for k in np.flatnonzero(may.any(axis=1))]
+                    out += [(band, i, j, False, *sides[False][j][k][:3]) for k in np.flatnonzero(may.any(axis=0))]
             if len(out) >= 4096:
                 yield _cell_batch(out)
                 out = []
@@ -256,23 +287,36 @@ def _cell_links(cells: DataFrame, texts: DataFrame, similar: float) -> DataFrame
     return read.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long")
 
 
+def _nodes_of_ids(signed: DataFrame, nodes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``(a, b)``: links between the texts of one document, where ids repeat with different texts."""
+    several = join_spread(signed.where("weight > 0").select("doc", "text_key"), repeated.where("lo < hi").select("doc", "lo"), ["doc"], how="inner").select("doc", "text_key").distinct()
+    named = join_spread(several, nodes.select("text_key", "id"), ["text_key"], how="inner").select("doc", "id")
+    first = named.groupBy("doc").agg(F.min("id").alias("a"))
+    return join_spread(named, first, ["doc"], how="inner").select("a", F.col("id").alias("b")).where("a <> b")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILARITY) -> DataFrame:
     """``(id, component, kept)`` for each row with an id; the component is its smallest id."""
-    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     signed = cut_lineage(sign(docs))
-    copies = signed.where("weight > 0").groupBy("text_key").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-    members = signed.where("weight > 0").join(copies, ["text_key", "id"], "left_semi").dropDuplicates(["id"])
-    rows = members.select("id", F.explode("bands").alias("band"))
+    # one node for each distinct text, numbered once: the numbers are read from the checkpoint ever after
+    texts_of = signed.where("weight > 0").groupBy("text_key").agg(
+        F.min("doc").alias("doc"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("weight", "bands", "bits"))
+    )
+    nodes = cut_lineage(texts_of.withColumn("id", F.monotonically_increasing_id()))
+    rows = nodes.select("id", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").select("band", "center")
-    shared = cut_lineage(rows.join(buckets, "band"))
+    shared = cut_lineage(join_spread(rows, buckets, ["band"], how="inner"))
 
-    sketches = members.select("id", "weight", "bits")
-    near = cut_lineage(sketches.join(shared.select("id").distinct(), "id", "left_semi"))
-    texts = cut_lineage(docs.join(near.select("id"), "id", "left_semi").dropDuplicates(["id"]))
+    near = cut_lineage(nodes.select("id", "doc", "text_key", "weight", "bits").join(shared.select("id").distinct(), "id", "left_semi"))
+    keyed = docs.withColumn("text_key", F.unhex(F.md5(F.encode("text", "UTF-8"))))
+    texts = cut_lineage(keyed.join(near.select("id", "doc", "text_key"), ["doc", "text_key"]).select("id", "text").dropDuplicates(["id"]))
 
-    stars = shared.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct().alias("p")
-    stars = stars.join(near.alias("y"), F.col("p.b") == F.col("y.id")).join(near.alias("x"), (F.col("p.a") == F.col("x.id")) & _may_be_similar("x", "y", similar)).select("p.a", "p.b")
-    first = cut_lineage(_verified(stars, texts, similar))
+    near = near.select("id", "weight", "bits")
+    stars = shared.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stars.join(near.withColumnRenamed("id", "b").alias("y"), "b")
+    stars = join_spread(stars.select("a", "b", F.struct("weight", "bits").alias("y")), near.select(F.col("id").alias("a"), F.struct("weight", "bits").alias("x")), ["a"], how="inner")
+    first = cut_lineage(_star_links(stars.where(_may_be_similar("x", "y", similar)).select("a", "b"), texts, similar))
     labels = components(first)
 
     # what still stands apart within a bucket: all but the commonest component of the bucket against the bucket
@@ -281,15 +325,24 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     most = parted.groupBy("band").agg(F.max(F.struct("n", "component", "w")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("parts > 1")
     n_blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK_ROWS, w / BLOCK_GRAMS)).cast("int")
     blocks = most.select("band", F.col("most.component").alias("main"), n_blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("of_others"), n_blocks(F.col("n"), F.col("w")).alias("of_all"))
-    apart = cut_lineage(labelled.join(blocks, "band").withColumn("is_main", F.col("component") == F.col("main")))
+    apart = cut_lineage(join_spread(labelled, blocks, ["band"], how="inner").withColumn("is_main", F.col("component") == F.col("main")))
     second = _cell_links(_cell_rows(apart, similar), texts, similar)
-    merged = components(first.unionByName(second))
-
-    repeated = copies.where("id < last").select("text_key", F.col("id").alias("first"))
-    of_text = join_spread(signed.select("id", "text_key", "weight"), repeated, ["text_key"])
-    of_text = of_text.withColumn("first", F.when(F.col("weight") > 0, F.coalesce("first", "id")).otherwise(F.col("id")))
-    found = of_text.join(merged.select(F.col("id").alias("first"), "component"), "first", "left")
-    return found.select(F.col("id").alias(id_col), F.coalesce("component", "first").alias("component")).withColumn("kept", F.col(id_col) == F.col("component"))
+    links = first.unionByName(second)
+    key = F.when(F.col("weight") > 0, F.col("text_key"))
+    repeated = cut_lineage(signed.groupBy("doc").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).where("n > 1"))
+    once = repeated.isEmpty()
+    merged = cut_lineage(components(links if once else links.unionByName(_nodes_of_ids(signed, nodes, repeated))))
+
+    # a class is named by the smallest id of its rows; only texts that are linked or repeated can have another one than their own row's
+    linked = nodes.select("id", "doc", "text_key").join(merged, "id")
+    smallest = linked.groupBy("component").agg(F.min("doc").alias("smallest"))
+    lone = nodes.where("copies > 1").join(merged.select("id"), "id", "left_anti").select("text_key", F.col("doc").alias("smallest"))
+    named = join_spread(linked, smallest, ["component"], how="inner").select("text_key", "smallest").unionByName(lone)
+    found = join_spread(signed.select("doc", "text_key", "weight"), named, ["text_key"])
+    found = found.select("doc", F.when(F.col("weight") > 0, F.coalesce("smallest", "doc")).otherwise(F.col("doc")).alias("component"))
+    if not once:  # rows of one document agree, those without words as well
+        found = join_spread(found.withColumn("row", F.monotonically_increasing_id()).select("doc", "row"), found.groupBy("doc").agg(F.min("component").alias("component")), ["doc"], how="inner")
+    return found.select(F.col("doc").alias(id_col), "component").withColumn("kept", F.col(id_col) == F.col("component"))
 
 
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILARITY) -> DataFrame:
