@@ -1,20 +1,27 @@
 """Secret scans: fixed patterns, and zstandard novelty primed with dictionaries.
 
 Patterns find assigned values, access keys and long hexadecimal runs. The novelty method
-then looks at further strings in a sensitive context (a word such as ``key`` or ``bearer``
-shortly before): a compressor primed with common identifiers and with the text around the
-candidate measures how many bytes the candidate adds. A string that its surroundings and
-ordinary identifiers don't explain, and that mixes digits with letters, is reported.
+then looks at every further string in a sensitive context (a word such as ``key`` or
+``bearer`` shortly before): a compressor primed with a dictionary of common identifiers
+compresses a few lines of ordinary text and the text around the candidate, without and
+with the candidate at its end. The difference is what the candidate adds. Words that the
+surroundings or the dictionary hold become matches, and other words are spelt in the
+letters that the text is made of, so they add little; a random string adds nearly a byte
+or more for each character. The bytes asked for grow with the length, beginning at a
+margin, so a short string must be the more novel; no other property is asked for.
 
 Defined results: a null or empty text has no spans; positions are code points of the
-whole text, end exclusive; repeated rows give repeated results; other columns are kept
-by :func:`redact` and ignored by :func:`scan`; an empty table gives an empty result.
+whole text, end exclusive; a candidate that a base span holds whole is not reported again,
+one that goes beyond a base span is, and both stay; repeated rows give repeated results;
+other columns are kept by :func:`redact` and ignored by :func:`scan`; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -34,7 +41,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Words after which a string may be a secret.
 _SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer|signature)", re.ASCII | re.IGNORECASE)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Runs of token characters, and dotted groups of them.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
 #: Identifiers that code and configuration use everywhere.
 IDENTIFIERS = (
     "access account address api application array authorization authentication base64 bearer boolean buffer bytes client "
@@ -47,23 +55,39 @@ IDENTIFIERS = (
     "string style system table target template test text time timestamp title token true type update url user username "
     "utf-8 uuid value variable version void window write www"
 )
-#: Code points around a candidate that prime the compressor.
-SURROUNDINGS = 2048
-#: Code points after a sensitive word in which a candidate may start.
+#: Ordinary text whose letters a candidate's are measured against where it has few surroundings.
+ORDINARY = (
+    "if the connection was closed before all of the data were sent, then open it again and try once more; the caller should not have to know about this. "
+    "def load_settings(self, folder, name): values = read_lines(folder / name); return {key.strip(): text for key, text in values if not key.startswith('#')} "
+    "For each of the tables we first count the rows and then write a short summary to the journal, which will be kept for about thirty days or until it is removed by hand. "
+    "public void setTimeout(long millis) { this.millis = millis; notifyListeners(); } The quick, exact way of doing so needs 2 or 3 steps, such as (1) and (2) below.\n"
+)
+#: Code points before and after a candidate that are compressed with it.
+SURROUNDINGS = 1024
+#: Code points after a sensitive word, or after the end of a reported string, in which a candidate may start.
 REACH = 48
-#: Least share of a candidate's length that it must add to the compressed size.
-NOVELTY = 0.85
+#: Bytes that a candidate must add: this many, and this many more for each character.
+MARGIN, NOVELTY = 2.0, 0.72
+#: Shorter strings cannot be told from words.
+LEAST = 8
+
+
+@lru_cache(maxsize=1)
+def _compressor() -> zstandard.ZstdCompressor:
+    primer = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=3, dict_data=primer, write_content_size=False)
+
+
+def added(text: str, start: int, end: int) -> int:
+    """Compressed bytes that ``text[start:end]`` adds to its surroundings."""
+    around = f"{ORDINARY}{text[max(0, start - SURROUNDINGS) : start]}\n{text[end : end + SURROUNDINGS]}\n".encode("utf-8", "surrogatepass")
+    compress = _compressor().compress
+    return len(compress(around + text[start:end].encode())) - len(compress(around))
 
 
 def _novel(text: str, start: int, end: int) -> bool:
-    candidate = text[start:end]
-    if not (any(c.isdigit() for c in candidate) and any(c.isalpha() for c in candidate)):
-        return False
-    around = text[max(0, start - SURROUNDINGS) : start] + "\n" + text[end : end + SURROUNDINGS]
-    primer = zstandard.ZstdCompressionDict(f"{IDENTIFIERS}\n{around}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    compressor = zstandard.ZstdCompressor(level=3, dict_data=primer, write_content_size=False)
-    added = len(compressor.compress(candidate.encode())) - len(compressor.compress(b""))
-    return added >= NOVELTY * len(candidate)
+    size = end - start
+    return size >= LEAST and added(text, start, end) >= MARGIN + NOVELTY * size
 
 
 def find(text: str | None) -> list[tuple[int, int, int]]:
@@ -76,15 +100,15 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
     base, done = sorted(spans), 0
     base_ends = list(accumulate((end for _, _, end in base), max))
     for word in _SENSITIVE.finditer(text):
-        near = max(word.end(), done)
-        for m in _CANDIDATE.finditer(text, near, word.end() + REACH + 16):
-            start, end = m.start(), _CANDIDATE.match(text, m.start()).end()
-            if start > word.end() + REACH or start < done:
-                break
-            done = end
-            before = bisect_left(base, (end,))  # base spans that start before the candidate's end
-            if (not before or base_ends[before - 1] <= start) and _novel(text, start, end):
+        # the word itself may be the start of a longer run
+        at, limit = max(word.end(), done), word.end() + REACH
+        while (m := _CANDIDATE.search(text, at)) and m.start() <= limit:
+            start, end = m.span()
+            at = done = end
+            before = bisect_right(base, (start, len(KINDS)))  # base spans that start at the candidate's start or before
+            if (not before or base_ends[before - 1] < end) and _novel(text, start, end):
                 spans.append((start, 3, end))
+                limit = end + REACH
     return sorted(spans)
 
 
