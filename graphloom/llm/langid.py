@@ -2,15 +2,22 @@
 
 Four sources of evidence are added as logarithms: byte-trigram likelihoods of the text
 (with a uniform background model that stands for "no known language"), the declared
-language, the language that an address suffix suggests, and a prior of the host, smoothed
-from host to registered domain to the whole corpus. Host priors are counts by grouped
-aggregation over all rows; the trigram model is fitted on a bounded sample of rows with a
-declared language (``SAMPLE_ROWS``, chosen by a hash of the id).
+language (a column, or the ``lang`` attribute of a page's markup), the language that an
+address suffix suggests, and a prior of the host, smoothed from host to registered domain
+to the whole corpus. Host priors are counts by grouped aggregation over all rows; the
+trigram model is fitted on a bounded sample of rows with a declared language
+(``SAMPLE_ROWS``, the rows with the lowest hashes of id and text, each text once).
+
+Trigrams of one text are not independent, so n of them count as ``WEIGHT`` times
+``TEMPER * log(1 + n / TEMPER)`` independent ones: evidence grows with every trigram of a
+text, the more slowly the longer it is.
 
 Defined results: a null or empty text, or one without letters, is rejected and has no
-language; an unknown or null declaration, address or host is no evidence; very long texts
-are read whole; rows that repeat an id are judged each by itself; other columns are kept
-by :func:`keep` and ignored by :func:`identify`; an empty table gives an empty result.
+language; a single letter is judged like any other text; an unknown or null declaration,
+address or host is no evidence; very long texts are read whole; equal posteriors give the
+first language in alphabetical order; rows that repeat an id are judged each by itself;
+other columns are kept by :func:`keep` and ignored by :func:`identify`; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +34,11 @@ from graphloom.llm.frames import cut_lineage, drop_rows, join_spread
 from graphloom.llm.urls import domain_of, host_of, suffix_of
 
 LANGUAGES = ("de", "en", "es", "fr")
-#: Rows that the trigram model is fitted on, about; the rest of the work covers all rows.
+#: Rows that the trigram model is fitted on, at most; the rest of the work covers all rows.
 SAMPLE_ROWS = 8_000
 BUCKETS = 1 << 14
-#: Trigrams are far from independent: a text counts as this many, at most, times WEIGHT.
-MOST_TRIGRAMS, WEIGHT = 400, 0.25
+#: How the evidence of a text's trigrams grows with their number, see above.
+TEMPER, WEIGHT = 200.0, 0.25
 #: Chances that a declaration or an address suffix names the language of the text.
 DECLARED_RIGHT, SUFFIX_RIGHT = 0.9, 0.7
 #: Rows' worth of the parent's rates in a host's or domain's prior.
@@ -58,12 +65,30 @@ def trigrams(text: str | None) -> np.ndarray:
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(18)).astype(np.int64)
 
 
-def fit(df: DataFrame, text_col: str, declared_col: str) -> np.ndarray:
-    """Log rates of the buckets, by language: counted on a bounded sample of declared rows."""
-    labelled = df.where(F.col(declared_col).isin(*LANGUAGES)).select(F.col(declared_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = labelled.count()
-    every = max(1, rows // SAMPLE_ROWS)
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+#: The declaration of a page: the attribute of its first element that has one.
+_LANG = r"""(?is)^[^<]*(?:<[!?][^>]*>[^<]*)*<html\b(?:[^>"']|"[^"]*"|'[^']*')*?\slang\s*=\s*["']?([a-z]{2})"""
+
+
+def declared_in(markup: Column) -> Column:
+    """The language that a page's ``html`` element declares, of two letters; null if none."""
+    found = F.lower(F.regexp_extract(F.coalesce(markup, F.lit("")), _LANG, 1))
+    return F.when(found != "", found)
+
+
+def fit(df: DataFrame, id_col: str, text_col: str, declared: Column) -> np.ndarray:
+    """Log rates of the buckets, by language: counted on a bounded sample of declared rows.
+
+    A text that is repeated, whatever how often, is taken once. The number of distinct texts
+    sets a threshold for the hash of id and text a little above the bound's share; of the
+    rows below it, those with the lowest hashes are taken.
+    """
+    labelled = df.where(declared.isin(*LANGUAGES)).select(declared.alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    firsts = labelled.groupBy("key").agg(F.min(F.xxhash64("id", "key")).alias("at"))
+    firsts = cut_lineage(firsts)
+    texts = firsts.count()
+    chosen = firsts if texts <= SAMPLE_ROWS else firsts.where(F.col("at") <= F.lit(_threshold(texts))).orderBy("at", "key").limit(SAMPLE_ROWS)
+    # as many rows as the bound says at most
+    sample = labelled.withColumn("at", F.xxhash64("id", "key")).join(F.broadcast(chosen), ["key", "at"]).dropDuplicates(["key"]).select("lang", "text")
 
     def count(batches):
         total = np.zeros((len(LANGUAGES), BUCKETS), dtype=np.int64)
@@ -81,6 +106,12 @@ def fit(df: DataFrame, text_col: str, declared_col: str) -> np.ndarray:
     return np.log((counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * BUCKETS)).astype(np.float32)
 
 
+def _threshold(texts: int) -> int:
+    """A bound on signed 64-bit hashes that about a fifth more than the sample's share stay below."""
+    share = min(1.0, 1.2 * SAMPLE_ROWS / texts + 10 / texts)
+    return int(-(1 << 63) + share * ((1 << 64) - 1))
+
+
 def likelihoods(text: Column, model: np.ndarray, context) -> Column:
     """``array<double>``: log likelihood of the text for each language less that of the background; null without letters."""
     shared = context.broadcast(model)
@@ -89,11 +120,11 @@ def likelihoods(text: Column, model: np.ndarray, context) -> Column:
         out = []
         for t in texts.to_pylist():
             grams = trigrams(t)
-            if len(grams) < 3:
+            if not len(grams):
                 out.append(None)
                 continue
             mean = shared.value[:, grams].mean(axis=1, dtype=np.float64) + np.log(BUCKETS)
-            out.append((mean * min(len(grams), MOST_TRIGRAMS) * WEIGHT).tolist())
+            out.append((mean * (WEIGHT * TEMPER * np.log1p(len(grams) / TEMPER))).tolist())
         return pa.array(out, pa.list_(pa.float64()))
 
     return F.arrow_udf(score, T.ArrayType(T.DoubleType()))(text)
@@ -104,19 +135,24 @@ def _log_right(named: Column, lang: str, right: float) -> Column:
     return F.when(named == lang, F.lit(float(np.log(right)))).when(named.isin(*LANGUAGES), F.lit(float(np.log(wrong)))).otherwise(F.lit(0.0))
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str | None = "source", url_col: str | None = None) -> DataFrame:
+def identify(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", url_col: str | None = None, html_col: str | None = None, model: np.ndarray | None = None
+) -> DataFrame:
     """``(id, text_key, declared, lang, posterior, kept)`` for each row.
 
-    The host comes from ``host_col`` or from a URL; the suffix from the URL.
+    The declaration comes from ``html_col`` if there is one, else from ``declared_col``; the
+    host from ``url_col`` if there is one, else from ``host_col``; the suffix from the URL.
+    ``model`` takes the place of one fitted on these rows.
     """
     spark = df.sparkSession
-    model = fit(df, text_col, declared_col)
     nothing = F.lit(None).cast("string")
+    declared = declared_in(F.col(html_col)) if html_col else F.col(declared_col) if declared_col else nothing
+    model = fit(df, id_col, text_col, declared) if model is None else model
     host = host_of(F.col(url_col)) if url_col else F.col(host_col) if host_col else nothing
     suffix = suffix_of(host) if url_col else nothing
     suggested = reduce(lambda rest, item: F.when(suffix == item[0], F.lit(item[1])).otherwise(rest), SUFFIXES.items(), nothing)
     scored = df.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(declared_col).alias("declared"), F.coalesce(host, F.lit("")).alias("host"),
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), declared.alias("declared"), F.coalesce(host, F.lit("")).alias("host"),
         suggested.alias("suggested"), likelihoods(F.col(text_col), model, spark.sparkContext).alias("text"),
     )
     rows = cut_lineage(scored)

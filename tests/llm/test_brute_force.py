@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, caps, langid, minhash, passages, queries
 from graphloom.llm.frames import table
@@ -198,7 +199,7 @@ def test_language_id_keeps_declared_texts(spark):
 
 def test_language_id_on_held_out_texts_without_declarations(spark):
     df = table(spark, "/root/testdata/sf0.01", "documents").where("length(text) >= 200")
-    model = langid.fit(df.where("doc_id % 2 = 0"), "text", "lang")
+    model = langid.fit(df.where("doc_id % 2 = 0"), "doc_id", "text", F.col("lang"))
     held = df.where("doc_id % 2 = 1").select("lang", langid.likelihoods(df.text, model, spark.sparkContext).alias("l")).collect()
     told = [r for r in held if r.l is not None and r.lang in langid.LANGUAGES]
     assert sum(langid.LANGUAGES[int(np.argmax(r.l))] == r.lang for r in told) >= 0.97 * len(told)
