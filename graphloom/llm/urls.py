@@ -28,8 +28,8 @@ from graphloom.llm.frames import cut_lineage, join_spread
 THRESHOLD = 0.5
 #: Standard deviations from the posterior's mean to its bound (one-sided 95 %).
 DEVIATIONS = 1.645
-#: Rules are compiled into one expression; longer lists belong in a table to join.
-MAX_RULES = 1000
+#: Up to so many rules are compiled into one expression; longer lists are a table to join.
+COMPILED_RULES = 200
 #: Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.kr", "co.za", "com.mx", "com.tr", "com.cn")
 
@@ -54,8 +54,6 @@ def domain_of(host: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     """The longest rule that fits and its verdict; rules are (verdict, host followed by path)."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; join a table of rules beyond {MAX_RULES}")
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for what, text in sorted(rules, key=lambda r: (len(r[1]), r[1])):
         name, slash, rest = text.partition("/")
@@ -64,6 +62,35 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return rule, verdict
 
 
+def with_rules(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
+    """``pages(host, path, ...)`` with ``rule`` and ``ruled``; rules are pairs or a table ``(verdict, rule)``.
+
+    Many rules are joined: each distinct host and path is expanded to the suffixes of its host
+    (whole labels) followed by the beginnings of its path that are as long as some rule's path
+    for that suffix, and the longest that is a rule counts. A rule that is listed with several
+    verdicts has the last one of a list, and blocks in a table.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= COMPILED_RULES:
+            rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
+            return pages.withColumns({"rule": rule, "ruled": ruled})
+        rules = pages.sparkSession.createDataFrame([(verdict, text) for text, verdict in {text: verdict for verdict, text in rules}.items()], "verdict string, rule string")
+    listed = rules.where("rule is not null").groupBy("rule").agg(F.max("verdict").alias("ruled"))
+    size = F.length("rule")
+    name = F.substring_index("rule", "/", 1)
+    listed = cut_lineage(listed.select("rule", "ruled", name.alias("name"), (size - F.length(name)).alias("wide")))
+    widths = listed.groupBy("name").agg(F.collect_set("wide").alias("widths"))  # at most as many as a rule is long
+    urls = pages.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    tried = join_spread(urls.select("host", "path", F.explode(suffixes).alias("name")), widths, ["name"], how="inner")
+    tried = tried.select("host", "path", F.explode(F.filter("widths", lambda w: w <= F.length("path"))).alias("wide"), "name")
+    keyed = tried.select("host", "path", F.concat("name", F.substring(F.col("path"), F.lit(1), F.col("wide"))).alias("rule"))
+    fits = join_spread(keyed, listed.select("rule", "ruled"), ["rule"], how="inner")
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "ruled"), F.struct(F.length("rule"), F.col("rule"))).alias("best"))
+    return join_spread(pages, best, ["host", "path"]).select(*pages.columns, "best.rule", "best.ruled")
+
+
 def _strength(children: DataFrame) -> float:
     """Prior strength from children (n, k, mean of the parent), by moments; one row of sums."""
     spread = F.col("mean") * (1 - F.col("mean"))
@@ -101,7 +128,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     return rated.withColumn("lower", F.col("mean") - DEVIATIONS * F.sqrt(F.col("alpha") * F.col("beta") / (whole * whole * (whole + 1))))
 
 
-def judge(df: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", bad: Column | None = None) -> DataFrame:
+def judge(df: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", bad: Column | None = None) -> DataFrame:
     """``(id, host, path, rule, verdict, bad_rate)`` for each row.
 
     ``bad`` labels pages for the reputation (null: unlabelled); by default pages that a
@@ -109,8 +136,7 @@ def judge(df: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_i
     """
     url = F.col(url_col)
     parsed = df.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), *([] if bad is None else [bad.alias("bad")]))
-    rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    pages = parsed.withColumns({"rule": rule, "ruled": ruled})
+    pages = with_rules(parsed, rules)
     labelled = pages.select("host", (F.col("ruled") == "block").alias("bad") if bad is None else F.col("bad"))
     known = reputation(labelled).select("host", F.col("mean").alias("bad_rate"), "lower")
     judged = join_spread(pages, known, ["host"])
