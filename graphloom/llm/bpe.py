@@ -21,6 +21,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.frames import slices
 
@@ -111,9 +113,12 @@ def codec(ranks_path: str, pattern: str) -> ByteBPE:
     return ByteBPE(ranks_path, pattern)
 
 
+def _schema(df: DataFrame, id_col: str, more: dict[str, T.DataType]) -> T.StructType:
+    return T.StructType([df.schema[id_col], *(T.StructField(name, kind) for name, kind in more.items())])
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
     """``(id, ids array<int>[, starts array<int>, ends array<int>])`` for each row."""
-    id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
@@ -129,13 +134,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                     names += ["starts", "ends"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = f"{id_col} {id_type}, ids array<int>" + (", starts array<int>, ends array<int>" if offsets else "")
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    ints = T.ArrayType(T.IntegerType())
+    more = {"ids": ints} | ({"starts": ints, "ends": ints} if offsets else {})
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, _schema(df, id_col, more))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(id, decoded binary)`` for each row of ids; null ids decode to no bytes."""
-    id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
@@ -144,22 +149,23 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 decoded = [bpe.decode(ids or []) for ids in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(decoded, pa.binary())], names=[id_col, "decoded"])
 
-    return df.select(id_col, ids_col).mapInArrow(run, f"{id_col} {id_type}, decoded binary")
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{ids_col}`")).mapInArrow(run, _schema(df, id_col, {"decoded": T.BinaryType()}))
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode each text, decode its ids again, and return the digests of both.
+    """Encode each text, decode its ids again, and return the digests of ids, offsets and text.
 
     Both directions run in one pass over the batch, so ids never leave the worker:
-    ``(id, n_tokens, ids_sha256, decoded_sha256, n_bytes)``.
+    ``(id, n_tokens, ids_sha256, decoded_sha256, n_bytes, offsets_sha256)``. The last is of
+    the tokens' first and end characters as little-endian unsigned 32-bit integers, all
+    first ones before all ends.
     """
-    id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch):
-                counts, id_digests, text_digests, sizes = [], [], [], []
+                counts, id_digests, text_digests, sizes, span_digests = [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     ids = bpe.encode(text)
                     decoded = bpe.decode(ids)
@@ -167,9 +173,11 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
                     id_digests.append(hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
                     text_digests.append(hashlib.sha256(decoded).hexdigest())
                     sizes.append(len(decoded))
+                    span_digests.append(hashlib.sha256(np.concatenate(bpe.offsets(text, ids)).astype("<u4").tobytes()).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string()), pa.array(sizes, pa.int64())],
-                    names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
+                    [part.column(0), pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(span_digests, pa.string())],
+                    names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "offsets_sha256"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
+    more = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "n_bytes": T.LongType(), "offsets_sha256": T.StringType()}
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, _schema(df, id_col, more))
