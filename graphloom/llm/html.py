@@ -5,8 +5,9 @@ menus, footers, side bars, notices, adverts, forms or reader comments (by tag, r
 class name) are bad; for all others stop-word density, length and link density decide, as
 in published block classifiers, with lower thresholds inside an article, and short or
 middling blocks stay ambiguous. Pass two gives an ambiguous block outside the article the
-label of its nearest decided neighbour outside; one inside is good unless the decided
-blocks on both sides of it are lists of links.
+label of the nearest neighbour outside that its own text decided (without any: good on a
+page that has no article, else bad); one inside is good unless the decided blocks on both
+sides of it are lists of links.
 
 Defined results: a null or empty page has an empty text; nothing is dropped from a good
 block, whatever its length; tags that are never closed end with the element around them;
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 #: Markup: comments, declarations, and tags with quoted attributes.
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)(?:>|\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_LETTERS = re.compile(r"[^\W\d_]+")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 
 # Element names by what they mean for blocks.
@@ -38,6 +40,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 ARTICLE = frozenset(("article", "main"))
+LINKED_TO = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dt dd figcaption caption".split())
 #: Parts of class names, ids and roles of what is not the article.
 BAD_NAMES = frozenset(
     (
@@ -72,9 +75,11 @@ class Block:
     rule: str = ""
 
 
-def _names(attributes: str) -> set[str]:
+def _names(attributes: str, ids: bool = True) -> set[str]:
     found: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
+        if not ids and m[1].lower() == "id":
+            continue
         found.update(x for x in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()) if x)
     return found
 
@@ -141,7 +146,8 @@ def blocks(page: str | None) -> list[Block]:
             elif name in BAD_TAGS or (name == "header" and not inside):
                 bad = True
             elif name not in ("html", "body") and m[3]:
-                bad = bad or bool(_names(m[3]) & BAD_NAMES) or bool(_HIDDEN.search(m[3]))
+                # a heading's or a paragraph's id is a place to link to and says nothing about its kind
+                bad = bad or bool(_names(m[3], name not in LINKED_TO) & BAD_NAMES) or bool(_HIDDEN.search(m[3]))
             stack.append((name, bad, inside))
             links += name == "a"
     flush()
@@ -154,7 +160,7 @@ def _one(found: list[Block]) -> None:
     heavy = [not b.bad and d > (LINK_DENSITY / INSIDE if b.inside else LINK_DENSITY) for b, d in zip(found, density, strict=True)]
     for i, b in enumerate(found):
         words = b.text.lower().split()
-        stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+        stop = sum(w in STOP_WORDS for w in _LETTERS.findall(b.text.lower())) / len(words)
         ease = INSIDE if b.inside else 1
         # one linked block in an article can be its text, a run of them is a list of links
         listed = any(heavy[k] and found[k].inside for k in (i - 1, i + 1) if 0 <= k < len(found))
@@ -165,13 +171,14 @@ def _one(found: list[Block]) -> None:
                 b.good, b.rule = False, "links"
         elif (len(b.text) >= LONG * ease and stop >= STOP_LOW * ease) or (stop >= STOP_HIGH * ease and len(words) >= 8 * ease and not b.linked):
             b.good, b.rule = True, "stop words"
-        elif len(b.text) >= LONG and not b.inside:
+        elif len(b.text) >= LONG and not b.inside and b.linked:
             b.good, b.rule = False, "length"
 
 
 def _two(region: list[Block], inside: bool, default: bool) -> None:
     """Pass two: label what is ambiguous in a region by its decided neighbours there."""
-    decided = [i for i, b in enumerate(region) if b.good is not None]
+    # what structure marked bad says nothing about what stands beside it
+    decided = [i for i, b in enumerate(region) if b.good is not None and b.rule != "structure"]
     labels = [region[k].good for k in decided]
     after = 0
     for i, b in enumerate(region):
