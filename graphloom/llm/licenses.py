@@ -3,8 +3,9 @@
 Every rolling word k-gram of every text is hashed and joined with the positions of equal
 k-grams in license templates. A hit votes for a diagonal (its position in the text less
 that in the template). Votes are counted for each diagonal, neighbouring diagonals are
-merged where words were added or left out, and a span counts when enough of the
-template's k-grams stand in it.
+merged where words were added or left out, and a span is proposed when enough of the
+template's k-grams stand in it. Then its words are compared with the template's, in order:
+a span counts when words that stand in both in the same order make enough of the longer one. Only texts with proposed spans are read for that.
 
 The templates are fixed: openings, short notices and sections of license texts, each a row
 with a share of its own. So the broadcast side of the join has a bounded size (about
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -57,31 +59,12 @@ GRAM = 3
 DRIFT = 4
 #: Words of the text between two runs of hits of one span, at most.
 GAP = 8
-#: Least share of a template's k-grams that a span must hold.
+#: Least share of a template's k-grams, and of its words in their order, that a span must hold.
 SHARE = 0.7
 
-_PLACES = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("labels", T.ArrayType(T.StringType()))])
 _FINDERS = [(re.compile(rb"(?<![^ ])" + p.encode() + rb"(?![^ ])"), label) for p, label in PHRASES.items()]
 
 
-@F.arrow_udf(_PLACES)
-def _places(texts: pa.Array) -> pa.Array:
-    rows = []
-    for text in texts.to_pylist():
-        words = Words([text], LETTERS).list()
-        joined = b" ".join(words)
-        starts, labels = [], []
-        for finder, label in _FINDERS:
-            for m in finder.finditer(joined):
-                starts.append(m.start())
-                labels.append(label)
-        if starts:
-            spaces = np.cumsum(np.frombuffer(joined, dtype=np.uint8) == 0x20)
-            starts = [int(spaces[s]) for s in starts]
-        rows.append({"n_words": len(words), "starts": starts, "labels": labels})
-    return pa.array(rows, pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("labels", pa.list_(pa.string()))]))
-
-
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _grams(texts: pa.Array) -> pa.Array:
     return pa.array([Words([t], LETTERS).grams(GRAM)[0].view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
@@ -97,7 +80,7 @@ def template_positions(df: DataFrame, templates: Iterable[tuple[str, str]]) -> D
 
 
 def spans(docs: DataFrame, templates: Iterable[tuple[str, str]] = ROWS) -> DataFrame:
-    """``(id, text_key, label, first_word, last_word, share, held)`` of each verified span; docs has id, text_key and text."""
+    """``(id, text_key, row, first_word, last_word, held)`` of each proposed span; docs has id, text_key and text."""
     hits = (
         docs.select("id", "text_key", F.posexplode(_grams("text")).alias("at", "gram"))
         .join(F.broadcast(template_positions(docs, templates)), "gram")
@@ -118,7 +101,7 @@ def spans(docs: DataFrame, templates: Iterable[tuple[str, str]] = ROWS) -> DataF
         merged.agg(F.min("lo").alias("first_word"), (F.max("hi") + GRAM - 1).alias("last_word"), held.alias("held"))
         .withColumn("share", F.col("held") / F.col("size"))
         .where(F.col("share") >= SHARE)
-        .select("id", "text_key", "label", "first_word", "last_word", "share", "held")
+        .select("id", "text_key", "row", F.col("first_word").cast("int"), F.col("last_word").cast("int"), F.col("held").cast("int"))
     )
 
 
@@ -136,34 +119,64 @@ def strongest(found: list[dict]) -> list[dict]:
     return [{k: v for k, v in s.items() if k != "held"} for s in found if not covered(s)]
 
 
-_SPANS = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType()), T.StructField("share", T.DoubleType())]))
+def _share(words: list[bytes], template: list[bytes]) -> float:
+    """Share of words that stand in both in the same order, of the longer of the two."""
+    return sum(m.size for m in SequenceMatcher(None, words, template, autojunk=False).get_matching_blocks()) / max(len(words), len(template))
 
 
-@F.arrow_udf(_SPANS)
-def _strongest(found: pa.Array) -> pa.Array:
-    span = pa.struct([("label", pa.string()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("share", pa.float64())])
-    return pa.array([strongest(s or []) for s in found.to_pylist()], pa.list_(span))
+_SPAN = pa.struct([("label", pa.string()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("share", pa.float64())])
+_SPANS = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType()), T.StructField("share", T.DoubleType())]))
+_READ = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("spans", _SPANS)])
+
+
+def _reader(templates: list[tuple[str, str]]):
+    """A function of texts and proposed spans: the number of words, the phrases' places, and the spans whose words agree."""
+
+    def run(texts: pa.Array, proposed: pa.Array) -> pa.Array:
+        rows, known = [], {}
+        for text, found in zip(texts.to_pylist(), proposed.to_pylist(), strict=True):
+            words = Words([text], LETTERS).list()
+            joined = b" ".join(words)
+            starts, labels = [], []
+            for finder, label in _FINDERS:
+                for m in finder.finditer(joined):
+                    starts.append(m.start())
+                    labels.append(label)
+            if starts:
+                spaces = np.cumsum(np.frombuffer(joined, dtype=np.uint8) == 0x20)
+                starts = [int(spaces[s]) for s in starts]
+            agreed = []
+            for s in found or ():
+                label, wording = templates[s["row"]]
+                template = known.setdefault(s["row"], Words([wording], LETTERS).list())
+                share = _share(words[s["first_word"] : s["last_word"] + 1], template)
+                if share >= SHARE:
+                    agreed.append({"label": label, "first_word": s["first_word"], "last_word": s["last_word"], "share": share, "held": s["held"]})
+            rows.append({"n_words": len(words), "starts": starts, "labels": labels, "spans": strongest(agreed)})
+        kinds = [("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("labels", pa.list_(pa.string())), ("spans", pa.list_(_SPAN))]
+        return pa.array(rows, pa.struct(kinds))
+
+    return F.arrow_udf(run, _READ)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Iterable[tuple[str, str]] = ROWS) -> DataFrame:
     """One row for each row of ``df``: ``(id, n_words, starts, base_labels, spans, score)``.
 
     ``starts`` are the word indexes of the phrases, ``spans`` the verified template spans,
-    ``score`` is 1 where a phrase stands, else the largest share of a template found.
+    ``score`` is 1 where a phrase stands, else the largest share of a template's words found.
     """
+    templates = list(templates)
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    places = docs.select("id", "text_key", _places("text").alias("p"))
-    found = spans(docs, templates).groupBy("id", "text_key").agg(
-        F.collect_set(F.struct("label", "first_word", "last_word", "share", "held")).alias("found")
-    )
-    found = found.select("id", "text_key", F.array_sort(F.array_distinct(_strongest("found"))).alias("spans"))
-    found = found.withColumn("share", F.array_max(F.transform("spans", lambda s: s["share"])))
+    # a text's spans are at most one for some words of it
+    found = spans(docs, templates).groupBy("id", "text_key").agg(F.collect_set(F.struct("row", "first_word", "last_word", "held")).alias("found"))
     same: Column = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.text_key") == F.col("b.text_key"))
-    return places.alias("a").join(found.alias("b"), same, "left").select(
-        F.col("a.id").alias(id_col),
+    read = docs.alias("a").join(found.alias("b"), same, "left").select(F.col("a.id").alias("id"), _reader(templates)("a.text", "b.found").alias("p"))
+    share = F.array_max(F.transform("p.spans", lambda s: s["share"]))
+    return read.select(
+        F.col("id").alias(id_col),
         F.col("p.n_words"),
         F.array_sort("p.starts").alias("starts"),
         F.array_sort(F.array_distinct("p.labels")).alias("base_labels"),
-        F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"),
-        F.when(F.size("p.starts") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        F.array_sort(F.array_distinct("p.spans")).alias("spans"),
+        F.when(F.size("p.starts") > 0, F.lit(1.0)).otherwise(F.coalesce(share, F.lit(0.0))).alias("score"),
     )
