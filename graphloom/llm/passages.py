@@ -14,8 +14,9 @@ for each word, so the work goes in three steps:
    stand first in, so one automaton is never larger than one document (and at most
    ``SHARD_WINDOWS`` windows at a time).
 3. The stretches of all documents that hold recurring windows are streamed past the
-   automaton of their shard, which locates every occurrence word for word. A shard that
-   many documents hold is dealt over several tasks, each with its own copy of the passages.
+   automaton of their shard, which locates every occurrence word for word. A shard whose
+   windows occur often is dealt over several tasks by the number of its occurrences, each
+   with its own copy of the passages.
 
 Texts are exchanged once, by id and compressed; each step joins its findings to that one exchange.
 
@@ -47,10 +48,10 @@ WINDOW = 13
 ANCHOR = 6
 #: Windows of one automaton, at most; longer sources are compiled and streamed past in parts.
 SHARD_WINDOWS = 50_000
-#: Documents that one task streams past a shard, about.
-SHARD_DOCUMENTS = 256
-#: Bytes of packed texts that are looked at together, about a megabyte of text.
-PACKED_BYTES = 1 << 18
+#: Occurrences of windows that one task streams past a shard, about.
+SHARD_OCCURRENCES = 25_000
+#: Bytes of packed texts that are looked at together, about half a megabyte of text.
+PACKED_BYTES = 1 << 17
 _LONGS = T.ArrayType(T.LongType())
 
 
@@ -59,7 +60,7 @@ def _pack():
         press = zstandard.ZstdCompressor(level=3).compress
         return pa.array([None if t is None else press(t) for t in (x.as_py() for x in texts.cast(pa.binary()))], pa.binary())
 
-    return F.arrow_udf(run, T.BinaryType())
+    return F.arrow_udf(_by_parts(run, pa.binary(), 1 << 20), T.BinaryType())
 
 
 def _unpacked(packed: pa.Array) -> Iterator[bytes]:
@@ -104,12 +105,12 @@ def _lists(rows: np.ndarray, values: np.ndarray, n_rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n_rows + 1)).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _by_parts(run, kind: pa.DataType):
-    """A function of columns, the first being packed texts, that is applied to about a megabyte of text at a time."""
+def _by_parts(run, kind: pa.DataType, limit: int | None = None):
+    """A function of columns, the first being texts, that is applied to so many bytes of them at a time."""
 
     def whole(*columns: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays(list(columns), names=[str(k) for k in range(len(columns))])
-        return pa.concat_arrays([pa.array([], kind), *(run(*part.columns) for part in parts(batch, 0, PACKED_BYTES))])
+        return pa.concat_arrays([pa.array([], kind), *(run(*part.columns) for part in parts(batch, 0, limit or PACKED_BYTES))])
 
     return whole
 
@@ -256,9 +257,10 @@ def _cut(window: int):
                 covered = np.cumsum(gone[:-1]) > 0
                 kept = [w for w, c in zip(listed, covered.tolist(), strict=True) if not c] if covered.any() else listed
             rows.append({"n_words": len(listed), "n_removed": len(listed) - len(kept), "kept": b" ".join(kept).decode("utf-8", "replace")})
-        return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
+        return pa.array(rows, kind)
 
-    return F.arrow_udf(run, _CUT)
+    kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+    return F.arrow_udf(_by_parts(run, kind), _CUT)
 
 
 def _copied(docs: DataFrame) -> DataFrame:
@@ -285,10 +287,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = anchors.join(recurring, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
     candidates = fresh.join(marked, "id").select("id", F.explode(_candidates(window, anchor)("packed", "anchors")).alias("window"))
 
-    # windows that start in two texts; their level tells over how many tasks (2 to its power) their documents are dealt
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / SHARD_DOCUMENTS))).cast("int")
+    # windows that start in two texts; the level of their source tells over how many tasks (2 to its power) its occurrences are dealt
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.sum("n") / SHARD_OCCURRENCES))).cast("int")
     confirmed = candidates.groupBy("window").agg(F.min("id").alias("source"), F.count("*").alias("n")).where("n > 1")
-    held = candidates.join(confirmed.select("window", "source", level.alias("level")), "window")
+    # few sources need more than one task; for all others the level is 0
+    busy = confirmed.groupBy("source").agg(level.alias("level")).where("level > 0")
+    levelled = confirmed.join(busy, "source", "left").select("window", "source", F.coalesce("level", F.lit(0)).alias("level"))
+    held = candidates.join(levelled, "window")
     # lists of one aggregate are in one order; apart they are half as long as a list of structs
     of_doc = held.groupBy("id").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("window", "source", "level")])
 

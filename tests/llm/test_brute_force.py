@@ -165,9 +165,9 @@ def removed(docs, window=13):
     return out
 
 
-@pytest.mark.parametrize(("documents", "windows"), [(256, 50_000), (2, 60)])
-def test_substring_dedup(spark, docs, monkeypatch, documents, windows):
-    monkeypatch.setattr(passages, "SHARD_DOCUMENTS", documents)
+@pytest.mark.parametrize(("occurrences", "windows"), [(25_000, 50_000), (20, 60)])
+def test_substring_dedup(spark, docs, monkeypatch, occurrences, windows):
+    monkeypatch.setattr(passages, "SHARD_OCCURRENCES", occurrences)
     monkeypatch.setattr(passages, "SHARD_WINDOWS", windows)
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op5_substring_dedup(spark, SF).collect()} == removed(docs)
 
