@@ -53,7 +53,7 @@ CHANCE = 0.1
 #: Codewords of one block's codebook, at most.
 CODEWORDS = 512
 #: Vectors of one side of a cell, and of a chunk of small cells that are compared at once.
-BLOCK_ROWS, CHUNK_ROWS, SMALL = 1024, 4096, 32
+BLOCK_ROWS, CHUNK_ROWS, SMALL = 512, 4096, 32
 
 
 class Filters:
