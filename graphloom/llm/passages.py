@@ -48,8 +48,8 @@ WINDOW = 13
 ANCHOR = 6
 #: Windows of one automaton, at most; longer sources are compiled and streamed past in parts.
 SHARD_WINDOWS = 50_000
-#: Occurrences of windows that one task streams past a shard, about.
-SHARD_OCCURRENCES = 25_000
+#: Occurrences of windows, and documents of one window, that one task streams past a shard, about.
+SHARD_OCCURRENCES, SHARD_DOCUMENTS = 25_000, 256
 #: Bytes of packed texts that are looked at together, about half a megabyte of text.
 PACKED_BYTES = 1 << 17
 _LONGS = T.ArrayType(T.LongType())
@@ -288,7 +288,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     candidates = fresh.join(marked, "id").select("id", F.explode(_candidates(window, anchor)("packed", "anchors")).alias("window"))
 
     # windows that start in two texts; the level of their source tells over how many tasks (2 to its power) its occurrences are dealt
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.sum("n") / SHARD_OCCURRENCES))).cast("int")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.sum("n") / SHARD_OCCURRENCES, F.max("n") / SHARD_DOCUMENTS)))).cast("int")
     confirmed = candidates.groupBy("window").agg(F.min("id").alias("source"), F.count("*").alias("n")).where("n > 1")
     # few sources need more than one task; for all others the level is 0
     busy = confirmed.groupBy("source").agg(level.alias("level")).where("level > 0")
