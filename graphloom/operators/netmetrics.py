@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.lineage import cut_lineage
+
 
 def co_occurrence(members: DataFrame, group: str, item: str, least: int = 1) -> DataFrame:
     """``(a, b, both, n_a, n_b)``: pairs of items that share groups, with the counts of each.
@@ -28,17 +28,28 @@ def overlap(both: Column, n_a: Column, n_b: Column) -> Column:
     return both / F.least(n_a, n_b)
 
 
-def shortest_distances(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
-    """``(source, node, distance)`` over undirected ``edges(a, b, cost)``, paths of up to ``rounds`` edges.
+def shortest_distances(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """``(source, node, distance, path)`` over undirected ``edges(a, b, cost)``: the cheapest path to every node that has one.
 
-    Relaxation: each round extends only the distances that the round before improved.
+    Relaxation to the end: each round extends only what the round before improved, and the rounds stop
+    when nothing improves. Edges are written once and distances once a round, so a round's plan is that
+    of two joins however many went before. ``most_rounds`` only guards against a loop without end; costs
+    are not negative, so it is not reached. Of equally cheap paths the first in order of nodes counts.
     """
     both = edges.select("a", "b", "cost").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost"))
-    best = sources.select(F.col(sources.columns[0]).alias("source")).distinct().withColumn("node", F.col("source")).withColumn("distance", F.lit(0.0))
-    for _ in range(rounds):
-        step = best.join(both, best["node"] == both["a"]).select("source", F.col("b").alias("node"), (F.col("distance") + F.col("cost")).alias("distance"))
-        best = best.unionByName(step).groupBy("source", "node").agg(F.min("distance").alias("distance"))
-    return best
+    links = cut_lineage(both.groupBy("a", "b").agg(F.min("cost").alias("cost")))
+    node = sources.columns[0]
+    best = cut_lineage(sources.select(F.col(node).alias("source")).distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("distance"), F.array("source").alias("path")))
+    improved = best
+    for _ in range(most_rounds):
+        step = improved.join(links, improved["node"] == links["a"]).select("source", F.col("b").alias("node"), F.struct((F.col("distance") + F.col("cost")).alias("distance"), F.concat("path", F.array("b")).alias("path")).alias("way"))
+        step = step.groupBy("source", "node").agg(F.min("way").alias("way"))
+        known = best.select("source", "node", F.col("distance").alias("known"))
+        improved = cut_lineage(step.join(known, ["source", "node"], "left").where("known IS NULL OR way.distance < known").select("source", "node", "way.distance", "way.path"))
+        if improved.isEmpty():
+            return best
+        best = cut_lineage(best.join(improved.select("source", "node"), ["source", "node"], "left_anti").unionByName(improved))
+    raise RuntimeError(f"distances still improve after {most_rounds} rounds")
 
 
 def closeness(distance: Column) -> Column:
@@ -46,57 +57,50 @@ def closeness(distance: Column) -> Column:
     return F.coalesce(1 / (1 + distance), F.lit(0.0))
 
 
+def inverse_weight(weight: Column) -> Column:
+    """The other form of closeness: 1 / weight; 0 where there is no edge or no weight."""
+    return F.coalesce(F.when(weight > 0, 1 / weight), F.lit(0.0))
+
+
+def blended(path: Column, semantic: Column, substitution: Column | None = None) -> Column:
+    """0.6 of the path's closeness and 0.3 of the meaning's, and 0.1 of the substitution's where that is given."""
+    both = 0.6 * path + 0.3 * semantic
+    return both if substitution is None else both + 0.1 * substitution
+
+
+#: How much more a core skill counts for a job's closeness.
+CORE_WEIGHT = 2.0
 #: Rounds between two checkpoints, at each of which the change is read.
 STEP = 5
 
 
-def eigenvector_centrality(edges: DataFrame, rounds: int | None = None, tolerance: float = 1e-4, most_rounds: int = 100) -> DataFrame:
-    """``(node, centrality)`` by power iteration over undirected ``edges(a, b)``, unit length.
+def eigenvector_centrality(edges: DataFrame, tolerance: float = 1e-4, most_rounds: int = 100) -> DataFrame:
+    """``(node, centrality, converged)`` by power iteration over undirected ``edges(a, b)``, unit length.
 
-    Rounds go on until no value changes by ``tolerance``; without that after ``most_rounds``
-    it is an error. Each node counts itself too, which leaves the result and lets graphs of
-    two sides converge. With ``rounds``, so many plain rounds are made and no test.
+    Rounds go on until no value changes by ``tolerance``, or until ``most_rounds``, and ``converged`` tells
+    which. Each node counts itself too, which leaves the result and lets graphs of two sides converge. The
+    vector is written and brought to unit length every ``STEP`` rounds, so plans stay small and values finite.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    if rounds is None:
-        return _converged(both.where("a <> b"), tolerance, most_rounds)
-    score = both.select(F.col("a").alias("node")).distinct().withColumn("centrality", F.lit(1.0))
-    for _ in range(rounds):
-        score = both.join(score, both["b"] == score["node"]).groupBy("a").agg(F.sum("centrality").alias("x")).select(F.col("a").alias("node"), F.col("x").alias("centrality"))
-    # the length of the vector is one number, joined as a row of its own
-    length = score.agg(F.sqrt(F.sum(F.col("centrality") * F.col("centrality"))).alias("length")).withColumn("one", F.lit(1))
-    return score.withColumn("one", F.lit(1)).join(F.broadcast(length), "one").select("node", (F.col("centrality") / F.col("length")).alias("centrality"))
-
-
-def _cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder of ``spark.checkpoint.dir``, a temporary one where the session has none."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint()
-
-
-def _converged(both: DataFrame, tolerance: float, most_rounds: int) -> DataFrame:
-    both = _cut_lineage(both)
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    both = cut_lineage(both)
     nodes = both.select(F.col("a").alias("node")).distinct()
-    links = _cut_lineage(both.unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))))
+    links = cut_lineage(both.unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))))
     score = nodes.withColumn("centrality", F.lit(1.0))
-    done = 0
-    while done < most_rounds:
+    done, converged = 0, False
+    while done < most_rounds and not converged:
         for _ in range(min(STEP, most_rounds - done)):
             step = links.join(score.select("node", "centrality"), links["b"] == F.col("node")).groupBy("a")
             own = F.sum(F.when(F.col("a") == F.col("b"), F.col("centrality")))
             score = step.agg(F.sum("centrality").alias("centrality"), own.alias("before")).withColumnRenamed("a", "node")
             done += 1
-        score = _cut_lineage(score)
+        score = cut_lineage(score)
         now, last = score.agg(*(F.sqrt(F.sum(F.col(c) * F.col(c))) for c in ("centrality", "before"))).first()
         if now is None:  # no edges
-            return score.select("node", "centrality")
+            break
         change = score.agg(F.max(F.abs(F.col("centrality") / now - F.col("before") / last))).first()[0]
         score = score.select("node", (F.col("centrality") / now).alias("centrality"))
-        if change < tolerance:
-            return score
-    raise RuntimeError(f"Centrality still changes by {change} after {most_rounds} rounds")
+        converged = change < tolerance
+    return score.select("node", "centrality", F.lit(converged).alias("converged"))
 
 
 def creation_vs_history(dated: DataFrame, window: str = "INTERVAL 5 YEARS") -> DataFrame:

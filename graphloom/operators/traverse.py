@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.lineage import cut_lineage
+
 MAX_DEPTH = 5
 
 
@@ -16,18 +20,21 @@ def undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 def khop(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """``(seed, node, hops)``: nodes within ``depth`` steps of each seed, with the fewest steps.
 
-    The loop is unrolled into one plan: each step expands only the pairs found in the step
-    before, and drops those already reached. Seeds are not their own result.
+    Each step expands only the pairs found in the step before, and drops those already reached. Edges are
+    written once and each step's pairs as well, so a step's plan is two joins whatever the depth. Seeds are
+    not their own result.
     """
     depth = max(1, min(depth, MAX_DEPTH))
+    links = cut_lineage(edges.select("src", "dst"))
     start = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct()
-    reached = start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops"))
-    frontier = reached
+    frontier = cut_lineage(start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops")))
+    rounds = [frontier]
     for hop in range(1, depth + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = step.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop))
-        reached = reached.unionByName(frontier)
-    return reached.where("hops > 0")
+        step = frontier.join(links, frontier["node"] == links["src"]).select("seed", F.col("dst").alias("node")).distinct()
+        reached = reduce(DataFrame.unionByName, rounds).select("seed", "node")
+        frontier = cut_lineage(step.join(reached, ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        rounds.append(frontier)
+    return reduce(DataFrame.unionByName, rounds[1:])
 
 
 def trails(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

@@ -101,20 +101,21 @@ def creation_reuse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SOURCES = ("Brand#11", "Brand#23")
 _WALK = """, edge AS (SELECT a, b, 1 / both_n AS cost FROM co UNION ALL SELECT b, a, 1 / both_n FROM co),
-walk AS (SELECT c AS source, c AS node, 0.0::DOUBLE AS distance, 0 AS hops FROM (VALUES ('Brand#11'), ('Brand#23')) t(c)
-  UNION ALL SELECT source, b, distance + cost, hops + 1 FROM walk JOIN edge ON node = a WHERE hops < 3),
-short AS (SELECT source, node, min(distance) AS distance FROM walk GROUP BY source, node)"""
+short(source, node, distance) USING KEY (source, node) AS (SELECT c, c, 0.0::DOUBLE FROM (VALUES ('Brand#11'), ('Brand#23')) t(c)
+  UNION SELECT s.source, e.b, min(s.distance + e.cost) FROM short s JOIN edge e ON s.node = e.a LEFT JOIN recurring.short k ON k.source = s.source AND k.node = e.b
+  WHERE k.distance IS NULL OR s.distance + e.cost < k.distance GROUP BY ALL)"""
 
 
 def _short(g: Graph) -> DataFrame:
+    """From two brands, the given question's sources, to all others."""
     edges = _pairs(g).select("a", "b", (1 / F.col("both")).alias("cost"))
     sources = g.skills().select("category").where(F.col("category").isin(*_SOURCES)).distinct()
-    return netmetrics.shortest_distances(edges, sources, 3)
+    return netmetrics.shortest_distances(edges, sources)
 
 
 @query(f"{_CO}{_WALK} SELECT source, node, round(distance, 8) AS distance FROM short")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _short(Graph(spark, sf_dir)).withColumn("distance", F.round("distance", 8))
+    return _short(Graph(spark, sf_dir)).select("source", "node", F.round("distance", 8).alias("distance"))
 
 
 @query(f"{_CO}{_WALK} SELECT source, node, round(1 / (1 + distance), 8) AS closeness FROM short")
@@ -122,16 +123,23 @@ def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(Graph(spark, sf_dir)).select("source", "node", F.round(netmetrics.closeness(F.col("distance")), 8).alias("closeness"))
 
 
+#: A skill that at least 15 % of the jobs of a title want is core for it here, and counts twice.
 _JOB_CLOSE = """, close AS (SELECT node AS category, max(1 / (1 + distance)) AS c FROM short GROUP BY node),
-jc AS (SELECT job_id, avg(coalesce(c, 0)) AS closeness, avg(CASE WHEN coalesce(c, 0) > 0.9985 THEN 1.0 ELSE 0.0 END) AS core, avg(n) AS demand FROM brand LEFT JOIN close USING (category) JOIN demand USING (category) GROUP BY job_id)"""
+titled AS (SELECT job_title, count(*) AS jobs FROM job GROUP BY job_title),
+core AS (SELECT category, job_title, 2 * count(*) >= 0.3 * max(jobs) AS is_core FROM brand JOIN job USING (job_id) JOIN titled USING (job_title) GROUP BY category, job_title),
+jc AS (SELECT job_id, sum(w * coalesce(c, 0)) / sum(w) AS closeness, avg(CASE WHEN coalesce(c, 0) > 0.9985 THEN 1.0 ELSE 0.0 END) AS core, avg(n) AS demand
+  FROM (SELECT job_id, category, CASE WHEN is_core THEN 2.0 ELSE 1.0 END AS w FROM brand JOIN job USING (job_id) JOIN core USING (category, job_title)) LEFT JOIN close USING (category) JOIN demand USING (category) GROUP BY job_id)"""
 
 
 def _job_close(g: Graph) -> DataFrame:
     close = _short(g).groupBy("node").agg(F.max(netmetrics.closeness(F.col("distance"))).alias("c")).withColumnRenamed("node", "category")
-    brand = _brands(g)
+    brand = _brands(g).join(g.jobs().select("job_id", "job_title"), "job_id")
     demand = brand.groupBy("category").agg(F.count("*").alias("n"))
-    rows = brand.join(close, "category", "left").join(demand, "category").withColumn("c", F.coalesce("c", F.lit(0.0)))
-    return rows.groupBy("job_id").agg(F.avg("c").alias("closeness"), F.avg(F.when(F.col("c") > 0.9985, 1.0).otherwise(0.0)).alias("core"), F.avg("n").alias("demand"))
+    titled = g.jobs().groupBy("job_title").agg(F.count("*").alias("jobs"))
+    core = brand.groupBy("category", "job_title").agg(F.count("*").alias("own")).join(titled, "job_title").select("category", "job_title", (2 * F.col("own") >= 0.3 * F.col("jobs")).alias("is_core"))
+    rows = brand.join(core, ["category", "job_title"]).join(close, "category", "left").join(demand, "category").withColumn("c", F.coalesce("c", F.lit(0.0)))
+    weight = F.when(F.col("is_core"), netmetrics.CORE_WEIGHT).otherwise(1.0)
+    return rows.groupBy("job_id").agg((F.sum(weight * F.col("c")) / F.sum(weight)).alias("closeness"), F.avg(F.when(F.col("c") > 0.9985, 1.0).otherwise(0.0)).alias("core"), F.avg("n").alias("demand"))
 
 
 @query(f"{_CO}{_WALK}{_JOB_CLOSE} SELECT job_id, round(closeness, 6) AS closeness FROM jc")
@@ -149,46 +157,44 @@ def transition_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("job_id", F.round("i", 5).alias("transition_index"), netmetrics.transition_band(F.col("i")).alias("band"))
 
 
-_ROUNDS = 6
-_POWER = ", s0 AS (SELECT DISTINCT src AS node, 1.0::DOUBLE AS c FROM undirected)" + "".join(
-    f", s{k + 1} AS (SELECT src AS node, sum(c) AS c FROM undirected JOIN s{k} ON dst = node GROUP BY src)" for k in range(_ROUNDS)
-)
+#: Up to 100 rounds, each node counting itself too; the first of rounds 5, 10, ... in which no value changes by 1e-4, else the last.
+_POWER = """, u AS (SELECT src, dst FROM undirected WHERE src <> dst UNION SELECT src, src FROM undirected),
+power(k, node, c) AS (SELECT 0, node, 1.0::DOUBLE FROM (SELECT DISTINCT src AS node FROM u) UNION ALL SELECT k + 1, src, sum(c) FROM power JOIN u ON dst = node WHERE k < 100 GROUP BY k, src),
+unit AS (SELECT k, node, c / sqrt(sum(c * c) OVER (PARTITION BY k)) AS c FROM power),
+moved AS (SELECT a.k, max(abs(a.c - b.c)) AS d FROM unit a JOIN unit b ON a.node = b.node AND b.k = a.k - 1 WHERE a.k % 5 = 0 GROUP BY a.k),
+r AS (SELECT node, c FROM unit WHERE k = coalesce((SELECT min(k) FROM moved WHERE d < 1e-4), 100))"""
+
+
+def _central(g: Graph) -> DataFrame:
+    return netmetrics.eigenvector_centrality(vector_search.knn_graph(g.vectors(), 0.3).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-@query(f"{SQL}{_POWER} SELECT node, round(c / sqrt((SELECT sum(c * c) FROM s{_ROUNDS})), 6) AS centrality FROM s{_ROUNDS}")
+@query(f"{SQL}{_POWER} SELECT node, round(c, 6) AS centrality FROM r")
 def eigenvector_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = vector_search.knn_graph(Graph(spark, sf_dir).vectors(), 0.3).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return netmetrics.eigenvector_centrality(edges, _ROUNDS).withColumn("centrality", F.round("centrality", 6))
+    return _central(Graph(spark, sf_dir)).select("node", F.round("centrality", 6).alias("centrality"))
 
 
-@query(
-    f"""{SQL}{_POWER}, r AS (SELECT node, c / sqrt((SELECT sum(c * c) FROM s{_ROUNDS})) AS c FROM s{_ROUNDS})
-SELECT category, node, round(c, 6) AS centrality FROM r JOIN skill ON skill_id = node WHERE category IN ('Brand#11', 'Brand#22', 'Brand#33', 'Brand#44') ORDER BY r.c DESC, node LIMIT 10"""
-)
+_TOP_CENTRAL = "SELECT category, node, round(c, 6) AS centrality FROM r JOIN skill ON skill_id = node WHERE category IN ('Brand#11', 'Brand#22', 'Brand#33', 'Brand#44') ORDER BY r.c DESC, node LIMIT 10"
+
+
+@query(f"{SQL}{_POWER} {_TOP_CENTRAL}")
 def central_in_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
-    edges = vector_search.knn_graph(g.vectors(), 0.3).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     wanted = g.skills().where(F.col("category").isin("Brand#11", "Brand#22", "Brand#33", "Brand#44")).select(F.col("skill_id").alias("node"), "category")
-    rows = netmetrics.eigenvector_centrality(edges, _ROUNDS).join(wanted, "node")
+    rows = _central(g).join(wanted, "node")
     return rows.orderBy(F.desc("centrality"), "node").limit(10).select("category", "node", F.round("centrality", 6).alias("centrality"))
 
 
-def _central(g: Graph) -> DataFrame:
-    """Until it converges, which SQL can't unroll."""
-    return netmetrics.eigenvector_centrality(vector_search.knn_graph(g.vectors(), 0.3).select(F.col("src").alias("a"), F.col("dst").alias("b")))
-
-
-@query()
+@query(f"{SQL}{_POWER} SELECT node, round(c, 6) AS centrality FROM r")
 def eigenvector_centrality_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _central(Graph(spark, sf_dir)).withColumn("centrality", F.round("centrality", 6))
+    """Its name of before the query above went on until it converged."""
+    return eigenvector_centrality(spark, sf_dir)
 
 
-@query()
+@query(f"{SQL}{_POWER} {_TOP_CENTRAL}")
 def central_in_categories_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = Graph(spark, sf_dir)
-    wanted = g.skills().where(F.col("category").isin("Brand#11", "Brand#22", "Brand#33", "Brand#44")).select(F.col("skill_id").alias("node"), "category")
-    rows = _central(g).join(wanted, "node")
-    return rows.orderBy(F.desc("centrality"), "node").limit(10).select("category", "node", F.round("centrality", 6).alias("centrality"))
+    """Its name of before the query above went on until it converged."""
+    return central_in_categories(spark, sf_dir)
 
 
 @query(f"{_CO}{_WALK} SELECT source, round(avg(1 / (1 + distance)), 6) AS closeness FROM short WHERE node LIKE 'Brand#3%' GROUP BY source")

@@ -6,12 +6,13 @@ folder beside the checkpoints, so a batch that is run again after a failure repl
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.lineage import shared_folder
+
 
 def read_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, with an event time that watermarks accept."""
@@ -44,8 +45,7 @@ def sessions(log: DataFrame, gap: str = "1 day", late: str = "1 hour") -> DataFr
 def run_now(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over what is there and read its result: the last state of each key, or all rows."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-")
-    at = f"{shared}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")

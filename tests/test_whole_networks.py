@@ -28,9 +28,21 @@ def test_centrality_converges(spark, edges):
     assert netmetrics.eigenvector_centrality(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_centrality_that_does_not_converge_is_an_error(spark):
-    with pytest.raises(RuntimeError, match="after 3 rounds"):
-        netmetrics.eigenvector_centrality(spark.createDataFrame(GRAPHS[0], "a long, b long"), most_rounds=3)
+def test_centrality_tells_whether_it_converged(spark):
+    edges = spark.createDataFrame(GRAPHS[0], "a long, b long")
+    assert {r.converged for r in netmetrics.eigenvector_centrality(edges, most_rounds=3).collect()} == {False}
+    assert {r.converged for r in netmetrics.eigenvector_centrality(edges).collect()} == {True}
+
+
+def test_distances_over_a_path_of_ten_edges(spark):
+    edges = [(k, k + 1, 1.0) for k in range(10)] + [(0, 10, 11.0), (20, 21, 1.0)]
+    got = {r.node: (r.distance, r.path) for r in netmetrics.shortest_distances(spark.createDataFrame(edges, "a long, b long, cost double"), spark.createDataFrame([(0,)], "s long")).collect()}
+    assert got == {k: (float(k), list(range(k + 1))) for k in range(11)}
+    # a cheaper way of more edges takes the place of a dear one, and repeated edges count once
+    edges = [("a", "c", 5.0), ("a", "b", 1.0), ("b", "c", 1.0), ("b", "c", 9.0)]
+    got = {r.node: (r.distance, r.path) for r in netmetrics.shortest_distances(spark.createDataFrame(edges, "a string, b string, cost double"), spark.createDataFrame([("a",)], "s string")).collect()}
+    assert got == {"a": (0.0, ["a"]), "b": (1.0, ["a", "b"]), "c": (2.0, ["a", "b", "c"])}
+    assert netmetrics.shortest_distances(spark.createDataFrame([], "a long, b long, cost double"), spark.createDataFrame([], "s long")).collect() == []
 
 
 def test_history_of_five_years(spark):
