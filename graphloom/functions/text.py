@@ -36,9 +36,35 @@ def match_key(name: Column) -> Column:
 
 
 def row_hash(*columns: str) -> Column:
-    """Equal for equal values of the named columns, whatever their order in the row."""
-    parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in sorted(columns)]
-    return F.sha2(F.concat_ws("\u001f", *parts), 256)
+    """Equal for equal values of the named columns, whatever their order in the row; nulls count as values."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
+
+
+def stable_id(name: Column) -> Column:
+    """An id that depends on the name alone."""
+    return F.sha2(name, 256)
+
+
+def lakhs(amount: Column) -> Column:
+    """An amount as text: above 100,000 in lakhs with one place, else whole with thousands apart; null stays null."""
+    return F.when(amount > 100_000, F.concat(F.format_number(amount / 100_000, 1), F.lit(" LPA"))).otherwise(F.format_number(amount, 0))
+
+
+def and_others(names: Column, n: int) -> Column:
+    """The first n of the sorted distinct names, and how many others there are."""
+    listed = F.array_sort(F.array_distinct(names))
+    shown = F.array_join(F.slice(listed, 1, n), ", ")
+    return F.when(F.size(listed) > n, F.concat(shown, F.lit(" and "), (F.size(listed) - n).cast("string"), F.lit(" others"))).otherwise(shown)
+
+
+def truncated(text: Column, n: int) -> Column:
+    """The first n characters and three dots, or the whole of a shorter text."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
+
+
+def iso_time(text: Column) -> Column:
+    """The moment that ISO text names, with ``Z`` or an offset or none (then UTC); null if it names none."""
+    return F.try_to_timestamp(text)
 
 
 def split_list(cell: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import match_key
+from graphloom.functions.text import match_key, stable_id
 
 MAX_DISTANCE, MIN_LENGTH = 2, 2
 
@@ -57,6 +57,18 @@ def link(names: DataFrame, taxonomy: DataFrame, name_col: str = "name", taxonomy
     )
 
 
+def mentions(rows: DataFrame, id_col: str, names: Column, scores: Column) -> DataFrame:
+    """``(job_id, position, name, score)``: the names of a list cell with the scores at the same places; null where there are fewer."""
+    zipped = F.transform(names, lambda name, k: F.struct((k + 1).alias("position"), name.alias("name"), F.try_element_at(scores, k + 1).try_cast("double").alias("score")))
+    return rows.select(F.col(id_col).alias("job_id"), F.explode(zipped).alias("m")).select("job_id", "m.*")
+
+
+def match_counts(mentions: DataFrame, links: DataFrame) -> DataFrame:
+    """``(match_type, mentions, names)``: how often each kind of match came up, and for how many names."""
+    said = mentions.groupBy(match_key(F.col("name")).alias("name")).agg(F.count("*").alias("n"))
+    return said.join(links.select("name", "match_type"), "name").groupBy("match_type").agg(F.sum("n").alias("mentions"), F.count("*").alias("names"))
+
+
 def requires_edges(mentions: DataFrame, links: DataFrame) -> DataFrame:
     """``(job_id, matched, score, confidence)``: one edge for each job and matched name, the first mention's score."""
     keyed = mentions.withColumn("name", match_key(F.col("name")))
@@ -70,4 +82,4 @@ def review_queue(mentions: DataFrame, links: DataFrame) -> DataFrame:
     keyed = mentions.select("job_id", match_key(F.col("name")).alias("name"))
     orphans = links.where("match_type = 'orphan'").select("name", "reason", "candidates")
     rows = keyed.join(orphans, "name").groupBy("name", "reason", "candidates").agg(F.count_distinct("job_id").alias("jobs_requiring_skill"))
-    return rows.withColumn("skill_id", F.sha2("name", 256)).orderBy(F.desc("jobs_requiring_skill"), "name")
+    return rows.withColumn("skill_id", stable_id(F.col("name"))).orderBy(F.desc("jobs_requiring_skill"), "name")

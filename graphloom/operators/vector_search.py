@@ -84,6 +84,13 @@ def coverage(nodes: DataFrame, vectors: DataFrame, key: str, group: str) -> Data
     )
 
 
+def catalogue(nodes: DataFrame, vectors: DataFrame, key: str, label: str) -> DataFrame:
+    """``(label, state, entries, population_pct)``: how far each label's nodes have vectors, in place of an index catalogue."""
+    seen = coverage(nodes, vectors, key, label)
+    state = F.when(F.col("with_embedding") == 0, "EMPTY").when(F.col("with_embedding") < F.col("total"), "POPULATING").otherwise("ONLINE")
+    return seen.select(F.col(label).alias("label"), state.alias("state"), F.col("total").alias("entries"), F.col("coverage_pct").alias("population_pct"))
+
+
 def dimensions(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy(F.size("v").alias("dimension")).agg(F.count("*").alias("n"))
 
