@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.lineage import cut_lineage
@@ -113,3 +113,58 @@ def shape_relationships(**frames: DataFrame) -> DataFrame:
         part = df.select(F.lit(label).alias("rel_type"), F.col(src).cast("string").alias("src"), F.col(dst).cast("string").alias("dst"))
         found = part if found is None else found.unionByName(part)
     return found.distinct()
+
+
+def company_rows(seeds: DataFrame, jobs: DataFrame, requires: DataFrame, skills: DataFrame, companies: DataFrame, limit: int = 500) -> DataFrame:
+    """The other jobs and the skills of the seed jobs' companies, a row each and not their product: ``(company_id, company_name, relation, id, name)``.
+
+    ``other_job`` rows hold the seed jobs too, ``required_skill`` rows the seed jobs' skills and ``related_skill`` rows those
+    of all the company's jobs.
+    """
+    own = seeds.join(jobs, "job_id").select("job_id", "company_id")
+    other = own.select("company_id").distinct().join(jobs.select("company_id", "job_id", "job_title"), "company_id")
+    skill = skills.select("skill_id", "name")
+    parts = [
+        other.select("company_id", F.lit("other_job").alias("relation"), F.col("job_id").alias("id"), F.col("job_title").alias("name")),
+        own.join(requires, "job_id").join(skill, "skill_id").select("company_id", F.lit("required_skill").alias("relation"), F.col("skill_id").alias("id"), "name"),
+        other.join(requires, "job_id").join(skill, "skill_id").select("company_id", F.lit("related_skill").alias("relation"), F.col("skill_id").alias("id"), "name"),
+    ]
+    rows = reduce(DataFrame.unionByName, parts).distinct().join(companies.select("company_id", "company_name"), "company_id")
+    return rows.select("company_id", "company_name", "relation", "id", "name").orderBy("company_id", "relation", "id").limit(limit)
+
+
+def first_rows(rows: DataFrame, *order: str, limit: int = 500) -> DataFrame:
+    """The first rows in a total order; 0 is no limit."""
+    return rows.orderBy(*order).limit(limit) if limit else rows
+
+
+def seed_rows(found: DataFrame, most: int = 50) -> DataFrame:
+    """The first rows of a search by ``place`` that are of the first row's type; a search returns some dozens of rows."""
+    first = found.agg(F.min_by("node_type", "place").alias("node_type"))
+    return found.join(F.broadcast(first), "node_type").orderBy("place").limit(most)  # one row
+
+
+def skipped(has_results: bool, intents: list[str]) -> bool:
+    """Nothing to traverse: the search found nothing, or no intent says where to go."""
+    return not has_results or all(i in ("general", "unknown", "") for i in intents)
+
+
+def multi_intent(parts: dict[str, DataFrame], nodes: int = 500, relationships: int = 1000) -> DataFrame:
+    """``(kind, type, id, dst, intents)``: nodes and relationships of several intents, each once, with the intents that found it.
+
+    ``parts`` has a table ``(kind, type, id, dst)`` for each intent, ``kind`` being node or relationship and ``dst`` null for
+    nodes. The first by type and id are kept, so many of each kind; 0 is no limit.
+    """
+    every = reduce(DataFrame.unionByName, [df.select("kind", "type", "id", "dst", F.lit(name).alias("intent")) for name, df in parts.items()])
+    merged = every.groupBy("kind", "type", "id", "dst").agg(F.array_join(F.array_sort(F.collect_set("intent")), ",").alias("intents"))
+    caps = [(kind, n) for kind, n in (("node", nodes), ("relationship", relationships))]
+    return reduce(DataFrame.unionByName, [first_rows(merged.where(F.col("kind") == kind), "type", "id", "dst", limit=n) for kind, n in caps])
+
+
+def as_graph(rows: DataFrame, job: str = "job_id", skill: str = "skill_id") -> DataFrame:
+    """``(kind, type, id, dst)``: the jobs, skills and edges of rows that pair them."""
+    text = lambda c: F.col(c).cast("string")
+    nothing = F.lit(None).cast("string")
+    one = lambda kind, label, key, to: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("type"), text(key).alias("id"), to.alias("dst"))
+    made = F.array(one("node", "Job", job, nothing), one("node", "Skill", skill, nothing), one("relationship", "REQUIRES", job, text(skill)))
+    return rows.select(F.explode(made).alias("m")).select("m.*").distinct()

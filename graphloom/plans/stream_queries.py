@@ -36,3 +36,27 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of each user that have ended, eight hours without an event apart."""
     found = events.run_now(events.sessions(events.read_log(spark, sf_dir), "8 hours"))
     return found.select("user_id", F.col("start").cast("timestamp_ntz"), F.col("end").cast("timestamp_ntz"), "n")
+
+
+@query("SELECT user_id, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY user_id, date_trunc('day', ts) HAVING count(*) > 1 AND date_trunc('day', ts) + INTERVAL 1 DAY <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 HOUR")
+def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that sent more than one request in a day, once the day is over."""
+    found = events.run_now(events.over_rate(events.read_log(spark, sf_dir), "1 day", 1))
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
+def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 20 events of each user, from states of bounded size."""
+    return events.merge_recent(events.run_now(events.recent(events.read_log(spark, sf_dir), 20)), 20)
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT user_id, k, value AS ema FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, 0.3 * r.value + 0.7 * f.ema FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1)
+SELECT user_id, round(arg_max(ema, k), 6) AS ema FROM f GROUP BY user_id"""
+)
+def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's moving average as a stream."""
+    found = events.run_now(events.moving_average(events.read_log(spark, sf_dir)), ["user_id"])
+    return found.select("user_id", F.round("ema", 6).alias("ema"))

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.lineage import shared_folder
@@ -57,3 +58,61 @@ def run_now(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
         return rows.drop("batch")
     rest = [c for c in stream.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("r")).select(*keys, "r.*")
+
+
+def over_rate(log: DataFrame, width: str, most: int, late: str = "1 hour") -> DataFrame:
+    """Tumbling windows in which a user sent more than it may; a window is told once the watermark has passed it."""
+    counted = log.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "user_id").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return counted.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+#: Parts of a key's stream, each with a state of its own.
+WAYS = 16
+_RECENT = "user_id long, part int, event_id long, ts timestamp, value double"
+_KEPT = "event_ids array<long>, times array<long>, values array<double>"
+
+
+def recent(log: DataFrame, most: int = 1000) -> DataFrame:
+    """``(user_id, part, event_id, ts, value)``: the last ``most`` events of each user and part, sent again whenever they change.
+
+    The state of a key is bounded by ``most``. A user's events are dealt over ``WAYS`` parts by their id, so a busy user has
+    that many states; :func:`merge_recent` takes the last of all of them.
+    """
+
+    def keep(key, batches, state):
+        held = state.getOption
+        rows = list(zip(*held, strict=True)) if held is not None else []
+        for frame in batches:
+            times = frame["ts"].astype("int64") // 1000 if frame["ts"].dtype.kind == "M" and frame["ts"].dtype.str.endswith("[ns]") else frame["ts"].astype("datetime64[us]").astype("int64")
+            rows += list(zip(frame["event_id"].tolist(), times.tolist(), frame["value"].tolist(), strict=True))
+        rows = sorted(set(rows), key=lambda r: (r[1], r[0]))[-most:]
+        ids, times, values = (list(c) for c in zip(*rows, strict=True))
+        state.update((ids, times, values))
+        yield pd.DataFrame({"user_id": key[0], "part": key[1], "event_id": ids, "ts": pd.to_datetime(times, unit="us"), "value": values})
+
+    dealt = log.select("user_id", F.pmod(F.xxhash64("event_id"), F.lit(WAYS)).cast("int").alias("part"), "event_id", "ts", "value")
+    return dealt.groupBy("user_id", "part").applyInPandasWithState(keep, _RECENT, _KEPT, "append", "NoTimeout")
+
+
+def merge_recent(sent: DataFrame, most: int = 1000) -> DataFrame:
+    """``(user_id, event_id, value)``: of all rows sent the last events of each user, each once."""
+    once = sent.select("user_id", "event_id", "ts", "value").distinct()
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return once.withColumn("place", place).where(F.col("place") <= most).select("user_id", "event_id", "value")
+
+
+def moving_average(log: DataFrame, alpha: float = 0.3) -> DataFrame:
+    """``(user_id, ts, event_id, ema)``: each user's exponential moving average, as a state of one number; a micro-batch is taken in order of time."""
+
+    def fold(key, batches, state):
+        frame = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        held = state.getOption
+        ema = None if held is None else held[0]
+        for value in frame["value"].tolist():
+            ema = value if ema is None else alpha * value + (1 - alpha) * ema
+        state.update((ema,))
+        last = frame.iloc[-1]
+        yield pd.DataFrame({"user_id": [key[0]], "ts": [last["ts"]], "event_id": [last["event_id"]], "ema": [ema]})
+
+    rows = log.select("user_id", "ts", "event_id", "value")
+    return rows.groupBy("user_id").applyInPandasWithState(fold, "user_id long, ts timestamp, event_id long, ema double", "ema double", "update", "NoTimeout")
