@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import match_key, stable_id
 
 MAX_DISTANCE, MIN_LENGTH = 2, 2
+#: Candidates that an ambiguous name lists for its review.
+MOST_SHOWN = 1000
 
 
 def fuzzy_pairs(names: DataFrame, taxonomy: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
@@ -43,7 +45,10 @@ def link(names: DataFrame, taxonomy: DataFrame, name_col: str = "name", taxonomy
     long_enough = asked.where(F.length("name") >= MIN_LENGTH)
     exact = long_enough.join(known, asked["name"] == known["candidate"], "left_semi").withColumn("exact", F.lit(True))
     rest = long_enough.join(exact.select("name"), "name", "left_anti")
-    near = fuzzy_pairs(rest, known).groupBy("name").agg(F.count("*").alias("n"), F.min("d").alias("d"), F.array_sort(F.collect_list("candidate")).alias("candidates"))
+    # candidates are shown to a reviewer, so the list of a name is cut to what a person reads; their number is whole
+    first = F.row_number().over(Window.partitionBy("name").orderBy("candidate"))
+    listed = F.collect_list(F.when(F.col("place") <= MOST_SHOWN, F.col("candidate")))
+    near = fuzzy_pairs(rest, known).withColumn("place", first).groupBy("name").agg(F.count("*").alias("n"), F.min("d").alias("d"), F.array_sort(listed).alias("candidates"))
     found = asked.join(exact, "name", "left").join(near, "name", "left")
     kind = F.when(F.length("name") < MIN_LENGTH, "orphan").when(F.col("exact"), "exact").when(F.col("n") == 1, "fuzzy").otherwise("orphan")
     reason = F.when(F.length("name") < MIN_LENGTH, "too_short").when(F.col("exact") | (F.col("n") == 1), None).when(F.col("n") > 1, "ambiguous_fuzzy_match").otherwise("no_match")

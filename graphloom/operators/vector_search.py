@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,36 +39,47 @@ def hybrid(parts: Sequence[tuple[str, DataFrame]], k: int) -> DataFrame:
 
 
 def knn_graph(vectors: DataFrame, threshold: float = KNN_THRESHOLD, top: int = KNN_TOP, block_rows: int = 2048) -> DataFrame:
-    """``(src, dst, score)``: each row's nearest others by clipped cosine above a strict threshold.
+    """``(src, dst, score)``: each row's nearest others by clipped cosine above a strict threshold, exactly."""
+    return nearest(vectors, vectors, threshold, top, block_rows, others=True)
 
-    The rows are dealt into blocks and each pair of blocks is one matrix product in a
-    task, so a task holds two blocks whatever the table's size. Each product sends on at
-    most ``top`` rows for each source, and a window takes the best of these.
+
+def nearest(left: DataFrame, right: DataFrame, threshold: float | None, top: int, block_rows: int = 2048, others: bool = False, clipped: bool = True) -> DataFrame:
+    """``(src, dst, score)``: for each row of ``left(id, v)`` the nearest of ``right(id, v)`` by cosine above a strict threshold if there is one.
+
+    A set of queries against all rows, in blocks: both sides are dealt into blocks and each pair of blocks is one matrix
+    product in a task, so a task holds two blocks whatever the tables' sizes. Each product sends on at most ``top`` rows for
+    each source, and a window takes the best of these. With ``others`` a row is not its own neighbour.
     """
-    blocks = max(1, -(-vectors.count() // block_rows))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = vectors.select(own.alias("i"), every.alias("j"), "id", "v", F.lit(0).alias("side"))
-    right = vectors.select(every.alias("i"), own.alias("j"), "id", "v", F.lit(1).alias("side"))
-
-    def product(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(parts))
+    blocks = lambda df: max(1, -(-df.count() // block_rows))
+    l_blocks = blocks(left)
+    r_blocks = l_blocks if others else blocks(right)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a_side = left.select(own(l_blocks).alias("i"), every(r_blocks).alias("j"), "id", "v", F.lit(0).alias("side"))
+    b_side = right.select(every(l_blocks).alias("i"), own(r_blocks).alias("j"), "id", "v", F.lit(1).alias("side"))
+    least = -np.inf if threshold is None else threshold
+
+    def product(rows: pa.Table) -> pa.Table:
         side = np.asarray(rows.column("side"))
         ids = np.asarray(rows.column("id"))
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(a) or not len(b):
+            return _EDGE.empty_table()
         unit = np.array(rows.column("v").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
         length = np.linalg.norm(unit, axis=1, keepdims=True)
         unit = np.divide(unit, length, out=np.zeros_like(unit), where=length > 0)
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if len(a) and len(b):
-            b = b[np.argsort(ids[b], kind="stable")]
-            score = np.clip(unit[a] @ unit[b].T, 0.0, 1.0)
-            score[ids[a][:, None] == ids[b][None, :]] = -1.0
-            best = np.argsort(-score, axis=1, kind="stable")[:, :top]
-            kept = np.take_along_axis(score, best, axis=1)
-            row, column = np.nonzero(kept > threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a][row]), pa.array(ids[b][best[row, column]]), pa.array(kept[row, column])], names=["src", "dst", "score"])
-
-    found = left.unionByName(right).groupBy("i", "j").applyInArrow(lambda table: pa.Table.from_batches(list(product(iter(table.to_batches()))), schema=_EDGE), "src long, dst long, score double")
+        b = b[np.argsort(ids[b], kind="stable")]
+        score = unit[a] @ unit[b].T
+        if clipped:
+            score = np.clip(score, 0.0, 1.0)
+        if others:
+            score[ids[a][:, None] == ids[b][None, :]] = -np.inf
+        best = np.argsort(-score, axis=1, kind="stable")[:, :top]
+        kept = np.take_along_axis(score, best, axis=1)
+        row, column = np.nonzero(kept > least)
+        return pa.table([pa.array(ids[a][row]), pa.array(ids[b][best[row, column]]), pa.array(kept[row, column])], schema=_EDGE)
+
+    found = a_side.unionByName(b_side).groupBy("i", "j").applyInArrow(product, "src long, dst long, score double")
     ranked = found.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst")))
     return ranked.where(F.col("rn") <= top).drop("rn")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.vectors import cosine, normalized_score
+from graphloom.functions.vectors import normalized_score
 from graphloom.operators import traverse, vector_search
 from graphloom.plans.registry import query
 from graphloom.sources.domain import SQL, Graph
@@ -275,19 +275,11 @@ FROM embeddings a JOIN embeddings b ON a.label = 0 AND b.label = 1
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= 3"""
 )
 def cross_type_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest vectors of label 1 for each of label 0: a query set against all rows, in blocks."""
-    from pyspark.sql import Window
-
+    """The three nearest vectors of a second label for each of a first, here of label 1 for label 0."""
     g = Graph(spark, sf_dir)
-    rows = g.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
-    # both sides are dealt over a fixed grid of blocks, so the pairs of one cell meet in one task
-    grid, part = 8, F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))
-    left = rows.where("label = 0").select(part.alias("i"), every.alias("j"), F.col("vec_id").alias("src"), F.col("v").alias("a"))
-    right = rows.where("label = 1").select(every.alias("i"), part.alias("j"), F.col("vec_id").alias("dst"), F.col("v").alias("b"))
-    scored = left.join(right, ["i", "j"]).select("src", "dst", normalized_score(cosine(F.col("a"), F.col("b"))).alias("score"))
-    best = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
-    return scored.withColumn("rn", F.row_number().over(best)).where("rn <= 3").select("src", "dst", F.round("score", 6).alias("score"))
+    of = lambda label: g.table("embeddings").where(F.col("label") == label).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    near = vector_search.nearest(of(0), of(1), None, 3, clipped=False)
+    return near.select("src", "dst", F.round(normalized_score(F.col("score")), 6).alias("score"))
 
 
 _NODES = """node AS (SELECT 'Job' AS node_type, job_id::VARCHAR AS id FROM hit UNION SELECT 'Skill', skill_id::VARCHAR FROM hit UNION SELECT 'Company', company_id::VARCHAR FROM hit
