@@ -37,6 +37,8 @@ LANGUAGES = ("de", "en", "es", "fr")
 #: Rows that the trigram model is fitted on, at most; the rest of the work covers all rows.
 SAMPLE_ROWS = 8_000
 BUCKETS = 1 << 14
+#: Share of a language's trigrams that come from names and other words that no sample holds; they may be any.
+FOREIGN = 0.05
 #: How the evidence of a text's trigrams grows with their number, see above.
 TEMPER, WEIGHT = 200.0, 0.25
 #: Chances that a declaration or an address suffix names the language of the text.
@@ -103,7 +105,8 @@ def fit(df: DataFrame, id_col: str, text_col: str, declared: Column) -> np.ndarr
     # one row for each language and bucket at most
     for lang, bucket, n in parts.groupBy("lang", "bucket").agg(F.sum("n")).toLocalIterator():
         counts[lang, bucket] = n
-    return np.log((counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * BUCKETS)).astype(np.float32)
+    rates = (counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * BUCKETS)
+    return np.log((1 - FOREIGN) * rates + FOREIGN / BUCKETS).astype(np.float32)
 
 
 def _threshold(texts: int) -> int:

@@ -113,6 +113,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "declared", "lang", F.round("posterior", 6).alias("posterior"), "kept")
 
 
+@query
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op8 over whole pages with all its evidence: main text, ``lang`` attribute, address suffix and host."""
+    pages = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = langid.identify(pages, "page_id", "text", None, None, "url", "html")
+    return found.select("page_id", "declared", "lang", F.round("posterior", 6).alias("posterior"), "kept")
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
