@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.frames import cut_lineage, join_spread
+from graphloom.llm.frames import cut_lineage
 
 
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -23,11 +23,11 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        # a centre may have a third of all edges
-        large = join_spread(both, lowest, ["a"], how="inner").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        # a centre may have a third of all edges: these are plain joins, which Spark splits at such a key
+        large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = large.where("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = join_spread(large, lowest, ["a"], how="inner").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        small = large.join(lowest, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         now = cut_lineage(small.unionByName(lowest.select("a", F.col("low").alias("b"))).distinct())
         # exact in any order of summation: whole numbers
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

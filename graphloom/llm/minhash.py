@@ -329,9 +329,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     second = _cell_links(_cell_rows(apart, similar), texts, similar)
     links = first.unionByName(second)
     key = F.when(F.col("weight") > 0, F.col("text_key"))
-    repeated = cut_lineage(signed.groupBy("doc").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).where("n > 1"))
+    repeated = signed.groupBy("doc").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).where("n > 1")
     once = repeated.isEmpty()
-    merged = cut_lineage(components(links if once else links.unionByName(_nodes_of_ids(signed, nodes, repeated))))
+    merged = components(links if once else links.unionByName(_nodes_of_ids(signed, nodes, repeated)))
 
     # a class is named by the smallest id of its rows; only texts that are linked or repeated can have another one than their own row's
     linked = nodes.select("id", "doc", "text_key").join(merged, "id")
