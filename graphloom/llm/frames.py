@@ -66,10 +66,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bytes of rejected rows' names up to which they are broadcast; more are joined, with the same rows left.
+BROADCAST_NAMES = 8 << 20
+
+
 def drop_rows(df: DataFrame, rejected: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of ``df`` but those named in ``rejected(id, text_key)`` by id and hash of the text; nulls equal nulls."""
+    """Rows of ``df`` but those named in ``rejected(id, text_key)`` by id and hash of the text; nulls equal nulls.
+
+    The names are written and measured first: if they are few, the texts need not be shuffled to meet them.
+    """
     key, text_key = free_name(df, "_gone_id"), free_name(df, "_gone_key")
-    gone = rejected.toDF(key, text_key).distinct()
+    gone = cut_lineage(rejected.toDF(key, text_key).distinct())
+    size = gone.agg(F.sum(F.coalesce(F.octet_length(F.col(f"`{key}`").cast("string")), F.lit(0)) + 32)).first()[0] or 0
+    gone = F.broadcast(gone) if size <= BROADCAST_NAMES else gone
     return df.join(gone, df[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(df[text_col]) == F.col(text_key)), "left_anti")
 
 
