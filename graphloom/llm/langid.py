@@ -110,9 +110,9 @@ def fit(df: DataFrame, id_col: str, text_col: str, declared: Column) -> np.ndarr
 
 
 def _threshold(texts: int) -> int:
-    """A bound on signed 64-bit hashes that about a fifth more than the sample's share stay below."""
-    share = min(1.0, 1.2 * SAMPLE_ROWS / texts + 10 / texts)
-    return int(-(1 << 63) + share * ((1 << 64) - 1))
+    """A bound on signed 64-bit hashes that about a fifth more than the sample's share stay below; in whole numbers."""
+    wanted = SAMPLE_ROWS + SAMPLE_ROWS // 5 + 10
+    return (1 << 63) - 1 if wanted >= texts else (wanted << 64) // texts - (1 << 63)
 
 
 def likelihoods(text: Column, model: np.ndarray, context) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, caps, decontaminate, html, langid, licenses, minhash, passages, secrets, urls
+from graphloom.llm import bpe, caps, decontaminate, html, langid, licenses, minhash, passages, phrases, resample, secrets, toxicity, urls
 from graphloom.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,84 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.classes(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+_WORDS = f"regexp_extract_all({_LOWER('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".replace("\\\\", "\\")
+# the table of CRC-32 by its polynomial, then one step for each byte of a distinct word
+ORACLE["op12_resampling"] = f"""
+WITH RECURSIVE steps AS (
+  SELECT range AS byte, range::BIGINT AS c, 0 AS k FROM range(256)
+  UNION ALL
+  SELECT byte, CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY byte) AS crc FROM steps WHERE k = 8),
+tokens AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents),
+wanted AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+vocabulary AS (SELECT word, hex(encode(word)) AS spelled FROM (SELECT word FROM tokens UNION SELECT word FROM wanted)),
+spelled AS (
+  SELECT word, [4294967295::BIGINT] || [('0x' || spelled[2 * i - 1 : 2 * i])::BIGINT FOR i IN range(1, len(spelled) // 2 + 1)] AS bytes
+  FROM vocabulary),
+hashed AS (
+  SELECT word, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM spelled, crc_table),
+corpus AS (SELECT bucket, count(*) AS n FROM tokens JOIN hashed USING (word) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS n FROM wanted JOIN hashed USING (word) GROUP BY bucket),
+gain AS (
+  SELECT c.bucket,
+         floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM corpus)::DOUBLE + 10000)
+                         / ((c.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM target), 0)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM corpus c LEFT JOIN target t USING (bucket)),
+features AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS total FROM tokens JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+weighed AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(floor(total::DOUBLE / n_features), 0)::BIGINT AS weight,
+         ('0x' || left(sha256('2024:' || doc_id), 8))::BIGINT AS h
+  FROM (SELECT doc_id FROM documents) LEFT JOIN features USING (doc_id)),
+scored AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM weighed),
+ranked AS (
+  SELECT *, n_features >= 20 AS fit, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) FILTER (n_features >= 20) OVER () AS n
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 10 * n // 100 THEN place END AS rank FROM ranked
+"""
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_phrases"] = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+runs AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS pos FROM split),
+grams AS (SELECT lang, size, w[pos : pos + size - 1] AS g FROM runs, (SELECT unnest([1, 2, 3]) AS size) WHERE pos + size - 1 <= len(w)),
+f AS (SELECT lang, size, g, count(*)::HUGEINT AS f FROM grams GROUP BY lang, size, g HAVING count(*) >= 10),
+cuts AS (
+  SELECT c.lang, c.size, c.g, c.f AS a, k, l.f AS l, r.f AS r, (1000000 * c.f * c.f) // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1) c
+  JOIN f l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1:]),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_pairs AS (
+  SELECT lang, g[1:2] AS g, f FROM f WHERE size = 3 UNION ALL SELECT lang, g[2:3], f FROM f WHERE size = 3),
+held AS (SELECT lang, g, max(f) AS most FROM inner_pairs GROUP BY lang, g),
+kept AS (
+  SELECT s.lang, array_to_string(s.g, ' ') AS phrase, s.a, s.l, s.r, s.score
+  FROM scored s LEFT JOIN held h ON h.lang = s.lang AND h.g = s.g WHERE h.most IS NULL OR 100 * h.most < 50 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

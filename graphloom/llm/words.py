@@ -1,10 +1,12 @@
 """Words and word k-grams of many texts at once, as numpy arrays over UTF-8 bytes.
 
-Two kinds of words occur in this subpackage. Both are runs of bytes, because every byte
+Three kinds of words occur in this subpackage. All are runs of bytes, because every byte
 of a multi-byte character is at least 0x80:
 
 * ``LETTERS``: runs of a-z, 0-9 and non-ASCII characters, after A-Z was lower-cased;
-* ``SOLID``: runs of anything but ASCII white space (0x20, 0x09 to 0x0D), unchanged.
+* ``SOLID``: runs of anything but ASCII white space (0x20, 0x09 to 0x0D), unchanged;
+* ``PIECES``: runs of anything but spaces, tabs and the marks that end a piece
+  (``.,;:!?`` and 0x0A to 0x0D), after A-Z was lower-cased.
 
 A word's hash is a polynomial over its bytes modulo 2**64, mixed; a k-gram's hash is a
 polynomial over its words' hashes, mixed again. Hashes are equal on every machine.
@@ -20,10 +22,12 @@ import pyarrow.compute
 
 _BYTE, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _BYTE_INVERSE = np.uint64(pow(int(_BYTE), -1, 1 << 64))
-LETTERS, SOLID = "letters", "solid"
+LETTERS, SOLID, PIECES = "letters", "solid", "pieces"
+_MARKS = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
 _KINDS = {
     LETTERS: np.isin(np.arange(256), [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]),
     SOLID: ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)]),
+    PIECES: ~(_MARKS | np.isin(np.arange(256), [0x20, 0x09])),
 }
 
 
@@ -46,7 +50,7 @@ class Words:
 
     def __init__(self, texts: list[str | bytes | None], kind: str):
         encoded = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
-        if kind == LETTERS:
+        if kind != SOLID:
             encoded = [t.lower() for t in encoded]  # bytes: A-Z only
         # a white space byte ends every text, so that no word spans two of them
         self.data = b" ".join(encoded) + b" "
@@ -72,11 +76,13 @@ class Words:
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, longest: int | None = None) -> np.ndarray:
+        """Hashes of the words, or of their first bytes if only so many count."""
         n = len(self._raw)
+        ends = self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
         prefix = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((self._raw.astype(np.uint64) + np.uint64(1)) * _powers(_BYTE, n), out=prefix[1:])
-        return mix((prefix[self.ends] - prefix[self.starts]) * _powers(_BYTE_INVERSE, n)[self.starts])
+        return mix((prefix[ends] - prefix[self.starts]) * _powers(_BYTE_INVERSE, n)[self.starts])
 
     def grams(self, k: int, seed: int = 0, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k-grams inside one row, and the index of each one's first word."""
@@ -91,6 +97,24 @@ class Words:
         at = np.flatnonzero(np.arange(n) + k <= row_end)
         return mix(total[at]), at
 
+    def breaks(self) -> np.ndarray:
+        """Whether a word is the first of its piece: of its text, or after a mark that ends a piece."""
+        marks = np.concatenate([[0], np.cumsum(_MARKS[self._raw])])
+        broken = np.ones(len(self), bool)
+        broken[1:] = (marks[self.starts[1:]] > marks[self.ends[:-1]]) | (np.diff(self.rows) > 0)
+        return broken
+
+    def encoded(self) -> tuple[np.ndarray, pa.Array]:
+        """``(codes, vocabulary)``: the words as numbers of a dictionary of their bytes."""
+        sizes = self.ends - self.starts
+        inside = np.zeros(len(self._raw) + 1, np.int8)
+        inside[self.starts] += 1
+        inside[self.ends] -= 1
+        letters = self._raw[np.cumsum(inside[:-1]).astype(bool)]
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        column = pa.Array.from_buffers(pa.binary(), len(self), [None, pa.py_buffer(offsets), pa.py_buffer(letters.tobytes())]).dictionary_encode()
+        return np.asarray(column.indices), column.dictionary
+
     def text(self, first: int, last: int) -> bytes:
         """Bytes from word first up to and including word last."""
         return self.data[self.starts[first] : self.ends[last]]
