@@ -2,7 +2,9 @@
 
 A page is cut into blocks at block-level tags. Pass one decides blocks: those inside
 menus, footers, side bars, notices, adverts, forms or reader comments (by tag, role or
-class name) are bad; for all others stop-word density, length and link density decide, as
+class name) are bad. A class name counts when all its parts say so (``site-footer``), or its
+last one does and none names a state (``has-sidebar`` doesn't count), and never for an element
+that holds the page's article or, where it has none, most of its text. For all other blocks stop-word density, length and link density decide, as
 in published block classifiers, with lower thresholds inside an article, and short or
 middling blocks stay ambiguous. Pass two gives an ambiguous block outside the article the
 label of the nearest neighbour outside that its own text decided (without any: good on a
@@ -10,7 +12,9 @@ page that has no article, else bad); one inside is good unless the decided block
 sides of it are lists of links.
 
 Defined results: a null or empty page has an empty text; nothing is dropped from a good
-block, whatever its length; tags that are never closed end with the element around them;
+block, whatever its length; tags that are never closed end with the element around them, and
+a menu, footer or the like that is never closed ends where an article begins; of neighbours
+at equal distance the one before decides, for a heading the one after;
 repeated rows give repeated results; other columns are ignored or kept as stated; an
 empty table gives an empty result.
 """
@@ -49,6 +53,19 @@ BAD_NAMES = frozenset(
         "newsletter subscribe signup login popup modal overlay widget toolbar pagination pager contentinfo complementary search skip"
     ).split()
 )
+#: Parts of names that change nothing about what the other parts say, and such as name a state of the page or of a wrapper.
+BESIDE = frozenset(
+    (
+        "site page global main top bottom left right upper lower primary secondary inner outer wrapper wrap container content box bar block area section region panel slot unit zone "
+        "list item items links link row col column group holder body title text image post posts article articles stories story entry mobile desktop sticky fixed small large btn button "
+        "icon icons logo form field fields count meta info bottom middle center full width"
+    ).split()
+)
+STATES = frozenset("has with no non not without is layout none off on open opened closed enabled disabled hide hidden show shown visible".split())
+#: Names of reader comments, which may be longer than the article.
+COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+#: Share of the text around it (the article's, or the page's) that a name does not take away.
+MOST = 0.6
 #: Frequent short words of the languages that the corpus declares.
 STOP_WORDS = frozenset(
     (
@@ -75,47 +92,67 @@ class Block:
     rule: str = ""
 
 
-def _names(attributes: str, ids: bool = True) -> set[str]:
-    found: set[str] = set()
+@dataclass
+class Element:
+    """An open tag and what the page says about it as a whole."""
+
+    name: str
+    parent: Element | None
+    attributes: str
+    start: int
+    #: characters of text inside, whether the tag was closed, and whether an article begins inside
+    held: int = 0
+    closed: bool = False
+    article: bool = False
+    bad: bool = False
+    inside: bool = False
+
+
+def _tokens(attributes: str, ids: bool = True) -> list[list[str]]:
+    """Class names, ids and roles, each as its parts."""
+    found = []
     for m in _ATTRIBUTE.finditer(attributes):
-        if not ids and m[1].lower() == "id":
-            continue
-        found.update(x for x in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()) if x)
+        if ids or m[1].lower() != "id":
+            found += [parts for token in (m[2] or m[3] or m[4] or "").lower().split() if (parts := [x for x in re.split(r"[^a-z]+", token) if x])]
     return found
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The page's blocks in order, with white space joined; blocks without text are left out."""
-    found: list[Block] = []
-    pieces: list[str] = []
-    linked = 0
-    # each open element: name, whether what it holds is bad, whether it is in an article
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
-    links = 0
-
-    def flush() -> None:
-        nonlocal pieces, linked
-        text = " ".join("".join(pieces).split())
-        if text:
-            found.append(Block(text, next((n for n, _, _ in reversed(stack) if n not in INLINE), ""), linked, stack[-1][2], stack[-1][1]))
-        pieces, linked = [], 0
+def _named_bad(parts: list[str]) -> bool:
+    """Whether a name says that its element is not the article."""
+    others = [x for x in parts if x not in BAD_NAMES]
+    return len(others) < len(parts) and (BESIDE.issuperset(others) or (parts[-1] in BAD_NAMES and STATES.isdisjoint(parts)))
+
+
+def _is_comment(e: Element) -> bool:
+    return any(not COMMENTS.isdisjoint(parts) and _named_bad(parts) for parts in _tokens(e.attributes))
+
+
+def _parse(page: str, ended: frozenset[int]) -> tuple[list[Element], list[tuple[Element, str | None, int]]]:
+    """The page's elements, and its texts with their element and number of links around; None where a block ends.
+
+    An article ends elements that start at the positions of ``ended``.
+    """
+    root = Element("", None, "", -1)
+    stack, elements, events, at, links = [root], [root], [], 0, 0
 
     def add(raw: str) -> None:
-        nonlocal linked
         if raw:
             text = html.unescape(raw)
-            pieces.append(text)
-            if links:
-                linked += len(text.strip())
+            stack[-1].held += len(text.strip())
+            events.append((stack[-1], text, links))
+
+    def close(depth: int) -> None:
+        nonlocal links
+        links -= sum(e.name == "a" for e in stack[depth:])
+        del stack[depth:]
 
-    page, at = page or "", 0
     while True:
         m = _MARKUP.search(page, at)
         if m is None:
             add(page[at:])
             break
         add(page[at : m.start()])
-        at, name = m.end(), (m[2] or "").lower()
+        start, at, name = m.start(), m.end(), (m[2] or "").lower()
         if not name:
             continue
         if name in RAW:
@@ -124,33 +161,80 @@ def blocks(page: str | None) -> list[Block]:
                 at = end.end() if end else len(page)
             continue
         if name == "br":
-            pieces.append(" ")
+            events.append((stack[-1], " ", 0))
             continue
         if name not in INLINE:
-            flush()
+            events.append((stack[-1], None, 0))
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if depth and not (name in INLINE and any(n not in INLINE for n, _, _ in stack[depth:])):
-                links -= sum(n == "a" for n, _, _ in stack[depth:])
-                del stack[depth:]
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
+            if depth and not (name in INLINE and any(e.name not in INLINE for e in stack[depth:])):
+                stack[depth].closed = True
+                close(depth)
         elif name not in VOID:
-            if name == "p" and any(n == "p" for n, _, _ in stack):  # a paragraph ends the one before it, with what is open inside
-                depth = max(i for i, (n, _, _) in enumerate(stack) if n == "p")
-                if all(n in INLINE or n == "p" for n, _, _ in stack[depth:]):
-                    links -= sum(n == "a" for n, _, _ in stack[depth:])
-                    del stack[depth:]
-            _, bad, inside = stack[-1]
-            if name in ARTICLE:
-                comment = bool(_names(m[3]) & {"comment", "comments", "reply"})
-                bad, inside = bad or comment, not (bad or comment)
-            elif name in BAD_TAGS or (name == "header" and not inside):
-                bad = True
-            elif name not in ("html", "body") and m[3]:
-                # a heading's or a paragraph's id is a place to link to and says nothing about its kind
-                bad = bad or bool(_names(m[3], name not in LINKED_TO) & BAD_NAMES) or bool(_HIDDEN.search(m[3]))
-            stack.append((name, bad, inside))
+            if name == "p" and any(e.name == "p" for e in stack):  # a paragraph ends the one before it, with what is open inside
+                depth = max(i for i, e in enumerate(stack) if e.name == "p")
+                if all(e.name in INLINE or e.name == "p" for e in stack[depth:]):
+                    close(depth)
+            if name in ARTICLE and (depth := next((i for i, e in enumerate(stack) if e.start in ended), 0)):
+                close(depth)
+            elements.append(Element(name, stack[-1], m[3], start))
+            stack.append(elements[-1])
             links += name == "a"
-    flush()
+    events.append((stack[-1], None, 0))
+    return elements, events
+
+
+def _judge(elements: list[Element]) -> None:
+    """Tell which elements are bad, and which are inside an article."""
+    for e in reversed(elements):
+        e.article = e.article or (e.name in ARTICLE and not _is_comment(e))
+        if e.parent is not None:
+            e.parent.held += e.held
+            # what stands in an aside or a footer is not the page's article
+            e.parent.article |= e.article and e.name not in BAD_TAGS
+    root = elements[0]
+    around = {id(root): root}
+    for e in elements[1:]:
+        up = e.parent
+        around[id(e)] = up if up.inside and up.name in ARTICLE else around[id(up)]
+        e.bad, e.inside = up.bad, up.inside
+        if e.name in ARTICLE:
+            comment = _is_comment(e)
+            e.bad, e.inside = e.bad or comment, not (e.bad or comment)
+        elif e.name in BAD_TAGS or (e.name == "header" and not e.inside):
+            e.bad = True
+        elif e.name not in ("html", "body") and e.attributes:
+            # a heading's or a paragraph's id is a place to link to and says nothing about its kind
+            if not e.bad and any(_named_bad(parts) for parts in _tokens(e.attributes, e.name not in LINKED_TO)):
+                whole = around[id(e)]
+                most = e.held > MOST * whole.held and (whole is not root or not root.article) and not _is_comment(e)
+                e.bad = not (e.article or most)
+            e.bad = e.bad or bool(_HIDDEN.search(e.attributes))
+
+
+def blocks(page: str | None) -> list[Block]:
+    """The page's blocks in order, with white space joined; blocks without text are left out."""
+    page = page or ""
+    elements, events = _parse(page, frozenset())
+    open_ended = {e.start for e in elements if e.name in BAD_TAGS and not e.closed}
+    if open_ended and any(e.name in ARTICLE for e in elements):
+        elements, events = _parse(page, frozenset(open_ended))
+    _judge(elements)
+    found: list[Block] = []
+    pieces: list[str] = []
+    linked = 0
+    for element, text, links in events:
+        if text is not None:
+            pieces.append(text)
+            linked += len(text.strip()) if links else 0
+            continue
+        joined = " ".join("".join(pieces).split())
+        if joined:
+            e = element
+            while e.name in INLINE:
+                e = e.parent
+            found.append(Block(joined, e.name, linked, element.inside, element.bad))
+        pieces, linked = [], 0
     return found
 
 
