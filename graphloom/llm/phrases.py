@@ -35,8 +35,8 @@ from pyspark.sql.window import Window
 from graphloom.llm.frames import cut_lineage, write_shared
 from graphloom.llm.words import PIECES, SOLID, Words, mix, parts
 
-#: Bytes of text of one segment, about (a longer text is a segment of its own), and segments that one batch may hold.
-SEGMENT_BYTES = 4 << 20
+#: Bytes of text of one segment, about; a longer text is a segment of its own.
+SEGMENT_BYTES = 1 << 20
 #: Keys of frequent phrases up to which a level's are broadcast (8 bytes each); more are joined, with the same result.
 BROADCAST_KEYS = 4_000_000
 #: Candidates of one task when each language's first are taken, about.
