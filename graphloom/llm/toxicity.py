@@ -34,7 +34,9 @@ from graphloom.llm.frames import cut_lineage
 from graphloom.llm.words import LETTERS, Words, mix, parts
 
 #: Labelled rows that the model is fitted on, at most, and those of one shard.
-TRAIN_ROWS, SHARD_ROWS = 24_000, 6_000
+TRAIN_ROWS, SHARD_ROWS = 16_000, 4_000
+#: Rows of a shard that must have a feature, and places of a filter that leaves out most of those that have it in fewer.
+LEAST_ROWS, PLACES = 3, 1 << 24
 #: Lengths in bytes of the heads of words that are features.
 HEADS = (5, 6, 7, 8)
 #: Learning rate, its offset, and the strengths of L1 and L2.
@@ -73,18 +75,24 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def learn(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """``(keys, weights)`` that are not zero, after several passes of FTRL-proximal over the rows in their order."""
-    rows, keys = [], []
-    for start in range(0, len(texts), 256):
-        r, k = features(texts[start : start + 256])
-        rows.append(r + start)
-        keys.append(k)
-    rows, keys = np.concatenate(rows), np.concatenate(keys)
-    names, inverse, seen = np.unique(keys, return_inverse=True, return_counts=True)
-    del keys
-    often = seen >= 2
+    chunks = range(0, len(texts), 64)
+    place_of = lambda keys: (keys >> np.uint64(40)).astype(np.int64)
+    filled = np.zeros(PLACES, np.uint32)
+    for start in chunks:
+        np.add.at(filled, place_of(features(texts[start : start + 64])[1]), 1)
+    kept, sizes = [], np.zeros(len(texts), np.int64)
+    for start in chunks:
+        rows, keys = features(texts[start : start + 64])
+        often = filled[place_of(keys)] >= LEAST_ROWS
+        kept.append(keys[often])
+        sizes[start : start + 64] = np.bincount(rows[often], minlength=len(texts[start : start + 64]))
+    del filled
+    names, inverse, seen = np.unique(np.concatenate(kept), return_inverse=True, return_counts=True)
+    del kept
+    often = seen >= LEAST_ROWS
     place = np.cumsum(often)  # 0 is the bias
-    kept = often[inverse]
-    rows, index = rows[kept], place[inverse[kept]]
+    held = often[inverse]
+    rows, index = np.repeat(np.arange(len(texts)), sizes)[held], place[inverse[held]]
     names = np.concatenate([np.array([_BIAS], np.uint64), names[often]])
     ends = np.searchsorted(rows, np.arange(len(texts) + 1))
     z, n = np.zeros(len(names)), np.zeros(len(names))
@@ -104,13 +112,25 @@ def learn(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, np.nd
     return names[w != 0], w[w != 0]
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", order_col: str = "at") -> tuple[np.ndarray, np.ndarray]:
-    """``(keys, weights)`` sorted by key, from rows of texts, labels 0 or 1, and a number that orders them."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.col(order_col).alias("at"), F.xxhash64(text_col).alias("key"))
-    firsts = cut_lineage(rows.groupBy("key").agg(F.min("at").alias("at")).orderBy("at", "key").limit(TRAIN_ROWS))
-    n = firsts.count()
+def _sample(keys: DataFrame) -> DataFrame:
+    """Of ``keys(key, at, label)`` each key once, and at most ``TRAIN_ROWS`` of them: those with the lowest numbers ``at``."""
+    firsts = cut_lineage(keys.groupBy("key").agg(F.min(F.struct("at", "label")).alias("first")).select("key", "first.*"))
+    n, wanted = firsts.count(), TRAIN_ROWS + TRAIN_ROWS // 5 + 10
+    if n <= TRAIN_ROWS:
+        return firsts
+    if n > wanted:  # a little more than the bound's share of all hashes; whole numbers
+        firsts = firsts.where(F.col("at") <= F.lit((wanted << 64) // n - (1 << 63)))
+    return firsts.orderBy("at", "key").limit(TRAIN_ROWS)
+
+
+def fit(rows: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``(keys, weights)`` sorted by key, from ``rows(id, text)`` and ``known(id, label)`` with labels 0 or 1."""
+    key, at = F.xxhash64("text"), F.xxhash64("id", "text")
+    # texts are not shuffled to meet their labels: only hashes are, and the few chosen ones are broadcast
+    chosen = cut_lineage(_sample(rows.select("id", key.alias("key"), at.alias("at")).join(known, "id").select("key", "at", "label")))
+    n = chosen.count()
     shards = max(1, -(-n // SHARD_ROWS))
-    sample = rows.join(F.broadcast(firsts), ["key", "at"]).dropDuplicates(["key"])
+    sample = rows.select(key.alias("key"), at.alias("at"), "text").join(F.broadcast(chosen), ["key", "at"]).dropDuplicates(["key"])
     dealt = sample.select("text", "label", "at").repartition(shards, F.pmod("at", F.lit(shards))).sortWithinPartitions("at")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +179,8 @@ def held_out(row_id: Column, fold: int = 2, folds: int = 4) -> Column:
 
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """``(id, held_out, score, predicted)`` for each row; only rows that are not held out teach."""
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
-    taught = rows.where(~F.col("held_out")).join(known.where("_id is not null"), "_id").select("text", "label", F.xxhash64("_id", "text").alias("at"))
-    model = fit(taught)
-    scored = rows.select(F.col("_id").alias(id_col), "held_out", scores(F.col("text"), model, df.sparkSession.sparkContext).alias("score"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
+    model = fit(rows.where(~F.col("held_out")).select("id", "text"), known)
+    scored = rows.select(F.col("id").alias(id_col), "held_out", scores(F.col("text"), model, df.sparkSession.sparkContext).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
