@@ -16,7 +16,7 @@ _ASKED = """CASE p_partkey % 8 WHEN 0 THEN concat('What skills are similar to ',
 _ROWS = f"SELECT concat('part-', p_partkey) AS id, {_ASKED} AS text FROM part UNION ALL SELECT concat('turn-', conv_id, '-', turn), text FROM conversations"
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("part-"), "p_partkey").alias("id"), F.expr(_ASKED).alias("text"))
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat(F.lit("turn-"), "conv_id", F.lit("-"), "turn").alias("id"), "text")
     return parts.unionByName(turns)
@@ -36,14 +36,14 @@ SELECT id, coalesce(i[1], 'general') AS primary_intent, coalesce(array_to_string
 )
 def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each question asks for."""
-    found = questions.classify(_asked(spark, sf_dir))
+    found = questions.classify(asked(spark, sf_dir))
     return found.select("id", F.col("primary").alias("primary_intent"), F.concat_ws(",", "secondary").alias("secondary"), "confidence")
 
 
 @query(f"WITH {_ASCII} SELECT * FROM ({_FOUND})")
 def question_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that each question names."""
-    return questions.entities(_asked(spark, sf_dir), "id")
+    return questions.entities(asked(spark, sf_dir), "id")
 
 
 @query(
@@ -52,7 +52,7 @@ SELECT id, kind, string_agg(value, ', ' ORDER BY value) AS named FROM ranked WHE
 )
 def question_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The question section of a context: the entities named, a few of each kind."""
-    named = questions.named(questions.entities(_asked(spark, sf_dir), "id"), "id")
+    named = questions.named(questions.entities(asked(spark, sf_dir), "id"), "id")
     return named.groupBy("id", "kind").agg(F.concat_ws(", ", F.array_sort(F.collect_list("value"))).alias("named"))
 
 
@@ -106,7 +106,7 @@ SELECT id, intent, round(score, 6) AS score, row_number() OVER (PARTITION BY id
 )
 def refined_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intents of vectors and patterns together, raised by the entities that a question names."""
-    parts = _asked(spark, sf_dir).where("id LIKE 'part-%'")
+    parts = asked(spark, sf_dir).where("id LIKE 'part-%'")
     syntactic = parts.select("id", F.explode(questions.intents(F.col("text"))).alias("intent"))
     ranked = questions.refined(_alike(spark, sf_dir), syntactic, questions.entities(parts, "id"), "id")
     return ranked.withColumn("score", F.round("score", 6))
@@ -118,14 +118,14 @@ _OLDER = """CASE form WHEN 0 THEN 'skill_relationship,skill_requirement' WHEN 1
 @query(f"WITH {_BY_HAND} SELECT id, {_OLDER} AS intents FROM by_hand")
 def older_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the older detector makes of the questions."""
-    parts = _asked(spark, sf_dir).where("id LIKE 'part-%'")
+    parts = asked(spark, sf_dir).where("id LIKE 'part-%'")
     return parts.select("id", F.array_join(questions.older_intents(F.col("text")), ",").alias("intents"))
 
 
 @query(f"WITH {_BY_HAND} SELECT id, CASE form WHEN 0 THEN 'skill_relationship,skill_requirement' WHEN 6 THEN '' WHEN 7 THEN '' ELSE {_OLDER} END AS all_intents FROM by_hand")
 def all_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every intent of a question's record; a general one has none."""
-    return questions.classify(_asked(spark, sf_dir).where("id LIKE 'part-%'")).select("id", F.array_join("all_intents", ",").alias("all_intents"))
+    return questions.classify(asked(spark, sf_dir).where("id LIKE 'part-%'")).select("id", F.array_join("all_intents", ",").alias("all_intents"))
 
 
 _OLDER_NAMED = """SELECT id, unnest(CASE form WHEN 0 THEN ['skill:java:0.8', 'skill:python:0.8'] WHEN 1 THEN ['skill:react:0.8', 'company:google:0.9', 'company:ibm:0.9'] WHEN 2 THEN ['job:data scientist:0.7'] WHEN 3 THEN ['skill:sql:0.8', 'job:software engineer:0.7']
@@ -135,7 +135,7 @@ _OLDER_NAMED = """SELECT id, unnest(CASE form WHEN 0 THEN ['skill:java:0.8', 'sk
 @query(f"WITH {_BY_HAND} {_OLDER_NAMED}")
 def older_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that the older patterns find, each once."""
-    found = questions.entities(_asked(spark, sf_dir).where("id LIKE 'part-%'"), "id", known=questions.OLDER_ENTITIES)
+    found = questions.entities(asked(spark, sf_dir).where("id LIKE 'part-%'"), "id", known=questions.OLDER_ENTITIES)
     return found.select("id", F.concat_ws(":", "kind", "value", F.col("confidence").cast("string")).alias("entity"))
 
 
