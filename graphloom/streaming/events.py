@@ -43,16 +43,26 @@ def sessions(log: DataFrame, gap: str = "1 day", late: str = "1 hour") -> DataFr
     return counted.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_now(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Run a stream over what is there and read its result: the last state of each key, or all rows."""
+def run_now(stream: DataFrame, keys: list[str] | None = None, conf: dict[str, str] | None = None) -> DataFrame:
+    """Run a stream over what is there and read its result: the last state of each key, or all rows.
+
+    ``conf`` holds settings that the stream needs when it starts; the session's own are put back afterwards.
+    """
     spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
     started = stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write)
-    started.start().awaitTermination()
+    try:
+        started.start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(f"{at}/out")
     if not keys:
         return rows.drop("batch")
