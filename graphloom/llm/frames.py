@@ -5,10 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import accumulate, chain, groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -82,6 +82,23 @@ def drop_rows(df: DataFrame, rejected: DataFrame, id_col: str, text_col: str) ->
     return df.join(gone, df[id_col].eqNullSafe(F.col(key)) & (F.xxhash64(df[text_col]) == F.col(text_key)), "left_anti")
 
 
+#: Rows of one task when a table is numbered, about.
+NUMBERED_ROWS = 500_000
+
+
+def numbered(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The ``n`` rows of a table with ``number``, their place from 0 in the given order: sorted by ranges, plus each range's offset."""
+    dealt = df.repartitionByRange(max(1, -(-n // NUMBERED_ROWS)), *order).sortWithinPartitions(*order)
+    # a row's number in its range; written, so that no task is run again with another order
+    placed = cut_lineage(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = sorted(placed.groupBy(part.alias("part")).count().collect())
+    starts = accumulate((size for _, size in sizes), initial=0)
+    offsets = df.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts, strict=False)], "_range int, _start long")
+    joined = placed.withColumn("_range", part.cast("int")).join(F.broadcast(offsets), "_range")
+    return joined.withColumn("number", F.col("_start") + place).drop("_range", "_start", "_at")
+
+
 def write_shared(df: DataFrame) -> DataFrame:
     """Write a table beside the checkpoints, where every executor can read it, and read it back."""
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

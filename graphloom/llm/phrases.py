@@ -9,9 +9,10 @@ list is the phrase's exact frequency in the segment, and Spark adds the lengths
 phrases both of whose parts (all but the last word, all but the first) are frequent are
 extended.
 
-Between levels a phrase is named by a 64-bit key. Keys only select: two phrases with one key
-may both stay, none is lost. The last pass counts what is left by its spelling, so the
-results are exact. The keys of a level reach the tasks by a broadcast while there are few
+Frequent phrases of a level are numbered, and a longer phrase is named by the number of its
+part and that of its last word, so counts are exact. Only words are recognised by a hash, and only
+after it was checked that no other word of the corpus has a frequent word's; else another
+hash is taken. The numbers of a level reach the tasks by a broadcast while there are few
 (``BROADCAST_KEYS``), else by a join that gives each segment those of its own.
 
 Defined results: a null or empty text has no words; a null language is ``und``; repeated rows
@@ -22,6 +23,7 @@ empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.frames import cut_lineage, write_shared
+from graphloom.llm.frames import cut_lineage, numbered, write_shared
 from graphloom.llm.words import PIECES, SOLID, Words, mix, parts
 
 #: Bytes of text of one segment, about; a longer text is a segment of its own.
 SEGMENT_BYTES = 1 << 20
-#: Keys of frequent phrases up to which a level's are broadcast (8 bytes each); more are joined, with the same result.
+#: Frequent phrases up to which a level's keys and numbers are broadcast (16 bytes each); more are joined, with the same result.
 BROADCAST_KEYS = 4_000_000
 #: Candidates of one task when each language's first are taken, about.
 TOP_ROWS = 200_000
-_NEXT = np.uint64(0xD1342543DE82EF95)
 
 
 def index(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -72,123 +73,142 @@ def index(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 class _Level:
     """The phrases of one length in a segment, and where each occurrence starts, in order."""
 
-    def __init__(self, starts: np.ndarray, names: np.ndarray, keys: np.ndarray, codes: np.ndarray):
+    def __init__(self, starts: np.ndarray, names: np.ndarray, keys: np.ndarray):
+        #: ``keys[names[i]]`` is the phrase that starts at ``starts[i]``
         self.starts, self.names, self.keys = starts, names, keys
-        #: words of each phrase: one row for each
-        self.codes = codes
 
-    def only(self, members: np.ndarray) -> _Level:
-        """Those phrases whose keys are among the sorted ``members``."""
-        at = np.minimum(np.searchsorted(members, self.keys), max(0, len(members) - 1))
-        good = members[at] == self.keys if len(members) else np.zeros(len(self.keys), bool)
+    def numbered(self, keys: np.ndarray, numbers: np.ndarray) -> _Level:
+        """Those phrases that are among the sorted ``keys``, by their numbers."""
+        if not len(keys):
+            return _Level(self.starts[:0], self.names[:0], self.keys[:0])
+        at = np.minimum(np.searchsorted(keys, self.keys), len(keys) - 1)
+        good = keys[at] == self.keys
         kept = good[self.names]
-        return _Level(self.starts[kept], (np.cumsum(good) - 1)[self.names[kept]], self.keys[good], self.codes[good])
+        return _Level(self.starts[kept], (np.cumsum(good) - 1)[self.names[kept]], numbers[at[good]])
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.names, minlength=len(self.keys))
 
 
-def _words_of(lang: str, words: pa.Array, ends: np.ndarray, at: np.ndarray) -> _Level:
+def word_keys(lang: str, words: list[str], seed: int) -> np.ndarray:
+    """Hashes of a language's words."""
+    of_lang = np.frombuffer(hashlib.sha256(f"{seed}:{lang}".encode("utf-8", "surrogatepass")).digest()[:8], np.uint64)
+    return mix(Words(words, SOLID).hashes() + of_lang)
+
+
+def _words_of(lang: str, words: pa.Array, ends: np.ndarray, at: np.ndarray, seed: int) -> _Level:
     """The first level: a segment's postings in order of position."""
-    seed = Words([lang.replace(" ", "_") or "_"], SOLID).hashes()[:1] if lang.strip() else np.zeros(1, np.uint64)
-    keys = mix(Words(words.to_pylist(), SOLID).hashes() + seed)
     codes = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
     order = np.argsort(at)
-    return _Level(at[order], codes[order], keys, np.arange(len(words))[:, None])
+    return _Level(at[order], codes[order], word_keys(lang, words.to_pylist(), seed).view(np.int64))
 
 
-def _extend(level: _Level, words: _Level) -> _Level:
-    """The next level: occurrences merge-joined with the postings of the words that follow them."""
-    size = level.codes.shape[1]
-    if not len(level.starts):
-        return _Level(level.starts, level.names, level.keys[:0], np.zeros((0, size + 1), np.int64))
+def _extend(level: _Level, words: _Level, size: int) -> _Level:
+    """The next level: occurrences of ``size`` words merge-joined with the postings of the words that follow them."""
+    if not len(level.starts) or not len(words.starts):
+        return _Level(level.starts[:0], level.names[:0], level.keys[:0])
     follows = level.starts + size
     j = np.minimum(np.searchsorted(words.starts, follows), len(words.starts) - 1)
-    # what begins one word later must be frequent too
-    later = np.minimum(np.searchsorted(level.starts, level.starts + 1), len(level.starts) - 1)
-    found = (words.starts[j] == follows) & (level.starts[later] == level.starts + 1)
-    pairs, names = np.unique(level.names[found] * np.int64(len(words.keys)) + words.names[j[found]], return_inverse=True)
-    first, last = np.divmod(pairs, np.int64(max(1, len(words.keys))))
-    keys = mix(level.keys[first] * _NEXT + words.keys[last])
-    return _Level(level.starts[found], names, keys, np.hstack([level.codes[first], words.codes[last]]))
+    found = words.starts[j] == follows
+    if size > 1:
+        # what begins one word later must be frequent too
+        later = np.minimum(np.searchsorted(level.starts, level.starts + 1), len(level.starts) - 1)
+        found &= level.starts[later] == level.starts + 1
+    pairs, names = np.unique((level.keys[level.names[found]] << 32) | words.keys[words.names[j[found]]], return_inverse=True)
+    return _Level(level.starts[found], names, pairs)
 
 
-def _levels(batch: pa.RecordBatch, row: int, members: list[np.ndarray], length: int) -> Iterator[tuple[_Level, pa.Array]]:
-    """Levels 1 to ``length`` of one segment, each cut down to its ``members`` where these are known."""
+def _level(batch: pa.RecordBatch, row: int, shared: list, length: int, seed: int) -> _Level:
+    """The phrases of ``length`` words of one segment; shorter ones only where they are frequent."""
     words, ends, at = batch.column("words")[row].values, *[np.asarray(batch.column(c)[row].values, np.int64) for c in ("ends", "at")]
-    now = every = _words_of(batch.column("lang")[row].as_py(), words, ends, at)
-    for size in range(1, length + 1):
-        if size > 1:
-            now = _extend(now, every)
-        if size <= len(members):
-            now = now.only(members[size - 1])
-            if size == 1:
-                every = now
-        yield now, words
-
-
-def _row_members(batch: pa.RecordBatch, row: int, shared: list) -> list[np.ndarray]:
-    """The sorted keys of each level so far: broadcast ones, or those that were joined to the segment."""
-    out = []
-    for i, given in enumerate(shared):
-        keys = batch.column(f"keys{i + 1}")[row].values if given is None else None
-        out.append(given.value if given is not None else np.sort(np.zeros(0, np.uint64) if keys is None else np.asarray(keys, np.int64).view(np.uint64)))
-    return out
+    now = every = _words_of(batch.column("lang")[row].as_py(), words, ends, at, seed)
+    for size in range(1, length):
+        given = shared[size - 1]
+        if given is None:
+            own = batch.column(f"own{size}")[row].values
+            keys, numbers = (np.zeros(0, np.int64),) * 2 if own is None else (np.asarray(own.field(c), np.int64) for c in ("key", "number"))
+            order = np.argsort(keys)
+            keys, numbers = keys[order], numbers[order]
+        else:
+            keys, numbers = given.value
+        now = now.numbered(keys, numbers)
+        every = now if size == 1 else every
+        now = _extend(now, every, size)
+    return now
 
 
-def _count_keys(segments: DataFrame, shared: list, length: int, least: int) -> DataFrame:
-    """Keys of the phrases of one length that occur ``least`` times or more, or share their key with others."""
+def _count(segments: DataFrame, shared: list, length: int, seed: int, block: bool = False) -> DataFrame:
+    """``(key, n)`` of each segment's phrases of one length, or ``(block, key)``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                *_, (level, _) = _levels(batch, row, _row_members(batch, row, shared), length)
-                yield pa.RecordBatch.from_arrays([pa.array(level.keys.view(np.int64)), pa.array(level.counts())], names=["key", "n"])
+                level = _level(batch, row, shared, length, seed)
+                other = np.full(len(level.keys), batch.column("block")[row].as_py()) if block else level.counts()
+                yield pa.RecordBatch.from_arrays([pa.array(level.keys), pa.array(other)], names=["key", "block" if block else "n"])
 
-    counted = segments.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return write_shared(counted.where(F.col("n") >= least).select("key"))
+    return segments.mapInArrow(count, f"key long, {'block' if block else 'n'} long")
 
 
-def _own_keys(segments: DataFrame, shared: list, length: int, frequent: DataFrame) -> DataFrame:
-    """Segments with the frequent keys that occur in each, for keys that are too many to broadcast."""
+def _vocabulary(segments: DataFrame, least: int, seed: int) -> tuple[int, DataFrame]:
+    """``(lang, word, f, key)`` of the words that occur ``least`` times or more, counted by their spelling, and the hash's seed."""
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                *_, (level, _) = _levels(batch, row, _row_members(batch, row, shared), length)
-                block = np.full(len(level.keys), batch.column("block")[row].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(level.keys.view(np.int64))], names=["block", "key"])
+                words, ends = batch.column("words")[row].values, np.asarray(batch.column("ends")[row].values, np.int64)
+                lang = batch.column("lang")[row]
+                keys = word_keys(lang.as_py(), words.to_pylist(), seed).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(words)), words, pa.array(keys), pa.array(np.diff(ends, prepend=0))], names=["lang", "word", "key", "n"])
 
-    # a segment has as many keys as phrases, so a list is bounded by SEGMENT_BYTES
-    own = segments.mapInArrow(named, "block long, key long").join(frequent, "key", "left_semi").groupBy("block").agg(F.collect_list("key").alias(f"keys{length}"))
-    return write_shared(segments.join(own, "block", "left"))
+    counted = segments.mapInArrow(keyed, "lang string, word string, key long, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"), F.first("key").alias("key"))
+    every = write_shared(counted)
+    words = every.where(F.col("f") >= least)
+    # a word, however rare, that has a frequent word's key would be taken for it
+    shared_keys = every.groupBy("key").agg(F.count("*").alias("words"), F.max("f").alias("f")).where((F.col("words") > 1) & (F.col("f") >= least))
+    return (seed, words) if shared_keys.isEmpty() else _vocabulary(segments, least, seed + 1)
 
 
 def frequencies(segments: DataFrame, longest: int, least: int, broadcast_keys: int | None = None) -> DataFrame:
     """``(lang, phrase, size, f)`` of all phrases of 1 to ``longest`` words that occur ``least`` times or more."""
     limit = BROADCAST_KEYS if broadcast_keys is None else broadcast_keys
     shared: list = []
+    found = spelled = words = None
+    seed = 0
     for length in range(1, longest + 1):
-        frequent = _count_keys(segments, shared, length, least)
-        if frequent.count() <= limit:
-            keys = np.sort(np.asarray(frequent.toArrow().column("key").combine_chunks(), np.int64).view(np.uint64))
-            shared.append(segments.sparkSession.sparkContext.broadcast(keys))
+        if length == 1:
+            seed, frequent = _vocabulary(segments, least, seed)
         else:
-            segments = _own_keys(segments, shared, length, frequent)
+            frequent = _count(segments, shared, length, seed).groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        frequent = cut_lineage(frequent)
+        n = frequent.count()
+        if n >= 1 << 31:
+            raise ValueError(f"{n} frequent phrases of {length} words: more than can be numbered")
+        level = cut_lineage(numbered(frequent, n, F.asc("key")))
+        if length == 1:
+            words = level.select("number", "lang", F.col("word").alias("phrase"), "f")
+            spelled = words
+        else:
+            part, last = F.shiftright("key", 32), F.col("key").bitwiseAND((1 << 32) - 1)
+            named = level.select("number", "f", part.alias("part"), last.alias("last")).join(spelled.select(F.col("number").alias("part"), "lang", "phrase"), "part")
+            named = named.join(words.select(F.col("number").alias("last"), F.col("phrase").alias("word")), "last")
+            spelled = cut_lineage(named.select("number", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "f"))
+        rows = spelled.select("lang", "phrase", F.lit(length).alias("size"), "f")
+        found = rows if found is None else found.unionByName(rows)
+        if length == longest:
+            break
+        if n <= limit:
+            pairs = level.select("key", "number").toArrow()
+            keys, numbers = (np.asarray(pairs.column(c).combine_chunks(), np.int64) for c in ("key", "number"))
+            order = np.argsort(keys)
+            shared.append(segments.sparkSession.sparkContext.broadcast((keys[order], numbers[order])))
+        else:
+            # a segment has as many keys as phrases, so a list is bounded by SEGMENT_BYTES
+            own = _count(segments, shared, length, seed, block=True).join(level.select("key", "number"), "key")
+            own = own.groupBy("block").agg(F.collect_list(F.struct("key", "number")).alias(f"own{length}"))
+            segments = write_shared(segments.join(own, "block", "left"))
             shared.append(None)
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                for size, (level, words) in enumerate(_levels(batch, row, _row_members(batch, row, shared), longest), 1):
-                    spelled = [words.take(pa.array(level.codes[:, k])) for k in range(size)]
-                    phrases = pa.compute.binary_join_element_wise(*spelled, " ") if size > 1 else spelled[0]
-                    n = len(phrases)
-                    lang = pa.repeat(batch.column("lang")[row], n)
-                    yield pa.RecordBatch.from_arrays([lang, phrases, pa.array(np.full(n, size, np.int32)), pa.array(level.counts())], names=["lang", "phrase", "size", "f"])
-
-    counted = segments.mapInArrow(spell, "lang string, phrase string, size int, f long")
-    return counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return found
 
 
 def collocations(

@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import duckdb
 import numpy as np
@@ -28,13 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.frames import cut_lineage, write_shared
+from graphloom.llm.frames import cut_lineage, numbered, write_shared
 from graphloom.llm.words import parts
 
 #: Bytes of text that one DuckDB statement counts, about, and the memory that it may take before it spills.
 BATCH_BYTES, MEMORY = 2 << 20, "300MB"
-#: Rows of one task when scores are ranked, about.
-RANK_ROWS = 500_000
 BUCKETS = 10_000
 
 _COUNT = """
@@ -121,21 +118,6 @@ def noise(row_id: Column, seed: int) -> Column:
     return F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")
 
 
-def _ranked(df: DataFrame, drawn: int, n: int) -> DataFrame:
-    """``df`` with the rank of its first ``drawn`` rows by score and id, else null: sorted by ranges, with each range's offset."""
-    order = [F.desc("score"), F.asc("id")]
-    dealt = df.repartitionByRange(max(1, -(-n // RANK_ROWS)), *order).sortWithinPartitions(*order)
-    # a row's number in its range; written, so that no task is run again with another order
-    numbered = cut_lineage(dealt.withColumn("at", F.monotonically_increasing_id()))
-    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    sizes = sorted(numbered.groupBy(part.alias("part")).count().collect())
-    starts = accumulate((size for _, size in sizes), initial=0)
-    offsets = df.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts, strict=False)], "part int, start long")
-    rank = F.col("start") + place + 1
-    joined = numbered.withColumn("part", part.cast("int")).join(F.broadcast(offsets), "part")
-    return joined.withColumn("rank", F.when(rank <= drawn, rank)).drop("part", "start", "at")
-
-
 def resample(
     df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text", longest: int = 1, buckets: int = BUCKETS, seed: int = 2024, percent: int = 10, least_words: int = 20
 ) -> DataFrame:
@@ -150,5 +132,7 @@ def resample(
     scored = cut_lineage(weighed.withColumn("score", F.col("weight") + noise(F.col("id"), seed)))
     fit = (F.col("n_words") >= least_words) & F.col("score").isNotNull()
     n = scored.where(fit).count()
-    rows = _ranked(scored.where(fit), n * percent // 100, n).unionByName(scored.where(~fit).withColumn("rank", F.lit(None).cast("long")))
+    rank = F.when(F.col("number") < n * percent // 100, F.col("number") + 1)
+    ranked = numbered(scored.where(fit), n, F.desc("score"), F.asc("id")).withColumn("rank", rank).drop("number")
+    rows = ranked.unionByName(scored.where(~fit).withColumn("rank", F.lit(None).cast("long")))
     return rows.select(F.col("id").alias(id_col), "n_features", "weight", "score", "rank")

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import langid, phrases, queries, resample, toxicity
+from graphloom.llm import frames, langid, phrases, queries, resample, toxicity
 from graphloom.llm.frames import table
 
 SF = "/root/testdata/sf0.001"
@@ -139,7 +139,7 @@ def test_resampling_equals_sql(spark, duck):
 
 @pytest.mark.parametrize("longest", [1, 3])
 def test_resampling_equals_plain(spark, monkeypatch, longest):
-    monkeypatch.setattr(resample, "RANK_ROWS", 20)
+    monkeypatch.setattr(frames, "NUMBERED_ROWS", 20)
     docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     docs += [(None, "a b c"), (None, None), (900, None), (901, ""), (902, "..."), (903, "Ärger Écoute straße " * 3000), (903, "twice the same id")]
     target = [r.text for r in table(spark, SF, "benchmark").collect()] + [None, ""]
