@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import netmetrics, traverse
+from graphloom.operators import netmetrics, paths, traverse
 from graphloom.operators.lineage import cut_lineage
 
 # Words of a question that tell what it asks of the network, in order of precedence.
@@ -29,36 +29,15 @@ def intent(question: Column) -> Column:
     return found
 
 
-def _walk(steps: DataFrame, starts: DataFrame, most: int, sums: dict[str, str]) -> list[DataFrame]:
-    """``(start, node, path, sums...)`` after 1, 2, ... steps; a path holds a node once. Each step's paths are written once."""
-    links = cut_lineage(steps.select("src", "dst", *sums.values()))
-    start = F.col(starts.columns[0])
-    now = starts.select(start.alias("start"), start.alias("node"), F.array(start).alias("path"), *[F.lit(0.0).alias(k) for k in sums])
-    rounds = []
-    for _ in range(most):
-        step = now.join(links, now["node"] == links["src"]).where(~F.array_contains("path", F.col("dst")))
-        now = cut_lineage(step.select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), *[(F.col(k) + F.col(c)).alias(k) for k, c in sums.items()]))
-        rounds.append(now)
-    return rounds
-
-
 def learning_paths(prerequisites: DataFrame, starts: DataFrame, goals: DataFrame, most: int = 5, shown: int = 3) -> DataFrame:
-    """``(goal, rank, steps, path)``: the shortest ways of up to five steps from the starts to each goal.
-
-    Of the paths that meet in a node only the ``shown`` shortest can be part of a goal's, so each step keeps no more.
-    """
-    links = cut_lineage(prerequisites.select("src", "dst"))
-    start = F.col(starts.columns[0])
-    now = starts.select(start.alias("start"), start.alias("node"), F.array(start).alias("path"))
-    found = None
-    first = Window.partitionBy("start", "node").orderBy("path")
-    for _ in range(most):
-        step = now.join(links, now["node"] == links["src"]).where(~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        now = cut_lineage(step.withColumn("k", F.row_number().over(first)).where(F.col("k") <= shown).drop("k"))
-        found = now if found is None else found.unionByName(now)
-    ended = found.join(goals.select(F.col(goals.columns[0]).alias("node")).distinct(), "node").withColumn("steps", F.size("path") - 1)
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("steps", "path"))
-    return ended.withColumn("rank", rank).where(F.col("rank") <= shown).select(F.col("node").alias("goal"), "rank", "steps", "path")
+    """``(goal, rank, steps, path)``: the shortest simple ways of up to ``most`` steps from any of the starts to each goal, on any graph."""
+    start, goal = starts.columns[0], goals.columns[0]
+    # only pairs that the starts can reach: each start's nodes within so many steps
+    reached = traverse.khop(prerequisites.select("src", "dst"), starts, most).select(F.col("seed").alias("start"), F.col("node").alias("goal"))
+    pairs = reached.join(goals.select(F.col(goal).alias("goal")).distinct(), "goal", "left_semi")
+    found = paths.k_shortest(prerequisites, pairs.select("start", "goal"), shown, most)
+    rank = F.row_number().over(Window.partitionBy("goal").orderBy("steps", "path"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= shown).select("goal", "rank", "steps", "path")
 
 
 def learning_order(prerequisites: DataFrame, known: DataFrame, target: DataFrame, depth: int = 2, none: int = 999) -> DataFrame:
@@ -69,13 +48,27 @@ def learning_order(prerequisites: DataFrame, known: DataFrame, target: DataFrame
 
 
 def progressions(steps: DataFrame, starts: DataFrame, most: int = 3, frequency: float = 0.2, shown: int = 10) -> DataFrame:
-    """``(path, months, difficulty)``: the quickest ways over ``steps(src, dst, frequency, months, difficulty)``, each step being frequent enough."""
-    rounds = _walk(steps.where(F.col("frequency") > frequency), starts, most, {"taken": "months", "hard": "difficulty"})
-    found = rounds[0]
-    for more in rounds[1:]:
-        found = found.unionByName(more)
-    rows = found.select("path", F.col("taken").cast("long").alias("months"), (F.col("hard") / (F.size("path") - 1)).alias("difficulty"))
-    return rows.orderBy("months", "difficulty", "path").limit(shown)
+    """``(path, months, difficulty)``: the quickest ways over ``steps(src, dst, frequency, months, difficulty)``, each step being frequent enough.
+
+    Months are positive, so a way is quicker than all that go on from it: what is not among the ``shown`` quickest so far is
+    not extended, and no round holds more than those.
+    """
+    links = cut_lineage(steps.where(F.col("frequency") > frequency).select("src", "dst", "months", "difficulty"))
+    start = F.col(starts.columns[0])
+    now = starts.select(start.alias("node"), F.array(start).alias("path"), F.lit(0).cast("long").alias("taken"), F.lit(0.0).alias("hard"))
+    best, order = None, ["taken", F.col("hard") / (F.size("path") - 1), "path"]
+    for _ in range(most):
+        step = now.join(links, now["node"] == links["src"]).where(~F.array_contains("path", F.col("dst")))
+        step = step.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), (F.col("taken") + F.col("months")).alias("taken"), (F.col("hard") + F.col("difficulty")).alias("hard"))
+        size = F.size("path")
+        best = cut_lineage((step if best is None else best.unionByName(step)).orderBy(*order).limit(shown))
+        longest = best.agg(F.max(size)).first()[0]
+        if longest is None:
+            break
+        now = best.where(size == longest) if step is not None else best
+        if now.isEmpty():
+            break
+    return best.select("path", F.col("taken").alias("months"), (F.col("hard") / (F.size("path") - 1)).alias("difficulty")).orderBy("months", "difficulty", "path")
 
 
 def cluster_closeness(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import netmetrics, skillpaths
-from graphloom.plans.network_queries import _CO, _POWER, _WALK, _central, _pairs, _short
+from graphloom.operators import netmetrics, paths, skillpaths
+from graphloom.plans.graph_queries import _similar
+from graphloom.plans.network_queries import _CO, _POWER, _WALK, _central, _pairs
 from graphloom.plans.registry import query
 from graphloom.sources.domain import SQL, Graph
 
@@ -42,7 +43,7 @@ def substitutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_PRE}, walk AS (SELECT 1::BIGINT AS node, [1::BIGINT] AS path UNION ALL SELECT dst, list_append(path, dst) FROM walk JOIN pre ON node = src WHERE len(path) <= 5),
+    f"""WITH RECURSIVE {_PRE}, walk AS (SELECT 1::BIGINT AS node, [1::BIGINT] AS path UNION ALL SELECT dst, list_append(path, dst) FROM walk JOIN (SELECT DISTINCT src, dst FROM pre) ON node = src WHERE len(path) <= 5),
 ended AS (SELECT node AS goal, path, len(path) - 1 AS steps, row_number() OVER (PARTITION BY node ORDER BY len(path), path) AS rank FROM walk WHERE len(path) > 1 AND node % 10 = 0)
 SELECT goal, rank, steps, array_to_string(path, '>') AS path FROM ended WHERE rank <= 3"""
 )
@@ -91,11 +92,30 @@ def leverage_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("name", F.round("centrality", 6).alias("centrality"))
 
 
+_FAR = f"""{SQL}, link AS (SELECT a, b, min(cost) AS cost FROM (
+  SELECT src AS a, dst AS b, round(1 - score, 6) AS cost FROM similar_to UNION ALL SELECT dst, src, round(1 - score, 6) FROM similar_to) GROUP BY a, b),
+asked AS (SELECT id AS a, id + 7 AS b FROM vec WHERE id % 25 = 0),
+short(source, node, distance) USING KEY (source, node) AS (SELECT a, a, 0.0::DOUBLE FROM asked
+  UNION SELECT s.source, e.b, min(s.distance + e.cost) FROM short s JOIN link e ON s.node = e.a LEFT JOIN recurring.short k ON k.source = s.source AND k.node = e.b
+  WHERE k.distance IS NULL OR s.distance + e.cost < k.distance GROUP BY ALL)"""
+
+
+@query(f"{_FAR} SELECT asked.a, asked.b, round(distance, 6) AS distance FROM asked JOIN short ON source = asked.a AND node = asked.b")
+def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far pairs of skills are apart over the similarity graph: each skill of a table of questions, and the seventh after it."""
+    g = Graph(spark, sf_dir)
+    edges = _similar(g).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.round(1 - F.col("score"), 6).alias("cost"))
+    pairs = g.vectors().where("id % 25 = 0").select(F.col("id").alias("a"), (F.col("id") + 7).alias("b"))
+    return paths.pair_distances(edges, pairs).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
 @query(f"{_CO}{_WALK} SELECT source, node, round(distance, 8) AS distance, round(1 / (1 + distance), 8) AS closeness FROM short WHERE source = 'Brand#11' AND node = 'Brand#23'")
 def skill_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cheapest way from one skill to another and its closeness."""
-    rows = _short(Graph(spark, sf_dir)).where("source = 'Brand#11' AND node = 'Brand#23'")
-    return rows.select("source", "node", F.round("distance", 8).alias("distance"), F.round(netmetrics.closeness(F.col("distance")), 8).alias("closeness"))
+    """The cheapest way from one skill, the question's, to another and its closeness."""
+    g = Graph(spark, sf_dir)
+    edges = _pairs(g).select("a", "b", (1 / F.col("both")).alias("cost"))
+    rows = paths.pair_distances(edges, spark.createDataFrame([("Brand#11", "Brand#23")], "a string, b string"))
+    return rows.select(F.col("a").alias("source"), F.col("b").alias("node"), F.round("distance", 8).alias("distance"), F.round(netmetrics.closeness(F.col("distance")), 8).alias("closeness"))
 
 
 @query(
