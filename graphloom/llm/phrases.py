@@ -39,6 +39,8 @@ from graphloom.llm.words import PIECES, SOLID, Words, mix, parts
 
 #: Bytes of text of one segment, about; a longer text is a segment of its own.
 SEGMENT_BYTES = 1 << 20
+#: Segments whose counts are added up in a task at a time.
+TOGETHER = 8
 #: Frequent phrases up to which a level's keys and numbers are broadcast (16 bytes each); more are joined, with the same result.
 BROADCAST_KEYS = 4_000_000
 #: Candidates of one task when each language's first are taken, about.
@@ -137,31 +139,59 @@ def _level(batch: pa.RecordBatch, row: int, shared: list, length: int, seed: int
     return now
 
 
-def _count(segments: DataFrame, shared: list, length: int, seed: int, block: bool = False) -> DataFrame:
-    """``(key, n)`` of each segment's phrases of one length, or ``(block, key)``."""
+def _count(segments: DataFrame, shared: list, length: int, seed: int) -> DataFrame:
+    """``(key, n)`` of the phrases of one length; those of a few segments are added up before they leave the task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TOGETHER):
+                levels = [_level(batch, row, shared, length, seed) for row in range(start, min(start + TOGETHER, batch.num_rows))]
+                keys, n = np.concatenate([x.keys for x in levels]), np.concatenate([x.counts() for x in levels])
+                order = np.argsort(keys)
+                keys = keys[order]
+                firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+                sums = np.add.reduceat(n[order], firsts) if len(keys) else n
+                yield pa.RecordBatch.from_arrays([pa.array(keys[firsts]), pa.array(sums)], names=["key", "n"])
+
+    return segments.mapInArrow(count, "key long, n long")
+
+
+def _blocks(segments: DataFrame, shared: list, length: int, seed: int) -> DataFrame:
+    """``(block, key)``: the phrases of one length in each segment."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 level = _level(batch, row, shared, length, seed)
-                other = np.full(len(level.keys), batch.column("block")[row].as_py()) if block else level.counts()
-                yield pa.RecordBatch.from_arrays([pa.array(level.keys), pa.array(other)], names=["key", "block" if block else "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(level.keys), batch.column("block")[row].as_py())), pa.array(level.keys)], names=["block", "key"])
 
-    return segments.mapInArrow(count, f"key long, {'block' if block else 'n'} long")
+    return segments.mapInArrow(named, "block long, key long")
 
 
 def _vocabulary(segments: DataFrame, least: int, seed: int) -> tuple[int, DataFrame]:
     """``(lang, word, f, key)`` of the words that occur ``least`` times or more, counted by their spelling, and the hash's seed."""
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                words, ends = batch.column("words")[row].values, np.asarray(batch.column("ends")[row].values, np.int64)
-                lang = batch.column("lang")[row]
-                keys = word_keys(lang.as_py(), words.to_pylist(), seed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(words)), words, pa.array(keys), pa.array(np.diff(ends, prepend=0))], names=["lang", "word", "key", "n"])
+            for start in range(0, batch.num_rows, TOGETHER):
+                found = []
+                for row in range(start, min(start + TOGETHER, batch.num_rows)):
+                    words, ends = batch.column("words")[row].values, np.asarray(batch.column("ends")[row].values, np.int64)
+                    found.append(pa.table([pa.repeat(batch.column("lang")[row], len(words)), words, pa.array(np.diff(ends, prepend=0))], names=["lang", "word", "n"]))
+                summed = pa.concat_tables(found).group_by(["lang", "word"], use_threads=False).aggregate([("n", "sum")])
+                yield from summed.select(["lang", "word", "n_sum"]).rename_columns(["lang", "word", "n"]).combine_chunks().to_batches()
 
-    counted = segments.mapInArrow(keyed, "lang string, word string, key long, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"), F.first("key").alias("key"))
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.zeros(batch.num_rows, np.int64)
+            langs, words = batch.column("lang"), batch.column("word")
+            for lang in langs.unique().to_pylist():
+                own = np.flatnonzero(pa.compute.equal(langs, lang).to_numpy(zero_copy_only=False))
+                keys[own] = word_keys(lang, words.take(pa.array(own)).to_pylist(), seed).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=["lang", "word", "f", "key"])
+
+    summed = segments.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    counted = summed.mapInArrow(keyed, "lang string, word string, f long, key long")
     every = write_shared(counted)
     words = every.where(F.col("f") >= least)
     # a word, however rare, that has a frequent word's key would be taken for it
@@ -204,7 +234,7 @@ def frequencies(segments: DataFrame, longest: int, least: int, broadcast_keys: i
             shared.append(segments.sparkSession.sparkContext.broadcast((keys[order], numbers[order])))
         else:
             # a segment has as many keys as phrases, so a list is bounded by SEGMENT_BYTES
-            own = _count(segments, shared, length, seed, block=True).join(level.select("key", "number"), "key")
+            own = _blocks(segments, shared, length, seed).join(level.select("key", "number"), "key")
             own = own.groupBy("block").agg(F.collect_list(F.struct("key", "number")).alias(f"own{length}"))
             segments = write_shared(segments.join(own, "block", "left"))
             shared.append(None)
