@@ -41,6 +41,8 @@ from graphloom.llm.words import PIECES, SOLID, Words, mix, parts
 SEGMENT_BYTES = 1 << 20
 #: Segments whose counts are added up in a task at a time.
 TOGETHER = 8
+#: Occurrences of one part when phrases are counted, about.
+PART_KEYS = 1_000_000
 #: Frequent phrases up to which a level's keys and numbers are broadcast (16 bytes each); more are joined, with the same result.
 BROADCAST_KEYS = 4_000_000
 #: Candidates of one task when each language's first are taken, about.
@@ -139,21 +141,39 @@ def _level(batch: pa.RecordBatch, row: int, shared: list, length: int, seed: int
     return now
 
 
-def _count(segments: DataFrame, shared: list, length: int, seed: int) -> DataFrame:
-    """``(key, n)`` of the phrases of one length; those of a few segments are added up before they leave the task."""
+def _add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their numbers."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[firsts], np.add.reduceat(n[order], firsts) if len(keys) else n
+
+
+def _count(segments: DataFrame, shared: list, length: int, seed: int, least: int, ways: int) -> DataFrame:
+    """``(key, f)`` of the phrases of one length that occur ``least`` times or more.
+
+    Lists of keys and counts are dealt over ``ways`` parts by a hash of the key, so that rows are lists and not single
+    phrases, and a task adds up one part of about ``PART_KEYS`` keys at a time. The counts of a few segments are added
+    up before they leave a task, so a frequent phrase makes no part larger than others.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, TOGETHER):
                 levels = [_level(batch, row, shared, length, seed) for row in range(start, min(start + TOGETHER, batch.num_rows))]
-                keys, n = np.concatenate([x.keys for x in levels]), np.concatenate([x.counts() for x in levels])
-                order = np.argsort(keys)
-                keys = keys[order]
-                firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-                sums = np.add.reduceat(n[order], firsts) if len(keys) else n
-                yield pa.RecordBatch.from_arrays([pa.array(keys[firsts]), pa.array(sums)], names=["key", "n"])
+                keys, n = _add_up(np.concatenate([x.keys for x in levels]), np.concatenate([x.counts() for x in levels]))
+                part = (mix(keys.view(np.uint64)) % np.uint64(ways)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                parts, starts = np.unique(part[order], return_index=True)
+                offsets = pa.array(np.concatenate([starts, [len(keys)]]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[order])) for x in (keys, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(parts), *lists], names=["part", "keys", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        keys, n = _add_up(*[np.asarray(group.column(c).combine_chunks().flatten(), np.int64) for c in ("keys", "n")])
+        return pa.table({"key": keys[n >= least], "f": n[n >= least]})
 
-    return segments.mapInArrow(count, "key long, n long")
+    return segments.mapInArrow(count, "part long, keys array<long>, n array<long>").groupBy("part").applyInArrow(add, "key long, f long")
 
 
 def _blocks(segments: DataFrame, shared: list, length: int, seed: int) -> DataFrame:
@@ -205,11 +225,12 @@ def frequencies(segments: DataFrame, longest: int, least: int, broadcast_keys: i
     shared: list = []
     found = spelled = words = None
     seed = 0
+    ways = 1 + (segments.agg(F.sum(F.size("at").cast("long"))).first()[0] or 0) // PART_KEYS
     for length in range(1, longest + 1):
         if length == 1:
             seed, frequent = _vocabulary(segments, least, seed)
         else:
-            frequent = _count(segments, shared, length, seed).groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+            frequent = _count(segments, shared, length, seed, least, ways)
         frequent = cut_lineage(frequent)
         n = frequent.count()
         if n >= 1 << 31:
