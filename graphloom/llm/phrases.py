@@ -32,7 +32,6 @@ import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.llm.frames import cut_lineage, numbered, write_shared
 from graphloom.llm.words import PIECES, SOLID, Words, mix, parts
@@ -45,8 +44,6 @@ TOGETHER = 8
 PART_KEYS = 1_000_000
 #: Frequent phrases up to which a level's keys and numbers are broadcast (16 bytes each); more are joined, with the same result.
 BROADCAST_KEYS = 4_000_000
-#: Candidates of one task when each language's first are taken, about.
-TOP_ROWS = 200_000
 
 
 def index(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -289,10 +286,8 @@ def collocations(
         held = held.where(F.size(F.split("p.phrase", " ")) < F.col("size")).groupBy("lang", F.col("p.phrase").alias("phrase")).agg(F.max("a").alias("most"))
         scored = scored.join(held, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("most") < covered * F.col("a"), F.lit(True)))
     rows = cut_lineage(scored.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # first within parts of each language, then among their first: no task sorts a whole language
-    ways = 1 + rows.count() // TOP_ROWS
-    dealt = rows.withColumn("way", F.pmod(F.xxhash64("phrase"), F.lit(ways)))
-    few = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "way").orderBy(*order))).where(F.col("rank") <= first)
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= first)
+    # all languages are sorted together by ranges, so no task sorts a whole language
+    placed = numbered(rows, rows.count(), F.asc("lang"), F.desc("score"), F.desc("a"), F.asc("phrase"))
+    begins = placed.groupBy("lang").agg(F.min("number").alias("begin"))
+    ranked = placed.join(begins, "lang").withColumn("rank", F.col("number") - F.col("begin") + 1).where(F.col("rank") <= first)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -189,7 +189,7 @@ def test_phrases_equal_sql(spark, duck):
 def test_phrases_equal_plain(spark, monkeypatch, longest, keys):
     """On both sides of the bound of broadcast keys, in small segments, with few first rows of many parts."""
     monkeypatch.setattr(phrases, "SEGMENT_BYTES", 4000)
-    monkeypatch.setattr(phrases, "TOP_ROWS", 40)
+    monkeypatch.setattr(frames, "NUMBERED_ROWS", 40)
     monkeypatch.setattr(phrases, "PART_KEYS", 3000)
     docs = [(r.lang, r.text) for r in table(spark, SF, "documents").limit(120).collect()]
     docs += [(None, "New York, new york\tnew york new\nyork " * 9), (None, None), ("de", ""), ("", "a b c a b c " * 30), ("x y", " \t..!? "), ("x y", "x\x0by z\xa0w x " * 12), (None, "same same same same same same")]
