@@ -3,12 +3,14 @@
 Patterns find assigned values, access keys and long hexadecimal runs. The novelty method
 then looks at every further string in a sensitive context (a word such as ``key`` or
 ``bearer`` shortly before): a compressor primed with a dictionary of common identifiers
-compresses a few lines of ordinary text and the text around the candidate, without and
-with the candidate at its end. The difference is what the candidate adds. Words that the
-surroundings or the dictionary hold become matches, and other words are spelt in the
-letters that the text is made of, so they add little; a random string adds nearly a byte
-or more for each character. The bytes asked for grow with the length, beginning at a
-margin, so a short string must be the more novel; no other property is asked for.
+compresses ordinary text and the text around the candidate, without and with the candidate
+at its end. The difference is what the candidate adds; it is a whole number of bytes and
+depends on what stands there, so it is measured in several surroundings and the mean is
+taken. Words that the surroundings or the dictionary hold become matches, and other words are
+spelt in the letters that the text is made of, so they add little; a random string adds
+nearly a byte or more for each character. How many bytes are asked for depends on the length
+and on the letters: a bound for each kind is set so that of ordinary words, compound names
+and names with numbers of that kind and length about one in fifty is above it.
 
 Defined results: a null or empty text has no spans; positions are code points of the
 whole text, end exclusive; a candidate that a base span holds whole is not reported again,
@@ -40,7 +42,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Words after which a string may be a secret.
-_SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer|signature)", re.ASCII | re.IGNORECASE)
+_SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|credential|authorization|bearer|signature)", re.ASCII | re.IGNORECASE)
 #: Runs of token characters, and dotted groups of them.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
 #: Identifiers that code and configuration use everywhere.
@@ -62,12 +64,16 @@ ORDINARY = (
     "For each of the tables we first count the rows and then write a short summary to the journal, which will be kept for about thirty days or until it is removed by hand. "
     "public void setTimeout(long millis) { this.millis = millis; notifyListeners(); } The quick, exact way of doing so needs 2 or 3 steps, such as (1) and (2) below.\n"
 )
-#: Code points before and after a candidate that are compressed with it.
-SURROUNDINGS = 1024
+#: Surroundings that a candidate is measured in: code points before and after it, and the part of the ordinary text.
+SURROUNDINGS = ((1024, 1024, ORDINARY), (2048, 0, ORDINARY), (0, 1500, ORDINARY), (300, 300, ORDINARY), (100, 800, ORDINARY))
+SURROUNDINGS += ((1500, 0, ORDINARY[: len(ORDINARY) // 2]), (512, 512, ORDINARY[len(ORDINARY) // 2 :]), (800, 100, ORDINARY[len(ORDINARY) // 2 :]))
 #: Code points after a sensitive word, or after the end of a reported string, in which a candidate may start.
-REACH = 48
-#: Bytes that a candidate must add: this many, and this many more for each character.
-MARGIN, NOVELTY = 2.0, 0.72
+REACH = 64
+#: Bytes that a candidate must add for each character, and once, by its kind: letters of one case, these with digits,
+#: letters of both cases, and hardly any letters (dates and numbers are the ordinary ones there).
+BOUNDS = {"letters": (0.60, 1.45), "digits": (0.62, 2.9), "cases": (0.78, 2.2), "numbers": (0.80, 8.0)}
+#: Bytes more for each sign between the words of a name.
+JOINED = 0.8
 #: Shorter strings cannot be told from words.
 LEAST = 8
 
@@ -78,16 +84,41 @@ def _compressor() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, dict_data=primer, write_content_size=False)
 
 
-def added(text: str, start: int, end: int) -> int:
-    """Compressed bytes that ``text[start:end]`` adds to its surroundings."""
-    around = f"{ORDINARY}{text[max(0, start - SURROUNDINGS) : start]}\n{text[end : end + SURROUNDINGS]}\n".encode("utf-8", "surrogatepass")
-    compress = _compressor().compress
-    return len(compress(around + text[start:end].encode())) - len(compress(around))
-
-
-def _novel(text: str, start: int, end: int) -> bool:
-    size = end - start
-    return size >= LEAST and added(text, start, end) >= MARGIN + NOVELTY * size
+def kind_of(candidate: str) -> str:
+    """Which ordinary strings a candidate must be told from."""
+    letters = sum(c.isalpha() for c in candidate)
+    if letters <= 2 or 5 * letters < len(candidate):
+        return "numbers"
+    if candidate != candidate.upper() and candidate != candidate.lower():
+        return "cases"
+    return "digits" if any(c.isdigit() for c in candidate) else "letters"
+
+
+def added(text: str, start: int, end: int, candidate: str) -> float:
+    """Compressed bytes that a candidate adds at ``text[start:end]``, as the mean over several surroundings; capitals alone count as small letters."""
+    candidate = (candidate.lower() if candidate == candidate.upper() else candidate).encode()
+    compress, total = _compressor().compress, 0
+    for before, after, ordinary in SURROUNDINGS:
+        around = f"{ordinary}{text[max(0, start - before) : start]}\n{text[end : end + after]}\n".encode("utf-8", "surrogatepass")
+        total += len(compress(around + candidate)) - len(compress(around))
+    return total / len(SURROUNDINGS)
+
+
+def _novel(text: str, start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether a candidate is novel; what a base span in it holds is one already and isn't measured again."""
+    kept, at = [], start
+    for begin, _, stop in base:
+        if begin >= end:
+            break
+        if stop > at:
+            kept.append(text[at : max(at, begin)])
+            at = stop
+    rest = "".join(kept) + text[at:end]
+    if len(rest) < LEAST:
+        return False
+    each, once = BOUNDS[kind_of(rest)]
+    signs = sum(not c.isalnum() for c in rest)
+    return added(text, start, end, rest) > once + each * len(rest) + JOINED * signs
 
 
 def find(text: str | None) -> list[tuple[int, int, int]]:
@@ -106,7 +137,7 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
             start, end = m.span()
             at = done = end
             before = bisect_right(base, (start, len(KINDS)))  # base spans that start at the candidate's start or before
-            if (not before or base_ends[before - 1] < end) and _novel(text, start, end):
+            if (not before or base_ends[before - 1] < end) and _novel(text, start, end, base):
                 spans.append((start, 3, end))
                 limit = end + REACH
     return sorted(spans)
