@@ -12,13 +12,38 @@ MAX_DISTANCE, MIN_LENGTH = 2, 2
 MOST_SHOWN = 1000
 
 
+#: Names up to this length are compared by what is left of them when letters are left out, longer ones by equal pieces.
+SHORT = 8
+
+
+def left_out(name: Column, most: int) -> Column:
+    """The name and what is left of it with up to ``most`` letters left out, each once."""
+    every = now = F.array(name)
+    for _ in range(most):
+        # sequences run backwards where there is nothing, so they are cut to the length
+        one = lambda x: F.transform(F.slice(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), 1, F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+        now = F.array_distinct(F.flatten(F.transform(now, one)))
+        every = F.array_union(every, now)
+    return every
+
+
+def _short_pairs(names: DataFrame, taxonomy: DataFrame, distance: int) -> DataFrame:
+    """``(name, candidate)``: pairs that are equal when up to ``distance`` letters are left out of each, as all within that edit distance are."""
+    key = lambda df, c: df.select(c, F.explode(left_out(F.col(c), distance)).alias("rest"))
+    known = taxonomy.where(F.length("candidate") <= SHORT + distance)
+    return key(names, "name").join(key(known, "candidate"), "rest").select("name", "candidate")
+
+
 def fuzzy_pairs(names: DataFrame, taxonomy: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     """``(name, candidate, d)``: pairs of ``names(name)`` and ``taxonomy(candidate)`` within an edit distance.
 
-    Strings within distance d differ in length by at most d, and one of d + 1 equal cuts of
+    Names of up to ``SHORT`` letters share what is left of them when some are left out. Of longer ones, strings within
+    distance d differ in length by at most d, and one of d + 1 equal cuts of
     the taxonomy string stands unchanged in the other, at most d places away. Names are
     expanded to these keys, so the join is an equi-join on (length, cut, text).
     """
+    short = _short_pairs(names.where(F.length("name") <= SHORT), taxonomy, distance)
+    names = names.where(F.length("name") > SHORT)
     cuts = distance + 1
     start = lambda size, k: F.floor(size * k / cuts).cast("int")
     known = taxonomy.withColumn("size", F.length("candidate")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
@@ -28,7 +53,7 @@ def fuzzy_pairs(names: DataFrame, taxonomy: DataFrame, distance: int = MAX_DISTA
     begin = start(F.col("size"), F.col("k"))
     probe = probe.withColumn("begin", begin + F.col("shift")).withColumn("wide", start(F.col("size"), F.col("k") + 1) - begin)
     probe = probe.where((F.col("begin") >= 0) & (F.col("begin") + F.col("wide") <= F.length("name"))).withColumn("piece", F.substring("name", F.col("begin") + 1, F.col("wide")))
-    near = probe.select("name", "size", "k", "piece").join(known.select("candidate", "size", "k", "piece"), ["size", "k", "piece"]).select("name", "candidate").distinct()
+    near = probe.select("name", "size", "k", "piece").join(known.select("candidate", "size", "k", "piece"), ["size", "k", "piece"]).select("name", "candidate").unionByName(short).distinct()
     # the bounded form gives -1 beyond the distance
     return near.withColumn("d", F.levenshtein("name", "candidate", distance)).where("d >= 0")
 

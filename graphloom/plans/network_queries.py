@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import cosine
-from graphloom.operators import netmetrics, vector_search
+from graphloom.operators import netmetrics, quantiles, vector_search
 from graphloom.plans.registry import query
 from graphloom.sources.domain import SQL, Graph
 
@@ -284,8 +284,12 @@ SELECT category, round(p25, 4) AS p25, round(p75, 4) AS p75, round(p75 - p25, 4)
 def salary_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
     rows = g.requires().join(g.jobs(), "job_id").join(g.skills(), "skill_id")
-    q = rows.groupBy("category").agg(F.percentile("max_salary", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    return q.select("category", F.round(F.col("q")[0], 4).alias("p25"), F.round(F.col("q")[1], 4).alias("p75"), F.round(F.col("q")[1] - F.col("q")[0], 4).alias("spread"), F.round(F.col("q")[1] / F.col("q")[0], 6).alias("ratio"))
+    found = quantiles.exact_quantiles(rows, "category", "max_salary", (0.25, 0.75))
+    of = lambda share: F.max(F.when(F.col("share") == share, F.col("quantile")))
+    q = found.groupBy("category").agg(of(0.25).alias("low"), of(0.75).alias("high"))
+    return q.select(
+        "category", F.round("low", 4).alias("p25"), F.round("high", 4).alias("p75"), F.round(F.col("high") - F.col("low"), 4).alias("spread"), F.round(F.col("high") / F.col("low"), 6).alias("ratio")
+    )
 
 
 @query(

@@ -112,30 +112,48 @@ def refined_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.withColumn("score", F.round("score", 6))
 
 
+def _patterns(known: dict[str, list[str]]) -> str:
+    """SQL: the names whose patterns occur in ``t``, as a list."""
+    cases = [f"CASE WHEN {' OR '.join(f"regexp_matches(t, '{p}')" for p in patterns)} THEN '{name}' END" for name, patterns in known.items()]
+    return f"concat_ws(',', {', '.join(cases)})"
+
+
+#: The turns, whose words nobody has written a result for by hand.
+_TURNS = "turns AS (SELECT id, t FROM asked WHERE id LIKE 'turn-%')"
 _OLDER = """CASE form WHEN 0 THEN 'skill_relationship,skill_requirement' WHEN 1 THEN 'company_query' WHEN 2 THEN 'career_path' WHEN 3 THEN 'salary_analysis' WHEN 4 THEN 'skill_requirement,salary_analysis' WHEN 5 THEN 'skill_requirement' ELSE 'general' END"""
 
 
-@query(f"WITH {_BY_HAND} SELECT id, {_OLDER} AS intents FROM by_hand")
+@query(
+    f"""WITH {_ASCII}, {_TURNS}, {_BY_HAND} SELECT id, {_OLDER} AS intents FROM by_hand
+UNION ALL SELECT id, coalesce(nullif({_patterns(questions.OLDER_INTENTS)}, ''), 'general') FROM turns"""
+)
 def older_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the older detector makes of the questions."""
-    parts = asked(spark, sf_dir).where("id LIKE 'part-%'")
-    return parts.select("id", F.array_join(questions.older_intents(F.col("text")), ",").alias("intents"))
+    return asked(spark, sf_dir).select("id", F.array_join(questions.older_intents(F.col("text")), ",").alias("intents"))
 
 
-@query(f"WITH {_BY_HAND} SELECT id, CASE form WHEN 0 THEN 'skill_relationship,skill_requirement' WHEN 6 THEN '' WHEN 7 THEN '' ELSE {_OLDER} END AS all_intents FROM by_hand")
+@query(
+    f"""WITH {_ASCII}, {_TURNS}, {_BY_HAND} SELECT id, CASE form WHEN 0 THEN 'skill_relationship,skill_requirement' WHEN 6 THEN '' WHEN 7 THEN '' ELSE {_OLDER} END AS all_intents FROM by_hand
+UNION ALL SELECT id, {_patterns(questions.INTENTS)} FROM turns"""
+)
 def all_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every intent of a question's record; a general one has none."""
-    return questions.classify(asked(spark, sf_dir).where("id LIKE 'part-%'")).select("id", F.array_join("all_intents", ",").alias("all_intents"))
+    return questions.classify(asked(spark, sf_dir)).select("id", F.array_join("all_intents", ",").alias("all_intents"))
 
 
 _OLDER_NAMED = """SELECT id, unnest(CASE form WHEN 0 THEN ['skill:java:0.8', 'skill:python:0.8'] WHEN 1 THEN ['skill:react:0.8', 'company:google:0.9', 'company:ibm:0.9'] WHEN 2 THEN ['job:data scientist:0.7'] WHEN 3 THEN ['skill:sql:0.8', 'job:software engineer:0.7']
  WHEN 4 THEN ['skill:go:0.8', 'skill:aws:0.8'] WHEN 5 THEN ['skill:docker:0.8'] ELSE [] END) AS entity FROM by_hand"""
 
 
-@query(f"WITH {_BY_HAND} {_OLDER_NAMED}")
+_OLDER_TURNS = " UNION ".join(
+    f"SELECT id, '{kind}:' || unnest(regexp_extract_all(t, '{p}')) || ':{confidence}' AS entity FROM turns" for kind, (confidence, patterns) in questions.OLDER_ENTITIES.items() for p in patterns
+)
+
+
+@query(f"WITH {_ASCII}, {_TURNS}, {_BY_HAND} {_OLDER_NAMED} UNION ALL SELECT * FROM ({_OLDER_TURNS})")
 def older_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that the older patterns find, each once."""
-    found = questions.entities(asked(spark, sf_dir).where("id LIKE 'part-%'"), "id", known=questions.OLDER_ENTITIES)
+    found = questions.entities(asked(spark, sf_dir), "id", known=questions.OLDER_ENTITIES)
     return found.select("id", F.concat_ws(":", "kind", "value", F.col("confidence").cast("string")).alias("entity"))
 
 

@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from graphloom.plans import answer_queries, context_queries, csv_queries, graph_queries, index_queries, log_queries, monitor_queries, network_queries, path_queries, question_queries, store_queries, stream_queries, traversal_queries  # noqa: E402, F401
+from graphloom.plans import answer_queries, context_queries, csv_queries, graph_queries, index_queries, log_queries, monitor_queries, network_queries, path_queries, question_queries, statistics_queries, store_queries, stream_queries, traversal_queries  # noqa: E402, F401

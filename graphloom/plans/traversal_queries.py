@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import question_graph, questions
+from graphloom.operators import question_graph, questions, skillpaths
 from graphloom.plans.graph_queries import _similar
 from graphloom.plans.question_queries import _ASCII, _MATCHED, asked
 from graphloom.plans.registry import query
@@ -94,3 +94,12 @@ def question_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = question_graph.seeds_of(_found(Graph(spark, sf_dir))).select("question", F.lit(True).alias("found")).distinct()
     rule = F.when(F.col("found").isNull(), "no results").when(~F.exists("intents", lambda i: ~i.isin(*question_graph.GENERAL)), "general").otherwise("traverse")
     return rows.join(some, "question", "left").select("question", rule.alias("rule"))
+
+
+_NETWORK = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{name}'" for name, p in skillpaths.INTENTS.items())
+
+
+@query(f"WITH {_ASCII} SELECT id AS question, CASE {_NETWORK} ELSE 'general' END AS intent FROM asked")
+def question_network_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each question about a part, and each conversation turn, asks of the network of skills."""
+    return asked(spark, sf_dir).select(F.col("id").alias("question"), skillpaths.intent(F.col("text")).alias("intent"))
