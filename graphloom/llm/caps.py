@@ -25,7 +25,8 @@ Equal vectors of one label are one node: their copies are counted, not paired.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components,
 and vectors without a label, link with nothing and are their own component; vectors of
-different length don't link; rows that repeat a vector link with each other; other columns
+different length don't link; rows that repeat a vector link with each other; a
+cosine of exactly the bound links; other columns
 are ignored; an empty table gives an empty result.
 """
 

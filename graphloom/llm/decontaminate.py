@@ -20,7 +20,7 @@ join. Both ways give the same rows.
 Defined results: words are runs of a-z, 0-9 and non-ASCII characters after lower-casing
 A-Z; items without words are found nowhere; null and empty texts contain nothing; repeated
 rows give repeated results, an item repeated word for word under one id counts once, and
-items that share an id are searched each by itself; other columns are kept by :func:`keep`
+items that share an id are searched each by itself; a share of exactly the bound is a find; other columns are kept by :func:`keep`
 and ignored by :func:`search`; empty tables give empty results.
 """
 

@@ -14,7 +14,8 @@ hits are shuffled. Of spans that cover the same words, the one that holds most k
 counts: a notice of one license is not one of another that reads nearly alike.
 
 Defined results: a null or empty text has no words, no places and no labels; very long
-texts are scanned whole; rows that repeat an id are matched by id and text, so each keeps
+texts are scanned whole; a k-gram that several templates share votes for each of them, and of
+spans that hold equally many k-grams all stay; a share of exactly the bound counts; rows that repeat an id are matched by id and text, so each keeps
 its own result; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -31,6 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm import frames
+from graphloom.llm.frames import cut_lineage
 from graphloom.llm.license_texts import NOTICES, SECTIONS
 from graphloom.llm.words import LETTERS, Words
 
@@ -169,6 +172,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     # a text's spans are at most one for some words of it
     found = spans(docs, templates).groupBy("id", "text_key").agg(F.collect_set(F.struct("row", "first_word", "last_word", "held")).alias("found"))
+    # few texts have spans: these are sent to the texts, so that no text is shuffled to meet them
+    found = cut_lineage(found)
+    size = found.agg(F.sum(F.coalesce(F.octet_length(F.col("id").cast("string")), F.lit(0)) + 32 + 24 * F.size("found"))).first()[0] or 0
+    found = F.broadcast(found) if size <= frames.BROADCAST_NAMES else found
     same: Column = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.text_key") == F.col("b.text_key"))
     read = docs.alias("a").join(found.alias("b"), same, "left").select(F.col("a.id").alias("id"), _reader(templates)("a.text", "b.found").alias("p"))
     share = F.array_max(F.transform("p.spans", lambda s: s["share"]))

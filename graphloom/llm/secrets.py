@@ -14,7 +14,8 @@ and names with numbers of that kind and length about one in fifty is above it.
 
 Defined results: a null or empty text has no spans; positions are code points of the
 whole text, end exclusive; a candidate that a base span holds whole is not reported again,
-one that goes beyond a base span is, and both stay; repeated rows give repeated results;
+one that goes beyond a base span is if the rest of it is novel, and both stay; spans that start
+together are in the order of their kinds; very long texts are scanned whole; repeated rows give repeated results;
 other columns are kept by :func:`redact` and ignored by :func:`scan`; an empty table gives
 an empty result.
 """

@@ -11,7 +11,7 @@ Everything is DataFrame expressions. Hosts are counted with map-side partial sum
 the reputation goes back to the pages by a join that deals a hot host over many parts.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path; no rule
-fits it, and its verdict is the method's for the empty host; repeated rows give repeated
+fits it, and its verdict is the method's for the empty host; very long URLs are read whole; repeated rows give repeated
 results; other columns are ignored; an empty table gives an empty result.
 """
 

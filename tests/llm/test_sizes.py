@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import frames, graph
+from graphloom.llm import frames, graph, licenses
 
 
 @pytest.mark.parametrize("most", [8 << 20, 0])
@@ -23,3 +23,12 @@ def test_components_in_one_task_and_many(spark, monkeypatch, most):
     found = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     assert found == {k: k % 3 for k in range(63)} | {k: 100 for k in range(100, 160)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_license_spans_broadcast_and_joined(spark, monkeypatch, most):
+    monkeypatch.setattr(frames, "BROADCAST_NAMES", most)
+    text = f"x {licenses.TEMPLATES['mit']} y"
+    rows = [(1, text), (1, "plain"), (1, text), (None, text), (2, None), (3, ""), (4, "under the mit license")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, [s.label for s in r.spans], r.base_labels) for r in found) == [(0, ["mit"], []), (1, [], []), (1, ["mit"], []), (1, ["mit"], []), (2, [], []), (3, [], []), (4, [], ["mit"])]
