@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,11 +19,13 @@ DESCRIPTION = 100
 
 
 def capped(nodes: DataFrame, order: list[Column], caps: Mapping[str, int]) -> DataFrame:
-    """Nodes with their ``rank`` within their type, those within the type's cap; other types are left out."""
-    most = None
-    for label, n in caps.items():
-        most = F.when(F.col("node_type") == label, n) if most is None else most.when(F.col("node_type") == label, n)
-    return nodes.withColumn("rank", F.row_number().over(Window.partitionBy("node_type").orderBy(*order))).where(F.col("rank") <= most)
+    """Nodes with their ``rank`` within their type, those within the type's cap; other types are left out.
+
+    Each type is cut by a limit of its own: a task sends on no more than the cap, and no type is sorted as a whole.
+    """
+    window = Window.partitionBy("node_type").orderBy(*order)
+    parts = [nodes.where(F.col("node_type") == label).orderBy(*order).limit(n).withColumn("rank", F.row_number().over(window)) for label, n in caps.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def top_matches(found: DataFrame) -> DataFrame:

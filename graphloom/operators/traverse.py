@@ -38,14 +38,14 @@ def khop(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 
 def trails(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """``(seed, node, hops, path)``: every path that uses an edge ``(edge_id, src, dst)`` once; for small graphs."""
+    """``(seed, node, hops, path)``: every path that uses an edge ``(edge_id, src, dst)`` once; for small graphs. Each hop's paths are written once."""
     depth = max(1, min(depth, MAX_DEPTH))
     start = seeds.select(F.col(seeds.columns[0]).alias("seed"))
     paths = start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops"), F.array().cast("array<long>").alias("path"))
-    found = None
+    edges, found = cut_lineage(edges.select("edge_id", "src", "dst")), None
     for hop in range(1, depth + 1):
         step = paths.join(edges, (paths["node"] == edges["src"]) & ~F.array_contains("path", F.col("edge_id")))
-        paths = step.select("seed", F.col("dst").alias("node"), F.lit(hop).alias("hops"), F.concat("path", F.array("edge_id")).alias("path"))
+        paths = cut_lineage(step.select("seed", F.col("dst").alias("node"), F.lit(hop).alias("hops"), F.concat("path", F.array("edge_id")).alias("path")))
         found = paths if found is None else found.unionByName(paths)
     return found
 

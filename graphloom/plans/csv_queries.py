@@ -175,8 +175,13 @@ CASE WHEN l_orderkey % 7 = 0 THEN count(*) WHEN l_orderkey % 5 = 0 THEN 0 ELSE c
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _parquet(spark, sf_dir, "lineitem").createOrReplaceTempView("graphloom_lineitem")
-    return spark.sql(_RUNS.replace("FROM lineitem", "FROM graphloom_lineitem"))
+    """Each order as an ingestion run of its lines: those of every seventh fail, one of every fifth is still to come, else returned ones fail."""
+    failed = F.col("l_returnflag") == "R"
+    rows = _parquet(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run"))
+    sums = rows.agg(F.count("*").alias("total"), F.count_if(~failed).alias("good"), F.count_if(failed).alias("bad"), (F.sum("l_quantity").cast("double") / 10).alias("speed"))
+    seventh, fifth = F.col("run") % 7 == 0, F.col("run") % 5 == 0
+    processed = F.when(seventh, 0).when(fifth, F.col("total") - 1).otherwise(F.col("good"))
+    return sums.select("run", "total", processed.alias("processed"), F.when(seventh, F.col("total")).when(fifth, 0).otherwise(F.col("bad")).alias("failed"), "speed")
 
 
 _STATES = f"""r AS ({_RUNS}), s AS (SELECT *, CASE WHEN processed + failed < total THEN 'processing' WHEN processed = 0 THEN 'failed' WHEN failed > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM r)"""
