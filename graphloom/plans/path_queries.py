@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.vectors import cosine
 from graphloom.operators import netmetrics, paths, skillpaths
 from graphloom.plans.graph_queries import _similar
 from graphloom.plans.network_queries import _CO, _POWER, _WALK, _central, _pairs
@@ -109,6 +110,23 @@ def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.pair_distances(edges, pairs).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
+@query(
+    f"""{_FAR}, {_SUB}
+SELECT asked.a, asked.b, round(0.6 * coalesce(1 / (1 + distance), 0) + 0.3 * list_cosine_similarity(x.v, y.v) + 0.1 * coalesce(sub.score, 0), 6) AS closeness
+FROM asked JOIN vec x ON x.id = asked.a JOIN vec y ON y.id = asked.b LEFT JOIN short ON source = asked.a AND node = asked.b LEFT JOIN sub ON sub.src = asked.a AND sub.dst = asked.b"""
+)
+def closeness_blended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closeness of pairs of skills from the cheapest path between them, their vectors and whether one can stand for the other."""
+    g = Graph(spark, sf_dir)
+    edges = _similar(g).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.round(1 - F.col("score"), 6).alias("cost"))
+    v = g.vectors()
+    pairs = v.where("id % 25 = 0").select(F.col("id").alias("a"), (F.col("id") + 7).alias("b"))
+    rows = pairs.join(v.toDF("a", "v_a"), "a").join(v.toDF("b", "v_b"), "b").join(paths.pair_distances(edges, pairs), ["a", "b"], "left")
+    rows = rows.join(_substitutes(g).toDF("a", "b", "instead"), ["a", "b"], "left")
+    blend = netmetrics.blended(netmetrics.closeness(F.col("distance")), cosine(F.col("v_a"), F.col("v_b")), F.coalesce("instead", F.lit(0.0)))
+    return rows.select("a", "b", F.round(blend, 6).alias("closeness"))
+
+
 @query(f"{_CO}{_WALK} SELECT source, node, round(distance, 8) AS distance, round(1 / (1 + distance), 8) AS closeness FROM short WHERE source = 'Brand#11' AND node = 'Brand#23'")
 def skill_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest way from one skill, the question's, to another and its closeness."""
