@@ -46,8 +46,10 @@ def stable_id(name: Column) -> Column:
 
 
 def lakhs(amount: Column) -> Column:
-    """An amount as text: above 100,000 in lakhs with one place, else whole with thousands apart; null stays null."""
-    return F.when(amount > 100_000, F.concat(F.format_number(amount / 100_000, 1), F.lit(" LPA"))).otherwise(F.format_number(amount, 0))
+    """An amount as text: above 100,000 in lakhs with one place (halves go up), else whole with thousands apart; null stays null."""
+    # format_number alone would take a half to the even side, or to that of the binary fraction
+    tenths = F.round(amount / 100_000 * 10, 0)
+    return F.when(amount > 100_000, F.concat(F.format_number(tenths / 10, 1), F.lit(" LPA"))).otherwise(F.format_number(amount, 0))
 
 
 def and_others(names: Column, n: int) -> Column:

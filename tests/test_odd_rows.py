@@ -100,6 +100,15 @@ def test_display_forms(spark):
     assert [r[0] for r in names.select(and_others(F.col("n"), 5)).collect()] == ["a, b", "", "a, b, c, d, e and 1 others"]
 
 
+def test_lakhs_take_halves_as_their_sql_does(spark):
+    import duckdb
+
+    values = [float(5_000 * k) for k in range(1, 400)] + [115_000.01, 114_999.99, 99_999.5, 2.5, 225_000.0]
+    want = duckdb.sql(f"SELECT CASE WHEN v > 100000 THEN format('{{:,.1f}} LPA', round(v / 100000, 1)) ELSE format('{{:,.0f}}', v) END FROM (SELECT unnest({values}::DOUBLE[]) AS v)").fetchall()
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(lakhs(F.col("v"))).collect()
+    assert [tuple(r) for r in got] == want
+
+
 def test_skill_gap_advice(spark):
     for n, advice in ((0, "on the right track"), (5, "focus on 5"), (6, "first 5 of 6"), (10, "first 5 of 10"), (11, "3 to 5 of 11")):
         top = spark.createDataFrame([("Known",), (None,), ("",)] + [(f"s{k:02}",) for k in range(n)] * 2, "name string")
