@@ -99,8 +99,12 @@ def numbered(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return joined.withColumn("number", F.col("_start") + place).drop("_range", "_start", "_at")
 
 
-def write_shared(df: DataFrame) -> DataFrame:
-    """Write a table beside the checkpoints, where every executor can read it, and read it back."""
+def write_shared(df: DataFrame, rows_together: int | None = None) -> DataFrame:
+    """Write a table beside the checkpoints, where every executor can read it, and read it back.
+
+    Of rows that are large, ``rows_together`` is the most that a writer or reader holds at a time (a row group).
+    """
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if rows_together is None else df.write.option("parquet.block.row.count.limit", rows_together)
+    writer.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -254,7 +254,7 @@ def frequencies(segments: DataFrame, longest: int, least: int, broadcast_keys: i
             # a segment has as many keys as phrases, so a list is bounded by SEGMENT_BYTES
             own = _blocks(segments, shared, length, seed).join(level.select("key", "number"), "key")
             own = own.groupBy("block").agg(F.collect_list(F.struct("key", "number")).alias(f"own{length}"))
-            segments = write_shared(segments.join(own, "block", "left"))
+            segments = write_shared(segments.join(own, "block", "left"), TOGETHER)
             shared.append(None)
     return found
 
@@ -267,7 +267,7 @@ def collocations(
     A phrase's score is that of its worst cut in two; one that a longer candidate holds, which
     has ``covered`` percent of its occurrences or more, is dropped.
     """
-    segments = write_shared(index(df, lang_col, text_col))
+    segments = write_shared(index(df, lang_col, text_col), TOGETHER)
     totals = segments.groupBy("lang").agg(F.sum(F.size("at").cast("long")).alias("n"))
     found = cut_lineage(frequencies(segments, longest, least, broadcast_keys))
     part = found.select("lang", F.col("phrase").alias("part"), "f")

@@ -32,3 +32,13 @@ def test_license_spans_broadcast_and_joined(spark, monkeypatch, most):
     rows = [(1, text), (1, "plain"), (1, text), (None, text), (2, None), (3, ""), (4, "under the mit license")]
     found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, [s.label for s in r.spans], r.base_labels) for r in found) == [(0, ["mit"], []), (1, [], []), (1, ["mit"], []), (1, ["mit"], []), (2, [], []), (3, [], []), (4, ["mit"], ["mit"])]
+
+
+def test_large_rows_are_written_few_together(spark):
+    import pyarrow.parquet as pq
+
+    from graphloom.llm import phrases
+
+    table = frames.write_shared(spark.range(50).repartition(2), phrases.TOGETHER)
+    groups = [g for f in table.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file:")).metadata] for g in (m.row_group(k).num_rows for k in range(m.num_row_groups))]
+    assert sum(groups) == 50 and max(groups) <= phrases.TOGETHER
