@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import as_vector, cosine, normalized_score
+from graphloom.operators.lineage import cut_lineage
 
 #: Defaults of similarity edges and of the three searches.
 KNN_THRESHOLD, KNN_TOP = 0.7, 5
@@ -38,25 +39,39 @@ def hybrid(parts: Sequence[tuple[str, DataFrame]], k: int) -> DataFrame:
     return merged.orderBy(F.desc("score"), "rank", "id").limit(k).drop("rank")
 
 
-def knn_graph(vectors: DataFrame, threshold: float = KNN_THRESHOLD, top: int = KNN_TOP, block_rows: int = 2048) -> DataFrame:
-    """``(src, dst, score)``: each row's nearest others by clipped cosine above a strict threshold, exactly."""
-    return nearest(vectors, vectors, threshold, top, block_rows, others=True)
+def knn_graph(vectors: DataFrame, threshold: float = KNN_THRESHOLD, top: int = KNN_TOP, block_rows: int | None = None) -> DataFrame:
+    """``(src, dst, score)``: each row's nearest others by clipped cosine above a strict threshold, exactly.
 
+    The graph, at most ``top`` edges a row, is written once: whatever reads it twice does not compare all rows again.
+    """
+    return cut_lineage(nearest(vectors, vectors, threshold, top, block_rows, others=True))
+
+
+#: Rows of one block, at most, and blocks that a table of some size has at least, so that there are tasks for all.
+BLOCK_ROWS, LEAST_ROWS, LEAST_BLOCKS = 16_384, 512, 12
+#: Rows of each side whose scores a task holds at a time.
+TILE_ROWS, TILE_COLUMNS = 512, 2048
 
-def nearest(left: DataFrame, right: DataFrame, threshold: float | None, top: int, block_rows: int = 2048, others: bool = False, clipped: bool = True) -> DataFrame:
+
+def nearest(left: DataFrame, right: DataFrame, threshold: float | None, top: int, block_rows: int | None = None, others: bool = False, clipped: bool = True) -> DataFrame:
     """``(src, dst, score)``: for each row of ``left(id, v)`` the nearest of ``right(id, v)`` by cosine above a strict threshold if there is one.
 
-    A set of queries against all rows, in blocks: both sides are dealt into blocks and each pair of blocks is one matrix
-    product in a task, so a task holds two blocks whatever the tables' sizes. Each product sends on at most ``top`` rows for
-    each source, and a window takes the best of these. With ``others`` a row is not its own neighbour.
+    A set of queries against all rows, in blocks: both sides are dealt into blocks and each pair of blocks is compared in one
+    task, tile by tile, so a task holds two blocks and one tile of scores whatever the tables' sizes. Of a tile only scores above
+    the threshold and not below the best ``top`` of the tiles before are looked at. Each pair of blocks sends on at most ``top`` rows
+    for each source, and a window takes the best of these. With ``others`` a row is not its own neighbour; a null vector is no row.
     """
-    blocks = lambda df: max(1, -(-df.count() // block_rows))
+
+    def blocks(df: DataFrame) -> int:
+        n = df.count()
+        return max(1, -(-n // block_rows)) if block_rows else max(1, -(-n // BLOCK_ROWS), min(LEAST_BLOCKS, -(-n // LEAST_ROWS)))
+
     l_blocks = blocks(left)
     r_blocks = l_blocks if others else blocks(right)
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a_side = left.select(own(l_blocks).alias("i"), every(r_blocks).alias("j"), "id", "v", F.lit(0).alias("side"))
-    b_side = right.select(every(l_blocks).alias("i"), own(r_blocks).alias("j"), "id", "v", F.lit(1).alias("side"))
+    a_side = left.where("v IS NOT NULL").select(own(l_blocks).alias("i"), every(r_blocks).alias("j"), "id", "v", F.lit(0).alias("side"))
+    b_side = right.where("v IS NOT NULL").select(every(l_blocks).alias("i"), own(r_blocks).alias("j"), "id", "v", F.lit(1).alias("side"))
     least = -np.inf if threshold is None else threshold
 
     def product(rows: pa.Table) -> pa.Table:
@@ -65,19 +80,41 @@ def nearest(left: DataFrame, right: DataFrame, threshold: float | None, top: int
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(a) or not len(b):
             return _EDGE.empty_table()
-        unit = np.array(rows.column("v").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
+        unit = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         length = np.linalg.norm(unit, axis=1, keepdims=True)
         unit = np.divide(unit, length, out=np.zeros_like(unit), where=length > 0)
         b = b[np.argsort(ids[b], kind="stable")]
-        score = unit[a] @ unit[b].T
-        if clipped:
-            score = np.clip(score, 0.0, 1.0)
-        if others:
-            score[ids[a][:, None] == ids[b][None, :]] = -np.inf
-        best = np.argsort(-score, axis=1, kind="stable")[:, :top]
-        kept = np.take_along_axis(score, best, axis=1)
-        row, column = np.nonzero(kept > least)
-        return pa.table([pa.array(ids[a][row]), pa.array(ids[b][best[row, column]]), pa.array(kept[row, column])], schema=_EDGE)
+        targets = np.ascontiguousarray(unit[b].T)
+        found = []
+        for first in range(0, len(a), TILE_ROWS):
+            q = a[first : first + TILE_ROWS]
+            queries = unit[q]
+            # what is still among the best of each row: row, place in b, score
+            row, place, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            floor = np.full((len(q), 1), -np.inf)
+            for start in range(0, len(b), TILE_COLUMNS):
+                score = queries @ targets[:, start : start + TILE_COLUMNS]
+                if clipped and not least >= 0:
+                    np.clip(score, 0.0, 1.0, out=score)
+                if start == 0 and score.shape[1] > top > 0:
+                    if others:
+                        score[ids[q][:, None] == ids[b[:TILE_COLUMNS]][None, :]] = -np.inf
+                    first_best = np.partition(np.nan_to_num(score, nan=-np.inf), score.shape[1] - top, axis=1)[:, score.shape[1] - top, None]
+                    floor = np.minimum(first_best, 1.0) if clipped else first_best
+                # one pass over the tile: above the threshold, and not below the best so far
+                r, c = np.nonzero(score >= np.maximum(floor, np.nextafter(least, np.inf)))
+                new = np.minimum(score[r, c], 1.0) if clipped else score[r, c]
+                good = new > least
+                if others:
+                    good &= ids[q[r]] != ids[b[c + start]]
+                row, place, kept = np.concatenate([row, r[good]]), np.concatenate([place, c[good] + start]), np.concatenate([kept, new[good]])
+                order = np.lexsort((place, -kept, row))
+                row, place, kept = row[order], place[order], kept[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                row, place, kept, rank = (x[rank < top] for x in (row, place, kept, rank))
+                floor[row[rank == top - 1], 0] = kept[rank == top - 1]
+            found.append(pa.table([pa.array(ids[q][row]), pa.array(ids[b][place]), pa.array(kept)], schema=_EDGE))
+        return pa.concat_tables(found)
 
     found = a_side.unionByName(b_side).groupBy("i", "j").applyInArrow(product, "src long, dst long, score double")
     ranked = found.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst")))

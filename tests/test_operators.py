@@ -19,6 +19,33 @@ def test_knn_graph_leaves_out_self_and_weak_pairs(spark):
     assert sorted((r.src, r.dst) for r in vector_search.knn_graph(vectors, 0.7, 5).collect()) == [(1, 2), (2, 1)]
 
 
+def test_nearest_is_exact_over_tiles_blocks_ties_and_odd_vectors(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vector_search, "TILE_ROWS", 7)
+    monkeypatch.setattr(vector_search, "TILE_COLUMNS", 11)
+    x = np.random.default_rng(3).integers(-2, 3, (120, 4)).astype(float)
+    x[5] = 0
+    x[7, 1] = np.nan
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+    vectors = spark.createDataFrame([(k, [float(c) for c in row]) for k, row in enumerate(x)] + [(200, None)], "id long, v array<double>")
+    for threshold, clipped, others in ((0.3, True, True), (None, True, True), (None, False, True), (-0.2, False, False), (0.99, True, False)):
+        score = unit @ unit.T
+        score = np.clip(score, 0, 1) if clipped else score
+        want = {}
+        for k, row in enumerate(score):
+            ok = [(round(-s, 9), j) for j, s in enumerate(row) if s > (-np.inf if threshold is None else threshold) and not (others and j == k)]
+            want |= {(k, n): s for n, (s, j) in enumerate(sorted(ok)[:4])}
+        for block_rows in (None, 30):
+            found = vector_search.nearest(vectors, vectors, threshold, 4, block_rows, others, clipped).collect()
+            lists = {k: sorted(round(-r.score, 9) for r in found if r.src == k) for k in range(120)}
+            assert {(k, n): s for k, row in lists.items() for n, s in enumerate(row)} == want
+            assert len({(r.src, r.dst) for r in found}) == len(found) == len(want)
+    plan = vector_search.knn_graph(vectors.where("v IS NOT NULL"), 0.3)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan
+
+
 def test_khop_grows_with_depth(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 1)], "src long, dst long")
     seeds = spark.createDataFrame([(1,)], "id long")
