@@ -93,3 +93,12 @@ def test_progressions_equal_all_simple_paths(spark):
     assert [(r.months, round(r.difficulty, 9), r.path) for r in found.collect()] == [(m, round(h, 9), p) for m, h, p in want]
     none = skillpaths.progressions(spark.createDataFrame(steps, "src long, dst long, frequency double, months long, difficulty double"), spark.createDataFrame([(99,)], "id long"))
     assert none.count() == 0
+
+
+def test_substitutes_are_dealt_by_the_number_of_pairs(spark, monkeypatch):
+    from graphloom.plans import path_queries
+
+    monkeypatch.setattr(path_queries, "_TASK_PAIRS", 10)
+    df = path_queries.substitutes(spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.score for r in df.where("src = 0").select("score").distinct().collect()] == [round(r.score, 6) for r in df.where("src = 0").select("score").distinct().collect()]
