@@ -47,8 +47,8 @@ def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
 def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last 20 events of each user, from states of bounded size."""
-    return events.merge_recent(events.run_now(events.recent(events.read_log(spark, sf_dir), 20)), 20)
+    """The last 20 events of each user, from a table of bounded size that each micro-batch is merged into."""
+    return events.recent_now(events.read_log(spark, sf_dir), 20)
 
 
 @query(

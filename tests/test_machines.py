@@ -87,3 +87,22 @@ def test_sessions_are_bounded_evicted_and_forgotten(spark, tmp_path):
     assert len(sizes) >= 2 and max(sizes) <= 30
     last = found.where(F.col("as_of") == found.agg(F.max("as_of")).first()[0]).collect()
     assert sorted((r.session, r.stage, r.event_id) for r in last) == plain_sessions(rows, 30, 4, 5_000)
+
+
+def test_last_events_of_many_micro_batches(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from graphloom.plans import registry
+    from graphloom.streaming import events
+
+    start = datetime(2024, 1, 1)
+    rows = [(k, start + timedelta(seconds=k // 3), k % 4 if k % 2 else 9, float(k)) for k in range(300)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, value double"
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    want = sorted((u, e, v) for u in {r[2] for r in rows} for e, _, _, v in sorted((r for r in rows if r[2] == u), key=lambda r: (r[1], r[0]))[-20:])
+    assert sorted(map(tuple, events.recent_now(log, 20).collect())) == want
+    # no group of Python per user and part, which took most of the time
+    found = registry.QUERIES["stream_recent"](spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() and all("version=" in f for f in found.inputFiles())
