@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from graphloom.functions.vectors import cosine
+from pyspark.sql import types as T
 
 # Patterns of each intent over the lower-cased question, in order of precedence.
 INTENTS = {
@@ -158,8 +160,32 @@ def alike(asked: DataFrame, means: DataFrame, id_col: str, scale: float = 1.0) -
     rows = means.select("intent", "v").collect()
     if not rows:
         return asked.select(id_col, F.lit("").alias("intent"), F.lit(0.0).alias("score")).limit(0)
-    scored = F.array(*[F.struct(F.lit(r.intent).alias("intent"), cosine(F.col("v"), F.array(*[F.lit(x) for x in r.v])).alias("score"), F.lit(scale * ALIKE.get(r.intent, ALIKE_OTHERS)).alias("least")) for r in rows])
-    return asked.select(id_col, F.explode(scored).alias("s")).where("s.score >= s.least").select(id_col, "s.intent", "s.score")
+    scores = cosines(F.col("v"), [r.v for r in rows])
+    named = [F.struct(F.lit(r.intent).alias("intent"), F.col("_scores")[k].alias("score"), F.lit(scale * ALIKE.get(r.intent, ALIKE_OTHERS)).alias("least")) for k, r in enumerate(rows)]
+    scored = asked.select(id_col, scores.alias("_scores")).select(id_col, F.explode(F.array(*named)).alias("s"))
+    return scored.where("s.score >= s.least").select(id_col, "s.intent", "s.score")
+
+
+def cosines(v: Column, others: list[list[float]]) -> Column:
+    """Raw cosines of a vector with each of a few others, a batch in one product; null for a vector that is null, of another length or not finite, 0 without length."""
+    means = np.array(others, np.float64)
+    size = means.shape[1]
+    length = np.linalg.norm(means, axis=1, keepdims=True)
+    unit = np.divide(means, length, out=np.zeros_like(means), where=length > 0)
+
+    def score(vectors: pa.Array) -> pa.Array:
+        good = pa.compute.equal(pa.compute.fill_null(pa.compute.list_value_length(vectors), -1), size)
+        x = vectors.filter(good).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        cos = np.divide(x @ unit.T, norm, out=np.zeros((len(x), len(unit))), where=norm != 0)
+        at = np.flatnonzero(good.to_numpy(zero_copy_only=False))[np.isfinite(cos).all(axis=1)]
+        sizes = np.zeros(len(vectors), np.int64)
+        sizes[at] = len(unit)
+        missing = np.append(sizes == 0, False)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=missing)
+        return pa.ListArray.from_arrays(offsets, pa.array(cos[np.isfinite(cos).all(axis=1)].ravel()))
+
+    return F.arrow_udf(score, T.ArrayType(T.DoubleType()))(v)
 
 
 def refined(found: DataFrame, syntactic: DataFrame, named: DataFrame, id_col: str) -> DataFrame:

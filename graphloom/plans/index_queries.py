@@ -55,7 +55,8 @@ def _examples(spark: SparkSession) -> DataFrame:
 
 def _embedded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All questions, and the intents' examples, with vectors whose weights all of these texts give."""
-    rows, examples = asked(spark, sf_dir), _examples(spark)
+    # the texts are few bytes and much work, and may lie in one file
+    rows, examples = asked(spark, sf_dir).repartition("id"), _examples(spark)
     weight = text_vectors.weights(rows.select("text").unionByName(examples.select("text")), "text")
     return text_vectors.embed_texts(rows, weight=weight), text_vectors.embed_texts(examples, weight=weight)
 
@@ -74,7 +75,7 @@ def semantic_intents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def refined_intents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intents of texts' vectors and of patterns together, for all questions."""
-    rows = asked(spark, sf_dir)
+    rows = asked(spark, sf_dir).repartition("id")
     syntactic = rows.select("id", F.explode(questions.intents(F.col("text"))).alias("intent"))
     ranked = questions.refined(_text_intents(spark, sf_dir), syntactic, questions.entities(rows, "id"), "id")
     return ranked.withColumn("score", F.round("score", 6))

@@ -150,3 +150,12 @@ def test_nearest_of_two_sides(spark):
     right = spark.createDataFrame([(1, [2.0, 0.0]), (3, [1.0, 1.0]), (4, [-1.0, 0.0]), (5, [2.0, 0.0])], "id long, v array<double>")
     assert rows(vector_search.nearest(left, right, 0.5, 2, clipped=False), "src", "dst") == [(1, 1), (1, 5)]
     assert vector_search.nearest(left.limit(0), right, None, 2).collect() == []
+
+
+def test_cosines_of_odd_vectors(spark):
+    from graphloom.operators import questions
+
+    odd = [[1.0, 1.0], None, [1.0], [0.0, 0.0], [float("nan"), 1.0], [None, 1.0], [3.0, 4.0]]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(odd)], "k int, v array<double>").coalesce(1).orderBy("k")
+    got = [r[0] and [round(x, 6) for x in r[0]] for r in df.select(questions.cosines(F.col("v"), [[1.0, 0.0], [0.0, 2.0]])).collect()]
+    assert got == [[0.707107, 0.707107], None, None, [0.0, 0.0], None, None, [0.6, 0.8]]
