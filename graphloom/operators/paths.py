@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,11 +78,11 @@ def k_shortest(links: DataFrame, pairs: DataFrame, k: int = 3, most: int = 5) ->
     return taken.select("start", "goal", "rank", (F.size("path") - 1).alias("steps"), "path")
 
 
-#: Nodes whose distances to all others bound those between other nodes.
-LANDMARKS = 4
+#: Nodes with most edges, the distances to which say at the start how far a pair is apart at most; none by default.
+LANDMARKS = 0
 
 
-def landmark_distances(links: DataFrame, landmarks: int = LANDMARKS) -> DataFrame:
+def landmark_distances(links: DataFrame, landmarks: int) -> DataFrame:
     """``(node, far)``: an array of each node's distance to the landmarks, the nodes with most edges; null where there is no way."""
     chosen = links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").limit(landmarks).select("node")
     marks = [r[0] for r in chosen.collect()]
@@ -88,55 +90,69 @@ def landmark_distances(links: DataFrame, landmarks: int = LANDMARKS) -> DataFram
     return found.groupBy("node").agg(F.array(*[F.max(F.when(F.col("source") == m, F.col("distance"))) for m in marks]).alias("far"))
 
 
-def _bound(a: str, b: str):
-    """``(low, high)`` of a distance by the triangle inequality, from two nodes' arrays."""
-    low = F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
-    high = F.array_min(F.zip_with(a, b, lambda x, y: x + y))
-    return F.coalesce(low, F.lit(0.0)), F.coalesce(high, F.lit(float("inf")))
+#: No way known yet, and no node left to go on from.
+_NONE = float("inf")
 
 
 def search_pairs(edges: DataFrame, pairs: DataFrame, landmarks: int = LANDMARKS, most_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """``(distances, settled)`` of ``pairs(a, b)`` over undirected ``edges(a, b, cost)``: see :func:`pair_distances`."""
+    """``(distances, settled)`` of ``pairs(a, b)`` over undirected ``edges(a, b, cost)``: see :func:`pair_distances`.
+
+    ``settled(pair, side, node, distance)`` has a row for each node that a side of a pair's search has gone on from.
+    """
     both = edges.select("a", "b", "cost").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost"))
     links = cut_lineage(both.where("a <> b").groupBy("a", "b").agg(F.min("cost").alias("cost")))
-    far = cut_lineage(landmark_distances(links, landmarks))
-    asked = pairs.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct()
-    ends = asked.join(far.toDF("a", "far_a"), "a", "left").join(far.toDF("b", "far_b"), "b", "left")
-    asked = cut_lineage(ends.select("a", "b", "far_a", "far_b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(_bound("far_a", "far_b")[1]).alias("best")))
-    side = lambda end, mark, other: asked.where("a <> b").select("a", "b", F.lit(mark).alias("side"), F.col(end).alias("node"), F.lit(0.0).alias("distance"))
-    known = cut_lineage(side("a", 0, "b").unionByName(side("b", 1, "a")))
-    edge_of = cut_lineage(known)
+    # a round goes about one edge further
+    width = links.agg(F.avg("cost")).first()[0] or 0.0
+    # a number for each pair; written, so that it stays
+    asked = cut_lineage(pairs.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct().withColumn("pair", F.monotonically_increasing_id()))
+    high = F.lit(_NONE)
+    ends = asked.where("a <> b")
+    if landmarks:
+        far = landmark_distances(links, landmarks)
+        ends = ends.join(far.toDF("a", "far_a"), "a", "left").join(far.toDF("b", "far_b"), "b", "left")
+        high = F.coalesce(F.array_min(F.zip_with("far_a", "far_b", lambda x, y: x + y)), high)
+    no = F.lit(None).cast("double")
+    # best: the cheapest way known; low0, low1: what no node still to go on from is nearer than, on each side
+    bounds = cut_lineage(ends.select("pair", high.alias("best"), F.lit(0.0).alias("low0"), F.lit(0.0).alias("low1")))
+    at = lambda end, d0, d1: asked.where("a <> b").select("pair", F.col(end).alias("node"), d0.alias("d0"), d1.alias("d1"), no.alias("e0"), no.alias("e1"))
+    # d0, d1: a node's distances from the two ends so far; e0, e1: those at which it was last gone on from
+    now = cut_lineage(at("a", F.lit(0.0), no).unionByName(at("b", no, F.lit(0.0))))
+    ended, left = [asked.where("a = b").select("pair", F.lit(0.0).alias("distance"))], []
+    is_open = lambda k: F.col(f"d{k}").isNotNull() & (F.col(f"e{k}").isNull() | (F.col(f"d{k}") < F.col(f"e{k}")))
     for _ in range(most_rounds):
-        step = edge_of.join(links.toDF("node", "to", "cost"), "node").select("a", "b", "side", F.col("to").alias("node"), (F.col("distance") + F.col("cost")).alias("distance"))
-        step = step.groupBy("a", "b", "side", "node").agg(F.min("distance").alias("distance"))
-        step = step.join(asked, ["a", "b"]).join(far, "node", "left")
-        low = F.when(F.col("side") == 0, _bound("far", "far_b")[0]).otherwise(_bound("far", "far_a")[0])
-        # each side goes half of the best way known, and nowhere from where the other end is too far
-        step = step.where((2 * F.col("distance") <= F.col("best")) & (F.col("distance") + low < F.col("best"))).select("a", "b", "side", "node", "distance")
-        before = known.withColumnRenamed("distance", "before")
-        edge_of = cut_lineage(step.join(before, ["a", "b", "side", "node"], "left").where("before IS NULL OR distance < before").drop("before"))
-        if edge_of.isEmpty():
+        # the nearest nodes of each side, but none from which even the other side's nearest would be too far
+        rows = now.join(bounds, "pair")
+        goes = [F.coalesce(is_open(k) & (F.col(f"d{k}") <= F.col(f"low{k}") + width) & (F.col(f"d{k}") + F.col(f"low{1 - k}") < F.col("best")), F.lit(False)) for k in (0, 1)]
+        out = rows.select("pair", "best", "node", *[F.when(goes[k], F.col(f"d{k}")).alias(f"d{k}") for k in (0, 1)]).where("d0 IS NOT NULL OR d1 IS NOT NULL")
+        step = out.join(links.toDF("node", "to", "cost"), "node").select("pair", "best", F.col("to").alias("node"), *[(F.col(f"d{k}") + F.col("cost")).alias(f"d{k}") for k in (0, 1)])
+        step = step.where("d0 < best OR d1 < best").select("pair", "node", "d0", "d1", no.alias("e0"), no.alias("e1"))
+        kept = rows.select("pair", "node", "d0", "d1", *[F.when(goes[k], F.col(f"d{k}")).otherwise(F.col(f"e{k}")).alias(f"e{k}") for k in (0, 1)])
+        merged = cut_lineage(kept.unionByName(step).groupBy("pair", "node").agg(*[F.min(c).alias(c) for c in ("d0", "d1", "e0", "e1")]))
+        lows = [F.coalesce(F.min(F.when(is_open(k), F.col(f"d{k}"))), F.lit(_NONE)).alias(f"low{k}") for k in (0, 1)]
+        met = merged.groupBy("pair").agg(F.min(F.col("d0") + F.col("d1")).alias("met"), *lows)
+        known = cut_lineage(met.join(bounds.select("pair", "best"), "pair").select("pair", F.least("best", F.coalesce("met", "best")).alias("best"), "low0", "low1"))
+        # a cheaper way would pass a node that both sides have gone on from
+        done = (F.col("low0") + F.col("low1") >= F.col("best")) | (F.col("low0") == _NONE) | (F.col("low1") == _NONE)
+        ended.append(known.where(done & (F.col("best") < _NONE)).select("pair", F.col("best").alias("distance")))
+        bounds = known.where(~done)
+        left.append(merged.join(known.where(done).select("pair"), "pair", "left_semi"))
+        now = merged
+        if bounds.isEmpty():
             break
-        known = cut_lineage(known.unionByName(edge_of).groupBy("a", "b", "side", "node").agg(F.min("distance").alias("distance")))
-        # where the two sides meet, at a node or over one edge
-        left, right = known.where("side = 0").drop("side"), known.where("side = 1").drop("side").withColumnRenamed("distance", "rest")
-        at = left.join(right, ["a", "b", "node"]).select("a", "b", (F.col("distance") + F.col("rest")).alias("met"))
-        over = left.join(links.toDF("node", "to", "cost"), "node").drop("node").withColumnRenamed("to", "node").join(right, ["a", "b", "node"]).select("a", "b", (F.col("distance") + F.col("cost") + F.col("rest")).alias("met"))
-        met = at.unionByName(over).groupBy("a", "b").agg(F.min("met").alias("met"))
-        asked = cut_lineage(asked.join(met, ["a", "b"], "left").withColumn("best", F.least("best", F.coalesce("met", "best"))).drop("met"))
     else:
         raise RuntimeError(f"distances still improve after {most_rounds} rounds")
-    # ends one edge apart may never have been extended
-    near = asked.select("a", "b", "best").join(links, ["a", "b"], "left").select("a", "b", F.least("best", F.coalesce("cost", "best")).alias("distance"))
-    return near.where(F.col("distance") < float("inf")), known
+    distances = asked.join(reduce(DataFrame.unionByName, ended), "pair").select("a", "b", "distance")
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"e{k}").alias("distance")) for k in (0, 1)]))
+    settled = reduce(DataFrame.unionByName, left).select("pair", "node", sides.alias("s")).where("s.distance IS NOT NULL")
+    return distances, settled.select("pair", "s.side", "node", "s.distance")
 
 
 def pair_distances(edges: DataFrame, pairs: DataFrame, landmarks: int = LANDMARKS) -> DataFrame:
     """``(a, b, distance)`` of the cheapest path for each of ``pairs(a, b)`` that has one, over undirected ``edges(a, b, cost)``.
 
-    Each pair is searched from both ends, all pairs at once. A side stops at half of the best way known so far,
-    for beyond that the other side meets it, and leaves out nodes that the triangle inequality over a few landmarks
-    shows to be too far from the other end; the way by a landmark is the first one known. Only nodes between the two
-    ends are visited, not all that the ends can reach. Costs are not negative.
+    Each pair is searched from both ends, all pairs at once. In a round each side goes on from its nearest nodes, those
+    within an edge's mean cost of the nearest one, so that a side goes little further than half of the pair's distance. A pair is
+    done when the ways that are left on both sides add up to no less than the best way known, or one side has no way left.
+    Costs are not negative.
     """
     return search_pairs(edges, pairs, landmarks)[0]

@@ -81,6 +81,19 @@ def test_pair_distances(spark, seed, landmarks):
     assert settled.count() < 0.7 * whole.count()
 
 
+def test_pairs_are_searched_without_distances_to_all_nodes(spark, monkeypatch):
+    """No node's distances to the whole graph are made first, and the sides go little further than half way."""
+
+    def whole(*_):
+        raise AssertionError("distances to all nodes")
+
+    monkeypatch.setattr(netmetrics, "shortest_distances", whole)
+    links = [(n, n + 1, 1.0) for n in range(300)]
+    distances, settled = paths.search_pairs(spark.createDataFrame(links, "a long, b long, cost double"), spark.createDataFrame([(100, 104), (5, 999)], "a long, b long"))
+    assert [tuple(r) for r in distances.collect()] == [(100, 104, 4.0)]
+    assert settled.count() <= 2 * 7 + 1
+
+
 def test_progressions_equal_all_simple_paths(spark):
     rng = random.Random(9)
     steps = [(a, b, round(rng.random(), 2), rng.randrange(1, 6), rng.randrange(10) / 10) for a in range(8) for b in range(8) if a != b and rng.random() < 0.6]
