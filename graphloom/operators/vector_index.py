@@ -6,9 +6,11 @@ looks only into the lists nearest to it. What is found there is ranked by exact
 exact and only neighbours in lists not looked into are missed. How many lists a query needs depends
 on the vectors: :func:`tune` measures it on a bounded set of queries against all rows.
 
-Queries come as a table. Each goes to its lists, and a list is compared with its queries in one matrix
-product in a task; a list of more than ``LIST_ROWS`` rows is cut in parts, each with its own copy of the
-queries. So the rows moved are the table's and ``probes`` for each query, in proportion to both.
+Queries come as a table. Lists that are near each other are put together in cells of ``LIST_ROWS`` rows, about. A query goes
+once to each cell that holds a list of its, and is compared with all rows there in one matrix product in a task, so other lists of
+these cells are looked into as well. A list of more rows is cut in parts, each with its own copy of the queries. So a query is
+moved once for each cell and not for each list: where most of the lists are needed, as with vectors that have no clusters, that is
+the number of rows divided by ``LIST_ROWS``.
 
 Vectors that are null, empty, without length or not finite are in no list and find nothing. Equal scores
 are ordered by id. An empty table gives an empty index.
@@ -20,19 +22,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.operators.lineage import cut_lineage
+from graphloom.operators.vector_search import comparison
 
 #: Rows that centroids are fitted on, at most, and those of one list, about, when the number of lists is not given.
 SAMPLE_ROWS, ROWS_PER_LIST, MOST_LISTS = 20_000, 64, 4096
-#: Rows of a list, and queries of it, that one task compares at a time.
-LIST_ROWS, QUERY_ROWS = 65_536, 8_192
+#: Rows of a cell, at most, and cells that an index has at least, so that there are tasks for all; queries of it that one task compares.
+LIST_ROWS, LEAST_ROWS, LEAST_CELLS, QUERY_ROWS = 16_384, 512, 12, 16_384
 #: Queries that :func:`tune` measures recall on, at most.
 TUNE_QUERIES = 256
-_EDGE = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("score", pa.float64())])
 
 
 @dataclass(frozen=True)
@@ -45,13 +48,16 @@ class Index:
 
 def _units(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(places, unit vectors)`` of those vectors that have a direction and the batch's usual length."""
-    rows = batch.to_pylist()
-    sizes = [len(v) if v is not None and None not in v else 0 for v in rows]
-    size = max(sizes, default=0)
-    at = np.array([i for i, n in enumerate(sizes) if n and n == size], np.int64)
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch), 0), np.int64)
+    if batch.flatten().null_count:
+        # a vector with a null component counts as empty
+        whole = [v is not None and None not in v for v in batch.to_pylist()]
+        sizes = np.where(whole, sizes, 0)
+    size = int(sizes.max(initial=0))
+    at = np.flatnonzero((sizes == size) & (size > 0))
     if not len(at):
         return at, np.zeros((0, size))
-    x = np.array([rows[i] for i in at], np.float64)
+    x = batch.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
     with np.errstate(all="ignore"):
         # the largest component first, so that no square overflows
         x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -63,10 +69,10 @@ def _units(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _unit(vectors: pa.Array) -> pa.Array:
     at, x = _units(vectors)
-    out: list = [None] * len(vectors)
-    for i, row in zip(at.tolist(), x, strict=True):
-        out[i] = row
-    return pa.array(out, pa.list_(pa.float64()))
+    sizes = np.zeros(len(vectors), np.int64)
+    sizes[at] = x.shape[1]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(sizes == 0, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))
 
 
 def _nearest_lists(v: Column, centroids: np.ndarray, probes: int, context) -> Column:
@@ -75,13 +81,42 @@ def _nearest_lists(v: Column, centroids: np.ndarray, probes: int, context) -> Co
 
     def near(vectors: pa.Array) -> pa.Array:
         c = shared.value
-        x = np.array(vectors.to_pylist(), np.float64).reshape(len(vectors), c.shape[1])
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), c.shape[1])
         best = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes]
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * best.shape[1], pa.int32()), pa.array(best.ravel().astype(np.int32)))
 
     return F.arrow_udf(near, T.ArrayType(T.IntegerType()))(v)
 
 
+def _cells(v: Column, centroids: np.ndarray, probes: int, cell_of: np.ndarray, context) -> Column:
+    """The numbers of the cells that hold the ``probes`` nearest lists, each once."""
+    shared = context.broadcast((centroids, cell_of))
+
+    def near(vectors: pa.Array) -> pa.Array:
+        c, cell_of = shared.value
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), c.shape[1])
+        best = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :probes]
+        wanted = np.zeros((len(x), int(cell_of.max()) + 1), bool)
+        np.put_along_axis(wanted, cell_of[best], True, axis=1)
+        offsets = np.concatenate([[0], np.cumsum(wanted.sum(axis=1))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(wanted)[1].astype(np.int32)))
+
+    return F.arrow_udf(near, T.ArrayType(T.IntegerType()))(v)
+
+
+def cells_of(sizes: dict[int, int], centroids: np.ndarray, cell_rows: int) -> np.ndarray:
+    """The cell of each list: lists in a chain from one to the nearest that is left, cut where a cell would have too many rows."""
+    cell_of, cell, rows, now = np.zeros(len(centroids), np.int64), 0, 0, 0
+    left = np.ones(len(centroids), bool)
+    for _ in range(len(centroids)):
+        size = sizes.get(now, 0)
+        if rows and rows + size > cell_rows:
+            cell, rows = cell + 1, 0
+        cell_of[now], rows, left[now] = cell, rows + size, False
+        now = int(np.argmax(np.where(left, centroids @ centroids[now], -np.inf)))
+    return cell_of
+
+
 def fit_centroids(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Unit centroids of unit vectors; an empty cluster takes the vector that is furthest from its centroid."""
     chosen = np.random.default_rng(seed).permutation(len(x))[:lists]
@@ -109,7 +144,7 @@ def build(vectors: DataFrame, lists: int | None = None) -> Index:
     if n == 0:
         return Index(units.withColumn("list", F.lit(0)), np.zeros((0, 0)))
     sample = units.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
-    x = np.array(sample.column("v").to_pylist(), np.float64)
+    x = sample.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(sample.num_rows, -1)
     lists = min(lists or -(-n // ROWS_PER_LIST), MOST_LISTS, len(x))
     centroids = fit_centroids(x, lists)
     listed = units.withColumn("list", _nearest_lists(F.col("v"), centroids, 1, units.sparkSession.sparkContext)[0])
@@ -138,40 +173,23 @@ def search(index: Index, queries: DataFrame, top: int, probes: int, threshold: f
     if not len(index.centroids):
         return spark.createDataFrame([], "src long, dst long, score double")
     probes = min(probes, len(index.centroids))
-    least = -np.inf if threshold is None else threshold
-    asked = _directions(queries).withColumn("list", F.explode(_nearest_lists(F.col("v"), index.centroids, probes, spark.sparkContext)))
-    sizes = index.rows.groupBy("list").count()
-    rows, parts = F.col("count"), F.ceil(F.col("count") / LIST_ROWS).cast("int")
     # one row for each list, as many as there are centroids
-    shape = F.broadcast(sizes.select("list", parts.alias("parts")))
-    asks = F.broadcast(asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("asks")))
+    sizes = dict(index.rows.groupBy("list").count().collect())
+    n = sum(sizes.values())
+    cell_rows = max(1, min(LIST_ROWS, max(LEAST_ROWS, -(-n // LEAST_CELLS))))
+    cell_of = cells_of(sizes, index.centroids, cell_rows)
+    held = np.bincount(cell_of, [sizes.get(k, 0) for k in range(len(cell_of))]).astype(int)
+    shape = F.broadcast(spark.createDataFrame([(k, int(cell_of[k]), int(-(-held[cell_of[k]] // cell_rows))) for k in sizes], "list int, cell int, parts int"))
+    cells = shape.select("cell", "parts").distinct()
+    # written once: what queries come from is not made again for their number
+    asked = cut_lineage(_directions(queries).withColumn("cell", _cells(F.col("v"), index.centroids, probes, cell_of, spark.sparkContext)))
+    asks = asked.select(F.explode("cell").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("asks"))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cells = lambda df: df.join(shape, "list").join(asks, "list")
-    left = cells(asked).select("list", own("asks").alias("i"), every("parts").alias("j"), "id", "v", F.lit(0).alias("side"))
-    right = cells(index.rows).select("list", every("asks").alias("i"), own("parts").alias("j"), "id", "v", F.lit(1).alias("side"))
-
-    def product(cell: pa.Table) -> pa.Table:
-        side, ids = np.asarray(cell.column("side")), np.asarray(cell.column("id"))
-        flat = cell.column("v").combine_chunks()
-        x = np.asarray(flat.flatten(), np.float64).reshape(len(ids), -1)
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        b = b[np.argsort(ids[b], kind="stable")]
-        found = []
-        for start in range(0, len(a), 1024):
-            q = a[start : start + 1024]
-            score = x[q] @ x[b].T
-            if clipped:
-                score = np.clip(score, 0.0, 1.0)
-            if others:
-                score[ids[q][:, None] == ids[b][None, :]] = -np.inf
-            best = np.argsort(-score, axis=1, kind="stable")[:, :top]
-            kept = np.take_along_axis(score, best, axis=1)
-            row, column = np.nonzero(kept > least)
-            found.append(pa.table([pa.array(ids[q][row]), pa.array(ids[b][best[row, column]]), pa.array(kept[row, column])], schema=_EDGE))
-        return pa.concat_tables(found) if found else _EDGE.empty_table()
-
-    hits = left.unionByName(right).groupBy("list", "i", "j").applyInArrow(product, "src long, dst long, score double")
+    asks = F.broadcast(cut_lineage(asks))
+    left = asked.withColumn("cell", F.explode("cell")).join(F.broadcast(cells), "cell").join(asks, "cell").select("cell", own("asks").alias("i"), every("parts").alias("j"), "id", "v", F.lit(0).alias("side"))
+    right = index.rows.join(shape, "list").join(asks, "cell").select("cell", every("asks").alias("i"), own("parts").alias("j"), "id", "v", F.lit(1).alias("side"))
+    hits = left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(comparison(threshold, top, others, clipped), "src long, dst long, score double")
     ranked = hits.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst")))
     return ranked.where(F.col("rn") <= top).drop("rn")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -53,25 +53,8 @@ BLOCK_ROWS, LEAST_ROWS, LEAST_BLOCKS = 16_384, 512, 12
 TILE_ROWS, TILE_COLUMNS = 512, 2048
 
 
-def nearest(left: DataFrame, right: DataFrame, threshold: float | None, top: int, block_rows: int | None = None, others: bool = False, clipped: bool = True) -> DataFrame:
-    """``(src, dst, score)``: for each row of ``left(id, v)`` the nearest of ``right(id, v)`` by cosine above a strict threshold if there is one.
-
-    A set of queries against all rows, in blocks: both sides are dealt into blocks and each pair of blocks is compared in one
-    task, tile by tile, so a task holds two blocks and one tile of scores whatever the tables' sizes. Of a tile only scores above
-    the threshold and not below the best ``top`` of the tiles before are looked at. Each pair of blocks sends on at most ``top`` rows
-    for each source, and a window takes the best of these. With ``others`` a row is not its own neighbour; a null vector is no row.
-    """
-
-    def blocks(df: DataFrame) -> int:
-        n = df.count()
-        return max(1, -(-n // block_rows)) if block_rows else max(1, -(-n // BLOCK_ROWS), min(LEAST_BLOCKS, -(-n // LEAST_ROWS)))
-
-    l_blocks = blocks(left)
-    r_blocks = l_blocks if others else blocks(right)
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a_side = left.where("v IS NOT NULL").select(own(l_blocks).alias("i"), every(r_blocks).alias("j"), "id", "v", F.lit(0).alias("side"))
-    b_side = right.where("v IS NOT NULL").select(every(l_blocks).alias("i"), own(r_blocks).alias("j"), "id", "v", F.lit(1).alias("side"))
+def comparison(threshold: float | None, top: int, others: bool, clipped: bool) -> Callable[[pa.Table], pa.Table]:
+    """A function of rows ``(id, v, side)`` that compares those of side 0 with those of side 1, tile by tile: the best ``top`` above the threshold for each."""
     least = -np.inf if threshold is None else threshold
 
     def product(rows: pa.Table) -> pa.Table:
@@ -116,7 +99,29 @@ def nearest(left: DataFrame, right: DataFrame, threshold: float | None, top: int
             found.append(pa.table([pa.array(ids[q][row]), pa.array(ids[b][place]), pa.array(kept)], schema=_EDGE))
         return pa.concat_tables(found)
 
-    found = a_side.unionByName(b_side).groupBy("i", "j").applyInArrow(product, "src long, dst long, score double")
+    return product
+
+
+def nearest(left: DataFrame, right: DataFrame, threshold: float | None, top: int, block_rows: int | None = None, others: bool = False, clipped: bool = True) -> DataFrame:
+    """``(src, dst, score)``: for each row of ``left(id, v)`` the nearest of ``right(id, v)`` by cosine above a strict threshold if there is one.
+
+    A set of queries against all rows, in blocks: both sides are dealt into blocks and each pair of blocks is compared in one
+    task, tile by tile, so a task holds two blocks and one tile of scores whatever the tables' sizes. Of a tile only scores above
+    the threshold and not below the best ``top`` of the tiles before are looked at. Each pair of blocks sends on at most ``top`` rows
+    for each source, and a window takes the best of these. With ``others`` a row is not its own neighbour; a null vector is no row.
+    """
+
+    def blocks(df: DataFrame) -> int:
+        n = df.count()
+        return max(1, -(-n // block_rows)) if block_rows else max(1, -(-n // BLOCK_ROWS), min(LEAST_BLOCKS, -(-n // LEAST_ROWS)))
+
+    l_blocks = blocks(left)
+    r_blocks = l_blocks if others else blocks(right)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a_side = left.where("v IS NOT NULL").select(own(l_blocks).alias("i"), every(r_blocks).alias("j"), "id", "v", F.lit(0).alias("side"))
+    b_side = right.where("v IS NOT NULL").select(every(l_blocks).alias("i"), own(r_blocks).alias("j"), "id", "v", F.lit(1).alias("side"))
+    found = a_side.unionByName(b_side).groupBy("i", "j").applyInArrow(comparison(threshold, top, others, clipped), "src long, dst long, score double")
     ranked = found.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "dst")))
     return ranked.where(F.col("rn") <= top).drop("rn")
 

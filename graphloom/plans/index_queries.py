@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import normalized_score
 from graphloom.operators import questions, text_vectors, vector_index
+from graphloom.operators.lineage import cut_lineage
 from graphloom.plans.graph_queries import EDGE_THRESHOLD
 from graphloom.plans.question_queries import asked
 from graphloom.plans.registry import query
@@ -94,8 +95,10 @@ def _near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     weight = text_vectors.weights(rows.select("text").unionByName(names.select(F.col("name").alias("text"))), "text")
     # equal texts are asked once
     texts = rows.select("text").where("text IS NOT NULL").distinct().withColumn("text_id", F.xxhash64("text"))
-    probes = text_vectors.embed_texts(texts, weight=weight).select(F.col("text_id").alias("id"), "v")
-    embedded = text_vectors.embed_texts(names, "name", weight=weight)
+    probes = text_vectors.embed_texts(texts.repartition("text_id"), weight=weight).select(F.col("text_id").alias("id"), "v")
+    # both are read for each kind, and made once
+    probes = cut_lineage(probes)
+    embedded = cut_lineage(text_vectors.embed_texts(names, "name", weight=weight).select("id", "kind", "v"))
     found = None
     for kind in questions.NEAREST:
         index = vector_index.build(embedded.where(F.col("kind") == kind).select("id", "v"))

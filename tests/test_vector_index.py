@@ -58,6 +58,21 @@ def test_all_lists_give_the_exact_result_in_small_cells(spark, monkeypatch):
     assert pairs(found) == pairs(vector_search.knn_graph(vectors, 0.3))
 
 
+def test_a_query_is_moved_once_for_a_cell_of_lists(spark):
+    """Vectors without clusters: most lists are needed, and a query is copied to the cells that hold them, not to each list."""
+    rows = [(i, row.tolist()) for i, row in enumerate(np.random.default_rng(4).normal(size=(3000, 16)))]
+    index = vector_index.build(spark.createDataFrame(rows, "id long, v array<double>"))
+    sizes = dict(index.rows.groupBy("list").count().collect())
+    cell_of = vector_index.cells_of(sizes, index.centroids, 512)
+    held = np.bincount(cell_of, [sizes.get(k, 0) for k in range(len(cell_of))])
+    assert held.sum() == 3000 and held.max() <= 512 and len(held) <= 3 * 3000 / 512 < len(index.centroids) / 2
+    found = vector_index.search(index, index.rows.select("id", "v"), 5, len(index.centroids), others=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "list" not in plan[: plan.index("FlatMapGroupsInArrow") + 60] and "cell" in plan
+    exact = vector_search.nearest(index.rows.select("id", "v"), index.rows.select("id", "v"), None, 5, others=True, clipped=False)
+    assert vector_index.recall(found, exact) == 1.0
+
+
 def test_odd_vectors_saved_and_loaded(spark, tmp_path):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [None, 1.0]), (9, [1e300, 1e300]), (2, [3.0, 0.0])]
