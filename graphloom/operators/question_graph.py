@@ -18,12 +18,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.lineage import cut_lineage
 from graphloom.operators.traverse import khop, undirected
 
 #: Seeds of a question, and nodes and relationships that it may show.
 SEEDS, NODES, RELATIONSHIPS = 50, 500, 1000
 #: Intents that say nothing about where to go.
 GENERAL = ("general", "unknown", "")
+#: Intents that have a pattern, in order.
+FOLLOWED = ("career_path", "company_query", "salary_analysis", "skill_relationship", "skill_requirement")
+_MANY = (1 << 31) - 1
 
 
 @dataclass(frozen=True)
@@ -63,8 +67,8 @@ def _link(label: str, src: str, dst: str) -> Column:
 
 
 def _made(rows: DataFrame, *what: Column) -> DataFrame:
-    """``(question, intent, kind, type, id, dst)``: the nodes and relationships that rows stand for, each once."""
-    return rows.select("question", "intent", F.explode(F.array(*what)).alias("m")).select("question", "intent", "m.*").distinct()
+    """``(question, intent, kind, type, id, dst)``: the nodes and relationships that rows stand for."""
+    return rows.select("question", "intent", F.explode(F.array(*what)).alias("m")).select("question", "intent", "m.*")
 
 
 def _first(rows: DataFrame, by: str, other: str, most: int) -> DataFrame:
@@ -74,15 +78,40 @@ def _first(rows: DataFrame, by: str, other: str, most: int) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(_text(other)))).where(F.col("n") <= most).drop("n")
 
 
+def _wanting(rows: DataFrame, skill_jobs: DataFrame, nodes: int, relationships: int) -> DataFrame:
+    """``(question, intent, skill_id, job_id)``: the jobs that want the skills of ``rows(question, intent, skill_id)``, but none that a question's caps can't show.
+
+    The first jobs of each skill, together at least as many pairs as a cap allows, are some of the question's: where they fill both
+    caps, no job beyond their last is among the first of all. So most of a skill's jobs are left out before they are rows.
+    """
+    if not (nodes and relationships):
+        return rows.join(skill_jobs, "skill_id").select("question", "intent", "skill_id", "job_id")
+    # a skill's jobs are cut to the larger cap
+    listed = skill_jobs.groupBy("skill_id").agg(F.array_sort(F.collect_list(F.struct(_text("job_id").alias("id"), "job_id"))).alias("jobs"))
+    rows = cut_lineage(rows.select("question", "intent", "skill_id").distinct().join(listed.select("skill_id"), "skill_id", "left_semi"))
+    listed = cut_lineage(listed)
+    share = F.ceil(F.lit(max(nodes, relationships)) / F.count("*")).cast("int")
+    some = rows.join(rows.groupBy("question", "intent").agg(share.alias("share")), ["question", "intent"]).join(listed, "skill_id")
+    some = some.select("question", "intent", F.col("skill_id").cast("string").alias("dst"), F.explode(F.slice("jobs", F.lit(1), F.col("share"))).alias("job")).select("question", "intent", "dst", "job.id")
+    own = Window.partitionBy("question", "intent")
+    some = some.withColumn("pair", F.row_number().over(own.orderBy("id", "dst"))).withColumn("node", F.dense_rank().over(own.orderBy("id")))
+    last = some.groupBy("question", "intent").agg(F.min(F.when(F.col("pair") == relationships, F.col("id"))).alias("pair"), F.min(F.when(F.col("node") == nodes, F.col("id"))).alias("node"))
+    # one bound for all intents of a question: what is shown names all of them
+    last = last.where("pair IS NOT NULL AND node IS NOT NULL").groupBy("question").agg(F.min(F.greatest("pair", "node")).alias("last"))
+    shown = F.filter("jobs", lambda job: F.col("last").isNull() | (job["id"] <= F.col("last")))
+    return rows.join(last, "question", "left").join(listed, "skill_id").select("question", "intent", "skill_id", F.explode(shown).alias("job")).select("question", "intent", "skill_id", "job.job_id")
+
+
 def traverse(questions: DataFrame, found: DataFrame, market: Market, depth: int = 2, nodes: int = NODES, relationships: int = RELATIONSHIPS) -> DataFrame:
     """``(question, kind, type, id, dst, intents)`` of ``questions(question, intents)`` and the search's rows ``found(question, place, node_type, node)``.
 
     ``intents`` names, in order, the intents that found a node or relationship; 0 is no cap.
     """
     most = max(nodes, relationships) if nodes and relationships else 0
-    tasks = asked_for(questions).join(seeds_of(found), "question")
+    # each is read by several of the parts below, and made once
+    tasks = cut_lineage(asked_for(questions).join(seeds_of(found), "question"))
     seeds = lambda kind, *intents: tasks.where((F.col("node_type") == kind) & F.col("intent").isin(*intents)).select("question", "intent", F.col("node"))
-    requires = market.requires.select("job_id", "skill_id").distinct()
+    requires = cut_lineage(market.requires.select("job_id", "skill_id").distinct())
     skill_jobs = _first(requires, "skill_id", "job_id", most)
     posted = market.jobs.select("job_id", "company_id")
     place = market.companies.select("company_id", "location_id")
@@ -102,13 +131,12 @@ def traverse(questions: DataFrame, found: DataFrame, market: Market, depth: int
     onward = from_skills.join(near, "skill_id").join(requires.select("skill_id").distinct(), "skill_id", "left_semi")
     alike = from_skills.where("intent = 'skill_relationship'").join(near, "skill_id")
     parts.append(_made(onward.where("intent = 'career_path'").unionByName(alike.select(onward.columns)), *pair))
-    jobs = onward.where("intent = 'career_path'").select("question", "intent", "skill_id").distinct().join(skill_jobs, "skill_id")
-    parts.append(_made(jobs, _node("Job", "job_id"), _link("REQUIRES", "job_id", "skill_id")))
+    goes = onward.where("intent = 'career_path'").select("question", "intent", "skill_id")
     # and from a job to other jobs that want skills similar to its own
     reached = careers.distinct().join(near, "skill_id").join(requires.select(F.col("skill_id").alias("similar_id")).distinct(), "similar_id", "left_semi")
     parts.append(_made(reached, *pair))
-    others = reached.select("question", "intent", F.col("similar_id").alias("skill_id")).distinct().join(skill_jobs, "skill_id")
-    parts.append(_made(others, _node("Job", "job_id"), _link("REQUIRES", "job_id", "skill_id")))
+    goes = goes.unionByName(reached.select("question", "intent", F.col("similar_id").alias("skill_id")))
+    parts.append(_made(_wanting(goes, skill_jobs, nodes, relationships), _node("Job", "job_id"), _link("REQUIRES", "job_id", "skill_id")))
 
     employed = from_jobs.where("intent IN ('salary_analysis', 'company_query')").join(requires.select("job_id").distinct(), "job_id", "left_semi").join(posted, "job_id").join(place, "company_id")
     parts.append(_made(employed, _node("Job", "job_id"), _node("Company", "company_id"), _link("POSTED_BY", "job_id", "company_id")))
@@ -120,10 +148,14 @@ def traverse(questions: DataFrame, found: DataFrame, market: Market, depth: int
     parts.append(_made(other.join(requires, "job_id"), _node("Skill", "skill_id"), _link("REQUIRES", "job_id", "skill_id")))
 
     every = reduce(DataFrame.unionByName, parts)
-    merged = every.groupBy("question", "kind", "type", "id", "dst").agg(F.array_join(F.array_sort(F.collect_set("intent")), ",").alias("intents"))
-    order = Window.partitionBy("question").orderBy("type", "id", "dst")
-    capped = [
-        merged.where(F.col("kind") == kind) if not n else merged.where(F.col("kind") == kind).withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).drop("n")
-        for kind, n in (("node", nodes), ("relationship", relationships))
-    ]
-    return capped[0].unionByName(capped[1])
+    # intents as bits, which are added up before rows are moved
+    bits = reduce(lambda a, k: a.when(F.col("intent") == FOLLOWED[k], 1 << k), range(1, len(FOLLOWED)), F.when(F.col("intent") == FOLLOWED[0], 1))
+    merged = every.groupBy("question", "kind", "type", "id", "dst").agg(F.bit_or(bits).alias("bits"))
+    if nodes or relationships:
+        # no cap is one that is never reached
+        cap = {"node": nodes or _MANY, "relationship": relationships or _MANY}
+        order = Window.partitionBy("question", "kind").orderBy("type", "id", "dst")
+        ranked = merged.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(cap.values()))
+        merged = ranked.where(F.col("n") <= F.when(F.col("kind") == "node", cap["node"]).otherwise(cap["relationship"])).drop("n")
+    named = F.concat_ws(",", *[F.when(F.col("bits").bitwiseAND(1 << k) != 0, name) for k, name in enumerate(FOLLOWED)])
+    return merged.select("question", "kind", "type", "id", "dst", named.alias("intents"))

@@ -74,3 +74,16 @@ def test_caps_are_those_of_each_question(spark, market):
     # so many seeds of a question, and no more
     seeds = spark.createDataFrame([("q", k, "Job", k) for k in range(70)], "question string, place int, node_type string, node long")
     assert sorted(r.node for r in question_graph.seeds_of(seeds).collect()) == list(range(50))
+
+
+def test_jobs_that_caps_cannot_show_are_not_joined(spark):
+    """Of 4,000 pairs of a question few are made, and the caps' first ones are among them; a question with few pairs keeps all."""
+    want = spark.createDataFrame([(10_000 + j * 100 + k, k) for k in range(100) for j in range(40)] + [(10_000 + k, k + 1) for k in range(99)], "job_id long, skill_id long")
+    rows = spark.createDataFrame([("q", i, k) for k in range(100) for i in ("career_path", "skill_relationship")] + [("r", "career_path", 5), ("q", "career_path", 777)], "question string, intent string, skill_id long")
+    made = question_graph._wanting(rows, want, 30, 50).collect()
+    whole = question_graph._wanting(rows, want, 0, 0).collect()
+    pair = lambda r: (str(r.job_id), str(r.skill_id), r.intent)
+    of = lambda found, q: sorted({pair(r) for r in found if r.question == q})
+    assert len(of(made, "q")) < 0.1 * len(of(whole, "q")) and of(made, "r") == of(whole, "r")
+    assert of(made, "q")[: 2 * 50] == of(whole, "q")[: 2 * 50]
+    assert sorted({j for j, _, _ in of(made, "q")})[:30] == sorted({j for j, _, _ in of(whole, "q")})[:30]
