@@ -12,13 +12,16 @@ from graphloom.operators.lineage import cut_lineage
 
 
 def steps_to(links: DataFrame, goals: DataFrame, most: int) -> DataFrame:
-    """``(goal, node, left)``: the fewest of up to ``most`` steps over ``links(src, dst)`` from each node to each goal."""
+    """``(goal, node, left)``: the fewest of up to ``most`` steps over ``links(src, dst)`` from each node to each goal.
+
+    Links are as many as the table has, so they are never broadcast, however small they are taken to be by their files.
+    """
     now = goals.select(F.col("goal"), F.col("goal").alias("node")).distinct()
     seen = cut_lineage(now.withColumn("left", F.lit(0)))
     now = seen
     for step in range(1, most + 1):
-        back = now.select("goal", F.col("node").alias("dst")).join(links, "dst").select("goal", F.col("src").alias("node")).distinct()
-        now = cut_lineage(back.join(seen.select("goal", "node"), ["goal", "node"], "left_anti").withColumn("left", F.lit(step)))
+        back = now.select("goal", F.col("node").alias("dst")).join(links.hint("merge"), "dst").select("goal", F.col("src").alias("node")).distinct()
+        now = cut_lineage(back.join(seen.select("goal", "node").hint("merge"), ["goal", "node"], "left_anti").withColumn("left", F.lit(step)))
         if now.isEmpty():
             break
         seen = cut_lineage(seen.unionByName(now))
@@ -35,14 +38,14 @@ def _detours(links: DataFrame, ahead: DataFrame, roots: DataFrame, most: int) ->
     now = roots.withColumn("path", F.col("root"))
     found = None
     while True:
-        on = now.withColumn("src", F.element_at("path", -1)).join(links, "src")
+        on = now.withColumn("src", F.element_at("path", -1)).join(links.hint("merge"), "src")
         on = on.where(~F.array_contains("root", F.col("dst")) & ((F.size("path") > F.size("root")) | ~F.array_contains("banned", F.col("dst"))))
-        on = on.join(ahead.select("goal", F.col("node").alias("dst"), "left"), ["goal", "dst"]).where(F.size("path") + F.col("left") <= most)
+        on = on.join(ahead.select("goal", F.col("node").alias("dst"), "left").hint("merge"), ["goal", "dst"]).where(F.size("path") + F.col("left") <= most)
         step = on.groupBy(*task, "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path"), F.first("banned").alias("banned"))
         step = cut_lineage(step)
         done = step.where("dst = goal").select(*task, "path")
         found = done if found is None else found.unionByName(done)
-        now = step.join(done.select(*task), task, "left_anti").select(*task, "banned", "path")
+        now = step.join(done.select(*task).hint("merge"), task, "left_anti").select(*task, "banned", "path")
         # a path has at most this many nodes, so the loop ends
         now = cut_lineage(now.where(F.size("path") <= most))
         if now.isEmpty():
@@ -55,11 +58,14 @@ def k_shortest(links: DataFrame, pairs: DataFrame, k: int = 3, most: int = 5) ->
     Deviation paths: the next path of a pair leaves one of those found before at some node (the spur), by another step.
     So each round takes the pair's best candidate and searches from every spur of it; all pairs and spurs are searched at
     once, and only nodes from which the goal can still be reached in time are visited. It holds on graphs with cycles.
-    Equally long paths are in order of their nodes; a goal that is its own start has no path.
+    Equally long paths are in order of their nodes; a goal that is its own start has no path. The many joins of small tables
+    are no broadcasts, each of which would take a page of the driver's memory however few its rows.
     """
     links = cut_lineage(links.select("src", "dst").where("src <> dst").distinct())
     pairs = cut_lineage(pairs.select("start", "goal").where("start IS NOT NULL AND goal IS NOT NULL AND start <> goal").distinct())
     ahead = steps_to(links, pairs, most)
+    # all ways lead over nodes from which a goal is near, so the other links are left behind here
+    links = cut_lineage(links.join(ahead.select(F.col("node").alias("dst")).distinct().hint("merge"), "dst", "left_semi").select("src", "dst"))
     spurs = pairs.select("start", "goal", F.array("start").alias("root"), F.filter(F.array("start"), lambda x: F.lit(False)).alias("banned"))
     candidates = cut_lineage(_detours(links, ahead, spurs, most))
     taken = None
@@ -72,9 +78,9 @@ def k_shortest(links: DataFrame, pairs: DataFrame, k: int = 3, most: int = 5) ->
             break
         # every proper prefix of the path just taken, with the steps that paths already taken make after it
         cut = lambda df: df.select("start", "goal", "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("n")).select("start", "goal", F.slice("path", 1, F.col("n")).alias("root"), F.element_at("path", F.col("n") + 1).alias("next"))
-        spurs = cut(first).select("start", "goal", "root").join(cut(taken), ["start", "goal", "root"]).groupBy("start", "goal", "root").agg(F.collect_set("next").alias("banned"))
+        spurs = cut(first).select("start", "goal", "root").join(cut(taken).hint("merge"), ["start", "goal", "root"]).groupBy("start", "goal", "root").agg(F.collect_set("next").alias("banned"))
         more = _detours(links, ahead, spurs, most)
-        candidates = cut_lineage(candidates.unionByName(more).distinct().join(taken.select("start", "goal", "path"), ["start", "goal", "path"], "left_anti"))
+        candidates = cut_lineage(candidates.unionByName(more).distinct().join(taken.select("start", "goal", "path").hint("merge"), ["start", "goal", "path"], "left_anti"))
     return taken.select("start", "goal", "rank", (F.size("path") - 1).alias("steps"), "path")
 
 

@@ -34,7 +34,7 @@ def learning_paths(prerequisites: DataFrame, starts: DataFrame, goals: DataFrame
     start, goal = starts.columns[0], goals.columns[0]
     # only pairs that the starts can reach: each start's nodes within so many steps
     reached = traverse.khop(prerequisites.select("src", "dst"), starts, most).select(F.col("seed").alias("start"), F.col("node").alias("goal"))
-    pairs = reached.join(goals.select(F.col(goal).alias("goal")).distinct(), "goal", "left_semi")
+    pairs = reached.join(goals.select(F.col(goal).alias("goal")).distinct().hint("merge"), "goal", "left_semi")
     found = paths.k_shortest(prerequisites, pairs.select("start", "goal"), shown, most)
     rank = F.row_number().over(Window.partitionBy("goal").orderBy("steps", "path"))
     return found.withColumn("rank", rank).where(F.col("rank") <= shown).select("goal", "rank", "steps", "path")

@@ -30,9 +30,10 @@ def khop(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     frontier = cut_lineage(start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops")))
     rounds = [frontier]
     for hop in range(1, depth + 1):
-        step = frontier.join(links, frontier["node"] == links["src"]).select("seed", F.col("dst").alias("node")).distinct()
+        # links grow with the table and go through no driver, however small their files
+        step = frontier.join(links.hint("merge"), frontier["node"] == links["src"]).select("seed", F.col("dst").alias("node")).distinct()
         reached = reduce(DataFrame.unionByName, rounds).select("seed", "node")
-        frontier = cut_lineage(step.join(reached, ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        frontier = cut_lineage(step.join(reached.hint("merge"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         rounds.append(frontier)
     return reduce(DataFrame.unionByName, rounds[1:])
 

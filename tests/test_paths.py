@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import netmetrics, paths, skillpaths
+from graphloom.operators import lineage, netmetrics, paths, skillpaths, traverse
 
 
 def simple_paths(links, start, goal, most):
@@ -94,6 +94,22 @@ def test_pairs_are_searched_without_distances_to_all_nodes(spark, monkeypatch):
     assert settled.count() <= 2 * 7 + 1
 
 
+def test_learning_paths_broadcast_nothing(spark, monkeypatch):
+    """Links taken to be small by their files, or tables of a few rows, are not sent to the driver in each round."""
+    plans = []
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return lineage.cut_lineage(df)
+
+    for module in (paths, traverse):
+        monkeypatch.setattr(module, "cut_lineage", written)
+    links = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4)], "src long, dst long")
+    one = lambda n: spark.createDataFrame([(n,)], "id long")
+    assert [r.path for r in skillpaths.learning_paths(links, one(1), one(4)).orderBy("rank").collect()] == [[1, 3, 4], [1, 2, 3, 4]]
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
+
+
 def test_progressions_equal_all_simple_paths(spark):
     rng = random.Random(9)
     steps = [(a, b, round(rng.random(), 2), rng.randrange(1, 6), rng.randrange(10) / 10) for a in range(8) for b in range(8) if a != b and rng.random() < 0.6]
