@@ -120,6 +120,35 @@ def test_centrality_of_mixed_edges_and_pagerank(spark):
     assert centrality.eigenvector(none).count() == centrality.pagerank(none).count() == 0
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far have written to shuffles."""
+    context, gateway = spark.sparkContext, spark.sparkContext._gateway
+    store = context._jsc.sc().statusStore()
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_rounds_do_not_shuffle_the_links(spark, monkeypatch, blocks):
+    rng = random.Random(5)
+    ring = [(k, (k + 1) % 600) for k in range(600)] + [(rng.randrange(600), rng.randrange(600)) for _ in range(2400)]
+    pairs = sorted({(f"n{a}", f"n{b}") for a, b in ring if a != b})
+    links = spark.createDataFrame(pairs, "src string, dst string")
+    monkeypatch.setattr(centrality, "BLOCK_LINKS", len(pairs) // blocks + 1, raising=False)
+    for found in (centrality.pagerank, centrality.eigenvector):
+        before = shuffled_rows(spark)
+        rows = found(links).collect()
+        assert len(rows) == 600 and all(r.converged for r in rows)
+        assert shuffled_rows(spark) - before < 5 * len(pairs)
+    nodes, m = dense(pairs)
+    x = np.ones(len(nodes))
+    for _ in range(2000):
+        x = m @ x + x
+        x /= np.linalg.norm(x)
+    assert max(abs(r.centrality - x[nodes.index(r.node)]) for r in rows) < 1e-3
+
+
 def test_short_names_have_few_candidates(spark):
     rng = random.Random(2)
     letters = "abcdefghijklmnopqrstuvwxyz"
