@@ -46,6 +46,8 @@ from graphloom.llm.words import SOLID, Words, parts
 
 WINDOW = 13
 ANCHOR = 6
+#: What is kept of an anchor: it only chooses candidates, so one that is like another by chance costs some work, and zero bytes hardly count in a shuffle.
+ANCHOR_MASK = (1 << 40) - 1
 #: Windows of one automaton, at most; longer sources are compiled and streamed past in parts.
 SHARD_WINDOWS = 50_000
 #: Occurrences of windows, and documents of one window, that one task streams past a shard, about.
@@ -88,7 +90,7 @@ def _window_anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray,
     grams, starts = words.grams(anchor, seed=anchor, hashes=hashes)
     placed = np.zeros(len(words), dtype=np.uint64)
     placed[starts] = grams
-    return words.rows[at], windows, _sliding_min(placed, window - anchor + 1)[at]
+    return words.rows[at], windows, _sliding_min(placed, window - anchor + 1)[at] & np.uint64(ANCHOR_MASK)
 
 
 def _lists(rows: np.ndarray, values: np.ndarray, n_rows: int) -> pa.Array:

@@ -62,6 +62,13 @@ def test_keeping_operators_return_the_columns(spark):
     assert {r.doc_id for r in decontaminate.keep(df, items(spark)).collect()} == {3, 4, 5, 6, 7, 8}
 
 
+def test_anchors_are_short():
+    text = " ".join(f"w{k}" for k in range(500)).encode()
+    _, _, anchors = passages._window_anchors(passages.Words([text, text], passages.SOLID), passages.WINDOW, passages.ANCHOR)
+    half = len(anchors) // 2
+    assert half == 488 and (anchors[:half] == anchors[half:]).all() and 0 < anchors.max() < 1 << 40
+
+
 def test_repeats_of_one_document_stay(spark):
     got = {(r.doc_id, r.n_removed) for r in passages.remove_repeats(frame(spark)).collect()}
     assert {(1, 0), (2, len(TEXT.split())), (None, 0), (3, 0)} <= got
