@@ -37,7 +37,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,18 +93,37 @@ def _window_anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray,
     return words.rows[at], windows, _sliding_min(placed, window - anchor + 1)[at] & np.uint64(ANCHOR_MASK)
 
 
-def _lists(rows: np.ndarray, values: np.ndarray, n_rows: int) -> pa.Array:
-    """A list of distinct values for each row."""
+def _combined(rows: np.ndarray, values: np.ndarray, ids: np.ndarray, name: str) -> pa.RecordBatch:
+    """``(name, id, more)`` for each distinct value: the smallest id of the rows that have it, and those of the other rows (null: none)."""
     # neighbouring windows often share an anchor: drop these before sorting
     new = np.ones(len(rows), dtype=bool)
     new[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
     rows, values = rows[new], values[new]
-    order = np.lexsort((values, rows))
+    order = np.lexsort((rows, ids[rows], values))
     rows, values = rows[order], values[order]
     new = np.ones(len(rows), dtype=bool)
     new[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
     rows, values = rows[new], values[new]
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n_rows + 1)).astype(np.int32)), pa.array(values.view(np.int64)))
+    first = np.ones(len(rows), dtype=bool)
+    first[1:] = values[1:] != values[:-1]
+    at = np.flatnonzero(first)
+    sizes = np.diff(np.append(at, len(rows))) - 1
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    more = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[rows[~first]]), mask=pa.array(sizes == 0))
+    return pa.RecordBatch.from_arrays([pa.array(values[at].view(np.int64)), pa.array(ids[rows[at]]), more], names=[name, "id", "more"])
+
+
+def _keyed(found, name: str):
+    """The values found in texts, for ``mapInArrow`` over ``(id, packed, ...)``; texts that are looked at together send a value they share as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, 1, PACKED_BYTES):
+                rows, values = found(*part.columns[1:])
+                if len(rows):
+                    yield _combined(rows, values, part.column(0).to_numpy(zero_copy_only=False), name)
+
+    return run
 
 
 def _by_parts(run, kind: pa.DataType, limit: int | None = None):
@@ -118,21 +137,21 @@ def _by_parts(run, kind: pa.DataType, limit: int | None = None):
 
 
 def _anchors(window: int, anchor: int):
-    def run(texts: pa.Array) -> pa.Array:
+    def found(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         rows, _, anchors = _window_anchors(Words(list(_unpacked(texts)), SOLID), window, anchor)
-        return _lists(rows, anchors, len(texts))
+        return rows, anchors
 
-    return F.arrow_udf(_by_parts(run, pa.list_(pa.int64())), _LONGS)
+    return _keyed(found, "anchor")
 
 
 def _candidates(window: int, anchor: int):
-    def run(texts: pa.Array, recurring: pa.Array) -> pa.Array:
+    def found(texts: pa.Array, recurring: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         rows, windows, anchors = _window_anchors(Words(list(_unpacked(texts)), SOLID), window, anchor)
         # an anchor recurs or not whatever the text
         marked = np.isin(anchors, recurring.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-        return _lists(rows[marked], windows[marked], len(texts))
+        return rows[marked], windows[marked]
 
-    return F.arrow_udf(_by_parts(run, pa.list_(pa.int64())), _LONGS)
+    return _keyed(found, "window")
 
 
 _STRETCH = pa.list_(pa.struct([("source", pa.int64()), ("level", pa.int32()), ("start", pa.int64()), ("words", pa.string())]))
@@ -272,6 +291,22 @@ def _copied(docs: DataFrame) -> DataFrame:
     return join_spread(keyed, firsts, ["whole"], how="inner").where("id > first").groupBy("id").agg(F.collect_set("text_key").alias("copied"))
 
 
+def _held() -> Column:
+    """How many texts a row of ``_combined`` stands for."""
+    return F.lit(1) + F.coalesce(F.array_size("more"), F.lit(0))
+
+
+def _ids() -> Column:
+    """The ids of the texts that a row of ``_combined`` stands for."""
+    return F.concat(F.array("id"), F.coalesce("more", F.array().cast(_LONGS)))
+
+
+def _recurring(combined: DataFrame, name: str) -> DataFrame:
+    """Rows whose value is in two texts, with ``n``, the number of these, and ``source``, the smallest id: one exchange serves the counts and the rows."""
+    same = Window.partitionBy(name)
+    return combined.select("*", F.sum(_held()).over(same).alias("n"), F.min("id").over(same).alias("source")).where("n > 1")
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``(id, n_words, n_removed, kept)`` for each row: its words, those removed, and the text that stays.
 
@@ -284,18 +319,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fresh = docs.where(F.col("copied").isNull() | ~F.array_contains("copied", F.col("text_key"))).select("id", "text_key", "packed")
 
     # texts that share an id are counted too: they only add candidates
-    anchors = fresh.select("id", F.explode(_anchors(window, anchor)("packed")).alias("anchor"))
-    recurring = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    marked = anchors.join(recurring, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
-    candidates = fresh.join(marked, "id").select("id", F.explode(_candidates(window, anchor)("packed", "anchors")).alias("window"))
+    anchors = fresh.select(F.col("id").cast("long"), "packed").mapInArrow(_anchors(window, anchor), "anchor long, id long, more array<long>")
+    marked = _recurring(anchors, "anchor").select("anchor", F.explode(_ids()).alias("id")).groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
+    looked_at = fresh.join(marked, "id").select(F.col("id").cast("long"), "packed", "anchors")
+    candidates = looked_at.mapInArrow(_candidates(window, anchor), "window long, id long, more array<long>")
 
     # windows that start in two texts; the level of their source tells over how many tasks (2 to its power) its occurrences are dealt
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.sum("n") / SHARD_OCCURRENCES, F.max("n") / SHARD_DOCUMENTS)))).cast("int")
-    confirmed = candidates.groupBy("window").agg(F.min("id").alias("source"), F.count("*").alias("n")).where("n > 1")
+    confirmed = _recurring(candidates, "window")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.sum(_held()) / SHARD_OCCURRENCES, F.max("n") / SHARD_DOCUMENTS)))).cast("int")
     # few sources need more than one task; for all others the level is 0
     busy = confirmed.groupBy("source").agg(level.alias("level")).where("level > 0")
-    levelled = confirmed.join(busy, "source", "left").select("window", "source", F.coalesce("level", F.lit(0)).alias("level"))
-    held = candidates.join(levelled, "window")
+    held = confirmed.join(busy, "source", "left").select("window", "source", F.coalesce("level", F.lit(0)).alias("level"), F.explode(_ids()).alias("id"))
     # lists of one aggregate are in one order; apart they are half as long as a list of structs
     of_doc = held.groupBy("id").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("window", "source", "level")])
 

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -74,6 +75,35 @@ def test_repeats_of_one_document_stay(spark):
     assert {(1, 0), (2, len(TEXT.split())), (None, 0), (3, 0)} <= got
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far have written to shuffles."""
+    context, gateway = spark.sparkContext, spark.sparkContext._gateway
+    store = context._jsc.sc().statusStore()
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_anchors_and_windows_are_shuffled_once(spark):
+    shared = [f"s{k}" for k in range(40)]
+    texts = [" ".join([*(f"d{i}w{k}" for k in range(150)), *shared, *(f"d{i}v{k}" for k in range(50))]) for i in range(120)]
+    rows, _, anchors = passages._window_anchors(passages.Words(texts, passages.SOLID), passages.WINDOW, passages.ANCHOR)
+    before = shuffled_rows(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on large tables
+    try:
+        got = passages.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled_rows(spark) - before < 1.5 * len(set(zip(rows.tolist(), anchors.tolist(), strict=True)))
+    assert {r.doc_id: r.n_removed for r in got} == {i: 40 * (i > 0) for i in range(120)}
+
+
+def test_texts_that_are_looked_at_together_share_a_row():
+    rows, values = np.array([0, 0, 1, 2, 2, 2]), np.array([7, 7, 7, 9, 7, 9], dtype=np.uint64)
+    got = passages._combined(rows, values, np.array([30, 10, 20]), "anchor").to_pylist()
+    assert got == [{"anchor": 7, "id": 10, "more": [20, 30]}, {"anchor": 9, "id": 20, "more": None}]
+
+
 def test_byte_bpe_long_text(spark):
     r = next(r for r in bpe.round_trip(frame(spark), RANKS, PATTERN).collect() if r.doc_id == 6)
     assert r.n_bytes == len(LONG)
