@@ -322,14 +322,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     anchors = fresh.select(F.col("id").cast("long"), "packed").mapInArrow(_anchors(window, anchor), "anchor long, id long, more array<long>")
     marked = _recurring(anchors, "anchor").select("anchor", F.explode(_ids()).alias("id")).groupBy("id").agg(F.collect_list("anchor").alias("anchors"))
     looked_at = fresh.join(marked, "id").select(F.col("id").cast("long"), "packed", "anchors")
-    candidates = looked_at.mapInArrow(_candidates(window, anchor), "window long, id long, more array<long>")
+    # said here, the joins below don't add the condition, and one exchange serves all that follows
+    candidates = looked_at.mapInArrow(_candidates(window, anchor), "window long, id long, more array<long>").where("window is not null").repartition("window")
 
     # windows that start in two texts; the level of their source tells over how many tasks (2 to its power) its occurrences are dealt
-    confirmed = _recurring(candidates, "window")
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.sum(_held()) / SHARD_OCCURRENCES, F.max("n") / SHARD_DOCUMENTS)))).cast("int")
-    # few sources need more than one task; for all others the level is 0
-    busy = confirmed.groupBy("source").agg(level.alias("level")).where("level > 0")
-    held = confirmed.join(busy, "source", "left").select("window", "source", F.coalesce("level", F.lit(0)).alias("level"), F.explode(_ids()).alias("id"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.sum("n") / SHARD_OCCURRENCES, F.max("n") / SHARD_DOCUMENTS)))).cast("int")
+    # few sources need more than one task; for all others the level is 0, and only the windows of these few meet their level
+    each = candidates.groupBy("window").agg(F.min("id").alias("source"), F.sum(_held()).alias("n")).where("n > 1")
+    busy = each.groupBy("source").agg(level.alias("level")).where("level > 0")
+    levelled = each.join(busy, "source").select("window", "level")
+    held = _recurring(candidates, "window").join(levelled, "window", "left").select("window", "source", F.coalesce("level", F.lit(0)).alias("level"), F.explode(_ids()).alias("id"))
     # lists of one aggregate are in one order; apart they are half as long as a list of structs
     of_doc = held.groupBy("id").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("window", "source", "level")])
 
