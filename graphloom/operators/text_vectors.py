@@ -114,6 +114,14 @@ def project(rows: np.ndarray, buckets: np.ndarray, counts: np.ndarray, weight: n
     return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
 
 
+def in_slices(texts: pa.Array, weight: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """``(start, vectors)`` of some texts at a time."""
+    start = 0
+    for part in _slices(texts):
+        yield start, project(*features(part), weight, len(part))
+        start += len(part)
+
+
 def vector(text: Column, weight: np.ndarray, context) -> Column:
     """The text's vector of ``DIMENSIONS`` numbers."""
     shared = context.broadcast(weight)

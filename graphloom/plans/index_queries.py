@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import normalized_score
-from graphloom.operators import questions, text_vectors, vector_index
+from graphloom.operators import questions, text_search, text_vectors, vector_index
 from graphloom.operators.lineage import cut_lineage
 from graphloom.plans.graph_queries import EDGE_THRESHOLD
 from graphloom.plans.question_queries import asked
@@ -83,29 +83,25 @@ def refined_intents_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(id, kind, name)``: names that a question can mean, numbered in order."""
+    """``(kind, name)``: names that a question can mean."""
     read = lambda name, kind, column: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.lit(kind).alias("kind"), F.col(column).alias("name"))
     every = read("part", "skill", "p_name").unionByName(read("orders", "job", "o_orderpriority")).unionByName(read("customer", "company", "c_name"))
-    return every.where("name IS NOT NULL").distinct().select(F.xxhash64("kind", "name").alias("id"), "kind", "name")
+    return every.where("name IS NOT NULL").distinct()
 
 
 def _near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(id, kind, name, score, rank)``: the ten nearest names of each kind for every question, by an index of each kind."""
-    rows, names = asked(spark, sf_dir), _names(spark, sf_dir)
+    """``(id, kind, name, score, rank)``: the nearest names of each kind for every question, of those that score enough for an entity."""
+    rows, names = asked(spark, sf_dir), cut_lineage(_names(spark, sf_dir))
     weight = text_vectors.weights(rows.select("text").unionByName(names.select(F.col("name").alias("text"))), "text")
-    # equal texts are asked once
-    texts = rows.select("text").where("text IS NOT NULL").distinct().withColumn("text_id", F.xxhash64("text"))
-    probes = text_vectors.embed_texts(texts.repartition("text_id"), weight=weight).select(F.col("text_id").alias("id"), "v")
-    # both are read for each kind, and made once
-    probes = cut_lineage(probes)
-    embedded = cut_lineage(text_vectors.embed_texts(names, "name", weight=weight).select("id", "kind", "v"))
+    # equal texts are asked once, and written once for all kinds
+    texts = cut_lineage(rows.select("text").where("text IS NOT NULL").distinct().select(F.xxhash64("text").alias("id"), "text"))
     found = None
-    for kind in questions.NEAREST:
-        index = vector_index.build(embedded.where(F.col("kind") == kind).select("id", "v"))
-        near = vector_index.search(index, probes, 10, vector_index.tune(index, 10, GOAL)).withColumn("kind", F.lit(kind))
+    for kind, (most, least, _, _) in questions.NEAREST.items():
+        # a score is (1 + cosine) / 2, which rounds
+        near = text_search.nearest_names(texts, names.where(F.col("kind") == kind).select(F.col("name").alias("text")), weight, 2 * least - 1 - 1e-12, most)
+        near = near.withColumn("kind", F.lit(kind))
         found = near if found is None else found.unionByName(near)
-    scored = found.join(names.select(F.col("id").alias("dst"), "name"), "dst").withColumn("score", normalized_score(F.col("score")))
-    ranked = scored.withColumn("rank", F.row_number().over(questions.Window.partitionBy("src", "kind").orderBy(F.desc("score"), "name")))
+    ranked = found.withColumn("score", normalized_score(F.col("score")))
     return rows.select("id", F.xxhash64("text").alias("src")).join(ranked, "src").select("id", "kind", "name", "score", "rank")
 
 
