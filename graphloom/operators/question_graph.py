@@ -5,6 +5,10 @@ what jobs require, where a career leads, what is paid, which skills are alike, a
 seeds or with general intents only is skipped. All questions are traversed together: similar skills and a skill's jobs are
 looked up once whatever the number of questions, and results are capped for each question.
 
+What a question finds is moved as lists (a job with its skills, a skill with similar ones), once, and is spelt as nodes and
+relationships only where all of a question's lists are together: a task takes some questions at a time, counts each node and
+relationship once, and applies the caps.
+
 Caps keep the first nodes and relationships of a question in order of type, id and target. So of a skill's jobs only the
 first so many can be shown, and no more are joined: a skill that a third of all jobs want doesn't multiply its questions.
 A null question, intent or seed is no row; repeated rows count once; ids are compared as text.
@@ -12,10 +16,14 @@ A null question, intent or seed is no row; repeated rows count once; ids are com
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.lineage import cut_lineage
@@ -27,7 +35,16 @@ SEEDS, NODES, RELATIONSHIPS = 50, 500, 1000
 GENERAL = ("general", "unknown", "")
 #: Intents that have a pattern, in order.
 FOLLOWED = ("career_path", "company_query", "salary_analysis", "skill_relationship", "skill_requirement")
-_MANY = (1 << 31) - 1
+#: Questions whose rows a task holds at a time, about, and how many times as many it takes.
+QUESTIONS, TASK_TIMES = 256, 4
+#: Types in order, and what a list says: the node of its head, the node of each item, and their relationship, from the head or from the item.
+NODE_TYPES, LINK_TYPES = ("Company", "Job", "Location", "Skill"), ("LOCATED_IN", "POSTED_BY", "REQUIRES", "SIMILAR_TO")
+LISTS = (
+    ("Job", "Skill", "REQUIRES", True), ("Job", "Company", "POSTED_BY", True), (None, "Location", "LOCATED_IN", True),
+    ("Skill", "Skill", "SIMILAR_TO", True), (None, "Job", "REQUIRES", False), (None, "Job", "POSTED_BY", False),
+)
+REQUIRED, POSTED, LOCATED, ALIKE, WANTED, POSTS = range(len(LISTS))
+_ROWS = pa.schema([(c, pa.string()) for c in ("question", "kind", "type", "id", "dst", "intents")])
 
 
 @dataclass(frozen=True)
@@ -58,17 +75,64 @@ def _text(c: str) -> Column:
     return F.col(c).cast("string")
 
 
-def _node(label: str, key: str) -> Column:
-    return F.struct(F.lit("node").alias("kind"), F.lit(label).alias("type"), _text(key).alias("id"), F.lit(None).cast("string").alias("dst"))
-
-
-def _link(label: str, src: str, dst: str) -> Column:
-    return F.struct(F.lit("relationship").alias("kind"), F.lit(label).alias("type"), _text(src).alias("id"), _text(dst).alias("dst"))
-
-
-def _made(rows: DataFrame, *what: Column) -> DataFrame:
-    """``(question, intent, kind, type, id, dst)``: the nodes and relationships that rows stand for."""
-    return rows.select("question", "intent", F.explode(F.array(*what)).alias("m")).select("question", "intent", "m.*")
+def _list(form: int, bits: Column, head: str, items: Column) -> Column:
+    return F.struct(F.lit(form).alias("form"), F.coalesce(bits, F.lit(0)).cast("int").alias("bits"), _text(head).alias("head"), items.cast("array<string>").alias("items"))
+
+
+def _packed(rows: DataFrame, *lists: Column) -> DataFrame:
+    """``(question, form, bits, head, items)``: the lists of each row, without those that no intent asks for."""
+    return rows.select("question", F.explode(F.array(*lists)).alias("m")).select("question", "m.*").where("bits <> 0")
+
+
+def _merged(keys: np.ndarray, bits: np.ndarray, question: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the bits of all its rows; of each question, whose keys are in steps of ``question``, the first ``most`` (0: all)."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    bits = np.bitwise_or.reduceat(bits[order], starts) if len(keys) else bits
+    keys = keys[starts]
+    if most:
+        own = keys // question
+        first = np.arange(len(keys)) - np.searchsorted(own, own) < most
+        keys, bits = keys[first], bits[first]
+    return keys, bits
+
+
+def gathered(nodes: int, relationships: int) -> Callable[[pa.Table], pa.Table]:
+    """A function of the lists of some questions, whole, to their nodes and relationships within the caps."""
+    code = lambda names, k: np.array([names.index(x[k]) if x[k] else -1 for x in LISTS])
+    head_type, item_type, link_type, forward = code(NODE_TYPES, 0), code(NODE_TYPES, 1), code(LINK_TYPES, 2), np.array([x[3] for x in LISTS])
+    # the intents of each set of bits
+    named = pa.array([",".join(name for k, name in enumerate(FOLLOWED) if b >> k & 1) for b in range(1 << len(FOLLOWED))])
+
+    def gather(rows: pa.Table) -> pa.Table:
+        asked = rows.column("question").combine_chunks().dictionary_encode()
+        q = np.asarray(asked.indices, np.int64)
+        form, bits = np.asarray(rows.column("form")), np.asarray(rows.column("bits"), np.int64)
+        items = rows.column("items").combine_chunks()
+        parent = np.repeat(np.arange(len(q)), np.asarray(pa.compute.list_value_length(items), np.int64))
+        # numbers that have the order of the texts
+        spelt = pa.concat_arrays([rows.column("head").combine_chunks(), items.flatten()]).dictionary_encode()
+        order = np.asarray(pa.compute.sort_indices(spelt.dictionary))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        texts, n = spelt.dictionary.take(pa.array(order)), len(order)
+        numbers = rank[np.asarray(spelt.indices)]
+        head, item = numbers[: len(q)], numbers[len(q) :]
+        shown = head_type[form] >= 0
+        key = lambda at, types, ids: (q[at] * len(NODE_TYPES) + types) * n + ids
+        keys = np.concatenate([key(shown, head_type[form[shown]], head[shown]), key(parent, item_type[form[parent]], item)])
+        keys, held = _merged(keys, np.concatenate([bits[shown], bits[parent]]), len(NODE_TYPES) * n, nodes)
+        ahead = forward[form[parent]]
+        links = key(parent, link_type[form[parent]], np.where(ahead, head[parent], item)) * n + np.where(ahead, item, head[parent])
+        links, tied = _merged(links, bits[parent], len(LINK_TYPES) * n * n, relationships)
+        take = lambda values, at: values.take(pa.array(at))
+        types = [take(pa.array(names), keys // size % len(names)) for names, keys, size in ((NODE_TYPES, keys, n), (LINK_TYPES, links, n * n))]
+        of_nodes = [take(asked.dictionary, keys // n // len(NODE_TYPES)), pa.repeat("node", len(keys)), types[0], take(texts, keys % n), pa.nulls(len(keys), pa.string()), take(named, held)]
+        of_links = [take(asked.dictionary, links // n // n // len(LINK_TYPES)), pa.repeat("relationship", len(links)), types[1], take(texts, links // n % n), take(texts, links % n), take(named, tied)]
+        return pa.concat_tables([pa.table(of_nodes, schema=_ROWS), pa.table(of_links, schema=_ROWS)])
+
+    return gather
 
 
 def _first(rows: DataFrame, by: str, other: str, most: int) -> DataFrame:
@@ -79,13 +143,18 @@ def _first(rows: DataFrame, by: str, other: str, most: int) -> DataFrame:
 
 
 def _wanting(rows: DataFrame, skill_jobs: DataFrame, nodes: int, relationships: int) -> DataFrame:
-    """``(question, intent, skill_id, job_id)``: the jobs that want the skills of ``rows(question, intent, skill_id)``, but none that a question's caps can't show.
+    """``(question, intent, skill_id, job_id)``: a row for each job of :func:`_wanting_lists`."""
+    return _wanting_lists(rows, skill_jobs, nodes, relationships).select("question", "intent", "skill_id", F.explode("jobs").alias("job_id"))
+
+
+def _wanting_lists(rows: DataFrame, skill_jobs: DataFrame, nodes: int, relationships: int) -> DataFrame:
+    """``(question, intent, skill_id, jobs)``: the jobs that want the skills of ``rows(question, intent, skill_id)``, but none that a question's caps can't show.
 
     The first jobs of each skill, together at least as many pairs as a cap allows, are some of the question's: where they fill both
     caps, no job beyond their last is among the first of all. So most of a skill's jobs are left out before they are rows.
     """
     if not (nodes and relationships):
-        return rows.join(skill_jobs, "skill_id").select("question", "intent", "skill_id", "job_id")
+        return rows.join(skill_jobs.groupBy("skill_id").agg(F.collect_list("job_id").alias("jobs")), "skill_id").select("question", "intent", "skill_id", "jobs")
     # a skill's jobs are cut to the larger cap
     listed = skill_jobs.groupBy("skill_id").agg(F.array_sort(F.collect_list(F.struct(_text("job_id").alias("id"), "job_id"))).alias("jobs"))
     rows = cut_lineage(rows.select("question", "intent", "skill_id").distinct().join(listed.select("skill_id"), "skill_id", "left_semi"))
@@ -99,7 +168,7 @@ def _wanting(rows: DataFrame, skill_jobs: DataFrame, nodes: int, relationships:
     # one bound for all intents of a question: what is shown names all of them
     last = last.where("pair IS NOT NULL AND node IS NOT NULL").groupBy("question").agg(F.min(F.greatest("pair", "node")).alias("last"))
     shown = F.filter("jobs", lambda job: F.col("last").isNull() | (job["id"] <= F.col("last")))
-    return rows.join(last, "question", "left").join(listed, "skill_id").select("question", "intent", "skill_id", F.explode(shown).alias("job")).select("question", "intent", "skill_id", "job.job_id")
+    return rows.join(last, "question", "left").join(listed, "skill_id").select("question", "intent", "skill_id", F.transform(shown, lambda job: job["job_id"]).alias("jobs"))
 
 
 def traverse(questions: DataFrame, found: DataFrame, market: Market, depth: int = 2, nodes: int = NODES, relationships: int = RELATIONSHIPS) -> DataFrame:
@@ -107,55 +176,81 @@ def traverse(questions: DataFrame, found: DataFrame, market: Market, depth: int
 
     ``intents`` names, in order, the intents that found a node or relationship; 0 is no cap.
     """
+    return _lists_of(questions, found, market, depth, nodes, relationships).applyInArrow(gathered(nodes, relationships), ", ".join(f"{c} string" for c in _ROWS.names))
+
+
+def summary(questions: DataFrame, found: DataFrame, market: Market, depth: int = 2, nodes: int = NODES, relationships: int = RELATIONSHIPS) -> DataFrame:
+    """``(question, kind, type, intents, n, first, last)``: what :func:`traverse` finds, counted where it is found, with the first and the last as text."""
+    gather, by = gathered(nodes, relationships), ["question", "kind", "type", "intents"]
+
+    def count(lists: pa.Table) -> pa.Table:
+        rows = gather(lists)
+        name = pa.compute.binary_join_element_wise(rows.column("id"), rows.column("dst"), ">", null_handling="skip")
+        return rows.select(by).append_column("name", name).group_by(by).aggregate([("name", "count"), ("name", "min"), ("name", "max")])
+
+    kind = ", ".join(f"{c} string" for c in by) + ", n long, first string, last string"
+    found = _lists_of(questions, found, market, depth, nodes, relationships)
+    return found.applyInArrow(lambda lists: count(lists).rename_columns([*by, "n", "first", "last"]), kind)
+
+
+def _lists_of(questions: DataFrame, found: DataFrame, market: Market, depth: int, nodes: int, relationships: int) -> GroupedData:
+    """The lists of all questions, some questions with all of theirs in each group."""
     most = max(nodes, relationships) if nodes and relationships else 0
+    bit = {intent: 1 << k for k, intent in enumerate(FOLLOWED)}
+    bits = reduce(lambda a, intent: a.when(F.col("intent") == intent, bit[intent]), FOLLOWED[1:], F.when(F.col("intent") == FOLLOWED[0], bit[FOLLOWED[0]]))
+    asks = lambda *intents: F.col("bits").bitwiseAND(F.lit(sum(bit[i] for i in intents)))
     # each is read by several of the parts below, and made once
-    tasks = cut_lineage(asked_for(questions).join(seeds_of(found), "question"))
-    seeds = lambda kind, *intents: tasks.where((F.col("node_type") == kind) & F.col("intent").isin(*intents)).select("question", "intent", F.col("node"))
+    tasks = asked_for(questions).join(seeds_of(found), "question").groupBy("question", "node_type", "node").agg(F.bit_or(bits).alias("bits"))
+    tasks = cut_lineage(tasks.where("bits IS NOT NULL"))
+    seeds = lambda kind, key, *intents: tasks.where((F.col("node_type") == kind) & (asks(*intents) != 0)).select("question", "bits", F.col("node").alias(key))
     requires = cut_lineage(market.requires.select("job_id", "skill_id").distinct())
-    skill_jobs = _first(requires, "skill_id", "job_id", most)
+    needs = cut_lineage(requires.groupBy("job_id").agg(F.collect_list("skill_id").alias("skills")))
     posted = market.jobs.select("job_id", "company_id")
-    place = market.companies.select("company_id", "location_id")
-
-    from_jobs = seeds("Job", "skill_requirement", "career_path", "salary_analysis", "company_query").withColumnRenamed("node", "job_id")
-    wanted = from_jobs.join(requires, "job_id")
-    parts = [_made(wanted.where("intent <> 'company_query'"), _node("Job", "job_id"), _node("Skill", "skill_id"), _link("REQUIRES", "job_id", "skill_id"))]
+    place = posted.join(market.companies.select("company_id", "location_id"), "company_id")
+
+    from_jobs = seeds("Job", "job_id", "skill_requirement", "career_path", "salary_analysis", "company_query")
+    wanted = cut_lineage(from_jobs.join(needs, "job_id").join(place, "job_id", "left"))
+    paid = asks("salary_analysis", "company_query")
+    at = lambda key, bits: F.when(F.col(key).isNotNull(), bits)
+    parts = [
+        _packed(
+            wanted,
+            _list(REQUIRED, asks("skill_requirement", "career_path", "salary_analysis"), "job_id", F.col("skills")),
+            _list(POSTED, at("company_id", paid), "job_id", F.array("company_id")),
+            _list(LOCATED, at("location_id", paid), "job_id", F.array("location_id")),
+        )
+    ]
 
     # similar skills of all that is asked about, found once
-    from_skills = seeds("Skill", "career_path", "skill_relationship").withColumnRenamed("node", "skill_id")
-    careers = wanted.where("intent = 'career_path'").select("question", "intent", "skill_id")
+    career, alike = F.lit(bit["career_path"]), F.lit(bit["skill_relationship"])
+    from_skills = seeds("Skill", "skill_id", "career_path", "skill_relationship")
+    careers = wanted.where(asks("career_path") != 0).select("question", F.explode("skills").alias("skill_id")).distinct()
     start = from_skills.select("skill_id").unionByName(careers.select("skill_id")).distinct()
     near = khop(undirected(market.similar), start, depth).select(F.col("seed").alias("skill_id"), F.col("node").alias("similar_id"))
-    pair = (_node("Skill", "skill_id"), _node("Skill", "similar_id"), _link("SIMILAR_TO", "skill_id", "similar_id"))
-    parts.append(_made(from_skills.where("intent = 'skill_relationship'"), _node("Skill", "skill_id")))
+    skilled = requires.select("skill_id").distinct().withColumn("has", F.lit(True))
+    # all similar skills of a skill, those that jobs want, and whether jobs want the skill itself
+    near = near.join(skilled.withColumnRenamed("skill_id", "similar_id"), "similar_id", "left")
+    near = near.groupBy("skill_id").agg(F.collect_list("similar_id").alias("alike"), F.collect_list(F.when(F.col("has"), F.col("similar_id"))).alias("onward"))
+    near = cut_lineage(near.join(skilled, "skill_id", "left"))
+    none = F.array().cast("array<string>")
+    parts.append(_packed(from_skills.where(asks("skill_relationship") != 0).join(near, "skill_id", "left"), _list(ALIKE, alike, "skill_id", F.coalesce(F.col("alike").cast("array<string>"), none))))
     # a career from a skill goes on where the skill has both similar ones and jobs
-    onward = from_skills.join(near, "skill_id").join(requires.select("skill_id").distinct(), "skill_id", "left_semi")
-    alike = from_skills.where("intent = 'skill_relationship'").join(near, "skill_id")
-    parts.append(_made(onward.where("intent = 'career_path'").unionByName(alike.select(onward.columns)), *pair))
-    goes = onward.where("intent = 'career_path'").select("question", "intent", "skill_id")
+    onward = from_skills.where(asks("career_path") != 0).join(near, "skill_id").where("has")
+    parts.append(_packed(onward, _list(ALIKE, career, "skill_id", F.col("alike"))))
     # and from a job to other jobs that want skills similar to its own
-    reached = careers.distinct().join(near, "skill_id").join(requires.select(F.col("skill_id").alias("similar_id")).distinct(), "similar_id", "left_semi")
-    parts.append(_made(reached, *pair))
-    goes = goes.unionByName(reached.select("question", "intent", F.col("similar_id").alias("skill_id")))
-    parts.append(_made(_wanting(goes, skill_jobs, nodes, relationships), _node("Job", "job_id"), _link("REQUIRES", "job_id", "skill_id")))
-
-    employed = from_jobs.where("intent IN ('salary_analysis', 'company_query')").join(requires.select("job_id").distinct(), "job_id", "left_semi").join(posted, "job_id").join(place, "company_id")
-    parts.append(_made(employed, _node("Job", "job_id"), _node("Company", "company_id"), _link("POSTED_BY", "job_id", "company_id")))
-    parts.append(_made(employed.where("location_id IS NOT NULL"), _node("Location", "location_id"), _link("LOCATED_IN", "job_id", "location_id")))
+    reached = careers.join(near, "skill_id").where(F.size("onward") > 0)
+    parts.append(_packed(reached, _list(ALIKE, career, "skill_id", F.col("onward"))))
+    goes = onward.select("question", "skill_id").unionByName(reached.select("question", F.explode("onward").alias("skill_id"))).withColumn("intent", F.lit("career_path"))
+    parts.append(_packed(_wanting_lists(goes, _first(requires, "skill_id", "job_id", most), nodes, relationships), _list(WANTED, career, "skill_id", F.col("jobs"))))
+
     # all jobs of the companies, and what these require
-    whole = employed.where("intent = 'company_query'").select("question", "intent", "company_id").distinct()
-    other = whole.join(_first(posted, "company_id", "job_id", most), "company_id")
-    parts.append(_made(other, _node("Job", "job_id"), _link("POSTED_BY", "job_id", "company_id")))
-    parts.append(_made(other.join(requires, "job_id"), _node("Skill", "skill_id"), _link("REQUIRES", "job_id", "skill_id")))
+    company = F.lit(bit["company_query"])
+    whole = wanted.where((asks("company_query") != 0) & F.col("company_id").isNotNull()).select("question", "company_id").distinct()
+    offers = _first(posted, "company_id", "job_id", most)
+    parts.append(_packed(whole.join(offers.groupBy("company_id").agg(F.collect_list("job_id").alias("jobs")), "company_id"), _list(POSTS, company, "company_id", F.col("jobs"))))
+    parts.append(_packed(whole.join(offers.join(needs, "job_id"), "company_id"), _list(REQUIRED, company, "job_id", F.col("skills"))))
 
     every = reduce(DataFrame.unionByName, parts)
-    # intents as bits, which are added up before rows are moved
-    bits = reduce(lambda a, k: a.when(F.col("intent") == FOLLOWED[k], 1 << k), range(1, len(FOLLOWED)), F.when(F.col("intent") == FOLLOWED[0], 1))
-    merged = every.groupBy("question", "kind", "type", "id", "dst").agg(F.bit_or(bits).alias("bits"))
-    if nodes or relationships:
-        # no cap is one that is never reached
-        cap = {"node": nodes or _MANY, "relationship": relationships or _MANY}
-        order = Window.partitionBy("question", "kind").orderBy("type", "id", "dst")
-        ranked = merged.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(cap.values()))
-        merged = ranked.where(F.col("n") <= F.when(F.col("kind") == "node", cap["node"]).otherwise(cap["relationship"])).drop("n")
-    named = F.concat_ws(",", *[F.when(F.col("bits").bitwiseAND(1 << k) != 0, name) for k, name in enumerate(FOLLOWED)])
-    return merged.select("question", "kind", "type", "id", "dst", named.alias("intents"))
+    groups = -(-tasks.select("question").distinct().count() // QUESTIONS) or 1
+    dealt = every.withColumn("group", F.pmod(F.xxhash64("question"), F.lit(groups))).repartition(-(-groups // TASK_TIMES), "group")
+    return dealt.groupBy("group")

@@ -79,9 +79,7 @@ def questions_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each question's seeds and intents lead to in the graph, by type: how many, the first and the last; for parts' questions and conversation turns."""
     g = Graph(spark, sf_dir)
     market = question_graph.Market(g.requires(), _similar(g).select("src", "dst"), g.jobs(), g.companies())
-    rows = question_graph.traverse(_questions(spark, sf_dir), _found(g), market)
-    name = F.concat_ws(">", "id", "dst")
-    return rows.groupBy("question", "kind", "type", "intents").agg(F.count("*").alias("n"), F.min(name).alias("first"), F.max(name).alias("last"))
+    return question_graph.summary(_questions(spark, sf_dir), _found(g), market)
 
 
 @query(

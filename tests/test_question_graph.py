@@ -87,3 +87,21 @@ def test_jobs_that_caps_cannot_show_are_not_joined(spark):
     assert len(of(made, "q")) < 0.1 * len(of(whole, "q")) and of(made, "r") == of(whole, "r")
     assert of(made, "q")[: 2 * 50] == of(whole, "q")[: 2 * 50]
     assert sorted({j for j, _, _ in of(made, "q")})[:30] == sorted({j for j, _, _ in of(whole, "q")})[:30]
+
+
+@pytest.mark.parametrize("caps", [{}, {"nodes": 3, "relationships": 2}, {"nodes": 0, "relationships": 0}])
+def test_lists_are_moved_and_counted_where_they_are_spelt(spark, market, monkeypatch, caps):
+    monkeypatch.setattr(question_graph, "QUESTIONS", 2)
+    every = ["skill_requirement", "salary_analysis", "company_query", "career_path", "skill_relationship"]
+    asked = [(f"q{k}", every[k % 5 :] if k % 2 else [every[k % 5]]) for k in range(12)]
+    rows = [(f"q{k}", p, "Skill" if k % 3 == 0 else "Job", (10 if k % 3 == 0 else 1) + (k + p) % 4) for k in range(12) for p in range(3)]
+    questions = spark.createDataFrame(asked, "question string, intents array<string>")
+    found = spark.createDataFrame(rows, "question string, place int, node_type string, node long")
+    made = question_graph.traverse(questions, found, market, **caps)
+    assert "dst" not in "".join(line for line in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+    groups = {}
+    for r in made.collect():
+        groups.setdefault((r.question, r.kind, r.type, r.intents), []).append(r.id if r.dst is None else f"{r.id}>{r.dst}")
+    counted = question_graph.summary(questions, found, market, **caps).collect()
+    assert {tuple(r)[:4]: tuple(r)[4:] for r in counted} == {k: (len(x), min(x), max(x)) for k, x in groups.items()}
+    assert len(counted) == len(groups) > 20
