@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,89 @@ def test_last_events_of_many_micro_batches(spark, tmp_path):
     # no group of Python per user and part, which took most of the time
     found = registry.QUERIES["stream_recent"](spark, "/root/testdata/sf0.001")
     assert found.inputFiles() and all("version=" in f for f in found.inputFiles())
+
+
+@pytest.mark.parametrize("held", [40, 400])
+def test_waiting_events_are_held_by_span(spark, tmp_path, monkeypatch, held):
+    """In whatever order a key's events come, they make the same tables."""
+    rng = random.Random(8)
+    rows = [(i, at(i * 20), rng.randrange(90), rng.choice(["vector", "traverse", "answer"])) for i in range(900)]
+    end = [(9999, at(90_000), 500, "answer")]
+    monkeypatch.setattr(machines, "HELD", held)
+    monkeypatch.setattr(machines, "SPAN", 2_000_000_000)
+    mixed = rng.sample(rows[:500], 500)
+    tables = machines.session_stages(stream(spark, tmp_path / "log", [mixed, rows[500:], end]), F.lit(0), F.col("user_id"), F.col("event_type"), 30, 4, 5_000)
+    found = events.run_now(tables, conf=machines.STORE).cache()
+    last = found.where(F.col("as_of") == found.agg(F.max("as_of")).first()[0]).collect()
+    assert sorted((r.session, r.stage, r.event_id) for r in last) == plain_sessions(rows, 30, 4, 5_000)
+
+
+class Held:
+    """State of one key as a processor sees it."""
+
+    def __init__(self):
+        self.value, self.rows, self.map, self.timers, self.most = None, [], {}, set(), 0
+
+    def getListState(self, name, schema):  # noqa: N802
+        own = Held()
+        own.get, own.clear, own.put, own.appendList = lambda: iter(own.rows), own.rows.clear, own.rows.extend, own.rows.extend
+        setattr(self, name, own)
+        return own
+
+    def getValueState(self, name, schema):  # noqa: N802
+        own = Held()
+        own.exists, own.get, own.update = lambda: own.value is not None, lambda: own.value, lambda v: setattr(own, "value", v)
+        return own
+
+    def getMapState(self, name, keys, schema):  # noqa: N802
+        own = Held()
+        own.keys, own.getValue, own.removeKey, own.updateValue = lambda: iter(list(own.map)), own.map.__getitem__, own.map.pop, own.map.__setitem__
+        return own
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_a_task_holds_a_span_and_not_a_key():
+    """10,000 events of one key that arrive at once, in any order, are given in order and never more than a span's at a time."""
+    rng = random.Random(3)
+    table = machines._Sessions(30, 4, 5_000 * 1_000_000)
+    table.span, table.held = 1_000_000_000, 300
+    handle, sizes, order = Held(), [], []
+    handle.now = 0
+    table.init(handle)
+
+    def fold(key, spans, until):
+        for events in spans:
+            sizes.append(len(events))
+            order.extend(events)
+        yield pd.DataFrame()
+
+    table.fold = fold
+    rows = [(k * 1_000_000, k, k % 7, "answer") for k in range(10_000)]
+    mixed = rng.sample(rows, len(rows))
+    frame = lambda part: pd.DataFrame(part, columns=["at", "id", "session", "stage"])
+    assert not list(table.handleInputRows((0,), iter([frame(mixed[k : k + 100]) for k in range(0, 10_000, 100)]), handle))
+    # the watermark passes in three steps, the last within a span; no timer is missing
+    for seconds in (2_500, 7_000, 20_000):
+        handle.now = seconds * 1000
+        while due := sorted(t for t in handle.timers if t <= handle.now):
+            handle.timers.difference_update(due)
+            for _ in due:
+                list(table.handleExpiredTimer((0,), handle, None))
+        assert order == rows[: min(seconds, 10_000)]
+    assert max(sizes) <= 1_000 and not handle.timers
+
+
+@pytest.mark.parametrize("held", [3, 1_000])
+def test_breaker_is_the_same_by_spans(spark, tmp_path, monkeypatch, held):
+    rng = random.Random(1)
+    rows = [(i, at(i * 3), i % 3, rng.choice(["error", "error", "ok"])) for i in range(300)] + [(999, at(20_000), 9, "ok")]
+    whole = run_breaker(stream(spark, tmp_path / "whole", [rows]))
+    monkeypatch.setattr(machines, "HELD", held)
+    monkeypatch.setattr(machines, "SPAN", 60_000_000)
+    moved = rng.sample(rows[:-1], 299)
+    assert run_breaker(stream(spark, tmp_path / "parts", [moved[:100], moved[100:], rows[-1:]])) == whole
