@@ -47,8 +47,8 @@ def knn_graph(vectors: DataFrame, threshold: float = KNN_THRESHOLD, top: int = K
     return cut_lineage(nearest(vectors, vectors, threshold, top, block_rows, others=True))
 
 
-#: Rows of one block, at most, and blocks that a table of some size has at least, so that there are tasks for all.
-BLOCK_ROWS, LEAST_ROWS, LEAST_BLOCKS = 16_384, 512, 12
+#: Numbers of one block, at most (a row is moved once for each block), and blocks that a table of some size has at least, so that there are tasks for all.
+BLOCK_NUMBERS, LEAST_ROWS, LEAST_BLOCKS = 1 << 22, 512, 12
 #: Rows of each side whose scores a task holds at a time.
 TILE_ROWS, TILE_COLUMNS = 512, 2048
 
@@ -112,8 +112,8 @@ def nearest(left: DataFrame, right: DataFrame, threshold: float | None, top: int
     """
 
     def blocks(df: DataFrame) -> int:
-        n = df.count()
-        return max(1, -(-n // block_rows)) if block_rows else max(1, -(-n // BLOCK_ROWS), min(LEAST_BLOCKS, -(-n // LEAST_ROWS)))
+        n, numbers = df.agg(F.count("*"), F.sum(F.greatest(F.size("v"), F.lit(0)))).first()
+        return max(1, -(-n // block_rows)) if block_rows else max(1, -(-(numbers or 0) // BLOCK_NUMBERS), min(LEAST_BLOCKS, -(-n // LEAST_ROWS)))
 
     l_blocks = blocks(left)
     r_blocks = l_blocks if others else blocks(right)

@@ -3,6 +3,7 @@
 import heapq
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,38 @@ def test_substitutes_are_dealt_by_the_number_of_pairs(spark, monkeypatch):
     df = path_queries.substitutes(spark, "/root/testdata/sf0.001")
     assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
     assert [r.score for r in df.where("src = 0").select("score").distinct().collect()] == [round(r.score, 6) for r in df.where("src = 0").select("score").distinct().collect()]
+
+
+def test_closeness_looks_up_asked_pairs_only(spark, monkeypatch):
+    """Parts 0, 7, 25 and 32 of one name: asked pairs get their substitution, and no others are made."""
+    from graphloom.plans import registry
+    from graphloom.sources.domain import Graph
+
+    path_queries = registry.path_queries
+    v = lambda k: [1.0, k / 100.0]
+    tables = {
+        "embeddings": spark.createDataFrame([(k, v(k)) for k in (0, 7, 25, 32, 50)], "vec_id long, embedding array<float>"),
+        "part": spark.createDataFrame([(0, "x", "T", 1), (7, "x", "T", 4), (25, "x", "T", 1), (32, "x", "U", 1), (99, "x", "T", 1), (50, None, "T", 1)], "p_partkey long, p_name string, p_type string, p_size int").withColumn("p_brand", F.lit("b")),
+    }
+    monkeypatch.setattr(Graph, "table", lambda self, name: tables[name])
+    monkeypatch.setattr(path_queries, "_substitutes", lambda g: pytest.fail("all pairs"))
+    found = {(r.a, r.b): r.closeness for r in path_queries.closeness_blended(spark, "").collect()}
+    cos = lambda a, b: float(np.dot(v(a), v(b)) / np.linalg.norm(v(a)) / np.linalg.norm(v(b)))
+    # all are linked, as their vectors are alike; only 0 and 7 stand for each other, three levels apart
+    assert found == {(a, b): pytest.approx(0.6 / (1 + round(1 - min(1.0, cos(a, b)), 6)) + 0.3 * cos(a, b) + more, abs=2e-6) for a, b, more in ((0, 7, 0.1 / 4), (25, 32, 0.0))}
+
+
+def test_blocks_of_vectors_are_as_large_as_their_numbers_allow(spark, monkeypatch):
+    from graphloom.operators import vector_search
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(k, x[k].tolist()) for k in range(60)] + [(99, None)], "id long, v array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    want = {(a, b) for a in range(60) for b in sorted((b for b in range(60) if b != a and cos[a, b] > 0.3), key=lambda b: (-cos[a, b], b))[:3]}
+    for numbers, blocks in ((1 << 22, 1), (8 * 20, 3)):
+        monkeypatch.setattr(vector_search, "BLOCK_NUMBERS", numbers)
+        found = vector_search.nearest(df, df, 0.3, 3, others=True)
+        assert f"sequence(0, {blocks - 1}" in found._jdf.queryExecution().analyzed().toString()
+        assert {(r.src, r.dst) for r in found.collect()} == want
